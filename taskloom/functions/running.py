@@ -56,7 +56,8 @@ def running(
         *keys, *names, *[agg[k](f"_t_{out}").over(across).alias(f"_b_{out}") for out, k in kinds.items()]
     )
     scanned = rows.withColumns({f"_l_{out}": agg[k](f"_m_{out}").over(inside) for out, k in kinds.items()})
-    joined = scanned.join(offsets, [*keys, *names])
+    # Every row has a bucket total; an outer join lets Catalyst drop the whole branch where the result is not used.
+    joined = scanned.join(offsets, [*keys, *names], "left")
     return joined.select(
         *df.columns,
         *[_combine(k, F.col(f"_l_{out}"), F.col(f"_b_{out}")).alias(out) for out, k in kinds.items()],
