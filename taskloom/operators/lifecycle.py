@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.jsontext import json_object
 from ..model import STALE_SECONDS, Principal, Tables
 from .delta import assign_ids, instant, log_events, patch, typed
-from .views import last_sign_of_life
+from .views import last_sign_of_life, my_tasks
 
 DEFAULT_REJECTION = "Rejected by human reviewer"
 
@@ -153,7 +153,7 @@ def recover_stale(t: Tables, as_of: str | Column, seconds: int = STALE_SECONDS,
     }
     columns = [changed[c].alias(c) if c in changed else F.col(c) for c in t.tasks.columns]
     recovered = joined.where(hit).select(*columns).select("task_id", "status", "retry_count")
-    refused = recovered.select("task_id", F.lit("").alias("reason")).limit(0)
+    refused = recovered.where(F.lit(False)).select("task_id", F.lit(None).cast("string").alias("reason"))
     return Outcome(recovered, refused, t.replace(tasks=joined.select(*columns)))
 
 
@@ -175,7 +175,12 @@ def message_trace(t: Tables) -> DataFrame:
     )
 
 
-def latest_tasks(t: Tables, n: int = 3) -> DataFrame:
+def latest_tasks(t: Tables, p: Principal, n: int = 3) -> DataFrame:
+    """The newest n tasks the principal may see."""
+    return my_tasks(t, p).orderBy(F.desc("created_at"), F.desc("task_id")).limit(n)
+
+
+def latest_tasks_per_agent(t: Tables, n: int = 3) -> DataFrame:
     """The newest n tasks of every agent. All but n rows per agent and partition are dropped before the shuffle."""
     newest = Window.partitionBy("agent_id").orderBy(F.desc("created_at"), F.desc("task_id"))
     return (
