@@ -327,9 +327,12 @@ COMMANDS: dict[str, Derived] = {
             "is_final": "conv_id % 25 = 0",
         },
     ),
+    # One query per agent, the mean of its vectors: it reads the whole table and the number of queries stays small.
     "search_queries": Derived(
-        "embeddings WHERE vec_id % 50 = 1",
-        {"query_id": "vec_id", "agent_id": "label", "query_vec": "embedding"},
+        "(SELECT label, list(v ORDER BY pos) AS centre FROM (SELECT label, pos, avg(CAST(v AS DOUBLE)) AS v FROM "
+        "(SELECT label, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS pos FROM embeddings) "
+        "GROUP BY label, pos) GROUP BY label) x",
+        {"query_id": "CAST(label AS BIGINT)", "agent_id": "CAST(label AS BIGINT)", "query_vec": "centre"},
     ),
     "enqueue_requests": Derived(
         "customer",
@@ -379,6 +382,56 @@ COMMANDS: dict[str, Derived] = {
             "ts": "ts",
         },
     ),
+    # Status changes of sessions, one per order, on distinct instants.
+    "session_changes": Derived(
+        "orders",
+        {
+            "session_id": "o_custkey",
+            "agent_id": "o_custkey % 10",
+            "status": "CASE o_orderkey % 4 WHEN 0 THEN 'completed' WHEN 1 THEN 'failed' ELSE 'active' END",
+            "final_answer": "CASE WHEN o_orderkey % 3 <> 0 THEN concat('answer ', o_orderkey) END",
+            "ts": "o_orderdate + o_orderkey * INTERVAL '1' MICROSECOND",
+        },
+    ),
+    # Tool configurations, valid and not, with names that repeat.
+    "tool_configs": Derived(
+        "part",
+        {
+            "seq": "p_partkey",
+            "config": "CASE p_partkey % 6 WHEN 0 THEN concat('{\"name\":\"new_', p_partkey % 90, "
+            "'\",\"description\":\"d\",\"tool_type\":\"sql\"}') "
+            "WHEN 1 THEN concat('{\"name\":\"web_', p_partkey, "
+            "'\",\"description\":\"d\",\"tool_type\":\"http\",\"http_endpoint\":\"x\",\"http_method\":\"GET\"}') "
+            "WHEN 2 THEN concat('{\"name\":\"mcp_', p_partkey, '\",\"description\":\"d\",\"tool_type\":\"mcp\"}') "
+            "WHEN 3 THEN concat('{\"name\":\"tool_', p_partkey, '\",\"description\":\"d\",\"tool_type\":\"sql\"}') "
+            "WHEN 4 THEN '{\"name\":\"nameless\"' "
+            "ELSE concat('{\"name\":\"odd_', p_partkey, '\",\"description\":\"d\",\"tool_type\":\"magic\"}') END",
+        },
+    ),
+    # Agent configurations, valid and not; role and profile name repeat together.
+    "agent_configs": Derived(
+        "customer",
+        {
+            "seq": "c_custkey",
+            "role_name": "concat('new_', c_custkey % 400)",
+            "config": "concat('{\"name\":\"Name ', c_custkey % 400, '\",\"agent_role\":\"', "
+            "CASE c_custkey % 7 WHEN 0 THEN 'boss' ELSE 'executor' END, '\",\"provider\":\"ollama\"', "
+            "CASE c_custkey % 7 WHEN 1 THEN '' ELSE ',\"model_name\":\"m\"' END, "
+            "CASE c_custkey % 7 WHEN 2 THEN ',\"max_steps\":\"zz\"' WHEN 3 THEN ',\"temperature\":5' "
+            "WHEN 4 THEN ',\"max_steps\":8,\"temperature\":0.3' ELSE '' END, "
+            "',\"tool_ids\":[', c_custkey % 100, ',', c_custkey % 100, ']}')",
+        },
+    ),
+    # Flow registrations that repeat names.
+    "flow_requests": Derived(
+        "customer",
+        {
+            "seq": "c_custkey",
+            "flow_name": "concat('flow_', c_custkey % 150)",
+            "agent_id": "c_custkey % 10",
+            "webhook_url": "concat('http://hook/', c_custkey)",
+        },
+    ),
     # Embedding payloads in the accepted notations and in unusable ones.
     "vector_payloads": Derived(
         "embeddings",
@@ -412,13 +465,17 @@ def oracle_ctes(*names: str) -> str:
 
 
 class _Driver:
-    """Typed scans of the driver tables."""
+    """Typed scans of the driver tables, as tables or as file streams."""
 
-    def __init__(self, spark: SparkSession, directory: str):
+    def __init__(self, spark: SparkSession, directory: str, live: bool = False):
         self.spark = spark
         self.directory = directory
+        self.live = live
 
     def scan(self, name: str) -> DataFrame:
+        if self.live:
+            source = self.spark.readStream.schema(DRIVER_DDL[name]).option("pathGlobFilter", f"{name}.parquet")
+            return source.parquet(self.directory)
         return self.spark.read.schema(DRIVER_DDL[name]).parquet(f"{self.directory}/{name}.parquet")
 
     def constant(self, source: str) -> DataFrame:
@@ -444,6 +501,14 @@ class _Driver:
         )
 
 
+def _centres(embeddings: DataFrame) -> DataFrame:
+    """Mean vector per label. The collected list has one entry per vector component."""
+    parts = embeddings.select("label", F.posexplode("embedding").alias("pos", "v"))
+    means = parts.groupBy("label", "pos").agg(F.avg(F.col("v").cast("double")).alias("v"))
+    listed = F.array_sort(F.collect_list(F.struct("pos", "v")))
+    return means.groupBy("label").agg(F.transform(listed, lambda x: x["v"]).alias("centre"))
+
+
 def _row_source(driver: _Driver, tables: Tables, name: str) -> DataFrame:
     scan = driver.scan
     if name in ("embedding_config", "sql_sandbox_allowlist", "system_agent_configs"):
@@ -499,25 +564,37 @@ def _typed(df: DataFrame, name: str) -> DataFrame:
     return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in SCHEMAS[name].fields])
 
 
-def from_driver_tables(spark: SparkSession, directory: str) -> Tables:
-    """The 20 control-plane tables over the driver's Parquet files."""
-    driver = _Driver(spark, directory)
+def _bundle(driver: _Driver) -> Tables:
     tables = Tables({name: (lambda name=name: _build(driver, tables, name)) for name in SCHEMAS})
     return tables
 
 
-def command(spark: SparkSession, directory: str, name: str, tables: Tables | None = None) -> DataFrame:
-    """A command input of FIXTURES.md."""
-    driver = _Driver(spark, directory)
-    tables = tables or from_driver_tables(spark, directory)
+def from_driver_tables(spark: SparkSession, directory: str) -> Tables:
+    """The 20 control-plane tables over the driver's Parquet files."""
+    return _bundle(_Driver(spark, directory))
+
+
+def live_tables(spark: SparkSession, directory: str) -> Tables:
+    """The same tables as file streams, for those derived row by row (tasks, approvals, events)."""
+    return _bundle(_Driver(spark, directory, live=True))
+
+
+def command(spark: SparkSession, directory: str, name: str, live: bool = False) -> DataFrame:
+    """A command input of FIXTURES.md, as a table or as a file stream."""
+    driver = _Driver(spark, directory, live)
+    tables = _bundle(driver)
     columns = dict(COMMANDS[name].columns)
     if name == "responses":
         source = driver.scan("conversations").where("role = 'assistant'")
         source = source.withColumn("k", F.expr("(conv_id + turn) % 8"))
     elif name == "search_queries":
-        source = driver.scan("embeddings").where("vec_id % 50 = 1")
-    elif name == "enqueue_requests":
+        source = _centres(driver.scan("embeddings"))
+    elif name in ("enqueue_requests", "agent_configs", "flow_requests"):
         source = driver.scan("customer")
+    elif name == "tool_configs":
+        source = driver.scan("part")
+    elif name == "session_changes":
+        source = driver.scan("orders")
     elif name == "approval_decisions":
         source = tables.human_approvals
     elif name in ("sql_requests", "heartbeats"):
