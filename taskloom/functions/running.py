@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 BUCKET_BITS = 20
 
 
-def id_bucket(order: str, bits: int = BUCKET_BITS) -> Column:
+def id_bucket(order: str, bits: int | None = None) -> Column:
     """Bucket of a unique integer key: bounded by 2**bits rows whatever the distribution."""
-    return F.shiftright(F.col(order).cast("long"), bits)
+    return F.shiftright(F.col(order).cast("long"), BUCKET_BITS if bits is None else bits)
 
 
 def _combine(kind: str, local: Column, before: Column) -> Column:
@@ -32,35 +32,39 @@ def running(
     order: Sequence[str],
     measures: dict[str, tuple[str, Column]],
     bucket: Sequence[Column] | None = None,
+    levels: int = 2,
 ) -> DataFrame:
     """Add, per key and in `order`, the aggregate of each measure over the rows strictly before the current one.
 
     `measures` maps an output column to ("sum" | "max", expression). `keys` must not be null and `order` must be unique
-    within a key. `bucket` lists expressions monotone in `order`; by default the single integer order key is bucketed.
+    within a key. By default the (single, integer) order key is bucketed, and the buckets again: with two levels no window
+    holds more than 2**BUCKET_BITS rows for ids below 2**60. Otherwise `bucket` lists expressions monotone in `order`.
     """
     keys = list(keys)
     buckets = list(bucket) if bucket is not None else [id_bucket(order[0])]
-    names = [f"_bucket{i}" for i in range(len(buckets))]
+    names = [f"_bucket{levels}_{i}" for i in range(len(buckets))]
     kinds = {out: kind for out, (kind, _) in measures.items()}
+    inputs = {out: f"_m{levels}_{out}" for out in kinds}
     agg = {"sum": F.sum, "max": F.max}
 
-    rows = df.withColumns(
-        {**dict(zip(names, buckets)), **{f"_m_{out}": expr for out, (_, expr) in measures.items()}}
-    )
+    rows = df.withColumns({**dict(zip(names, buckets)), **{inputs[out]: expr for out, (_, expr) in measures.items()}})
     before = Window.unboundedPreceding, -1
     inside = Window.partitionBy(*keys, *names).orderBy(*order).rowsBetween(*before)
-    across = Window.partitionBy(*keys).orderBy(*names).rowsBetween(*before)
-
-    totals = rows.groupBy(*keys, *names).agg(*[agg[k](f"_m_{out}").alias(f"_t_{out}") for out, k in kinds.items()])
-    offsets = totals.select(
-        *keys, *names, *[agg[k](f"_t_{out}").over(across).alias(f"_b_{out}") for out, k in kinds.items()]
-    )
-    scanned = rows.withColumns({f"_l_{out}": agg[k](f"_m_{out}").over(inside) for out, k in kinds.items()})
+    totals = rows.groupBy(*keys, *names).agg(*[agg[k](inputs[out]).alias(f"_b{levels}_{out}") for out, k in kinds.items()])
+    carried = {f"_b{levels}_{out}": (k, F.col(f"_b{levels}_{out}")) for out, k in kinds.items()}
+    if levels > 1 and bucket is None:
+        renamed = {f"_o{name}": measure for name, measure in carried.items()}
+        scanned_totals = running(totals, keys, names, renamed, levels=levels - 1)
+        offsets = scanned_totals.select(*keys, *names, *[F.col(f"_o{name}").alias(name) for name in carried])
+    else:
+        across = Window.partitionBy(*keys).orderBy(*names).rowsBetween(*before)
+        offsets = totals.select(*keys, *names, *[agg[k](c).over(across).alias(name) for name, (k, c) in carried.items()])
+    scanned = rows.withColumns({f"_l{levels}_{out}": agg[k](inputs[out]).over(inside) for out, k in kinds.items()})
     # Every row has a bucket total; an outer join lets Catalyst drop the whole branch where the result is not used.
     joined = scanned.join(offsets, [*keys, *names], "left")
     return joined.select(
         *df.columns,
-        *[_combine(k, F.col(f"_l_{out}"), F.col(f"_b_{out}")).alias(out) for out, k in kinds.items()],
+        *[_combine(k, F.col(f"_l{levels}_{out}"), F.col(f"_b{levels}_{out}")).alias(out) for out, k in kinds.items()],
     )
 
 

@@ -1164,13 +1164,23 @@ _add(
 # ---------------------------------------------------------------- streams
 
 _CHANGES = "lag(status) OVER (PARTITION BY {} ORDER BY ts)"
+Launch = Callable[[DataFrame, str], streams.StreamingQuery]
+
+
+def _notices(c: Context, launch: Launch, changes: str) -> DataFrame:
+    """Run a change stream over everything there is and read what it wrote."""
+    store = scratch_path(c.spark, "changes")
+    launch(c.command(changes, live=True), store).awaitTermination()
+    return streams.emitted(c.spark, store)
+
+
 _add(
-    "stream_task_ready", lambda c: streams.drain(streams.task_ready(c.command("task_changes", live=True))), "task_changes",
+    "stream_task_ready", lambda c: _notices(c, streams.task_ready, "task_changes"), "task_changes",
     f"SELECT task_id, session_id, agent_id, ts FROM (SELECT *, {_CHANGES.format('task_id')} AS previous FROM task_changes) "
     "WHERE status = 'pending' AND previous IS DISTINCT FROM 'pending'",
 )
 _add(
-    "stream_session_done", lambda c: streams.drain(streams.session_done(c.command("session_changes", live=True))), "session_changes",
+    "stream_session_done", lambda c: _notices(c, streams.session_done, "session_changes"), "session_changes",
     "SELECT session_id, status, agent_id, left(coalesce(final_answer, ''), 500) AS final_answer, ts FROM (SELECT *, "
     f"{_CHANGES.format('session_id')} AS previous FROM session_changes) WHERE status IN ('completed', 'failed') AND previous = 'active'",
 )
@@ -1196,14 +1206,15 @@ _add(
 _add(
     "stream_heartbeat_monitor",
     lambda c: streams.drain(streams.heartbeat_monitor(c.command("heartbeats", live=True))), "heartbeats",
-    "SELECT task_id, date_trunc('milliseconds', max(ts)) AS last_seen FROM heartbeats GROUP BY task_id HAVING arg_max(status, ts) = 'running' "
-    "AND date_trunc('milliseconds', max(ts)) + INTERVAL '300' SECOND <= (SELECT max(ts) - INTERVAL '1' MINUTE FROM heartbeats)",
+    "WITH b AS (SELECT *, lag(ts) OVER (PARTITION BY task_id ORDER BY ts) AS before FROM heartbeats), s AS (SELECT *, sum(CASE WHEN "
+    "before IS NULL OR ts > before + INTERVAL '300' SECOND THEN 1 ELSE 0 END) OVER (PARTITION BY task_id ORDER BY ts) AS n FROM b) "
+    "SELECT task_id, max(ts) AS last_seen FROM s GROUP BY task_id, n HAVING arg_max(status, ts) = 'running' "
+    "AND max(ts) + INTERVAL '300' SECOND <= (SELECT max(ts) - INTERVAL '1' MINUTE FROM heartbeats)",
 )
 
 
 def _live_progress(c: Context) -> DataFrame:
-    deltas = streams.drain(streams.progress_deltas(c.command("task_changes", live=True)))
-    return streams.session_progress_stream(deltas)
+    return streams.session_progress_stream(_notices(c, streams.progress_delta_stream, "task_changes"))
 
 
 _add(

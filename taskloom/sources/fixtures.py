@@ -488,7 +488,7 @@ class _Driver:
             _LINE_ORDER.split(", "),
             "step",
             keys=["l_orderkey"],
-            bucket=[F.col("l_linenumber"), F.shiftright("l_partkey", 8)],
+            bucket=[F.col("l_linenumber"), F.shiftright("l_partkey", 16)],
         )
 
     def numbered_orders(self) -> DataFrame:

@@ -16,7 +16,8 @@ def load_tables(spark: SparkSession, directory: str) -> Tables:
 
 
 def _scan(spark: SparkSession, path: str, name: str):
-    return lambda: spark.read.schema(SCHEMAS[name]).parquet(path)
+    reader = spark.read.schema(SCHEMAS[name]) if name in SCHEMAS else spark.read
+    return lambda: reader.parquet(path)
 
 
 def _manifests(spark: SparkSession, directory: str) -> DataFrame | None:
@@ -45,23 +46,30 @@ def committed_versions(spark: SparkSession, directory: str) -> tuple[int, dict[s
 
 
 def write_snapshot(
-    spark: SparkSession, directory: str, batch_id: int, changed: dict[str, DataFrame], partition_by: dict[str, str] | None = None
+    spark: SparkSession,
+    directory: str,
+    batch_id: int,
+    changed: dict[str, DataFrame],
+    partition_by: dict[str, str] | None = None,
+    slots: int | None = None,
 ) -> bool:
-    """Write the changed tables as version `batch_id`; unchanged tables keep the version they had.
+    """Write the changed tables as the version of `batch_id`; unchanged tables keep the version they had.
 
     The manifest is written last, so a batch is either fully visible or not at all. A batch that is already committed is
-    left alone and False is returned: repeating a micro-batch after a failure changes nothing.
+    left alone and False is returned: repeating a micro-batch after a failure changes nothing. With `slots` versions are
+    reused in turn, which bounds the space when only the writer itself reads the store.
     """
     newest, versions = committed_versions(spark, directory)
     if newest >= batch_id:
         return False
+    version = batch_id if slots is None else batch_id % slots
     for name, frame in changed.items():
         writer = frame.write.mode("overwrite")
         if partition_by and name in partition_by:
             writer = writer.partitionBy(partition_by[name])
-        writer.parquet(f"{directory}/{name}/v={batch_id}")
-        versions[name] = batch_id
-    rows = [(name, version, batch_id) for name, version in sorted(versions.items())]
+        writer.parquet(f"{directory}/{name}/v={version}")
+        versions[name] = version
+    rows = [(name, at, batch_id) for name, at in sorted(versions.items())]
     manifest = spark.createDataFrame(rows, "table_name string, version bigint, batch_id bigint")
     manifest.coalesce(1).write.mode("overwrite").json(f"{directory}/{MANIFEST}/batch={batch_id}")
     return True

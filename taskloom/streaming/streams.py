@@ -1,80 +1,103 @@
 """Live variants of the operators on Structured Streaming.
 
-Keyed state holds one status or one instant per key, never rows; everything that can be counted is left to the built-in aggregates.
+What the built-in streaming operators express (deduplication, tumbling and session windows, sums) is left to them. Notifications
+on a change of status need the status before: each micro-batch is joined to the last known status of its keys, kept as a versioned
+table, and changes inside the batch are found by a running aggregate. Neither gathers the rows of one key in one task, so a key
+that sends a third of all rows is no special case. Every micro-batch commits under its batch id and may be repeated safely.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from typing import Any
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming import StreamingQuery
 
+from ..functions.running import running
 from ..model import STALE_SECONDS, Tables
+from ..operators.delta import apply_delta
 from ..operators.embed import EmbedFunction, reembed
 from ..operators.ingest import ANSWER_CHARS, submit_results
-from ..session import scratch_path
-from ..sources.tables import read_snapshot, write_snapshot
+from ..session import scratch_path, stage
+from ..sources.tables import committed_versions, read_snapshot, write_snapshot
 
-STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-_STATUS_STATE = T.StructType([T.StructField("status", T.StringType())])
-_TIME_STATE = T.StructType([T.StructField("seen_ms", T.LongType())])
+# 2**30 microseconds, about 18 minutes: the piece of a key's history that is scanned in one window.
+_TIME_BITS = 30
 
 
-def use_state_store(spark: SparkSession) -> None:
-    """Keyed state with timers needs the RocksDB store, which also keeps large state out of the heap."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+def status_changes(batch: DataFrame, known: DataFrame | None, key: str) -> DataFrame:
+    """Rows (key, …, status, ts) whose status differs from the one before, with that `previous` status.
 
+    `known` holds the last status per key from earlier batches. Rows of a key are ordered by time.
+    """
+    timed = batch.withColumn("_us", F.unix_micros("ts"))
+    ranked = running(
+        timed, [key], ["_us", "status"], {"_prev": ("max", F.struct("_us", "status"))},
+        bucket=[F.shiftright("_us", _TIME_BITS)],
+    )
+    if known is not None:
+        ranked = ranked.join(known.select(key, F.col("status").alias("_known")), key, "left")
+    else:
+        ranked = ranked.withColumn("_known", F.lit(None).cast("string"))
+    previous = F.coalesce("_prev.status", "_known")
+    return (
+        ranked.withColumn("previous", previous)
+        .where(~F.col("status").eqNullSafe(F.col("previous")))
+        .select(*batch.columns, "previous")
+    )
 
-class _StatusChanges(StatefulProcessor):
-    """Emits every row whose status differs from the one before it, with that previous status."""
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self._last = handle.getValueState("last", _STATUS_STATE)
+def last_status(batch: DataFrame, known: DataFrame | None, key: str) -> DataFrame:
+    """The last known status per key after a batch."""
+    newest = batch.groupBy(key).agg(F.max_by("status", F.struct("ts", "status")).alias("status"))
+    return newest if known is None else apply_delta(known.select(key, "status"), newest, [key])
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        known = self._last.get()[0] if self._last.exists() else None
-        batch = pd.concat(list(rows)).sort_values("ts", kind="stable")
-        batch["previous"] = batch["status"].shift(1)
-        batch.loc[batch.index[0], "previous"] = known
-        self._last.update((batch["status"].iloc[-1],))
-        changed = batch[batch["status"] != batch["previous"].fillna("")]
-        yield changed.reset_index(drop=True)
 
-    def close(self) -> None:
-        pass
+def _available(trigger: dict[str, Any]) -> dict[str, Any]:
+    return trigger or {"availableNow": True}
 
 
-def status_changes(changes: DataFrame, key: str) -> DataFrame:
-    """Rows of a change feed (key, …, status, ts) where the status of the key changes, with `previous`."""
-    use_state_store(changes.sparkSession)
-    schema = T.StructType([*changes.schema.fields, T.StructField("previous", T.StringType())])
-    return changes.groupBy(key).transformWithStateInPandas(
-        _StatusChanges(), outputStructType=schema, outputMode="Append", timeMode="None"
-    )
+def change_stream(
+    changes: DataFrame, key: str, emit: Callable[[DataFrame], DataFrame], store: str, **trigger: Any
+) -> StreamingQuery:
+    """Write `emit(status changes)` of every micro-batch below `store`/out and keep the last status per key beside it."""
 
+    def run(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        done, _ = committed_versions(spark, f"{store}/state")
+        if done >= batch_id:
+            return
+        known = read_snapshot(spark, f"{store}/state").get("last")
+        rows = stage(batch)
+        emit(status_changes(rows, known, key)).write.mode("overwrite").parquet(f"{store}/out/batch={batch_id}")
+        write_snapshot(spark, f"{store}/state", batch_id, {"last": last_status(rows, known, key)}, slots=2)
 
-def task_ready(changes: DataFrame) -> DataFrame:
-    """A notification whenever a task becomes pending: its first row, or a change from another status."""
-    return (
-        status_changes(changes.select("task_id", "session_id", "agent_id", "status", "ts"), "task_id")
-        .where("status = 'pending'")
-        .select("task_id", "session_id", "agent_id", "ts")
-    )
+    writer = changes.writeStream.foreachBatch(run).option("checkpointLocation", f"{store}/checkpoint")
+    return writer.trigger(**_available(trigger)).start()
+
+
+def ready_notice(changed: DataFrame) -> DataFrame:
+    """A task became pending: its first row, or a change from another status."""
+    return changed.where("status = 'pending'").select("task_id", "session_id", "agent_id", "ts")
 
 
-def session_done(changes: DataFrame) -> DataFrame:
-    """A notification when an active session completes or fails; the answer is cut to 500 characters."""
-    feed = changes.select("session_id", "agent_id", "status", "final_answer", "ts")
+def done_notice(changed: DataFrame) -> DataFrame:
+    """An active session completed or failed; the answer is cut to 500 characters."""
     done = F.col("status").isin("completed", "failed") & (F.col("previous") == "active")
     answer = F.left(F.coalesce("final_answer", F.lit("")), F.lit(ANSWER_CHARS))
-    return status_changes(feed, "session_id").where(done).select(
-        "session_id", "status", "agent_id", answer.alias("final_answer"), "ts"
-    )
+    return changed.where(done).select("session_id", "status", "agent_id", answer.alias("final_answer"), "ts")
+
+
+def task_ready(changes: DataFrame, store: str, **trigger: Any) -> StreamingQuery:
+    """Notifications for tasks (task_id, session_id, agent_id, status, ts) that become ready."""
+    return change_stream(changes, "task_id", ready_notice, store, **trigger)
+
+
+def session_done(changes: DataFrame, store: str, **trigger: Any) -> StreamingQuery:
+    """Notifications for sessions (session_id, agent_id, status, final_answer, ts) that end."""
+    return change_stream(changes, "session_id", done_notice, store, **trigger)
 
 
 def approval_needed(inserts: DataFrame) -> DataFrame:
@@ -90,74 +113,47 @@ def event_log_stream(events: DataFrame, delay: str = "10 minutes", ts: str = "cr
 def throughput_stream(rows: DataFrame, ts: str, bucket: str, key: Column, delay: str = "10 minutes") -> DataFrame:
     """Counts per tumbling bucket and key, emitted when the watermark has passed the bucket; later rows are dropped."""
     counted = (
-        rows.withWatermark(ts, delay).groupBy(F.window(ts, bucket).alias("w"), key.alias("metric")).agg(F.count(F.lit(1)).alias("value"))
+        rows.withWatermark(ts, delay)
+        .groupBy(F.window(ts, bucket).alias("w"), key.alias("metric"))
+        .agg(F.count(F.lit(1)).alias("value"))
     )
     return counted.select(F.col("w.start").alias("time"), "metric", "value")
 
 
-class _Heartbeats(StatefulProcessor):
-    """Keeps the last sign of life of a running task and a timer on it."""
-
-    def __init__(self, seconds: int):
-        self._millis = seconds * 1000
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self._handle = handle
-        self._seen = handle.getValueState("seen", _TIME_STATE)
-
-    def _forget_timers(self) -> None:
-        for timer in list(self._handle.listTimers()):
-            self._handle.deleteTimer(timer if isinstance(timer, int) else timer[0])
-
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values("ts", kind="stable")
-        last = batch.iloc[-1]
-        seen = int(last["ts"].timestamp() * 1000)
-        if self._seen.exists() and self._seen.get()[0] > seen:
-            return iter(())
-        self._forget_timers()
-        self._seen.update((seen,))
-        if last["status"] == "running":
-            self._handle.registerTimer(seen + self._millis)
-        return iter(())
-
-    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        seen = self._seen.get()[0]
-        yield pd.DataFrame({"task_id": [key[0]], "last_seen": pd.to_datetime([seen], unit="ms", utc=True)})
-
-    def close(self) -> None:
-        pass
-
-
 def heartbeat_monitor(beats: DataFrame, seconds: int = STALE_SECONDS, delay: str = "1 minute") -> DataFrame:
-    """Running tasks (task_id, status, ts) that are silent for `seconds` of event time; a newer heartbeat clears them."""
-    use_state_store(beats.sparkSession)
-    schema = T.StructType([T.StructField("task_id", T.LongType()), T.StructField("last_seen", T.TimestampType())])
-    feed = beats.select("task_id", "status", "ts").withWatermark("ts", delay)
-    return feed.groupBy("task_id").transformWithStateInPandas(
-        _Heartbeats(seconds), outputStructType=schema, outputMode="Append", timeMode="EventTime"
+    """Running tasks (task_id, status, ts) that fell silent for `seconds` of event time.
+
+    Heartbeats that follow each other closely form one session window; a window that closes is a silence, and a newer heartbeat
+    before that keeps it open. A task whose last word was that it has ended is not reported.
+    """
+    quiet = (
+        beats.withWatermark("ts", delay)
+        .groupBy(F.session_window("ts", f"{seconds} seconds").alias("w"), "task_id")
+        .agg(F.max("ts").alias("last_seen"), F.max(F.struct("ts", "status")).alias("_last"))
     )
+    return quiet.where("_last.status = 'running'").select("task_id", "last_seen")
 
 
-def progress_deltas(changes: DataFrame) -> DataFrame:
-    """Per status change of a task, what it adds to the counts of its session."""
-    moved = status_changes(changes.select("task_id", "session_id", "status", "ts"), "task_id")
+def progress_deltas(changed: DataFrame) -> DataFrame:
+    """What the status changes of a batch add to the task counts of each session."""
 
     def is_in(column: str, *statuses: str) -> Column:
         return F.coalesce(F.col(column).isin(*statuses), F.lit(False)).cast("int")
 
     counts = {"completed_tasks": ("completed",), "running_tasks": ("running",), "failed_tasks": ("failed", "cancelled")}
-    return moved.select(
-        "session_id", "ts", F.col("previous").isNull().cast("int").alias("total_tasks"),
-        *[(is_in("status", *s) - is_in("previous", *s)).alias(c) for c, s in counts.items()],
+    return changed.groupBy("session_id").agg(
+        F.count_if(F.col("previous").isNull()).alias("total_tasks"),
+        *[F.sum(is_in("status", *s) - is_in("previous", *s)).alias(c) for c, s in counts.items()],
     )
 
 
-def session_progress_stream(deltas: DataFrame) -> DataFrame:
-    """Current task counts per session from the deltas. Use output mode update (or complete).
+def progress_delta_stream(changes: DataFrame, store: str, **trigger: Any) -> StreamingQuery:
+    """Deltas of the session counts from task changes (task_id, session_id, status, ts)."""
+    return change_stream(changes, "task_id", progress_deltas, store, **trigger)
 
-    The counts are sums, so rows of a hot session are added up where they arrive before they are exchanged.
-    """
+
+def session_progress_stream(deltas: DataFrame) -> DataFrame:
+    """Current task counts per session: the sum of the deltas. As a stream use output mode update or complete."""
     names = ("total_tasks", "completed_tasks", "running_tasks", "failed_tasks")
     return deltas.groupBy("session_id").agg(*[F.sum(c).alias(c) for c in names])
 
@@ -167,19 +163,19 @@ def ingest_stream(
 ) -> StreamingQuery:
     """Ingest every micro-batch into the snapshot store. A repeated batch finds its snapshot committed and does nothing."""
 
-    def ingest(batch: DataFrame, batch_id: int) -> None:
+    def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        done, _ = committed_versions(spark, store)
+        if done > batch_id:
+            return
         tables = read_snapshot(spark, store)
         result = submit_results(tables, batch, as_of(batch_id))
-        changed = {
-            name: frame for name, frame in result.tables.items() if frame is not tables[name]
-        }
-        if write_snapshot(spark, store, batch_id + 1, changed):
-            result.actions.write.mode("overwrite").parquet(f"{store}/actions/batch={batch_id}")
+        changed = {name: frame for name, frame in result.tables.items() if frame is not tables[name]}
+        result.actions.write.mode("overwrite").parquet(f"{store}/actions/batch={batch_id}")
+        write_snapshot(spark, store, batch_id + 1, changed)
 
-    return (
-        responses.writeStream.foreachBatch(ingest).option("checkpointLocation", checkpoint).trigger(**trigger or {"availableNow": True}).start()
-    )
+    writer = responses.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
+    return writer.trigger(**_available(trigger)).start()
 
 
 def reembed_stream(
@@ -189,31 +185,28 @@ def reembed_stream(
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        tables = read_snapshot(spark, store)
-        result = reembed(tables, embed, as_of(batch_id))
-        write_snapshot(
-            spark, store, batch_id + 1, {"memory": result.tables.memory, "tool_registry": result.tables.tool_registry}
-        )
-
-    return ticks.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(**trigger or {"availableNow": True}).start()
+        done, _ = committed_versions(spark, store)
+        if done > batch_id:
+            return
+        tables = reembed(read_snapshot(spark, store), embed, as_of(batch_id)).tables
+        write_snapshot(spark, store, batch_id + 1, {"memory": tables.memory, "tool_registry": tables.tool_registry})
 
+    writer = ticks.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
+    return writer.trigger(**_available(trigger)).start()
 
-def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Run a stream over everything there is and return what it emitted.
 
-    Output goes to files in the shared folder. In update mode the last value of a key wins, per micro-batch.
-    """
+def drain(stream: DataFrame) -> DataFrame:
+    """Run an append stream over everything there is and return what it emitted, by way of files in the shared folder."""
     spark = stream.sparkSession
     out, checkpoint = scratch_path(spark, "drain"), scratch_path(spark, "drain-state")
     writer = stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True)
-    if mode == "append":
-        writer.outputMode("append").format("parquet").option("path", out).start().awaitTermination()
-    else:
-        def save(batch: DataFrame, batch_id: int) -> None:
-            batch.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{out}/b={batch_id}")
+    writer.outputMode("append").format("parquet").option("path", out).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(out)
+
 
-        writer.outputMode(mode).foreachBatch(save).start().awaitTermination()
-    return spark.read.schema(stream.schema if mode == "append" else stream.schema.add("batch_id", "int")).parquet(out)
+def emitted(spark: SparkSession, store: str) -> DataFrame:
+    """Everything a change stream has written so far."""
+    return spark.read.parquet(f"{store}/out").drop("batch")
 
 
 def tables_to_store(t: Tables, spark: SparkSession, store: str) -> None:
