@@ -308,7 +308,7 @@ class Tables(Mapping):
     def __len__(self) -> int:
         return len(self._sources)
 
-    def replace(self, **frames: DataFrame) -> Tables:
+    def replace(self, **frames: DataFrame | Callable[[], DataFrame]) -> Tables:
         """The same bundle with some frames exchanged."""
         merged: dict[str, DataFrame | Callable[[], DataFrame]] = {**self._sources, **self._frames, **frames}
         return Tables(merged)

@@ -10,8 +10,7 @@ Responses address tasks that exist when the batch starts.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-from functools import reduce
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -46,16 +45,6 @@ _CLASSIFIED = {
 }
 
 
-@dataclass(frozen=True)
-class Ingested:
-    """`pending_sql` lists sql tool calls that passed the checks and whose result the caller still has to supply."""
-
-    actions: DataFrame
-    rejects: DataFrame
-    pending_sql: DataFrame
-    tables: Tables
-
-
 def parse_responses(responses: DataFrame) -> DataFrame:
     """Add `action` and its fields. Text that is not JSON finishes the task with the text as the answer."""
     text = F.col("response")
@@ -363,6 +352,123 @@ def _actions(c: DataFrame, children: DataFrame, approvals: DataFrame) -> DataFra
     )
 
 
+class Ingested:
+    """The effect of a batch. Every part is planned when it is first asked for.
+
+    `actions` has one row per accepted response, `rejects` the refused ones, and `pending_sql` the sql tool calls that passed the
+    checks and whose result the caller still has to supply. `tables` are the tables after the batch.
+    """
+
+    def __init__(self, t: Tables, classified: DataFrame, as_of: str | Column):
+        self._t = t
+        self._classified = classified
+        self._as_of = as_of
+        self._now = instant(as_of)
+        self._accepted = classified.where(F.col("reject").isNull())
+
+    @cached_property
+    def actions(self) -> DataFrame:
+        return _actions(self._accepted, self._children, self._approvals)
+
+    @cached_property
+    def rejects(self) -> DataFrame:
+        return self._classified.where(F.col("reject").isNotNull()).select("seq", "task_id", F.col("reject").alias("reason"))
+
+    @cached_property
+    def pending_sql(self) -> DataFrame:
+        return self._accepted.where(
+            (F.col("kind") == "tool_sql") & F.col("sql_error").isNull() & F.col("sql_output").isNull()
+        ).select("seq", "task_id", F.col("tool.tool_id").alias("tool_id"), F.col("args").alias("input"), "sql_text")
+
+    @cached_property
+    def tables(self) -> Tables:
+        return self._t.replace(
+            tasks=self._tasks,
+            task_dependencies=self._dependencies,
+            execution_logs=self._logs,
+            session_participants=self._participants,
+            agent_messages=self._messages,
+            human_approvals=self._human_approvals,
+            tool_executions=self._executions,
+            sessions=self._sessions,
+            agent_events=self._events,
+        )
+
+    @cached_property
+    def _moves(self) -> DataFrame:
+        return stage(_transitions(self._accepted))
+
+    @cached_property
+    def _closed(self) -> DataFrame:
+        return close_sessions(self._t, self._moves)
+
+    @cached_property
+    def _children(self) -> DataFrame:
+        return assign_ids(self._accepted.where("kind = 'delegate'"), self._t.tasks, "task_id", "seq", out="child_id")
+
+    @cached_property
+    def _approvals(self) -> DataFrame:
+        asked = self._accepted.where("kind = 'request_approval'")
+        return assign_ids(asked, self._t.human_approvals, "approval_id", "seq")
+
+    def _appended(self, table: str, rows: DataFrame) -> DataFrame:
+        return self._t[table].unionByName(typed(rows, table))
+
+    def _tasks(self) -> DataFrame:
+        released = release_parents(self._t, self._moves)
+        new = self._children.select(
+            F.col("child_id").alias("task_id"), "session_id", F.col("to_agent_id").alias("agent_id"),
+            F.lit("pending").alias("status"), F.col("sub_task").alias("input"), F.lit(0).alias("retry_count"),
+            self._now.alias("created_at"), self._now.alias("updated_at"),
+        )
+        return _tasks_after(self._t, self._accepted, released, self._now).unionByName(typed(new, "tasks"))
+
+    def _dependencies(self) -> DataFrame:
+        edges = self._children.select("seq", "task_id", F.col("child_id").alias("depends_on_task_id"))
+        return self._appended("task_dependencies", assign_ids(edges, self._t.task_dependencies, "dependency_id", "seq"))
+
+    def _logs(self) -> DataFrame:
+        logs = self._t.execution_logs
+        return logs.unionByName(log_steps(logs, _note_rows(self._accepted), self._as_of))
+
+    def _participants(self) -> DataFrame:
+        members = self._children.select("session_id", F.col("to_agent_id").alias("agent_id")).distinct()
+        rows = typed(members.withColumn("joined_at", self._now), "session_participants")
+        return apply_delta(self._t.session_participants, rows, ["session_id", "agent_id"], "ignore")
+
+    def _messages(self) -> DataFrame:
+        sent = deliver_to_parent(self._accepted).unionByName(_instructions(self._children))
+        numbered = assign_ids(sent, self._t.agent_messages, "message_id", "seq")
+        return self._appended("agent_messages", numbered.withColumn("created_at", self._now))
+
+    def _human_approvals(self) -> DataFrame:
+        asked = self._approvals.select(
+            "approval_id", "task_id", "session_id", F.col("agent_id").alias("requested_by_agent_id"), "reason",
+            F.lit("pending").alias("status"), self._now.alias("created_at"),
+        )
+        return self._appended("human_approvals", asked)
+
+    def _executions(self) -> DataFrame:
+        answered = F.col("sql_error").isNotNull() | F.col("sql_output").isNotNull()
+        ran = self._accepted.where((F.col("kind") == "tool_sql") & answered).select(
+            "seq", "task_id", F.col("tool.tool_id").alias("tool_id"), F.col("args").alias("input"),
+            F.col("sql_output").alias("output"), F.col("sql_error").alias("error"),
+        )
+        rows = assign_ids(ran, self._t.tool_executions, "exec_id", "seq").withColumn("executed_at", self._now)
+        return self._appended("tool_executions", rows)
+
+    def _sessions(self) -> DataFrame:
+        endings = self._closed.groupBy("session_id").agg(F.max(F.struct("seq", "answer")).alias("_end")).select(
+            "session_id", F.lit("completed").alias("status"), F.col("_end.answer").alias("final_answer"),
+            self._now.alias("completed_at"),
+        )
+        return patch(self._t.sessions, endings, "session_id")
+
+    def _events(self) -> DataFrame:
+        commands = _event_commands(self._accepted, self._closed, self._children, self._approvals)
+        return self._t.agent_events.unionByName(log_events(self._t.agent_events, commands, self._as_of))
+
+
 def submit_results(
     t: Tables, responses: DataFrame, as_of: str | Column, outcomes: DataFrame | None = None
 ) -> Ingested:
@@ -371,63 +477,7 @@ def submit_results(
     `outcomes` (seq, output, error) are results of sql tool calls the caller has already run. Results that come later go through
     `ingest_sql_tool_results`.
     """
-    now = instant(as_of)
-    classified = stage(classify(t, responses, outcomes))
-    c = classified.where(F.col("reject").isNull())
-    rejects = classified.where(F.col("reject").isNotNull()).select("seq", "task_id", F.col("reject").alias("reason"))
-    moves = stage(_transitions(c))
-    closed = close_sessions(t, moves)
-    released = release_parents(t, moves)
-
-    children = assign_ids(c.where("kind = 'delegate'"), t.tasks, "task_id", "seq", out="child_id")
-    approvals = assign_ids(c.where("kind = 'request_approval'"), t.human_approvals, "approval_id", "seq")
-
-    new_tasks = children.select(
-        F.col("child_id").alias("task_id"), "session_id", F.col("to_agent_id").alias("agent_id"),
-        F.lit("pending").alias("status"), F.col("sub_task").alias("input"), F.lit(0).alias("retry_count"),
-        now.alias("created_at"), now.alias("updated_at"),
-    )
-    edges = assign_ids(
-        children.select("seq", "task_id", F.col("child_id").alias("depends_on_task_id")),
-        t.task_dependencies, "dependency_id", "seq",
-    )
-    members = children.select("session_id", F.col("to_agent_id").alias("agent_id")).distinct()
-    messages = assign_ids(
-        deliver_to_parent(c).unionByName(_instructions(children)), t.agent_messages, "message_id", "seq"
-    ).withColumn("created_at", now)
-    asked = approvals.select(
-        "approval_id", "task_id", "session_id", F.col("agent_id").alias("requested_by_agent_id"), "reason",
-        F.lit("pending").alias("status"), now.alias("created_at"),
-    )
-    ran = c.where((F.col("kind") == "tool_sql") & (F.col("sql_error").isNotNull() | F.col("sql_output").isNotNull()))
-    executions = assign_ids(
-        ran.select("seq", "task_id", F.col("tool.tool_id").alias("tool_id"), F.col("args").alias("input"),
-                   F.col("sql_output").alias("output"), F.col("sql_error").alias("error")),
-        t.tool_executions, "exec_id", "seq",
-    ).withColumn("executed_at", now)
-    pending_sql = c.where(
-        (F.col("kind") == "tool_sql") & F.col("sql_error").isNull() & F.col("sql_output").isNull()
-    ).select("seq", "task_id", F.col("tool.tool_id").alias("tool_id"), F.col("args").alias("input"), "sql_text")
-    endings = closed.groupBy("session_id").agg(F.max(F.struct("seq", "answer")).alias("_end")).select(
-        "session_id", F.lit("completed").alias("status"), F.col("_end.answer").alias("final_answer"),
-        now.alias("completed_at"),
-    )
-    commands = _event_commands(c, closed, children, approvals)
-    tables = t.replace(
-        tasks=_tasks_after(t, c, released, now).unionByName(typed(new_tasks, "tasks")),
-        task_dependencies=t.task_dependencies.unionByName(typed(edges, "task_dependencies")),
-        execution_logs=t.execution_logs.unionByName(log_steps(t.execution_logs, _note_rows(c), as_of)),
-        session_participants=apply_delta(
-            t.session_participants, typed(members.withColumn("joined_at", now), "session_participants"),
-            ["session_id", "agent_id"], "ignore",
-        ),
-        agent_messages=t.agent_messages.unionByName(typed(messages, "agent_messages")),
-        human_approvals=t.human_approvals.unionByName(typed(asked, "human_approvals")),
-        tool_executions=t.tool_executions.unionByName(typed(executions, "tool_executions")),
-        sessions=patch(t.sessions, endings, "session_id"),
-        agent_events=t.agent_events.unionByName(log_events(t.agent_events, commands, as_of)),
-    )
-    return Ingested(_actions(c, children, approvals), rejects, pending_sql, tables)
+    return Ingested(t, stage(classify(t, responses, outcomes)), as_of)
 
 
 def ingest_sql_tool_results(t: Tables, outcomes: DataFrame, as_of: str | Column) -> Tables:

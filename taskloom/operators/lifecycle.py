@@ -71,10 +71,10 @@ def enqueue(t: Tables, requests: DataFrame, p: Principal, as_of: str | Column) -
         F.lit(0).alias("retry_count"), now.alias("created_at"), now.alias("updated_at"),
     )
     tables = t.replace(
-        sessions=t.sessions.unionByName(typed(sessions, "sessions")),
-        session_participants=t.session_participants.unionByName(typed(members, "session_participants")),
-        tasks=t.tasks.unionByName(typed(rows, "tasks")),
-        agent_events=t.agent_events.unionByName(log_events(t.agent_events, starts, as_of)),
+        sessions=lambda: t.sessions.unionByName(typed(sessions, "sessions")),
+        session_participants=lambda: t.session_participants.unionByName(typed(members, "session_participants")),
+        tasks=lambda: t.tasks.unionByName(typed(rows, "tasks")),
+        agent_events=lambda: t.agent_events.unionByName(log_events(t.agent_events, starts, as_of)),
     )
     return Outcome(tasks.select("request_id", "task_id", "session_id", "agent_id"), rejects, tables)
 
@@ -125,9 +125,9 @@ def resolve_approvals(t: Tables, decisions: DataFrame, p: Principal, as_of: str
         json_object(approval_id=F.col("approval_id"), status=F.col("status")).alias("payload"),
     )
     tables = t.replace(
-        human_approvals=patch(t.human_approvals, resolved, "approval_id"),
+        human_approvals=lambda: patch(t.human_approvals, resolved, "approval_id"),
         tasks=tasks,
-        agent_events=t.agent_events.unionByName(log_events(t.agent_events, commands, as_of)),
+        agent_events=lambda: t.agent_events.unionByName(log_events(t.agent_events, commands, as_of)),
     )
     return Outcome(accepted, rejects, tables)
 

@@ -50,15 +50,20 @@ def history_segment(t: Tables) -> DataFrame:
     )
 
 
-def history_extent(t: Tables) -> DataFrame:
-    """Messages and characters of history every task sees, by running totals over its session."""
+def _with_extent(tasks: DataFrame) -> DataFrame:
     left = (F.col("status") == "completed") & F.col("output").isNotNull()
+    none = F.lit(0).cast("long")
     measures = {
-        "history_messages": ("sum", F.when(left, F.lit(2)).otherwise(F.lit(0)).cast("long")),
-        "history_chars": ("sum", F.when(left, _length("input") + _length("output")).otherwise(F.lit(0).cast("long"))),
+        "history_messages": ("sum", F.when(left, F.lit(2).cast("long")).otherwise(none)),
+        "history_chars": ("sum", F.when(left, F.col("input_chars") + _length("output")).otherwise(none)),
     }
-    rows = t.tasks.select("task_id", "session_id", "status", "input", "output")
-    return running(rows, ["session_id"], ["task_id"], measures).select("task_id", *measures)
+    return running(tasks, ["session_id"], ["task_id"], measures)
+
+
+def history_extent(t: Tables) -> DataFrame:
+    """Messages and characters of history every task sees, by running totals over its session."""
+    rows = t.tasks.select("task_id", "session_id", "status", _length("input").alias("input_chars"), "output")
+    return _with_extent(rows).select("task_id", "history_messages", "history_chars")
 
 
 def subagent_segment(t: Tables) -> DataFrame:
@@ -97,29 +102,31 @@ def system_prompts(t: Tables) -> DataFrame:
     )
 
 
-def build_messages(t: Tables) -> DataFrame:
-    """One row per task: what its prompt consists of and how long each part is."""
+def prompt_sizes(t: Tables) -> DataFrame:
+    """`build_messages` with the state of the task and its assistant steps, from one pass over tasks and one over logs."""
     none = F.lit(0).cast("long")
     results = subagent_segment(t).groupBy("agent_id", "session_id").agg(
         F.count(F.lit(1)).alias("result_messages"), F.sum(_length("content")).alias("result_chars")
     )
-    # Count logs per task before the join; the opening message is decided from the counts, without an anti-join.
+    # Logs are counted per task before the join; the counts also tell whether the opening message is needed.
     spoken = t.execution_logs.where(F.col("role").isin("user", "assistant", "tool"))
     logs = spoken.groupBy("task_id").agg(
         F.count(F.lit(1)).alias("logged"),
         F.sum(_length("content")).alias("logged_chars"),
         F.count_if(F.col("role") == "user").alias("asked"),
+        F.count_if(F.col("role") == "assistant").alias("taken"),
     )
     opening = F.coalesce("asked", none) == 0
-    tasks = t.tasks.select("task_id", "session_id", "agent_id", _length("input").alias("input_chars"))
+    tasks = t.tasks.select("task_id", "session_id", "agent_id", "status", "output", _length("input").alias("input_chars"))
     joined = (
-        tasks.join(history_extent(t), "task_id")
+        _with_extent(tasks)
         .join(logs, "task_id", "left")
         .join(results, ["agent_id", "session_id"], "left")
         .join(system_prompts(t), "agent_id")
     )
     parts = joined.select(
-        "task_id", "session_id", "agent_id", "system_prompt", "history_messages", "history_chars",
+        "task_id", "session_id", "agent_id", "status", "output", F.coalesce("taken", none).alias("steps"),
+        "system_prompt", "history_messages", "history_chars",
         F.coalesce("result_messages", none).alias("result_messages"),
         F.coalesce("result_chars", none).alias("result_chars"),
         (F.coalesce("logged", none) + opening.cast("long")).alias("log_messages"),
@@ -134,6 +141,11 @@ def build_messages(t: Tables) -> DataFrame:
     )
 
 
+def build_messages(t: Tables) -> DataFrame:
+    """One row per task: what its prompt consists of and how long each part is."""
+    return prompt_sizes(t).drop("status", "output", "steps")
+
+
 def prompt_rows(t: Tables, task_ids: Sequence[int]) -> DataFrame:
     """The written-out prompts of the named tasks: (task_id, part, position, role, content), ordered.
 
