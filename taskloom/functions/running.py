@@ -1,7 +1,8 @@
 """Running aggregates and dense numbering that stay distributed when one group holds most of the rows.
 
-A plain window over a hot key sorts the whole group in one task. Here rows are cut into buckets that are monotone in the
-order; each bucket is scanned on its own, the (few) bucket totals are scanned next, and the two are added. With a unique
+A plain window over a hot key sorts the whole group in one task. Keys with more than HOT_ROWS rows are therefore found first, by
+a count that is combined before the exchange. Their rows are cut into buckets that are monotone in the order: each bucket is
+scanned on its own, the bucket totals are scanned next, and the two are added. All other keys take the plain window. With a unique
 integer order key a bucket of 2**BUCKET_BITS key values can never hold more rows than that.
 """
 
@@ -13,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BUCKET_BITS = 20
+HOT_ROWS = 1 << 20
 
 
 def id_bucket(order: str, bits: int | None = None) -> Column:
@@ -45,26 +47,34 @@ def running(
     names = [f"_bucket{levels}_{i}" for i in range(len(buckets))]
     kinds = {out: kind for out, (kind, _) in measures.items()}
     inputs = {out: f"_m{levels}_{out}" for out in kinds}
+    carried = {out: f"_b{levels}_{out}" for out in kinds}
     agg = {"sum": F.sum, "max": F.max}
-
-    rows = df.withColumns({**dict(zip(names, buckets)), **{inputs[out]: expr for out, (_, expr) in measures.items()}})
     before = Window.unboundedPreceding, -1
-    inside = Window.partitionBy(*keys, *names).orderBy(*order).rowsBetween(*before)
-    totals = rows.groupBy(*keys, *names).agg(*[agg[k](inputs[out]).alias(f"_b{levels}_{out}") for out, k in kinds.items()])
-    carried = {f"_b{levels}_{out}": (k, F.col(f"_b{levels}_{out}")) for out, k in kinds.items()}
+
+    rows = df
+    if keys:
+        # There are at most (rows / HOT_ROWS) hot keys, which bounds what is broadcast.
+        hot = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > HOT_ROWS)
+        rows = rows.join(F.broadcast(hot.select(*keys, F.lit(True).alias(f"_hot{levels}"))), keys, "left")
+        buckets = [F.when(F.col(f"_hot{levels}"), b) for b in buckets]
+    rows = rows.withColumns({**dict(zip(names, buckets)), **{inputs[out]: expr for out, (_, expr) in measures.items()}})
+
+    cut = rows.where(F.col(f"_hot{levels}")) if keys else rows
+    totals = cut.groupBy(*keys, *names).agg(*[agg[k](inputs[out]).alias(carried[out]) for out, k in kinds.items()])
     if levels > 1 and bucket is None:
-        renamed = {f"_o{name}": measure for name, measure in carried.items()}
-        scanned_totals = running(totals, keys, names, renamed, levels=levels - 1)
-        offsets = scanned_totals.select(*keys, *names, *[F.col(f"_o{name}").alias(name) for name in carried])
+        again = {f"_o{carried[out]}": (k, F.col(carried[out])) for out, k in kinds.items()}
+        coarse = running(totals, keys, names, again, levels=levels - 1)
+        offsets = coarse.select(*keys, *names, *[F.col(f"_o{c}").alias(c) for c in carried.values()])
     else:
         across = Window.partitionBy(*keys).orderBy(*names).rowsBetween(*before)
-        offsets = totals.select(*keys, *names, *[agg[k](c).over(across).alias(name) for name, (k, c) in carried.items()])
+        offsets = totals.select(*keys, *names, *[agg[k](carried[out]).over(across).alias(carried[out]) for out, k in kinds.items()])
+
+    inside = Window.partitionBy(*keys, *names).orderBy(*order).rowsBetween(*before)
     scanned = rows.withColumns({f"_l{levels}_{out}": agg[k](inputs[out]).over(inside) for out, k in kinds.items()})
-    # Every row has a bucket total; an outer join lets Catalyst drop the whole branch where the result is not used.
+    # An outer join: keys that are not hot have no offset, and Catalyst drops the branch where the result is not used.
     joined = scanned.join(offsets, [*keys, *names], "left")
     return joined.select(
-        *df.columns,
-        *[_combine(k, F.col(f"_l{levels}_{out}"), F.col(f"_b{levels}_{out}")).alias(out) for out, k in kinds.items()],
+        *df.columns, *[_combine(k, F.col(f"_l{levels}_{out}"), F.col(carried[out])).alias(out) for out, k in kinds.items()]
     )
 
 
