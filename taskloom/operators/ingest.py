@@ -197,39 +197,71 @@ def close_sessions(t: Tables, moves: DataFrame) -> DataFrame:
     )
 
 
+def _live_at(moves: DataFrame, lookups: DataFrame, t: Tables) -> DataFrame:
+    """Distinct (task_id, seq) with whether the task is live right after that response."""
+    points = (
+        moves.select("task_id", "seq", "ends")
+        .unionByName(lookups.select("task_id", "seq", F.lit(None).cast("boolean").alias("ends")).distinct())
+        .groupBy("task_id", "seq")
+        .agg(F.max("ends").alias("ends"))
+    )
+    before = running(points, ["task_id"], ["seq"], {"_prev": ("max", F.when(F.col("ends").isNotNull(), F.struct("seq", "ends")))})
+    states = t.tasks.select("task_id", F.col("status").isin(*TERMINAL).alias("_ended"))
+    return before.join(states, "task_id").select("task_id", "seq", (~F.coalesce("ends", "_prev.ends", "_ended")).alias("live"))
+
+
 def release_parents(t: Tables, moves: DataFrame) -> DataFrame:
-    """Parents that end the batch as pending: waiting, and at some answer of a child no prerequisite was live."""
+    """Parents that end the batch as pending: waiting, and at some answer of a child no prerequisite was live.
+
+    The live prerequisites of a parent over time are a running sum of the changes of its prerequisites. Where a prerequisite
+    changes more often than the parent gets answers, its state is looked up at the answers instead, so the rows per edge are
+    the smaller of the two counts and a busy prerequisite shared by many parents does not multiply.
+    """
     answers = moves.where((F.col("kind") == "finish") & F.col("parent.parent_task_id").isNotNull()).select(
         F.col("parent.parent_task_id").alias("task_id"), "seq"
     )
-    parents = answers.select("task_id").distinct()
-    edges = t.task_dependencies.join(parents, "task_id", "left_semi").select("task_id", "depends_on_task_id")
+    asked = answers.groupBy("task_id").agg(F.count(F.lit(1)).alias("_answers"))
+    flips = moves.where("own <> 0").select(F.col("task_id").alias("depends_on_task_id"), "seq", "own")
+    often = flips.groupBy("depends_on_task_id").agg(F.count(F.lit(1)).alias("_flips"))
+    edges = (
+        t.task_dependencies.select("task_id", "depends_on_task_id")
+        .join(asked, "task_id")
+        .join(often, "depends_on_task_id", "left")
+        .select("task_id", "depends_on_task_id", (F.coalesce("_flips", F.lit(0)) > F.col("_answers")).alias("busy"))
+    )
+    steady, busy = edges.where(~F.col("busy")), edges.where("busy")
 
     live = t.tasks.where(~F.col("status").isin(*TERMINAL)).select(F.col("task_id").alias("depends_on_task_id"))
-    base = edges.join(live, "depends_on_task_id").groupBy("task_id").agg(F.count(F.lit(1)).alias("_base"))
-
-    by_dependency = (
-        moves.where("own <> 0")
-        .select(F.col("task_id").alias("depends_on_task_id"), "seq", "own")
-        .join(edges, "depends_on_task_id")
-        .select("task_id", "seq", F.col("own").alias("change"), F.lit(0).alias("asks"))
+    base = steady.join(live, "depends_on_task_id").groupBy("task_id").agg(F.count(F.lit(1)).alias("_base"))
+    none = F.lit(0)
+    by_dependency = flips.join(steady, "depends_on_task_id").select(
+        "task_id", "seq", F.col("own").alias("change"), none.alias("asks")
     )
-    by_delegation = moves.where("kind = 'delegate'").select("task_id", "seq", F.lit(1).alias("change"), F.lit(0).alias("asks"))
-    by_answer = answers.select("task_id", "seq", F.lit(0).alias("change"), F.lit(1).alias("asks"))
+    delegated = moves.where("kind = 'delegate'").join(asked, "task_id", "left_semi")
+    by_delegation = delegated.select("task_id", "seq", F.lit(1).alias("change"), none.alias("asks"))
+    by_answer = answers.select("task_id", "seq", none.alias("change"), F.lit(1).alias("asks"))
     points = (
-        by_dependency.unionByName(by_delegation.join(parents, "task_id", "left_semi"))
+        by_dependency.unionByName(by_delegation)
         .unionByName(by_answer)
         .groupBy("task_id", "seq")
         .agg(F.sum("change").alias("change"), F.max("asks").alias("asks"))
     )
-    counted = running(points, ["task_id"], ["seq"], {"_sum": ("sum", F.col("change"))})
+    counted = running(points, ["task_id"], ["seq"], {"_sum": ("sum", F.col("change"))}).where("asks = 1")
+
+    lookups = answers.join(busy, "task_id").select(F.col("depends_on_task_id").alias("task_id"), "seq", F.col("task_id").alias("_parent"))
+    blocked = (
+        lookups.join(_live_at(moves, lookups, t), ["task_id", "seq"])
+        .where("live")
+        .select(F.col("_parent").alias("task_id"), "seq")
+        .distinct()
+    )
     last = moves.groupBy("task_id").agg(F.max(F.struct("seq", "new_status")).alias("_last"))
     states = t.tasks.select("task_id", F.col("status").alias("_status"))
-    free = F.coalesce("_base", F.lit(0)) + F.col("_sum") + F.col("change") == 0
+    free = F.coalesce("_base", none) + F.col("_sum") + F.col("change") == 0
     later = F.coalesce(F.col("seq") > F.col("_last.seq"), F.lit(True))
     waiting = F.coalesce("_last.new_status", "_status") == "waiting"
     return (
-        counted.where("asks = 1")
+        counted.join(blocked, ["task_id", "seq"], "left_anti")
         .join(base, "task_id", "left")
         .join(last, "task_id", "left")
         .join(states, "task_id")

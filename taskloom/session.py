@@ -16,6 +16,8 @@ RUNTIME_CONF = {
     # A hot join key is split at run time, also where that costs one more exchange.
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Session windows of one key are merged where the rows arrive, before they are exchanged.
+    "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
     # Duplicate object keys are legal JSON: the last one wins.
     "spark.sql.variant.allowDuplicateKeys": "true",
 }
