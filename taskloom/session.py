@@ -74,3 +74,12 @@ def stage(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_dir(spark))
     return df.checkpoint(eager=True)
+
+
+def settle(tables, *names: str):
+    """The bundle with the named tables (all by default) materialised.
+
+    Operators chain lazily, and each reads its input tables several times: settle, or write a snapshot, between the steps of a
+    longer chain.
+    """
+    return tables.replace(**{name: stage(tables[name]) for name in names or tables})

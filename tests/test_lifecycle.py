@@ -10,6 +10,7 @@ from taskloom.operators import views
 from taskloom.operators.ingest import submit_results
 from taskloom.operators.lifecycle import enqueue, latest_tasks, message_trace, recover_stale, resolve_approvals, task_graph
 from taskloom.operators.quality import validate_tables
+from taskloom.session import settle
 
 REQUEST = "request_id long, agent_role string, task string, session_id long"
 RESPONSE = "seq long, task_id long, response string, is_final boolean"
@@ -87,9 +88,10 @@ def test_delegation_and_approval_scenario(spark):
     """An orchestrator delegates, the executor asks for approval, gets it, finishes, and the parent goes on."""
     t = bundle(spark, **agents(2))
     t = enqueue(t, spark.createDataFrame([(1, "a1", "brief me", None)], REQUEST), OPERATOR, NOW).tables
+    changed = ("tasks", "sessions", "execution_logs", "agent_messages", "task_dependencies", "agent_events", "human_approvals")
 
     def submit(tables, seq, task_id, response):
-        return submit_results(tables, spark.createDataFrame([(seq, task_id, response, False)], RESPONSE), NOW)
+        return submit_results(settle(tables, *changed), spark.createDataFrame([(seq, task_id, response, False)], RESPONSE), NOW)
 
     got = submit(t, 1, 1, '{"action":"delegate","to_agent":"a2","task":"find it"}')
     assert rows(got.actions, "action", "pending_task_ids") == [("wait_tasks", [2])]

@@ -43,9 +43,9 @@ def test_top_k(spark, monkeypatch, broadcast_components):
 
 def test_declared_width_and_missing_model(spark):
     memory = [
-        {"memory_id": 1, "agent_id": 1, "content": "a", "embedding": [1.0, 0, 0, 0], "embedding_dims": 4, "created_at": T0},
-        {"memory_id": 2, "agent_id": 1, "content": "b", "embedding": [1.0, 0], "embedding_dims": 4, "created_at": T0},
-        {"memory_id": 3, "agent_id": 1, "content": "c", "embedding": [1.0, 0, 0, 0], "embedding_dims": 2, "created_at": T0},
+        {"memory_id": 1, "agent_id": 1, "content": "a", "embedding": [1.0, 0.0, 0.0, 0.0], "embedding_dims": 4, "created_at": T0},
+        {"memory_id": 2, "agent_id": 1, "content": "b", "embedding": [1.0, 0.0], "embedding_dims": 4, "created_at": T0},
+        {"memory_id": 3, "agent_id": 1, "content": "c", "embedding": [1.0, 0.0, 0.0, 0.0], "embedding_dims": 2, "created_at": T0},
         {"memory_id": 4, "agent_id": 1, "content": "d", "embedding_dims": 4, "created_at": T0},
     ]
     queries = spark.createDataFrame([(1, 1, [1.0, 0.0, 0.0, 0.0])], "query_id long, agent_id long, query_vec array<double>")
