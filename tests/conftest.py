@@ -12,7 +12,7 @@ SMALL = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="session")
 def spark():
-    session = build_session("local[8]", partitions=4)
+    session = build_session("local[8]", partitions=4, **{"spark.default.parallelism": "2"})
     session.sparkContext.setLogLevel("ERROR")
     return session
 
