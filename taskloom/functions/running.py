@@ -22,6 +22,11 @@ def id_bucket(order: str, bits: int | None = None) -> Column:
     return F.shiftright(F.col(order).cast("long"), BUCKET_BITS if bits is None else bits)
 
 
+def may_be_hot(rows: int) -> bool:
+    """Whether a frame of that many rows can have a hot key at all."""
+    return rows > HOT_ROWS
+
+
 def _combine(kind: str, local: Column, before: Column) -> Column:
     if kind == "sum":
         return F.coalesce(local, F.lit(0)) + F.coalesce(before, F.lit(0))
@@ -35,12 +40,14 @@ def running(
     measures: dict[str, tuple[str, Column]],
     bucket: Sequence[Column] | None = None,
     levels: int = 2,
+    split: bool = True,
 ) -> DataFrame:
     """Add, per key and in `order`, the aggregate of each measure over the rows strictly before the current one.
 
     `measures` maps an output column to ("sum" | "max", expression). `keys` must not be null and `order` must be unique
     within a key. By default the (single, integer) order key is bucketed, and the buckets again: with two levels no window
     holds more than 2**BUCKET_BITS rows for ids below 2**60. Otherwise `bucket` lists expressions monotone in `order`.
+    `split=False` is for callers that have counted the rows and know that no key can be hot (`may_be_hot`).
     """
     keys = list(keys)
     buckets = list(bucket) if bucket is not None else [id_bucket(order[0])]
@@ -50,6 +57,12 @@ def running(
     carried = {out: f"_b{levels}_{out}" for out in kinds}
     agg = {"sum": F.sum, "max": F.max}
     before = Window.unboundedPreceding, -1
+    if not split:
+        plain = Window.partitionBy(*keys).orderBy(*order).rowsBetween(*before)
+        zero = {"sum": F.lit(0), "max": F.lit(None)}
+        return df.select(
+            *df.columns, *[F.coalesce(agg[k](expr).over(plain), zero[k]).alias(out) for out, (k, expr) in measures.items()]
+        )
 
     rows = df
     if keys:
@@ -84,8 +97,9 @@ def numbered(
     out: str,
     keys: Sequence[str] = (),
     bucket: Sequence[Column] | None = None,
+    split: bool = True,
 ) -> DataFrame:
     """Add 1, 2, 3 … per key in `order`, without sorting a whole key in one task."""
-    return running(df, keys, order, {out: ("sum", F.lit(1))}, bucket).withColumn(
+    return running(df, keys, order, {out: ("sum", F.lit(1))}, bucket, split=split).withColumn(
         out, (F.col(out) + 1).cast("long")
     )

@@ -54,14 +54,14 @@ def touch_updated_at(delta: DataFrame, as_of: str | Column) -> DataFrame:
     return delta.withColumn("updated_at", instant(as_of))
 
 
-def assign_ids(delta: DataFrame, base: DataFrame, key: str, order: str, out: str | None = None) -> DataFrame:
+def assign_ids(delta: DataFrame, base: DataFrame, key: str, order: str, out: str | None = None, split: bool = True) -> DataFrame:
     """Number new rows max(key)+1, max(key)+2 … in the order of a unique integer column, in column `out` (or `key`).
 
     The numbers come from per-bucket ranks plus prefix sums of the bucket sizes, so no task sorts the whole delta and a
     recomputed task gets the same ids again.
     """
     start = F.coalesce(base.agg(F.max(F.col(key).cast("long"))).scalar(), F.lit(0).cast("long"))
-    return numbered(delta, [order], "_rank").withColumn(out or key, start + F.col("_rank")).drop("_rank")
+    return numbered(delta, [order], "_rank", split=split).withColumn(out or key, start + F.col("_rank")).drop("_rank")
 
 
 def typed(df: DataFrame, table: str) -> DataFrame:
@@ -75,18 +75,18 @@ def typed(df: DataFrame, table: str) -> DataFrame:
     )
 
 
-def log_events(events: DataFrame, commands: DataFrame, as_of: str | Column) -> DataFrame:
+def log_events(events: DataFrame, commands: DataFrame, as_of: str | Column, split: bool = True) -> DataFrame:
     """Event rows to append for commands (seq, agent_id, session_id, task_id, event_type, payload)."""
-    rows = assign_ids(commands, events, "event_id", "seq").withColumn("created_at", instant(as_of))
+    rows = assign_ids(commands, events, "event_id", "seq", split=split).withColumn("created_at", instant(as_of))
     return typed(rows, "agent_events")
 
 
-def log_steps(logs: DataFrame, new_steps: DataFrame, as_of: str | Column) -> DataFrame:
+def log_steps(logs: DataFrame, new_steps: DataFrame, as_of: str | Column, split: bool = True) -> DataFrame:
     """Log rows to append for (seq, task_id, role, content): steps continue after the task's largest step."""
     last = logs.groupBy("task_id").agg(F.max("step_number").alias("_last"))
-    ranked = running(new_steps, ["task_id"], ["seq"], {"_before": ("sum", F.lit(1))})
+    ranked = running(new_steps, ["task_id"], ["seq"], {"_before": ("sum", F.lit(1))}, split=split)
     stepped = ranked.join(last, "task_id", "left").withColumn(
         "step_number", F.coalesce("_last", F.lit(0)) + F.col("_before") + 1
     )
-    rows = assign_ids(stepped, logs, "log_id", "seq").withColumn("created_at", instant(as_of))
+    rows = assign_ids(stepped, logs, "log_id", "seq", split=split).withColumn("created_at", instant(as_of))
     return typed(rows, "execution_logs")

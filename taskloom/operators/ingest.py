@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.jsontext import is_json, json_object, json_of, text_of
-from ..functions.running import running
+from ..functions.running import may_be_hot, running
 from ..model import TERMINAL, Tables
 from ..session import stage
 from .delta import apply_delta, assign_ids, instant, log_events, log_steps, patch, typed
@@ -158,7 +158,7 @@ def classify(t: Tables, responses: DataFrame, outcomes: DataFrame | None = None)
     )
 
 
-def _transitions(c: DataFrame) -> DataFrame:
+def _transitions(c: DataFrame, split: bool = True) -> DataFrame:
     """Responses that set the status of their task, with the change in the number of live tasks.
 
     `own` is the change by the task itself, `change` also counts the new task of a delegation.
@@ -170,7 +170,7 @@ def _transitions(c: DataFrame) -> DataFrame:
         "seq", "task_id", "session_id", "kind", "answer", "parent", "base_status", "new_status",
         F.col("new_status").isin(*TERMINAL).alias("ends"),
     )
-    before = running(moves, ["task_id"], ["seq"], {"_prev": ("max", F.struct("seq", "ends"))})
+    before = running(moves, ["task_id"], ["seq"], {"_prev": ("max", F.struct("seq", "ends"))}, split=split)
     ended = F.coalesce("_prev.ends", F.col("base_status").isin(*TERMINAL))
     own = ended.cast("int") - F.col("ends").cast("int")
     return before.withColumn("own", own).withColumn(
@@ -178,7 +178,7 @@ def _transitions(c: DataFrame) -> DataFrame:
     )
 
 
-def close_sessions(t: Tables, moves: DataFrame) -> DataFrame:
+def close_sessions(t: Tables, moves: DataFrame, split: bool = True) -> DataFrame:
     """Finishes after which no task of the session is live."""
     touched = moves.select("session_id").distinct()
     live = (
@@ -187,7 +187,7 @@ def close_sessions(t: Tables, moves: DataFrame) -> DataFrame:
         .groupBy("session_id")
         .agg(F.count(F.lit(1)).alias("_live"))
     )
-    counted = running(moves, ["session_id"], ["seq"], {"_sum": ("sum", F.col("change"))})
+    counted = running(moves, ["session_id"], ["seq"], {"_sum": ("sum", F.col("change"))}, split=split)
     left = F.coalesce("_live", F.lit(0)) + F.col("_sum") + F.col("change")
     return (
         counted.where(F.col("kind").isNotNull())
@@ -197,7 +197,7 @@ def close_sessions(t: Tables, moves: DataFrame) -> DataFrame:
     )
 
 
-def _live_at(moves: DataFrame, lookups: DataFrame, t: Tables) -> DataFrame:
+def _live_at(moves: DataFrame, lookups: DataFrame, t: Tables, split: bool) -> DataFrame:
     """Distinct (task_id, seq) with whether the task is live right after that response."""
     points = (
         moves.select("task_id", "seq", "ends")
@@ -205,12 +205,13 @@ def _live_at(moves: DataFrame, lookups: DataFrame, t: Tables) -> DataFrame:
         .groupBy("task_id", "seq")
         .agg(F.max("ends").alias("ends"))
     )
-    before = running(points, ["task_id"], ["seq"], {"_prev": ("max", F.when(F.col("ends").isNotNull(), F.struct("seq", "ends")))})
+    known = F.when(F.col("ends").isNotNull(), F.struct("seq", "ends"))
+    before = running(points, ["task_id"], ["seq"], {"_prev": ("max", known)}, split=split)
     states = t.tasks.select("task_id", F.col("status").isin(*TERMINAL).alias("_ended"))
     return before.join(states, "task_id").select("task_id", "seq", (~F.coalesce("ends", "_prev.ends", "_ended")).alias("live"))
 
 
-def release_parents(t: Tables, moves: DataFrame) -> DataFrame:
+def release_parents(t: Tables, moves: DataFrame, split: bool = True) -> DataFrame:
     """Parents that end the batch as pending: waiting, and at some answer of a child no prerequisite was live.
 
     The live prerequisites of a parent over time are a running sum of the changes of its prerequisites. Where a prerequisite
@@ -223,7 +224,7 @@ def release_parents(t: Tables, moves: DataFrame) -> DataFrame:
     asked = answers.groupBy("task_id").agg(F.count(F.lit(1)).alias("_answers"))
     flips = moves.where("own <> 0").select(F.col("task_id").alias("depends_on_task_id"), "seq", "own")
     often = flips.groupBy("depends_on_task_id").agg(F.count(F.lit(1)).alias("_flips"))
-    edges = (
+    edges = stage(
         t.task_dependencies.select("task_id", "depends_on_task_id")
         .join(asked, "task_id")
         .join(often, "depends_on_task_id", "left")
@@ -246,23 +247,21 @@ def release_parents(t: Tables, moves: DataFrame) -> DataFrame:
         .groupBy("task_id", "seq")
         .agg(F.sum("change").alias("change"), F.max("asks").alias("asks"))
     )
-    counted = running(points, ["task_id"], ["seq"], {"_sum": ("sum", F.col("change"))}).where("asks = 1")
+    counted = running(points, ["task_id"], ["seq"], {"_sum": ("sum", F.col("change"))}, split=split).where("asks = 1")
 
-    lookups = answers.join(busy, "task_id").select(F.col("depends_on_task_id").alias("task_id"), "seq", F.col("task_id").alias("_parent"))
-    blocked = (
-        lookups.join(_live_at(moves, lookups, t), ["task_id", "seq"])
-        .where("live")
-        .select(F.col("_parent").alias("task_id"), "seq")
-        .distinct()
-    )
+    if not busy.isEmpty():
+        lookups = answers.join(busy, "task_id").select(
+            F.col("depends_on_task_id").alias("task_id"), "seq", F.col("task_id").alias("_parent")
+        )
+        blocked = lookups.join(_live_at(moves, lookups, t, split), ["task_id", "seq"]).where("live")
+        counted = counted.join(blocked.select(F.col("_parent").alias("task_id"), "seq"), ["task_id", "seq"], "left_anti")
     last = moves.groupBy("task_id").agg(F.max(F.struct("seq", "new_status")).alias("_last"))
     states = t.tasks.select("task_id", F.col("status").alias("_status"))
     free = F.coalesce("_base", none) + F.col("_sum") + F.col("change") == 0
     later = F.coalesce(F.col("seq") > F.col("_last.seq"), F.lit(True))
     waiting = F.coalesce("_last.new_status", "_status") == "waiting"
     return (
-        counted.join(blocked, ["task_id", "seq"], "left_anti")
-        .join(base, "task_id", "left")
+        counted.join(base, "task_id", "left")
         .join(last, "task_id", "left")
         .join(states, "task_id")
         .where(free & later & waiting)
@@ -397,6 +396,8 @@ class Ingested:
         self._as_of = as_of
         self._now = instant(as_of)
         self._accepted = classified.where(F.col("reject").isNull())
+        # A batch too small to hold a hot key (micro-batches are) takes the plain windows.
+        self._split = may_be_hot(classified.count())
 
     @cached_property
     def actions(self) -> DataFrame:
@@ -428,26 +429,26 @@ class Ingested:
 
     @cached_property
     def _moves(self) -> DataFrame:
-        return stage(_transitions(self._accepted))
+        return stage(_transitions(self._accepted, self._split))
 
     @cached_property
     def _closed(self) -> DataFrame:
-        return close_sessions(self._t, self._moves)
+        return close_sessions(self._t, self._moves, self._split)
 
     @cached_property
     def _children(self) -> DataFrame:
-        return assign_ids(self._accepted.where("kind = 'delegate'"), self._t.tasks, "task_id", "seq", out="child_id")
+        return assign_ids(self._accepted.where("kind = 'delegate'"), self._t.tasks, "task_id", "seq", "child_id", self._split)
 
     @cached_property
     def _approvals(self) -> DataFrame:
         asked = self._accepted.where("kind = 'request_approval'")
-        return assign_ids(asked, self._t.human_approvals, "approval_id", "seq")
+        return assign_ids(asked, self._t.human_approvals, "approval_id", "seq", split=self._split)
 
     def _appended(self, table: str, rows: DataFrame) -> DataFrame:
         return self._t[table].unionByName(typed(rows, table))
 
     def _tasks(self) -> DataFrame:
-        released = release_parents(self._t, self._moves)
+        released = release_parents(self._t, self._moves, self._split)
         new = self._children.select(
             F.col("child_id").alias("task_id"), "session_id", F.col("to_agent_id").alias("agent_id"),
             F.lit("pending").alias("status"), F.col("sub_task").alias("input"), F.lit(0).alias("retry_count"),
@@ -457,11 +458,12 @@ class Ingested:
 
     def _dependencies(self) -> DataFrame:
         edges = self._children.select("seq", "task_id", F.col("child_id").alias("depends_on_task_id"))
-        return self._appended("task_dependencies", assign_ids(edges, self._t.task_dependencies, "dependency_id", "seq"))
+        rows = assign_ids(edges, self._t.task_dependencies, "dependency_id", "seq", split=self._split)
+        return self._appended("task_dependencies", rows)
 
     def _logs(self) -> DataFrame:
         logs = self._t.execution_logs
-        return logs.unionByName(log_steps(logs, _note_rows(self._accepted), self._as_of))
+        return logs.unionByName(log_steps(logs, _note_rows(self._accepted), self._as_of, self._split))
 
     def _participants(self) -> DataFrame:
         members = self._children.select("session_id", F.col("to_agent_id").alias("agent_id")).distinct()
@@ -470,7 +472,7 @@ class Ingested:
 
     def _messages(self) -> DataFrame:
         sent = deliver_to_parent(self._accepted).unionByName(_instructions(self._children))
-        numbered = assign_ids(sent, self._t.agent_messages, "message_id", "seq")
+        numbered = assign_ids(sent, self._t.agent_messages, "message_id", "seq", split=self._split)
         return self._appended("agent_messages", numbered.withColumn("created_at", self._now))
 
     def _human_approvals(self) -> DataFrame:
@@ -486,8 +488,8 @@ class Ingested:
             "seq", "task_id", F.col("tool.tool_id").alias("tool_id"), F.col("args").alias("input"),
             F.col("sql_output").alias("output"), F.col("sql_error").alias("error"),
         )
-        rows = assign_ids(ran, self._t.tool_executions, "exec_id", "seq").withColumn("executed_at", self._now)
-        return self._appended("tool_executions", rows)
+        rows = assign_ids(ran, self._t.tool_executions, "exec_id", "seq", split=self._split)
+        return self._appended("tool_executions", rows.withColumn("executed_at", self._now))
 
     def _sessions(self) -> DataFrame:
         endings = self._closed.groupBy("session_id").agg(F.max(F.struct("seq", "answer")).alias("_end")).select(
@@ -498,7 +500,7 @@ class Ingested:
 
     def _events(self) -> DataFrame:
         commands = _event_commands(self._accepted, self._closed, self._children, self._approvals)
-        return self._t.agent_events.unionByName(log_events(self._t.agent_events, commands, self._as_of))
+        return self._t.agent_events.unionByName(log_events(self._t.agent_events, commands, self._as_of, self._split))
 
 
 def submit_results(
