@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 # A backslash-u escape the strict reader refuses: the NUL character (an odd run of backslashes starts a real escape).
 _NUL_ESCAPE = r"(?<!\\)(?:\\\\)*\\u0000"
+# Escapes of the two halves of a surrogate pair, and of a half on its own once pairs are taken out.
+_PAIR = r"\\u[dD][89abAB][0-9a-fA-F]{2}\\u[dD][c-fC-F][0-9a-fA-F]{2}"
+_HALF = r"\\u[dD][89a-fA-F]"
 
 
 def _wrapped(text: Column) -> tuple[Column, Column]:
@@ -15,14 +18,20 @@ def _wrapped(text: Column) -> tuple[Column, Column]:
     return F.concat(F.lit('{"v":'), text, F.lit(',"'), end, F.lit('":1}')), end
 
 
+def _lone_surrogate(text: Column) -> Column:
+    """Whether an escape stands for half a surrogate pair. Escaped backslashes go first, so that what is left starts an escape."""
+    return F.regexp_replace(F.replace(text, F.lit("\\\\"), F.lit("")), _PAIR, "").rlike(_HALF)
+
+
 def is_json(text: Column) -> Column:
-    """True when the text is exactly one JSON value. Never null.
+    """True when the text is exactly one JSON value. Never null. Values nested more than a thousand deep, a limit of the engine's
+    reader, count as invalid.
 
     `try_parse_json` alone accepts trailing garbage; inside the wrapper such garbage swallows the closing key.
     """
     wrapped, end = _wrapped(text)
     whole = F.json_object_keys(wrapped) == F.array(F.lit("v"), end)
-    return F.coalesce(whole & F.try_parse_json(wrapped).isNotNull() & ~text.rlike(_NUL_ESCAPE), F.lit(False))
+    return F.coalesce(whole & F.try_parse_json(wrapped).isNotNull() & ~text.rlike(_NUL_ESCAPE) & ~_lone_surrogate(text), F.lit(False))
 
 
 def parsed(text: Column) -> Column:

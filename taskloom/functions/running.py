@@ -1,9 +1,9 @@
 """Running aggregates and dense numbering that stay distributed when one group holds most of the rows.
 
-A plain window over a hot key sorts the whole group in one task. Keys with more than HOT_ROWS rows are therefore found first, by
-a count that is combined before the exchange. Their rows are cut into buckets that are monotone in the order: each bucket is
-scanned on its own, the bucket totals are scanned next, and the two are added. All other keys take the plain window. With a unique
-integer order key a bucket of 2**BUCKET_BITS key values can never hold more rows than that.
+A plain window over a hot key sorts the whole group in one task. Rows are therefore always cut into buckets that are monotone in the
+order: each bucket is scanned on its own, the bucket totals (combined before the exchange) are scanned on the next level, and the two
+are added. With a unique integer order key no window holds more than 2**BUCKET_BITS rows, whatever the distribution, up to the last
+level, whose rows are ids shifted right by all levels' bits. The plan is the same for every size; there is no count beforehand.
 """
 
 from __future__ import annotations
@@ -13,8 +13,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKET_BITS = 20
-HOT_ROWS = 1 << 20
+from ..session import stage
+
+BUCKET_BITS = 16
 
 
 def id_bucket(order: str, bits: int | None = None) -> Column:
@@ -22,11 +23,6 @@ def id_bucket(order: str, bits: int | None = None) -> Column:
     return F.shiftright(F.col(order).cast("long"), BUCKET_BITS if bits is None else bits)
 
 
-def may_be_hot(rows: int) -> bool:
-    """Whether a frame of that many rows can have a hot key at all."""
-    return rows > HOT_ROWS
-
-
 def _combine(kind: str, local: Column, before: Column) -> Column:
     if kind == "sum":
         return F.coalesce(local, F.lit(0)) + F.coalesce(before, F.lit(0))
@@ -40,14 +36,13 @@ def running(
     measures: dict[str, tuple[str, Column]],
     bucket: Sequence[Column] | None = None,
     levels: int = 2,
-    split: bool = True,
 ) -> DataFrame:
     """Add, per key and in `order`, the aggregate of each measure over the rows strictly before the current one.
 
     `measures` maps an output column to ("sum" | "max", expression). `keys` must not be null and `order` must be unique
-    within a key. By default the (single, integer) order key is bucketed, and the buckets again: with two levels no window
-    holds more than 2**BUCKET_BITS rows for ids below 2**60. Otherwise `bucket` lists expressions monotone in `order`.
-    `split=False` is for callers that have counted the rows and know that no key can be hot (`may_be_hot`).
+    within a key. By default the (single, integer) order key is bucketed, and the buckets again: with two levels the last one
+    has at most 2**16 rows a key for ids below 2**48. Otherwise `bucket` lists expressions monotone in `order`. The input is read
+    `levels` + 1 times (twice with own buckets).
     """
     keys = list(keys)
     buckets = list(bucket) if bucket is not None else [id_bucket(order[0])]
@@ -57,23 +52,9 @@ def running(
     carried = {out: f"_b{levels}_{out}" for out in kinds}
     agg = {"sum": F.sum, "max": F.max}
     before = Window.unboundedPreceding, -1
-    if not split:
-        plain = Window.partitionBy(*keys).orderBy(*order).rowsBetween(*before)
-        zero = {"sum": F.lit(0), "max": F.lit(None)}
-        return df.select(
-            *df.columns, *[F.coalesce(agg[k](expr).over(plain), zero[k]).alias(out) for out, (k, expr) in measures.items()]
-        )
-
-    rows = df
-    if keys:
-        # There are at most (rows / HOT_ROWS) hot keys, which bounds what is broadcast.
-        hot = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > HOT_ROWS)
-        rows = rows.join(F.broadcast(hot.select(*keys, F.lit(True).alias(f"_hot{levels}"))), keys, "left")
-        buckets = [F.when(F.col(f"_hot{levels}"), b) for b in buckets]
-    rows = rows.withColumns({**dict(zip(names, buckets)), **{inputs[out]: expr for out, (_, expr) in measures.items()}})
-
-    cut = rows.where(F.col(f"_hot{levels}")) if keys else rows
-    totals = cut.groupBy(*keys, *names).agg(*[agg[k](inputs[out]).alias(carried[out]) for out, k in kinds.items()])
+    rows = df.withColumns({**dict(zip(names, buckets)), **{inputs[out]: expr for out, (_, expr) in measures.items()}})
+
+    totals = rows.groupBy(*keys, *names).agg(*[agg[k](inputs[out]).alias(carried[out]) for out, k in kinds.items()])
     if levels > 1 and bucket is None:
         again = {f"_o{carried[out]}": (k, F.col(carried[out])) for out, k in kinds.items()}
         coarse = running(totals, keys, names, again, levels=levels - 1)
@@ -84,7 +65,7 @@ def running(
 
     inside = Window.partitionBy(*keys, *names).orderBy(*order).rowsBetween(*before)
     scanned = rows.withColumns({f"_l{levels}_{out}": agg[k](inputs[out]).over(inside) for out, k in kinds.items()})
-    # An outer join: keys that are not hot have no offset, and Catalyst drops the branch where the result is not used.
+    # An outer join, so that Catalyst drops the branch where the result is not used.
     joined = scanned.join(offsets, [*keys, *names], "left")
     return joined.select(
         *df.columns, *[_combine(k, F.col(f"_l{levels}_{out}"), F.col(carried[out])).alias(out) for out, k in kinds.items()]
@@ -92,14 +73,13 @@ def running(
 
 
 def numbered(
-    df: DataFrame,
-    order: Sequence[str],
-    out: str,
-    keys: Sequence[str] = (),
-    bucket: Sequence[Column] | None = None,
-    split: bool = True,
+    df: DataFrame, order: Sequence[str], out: str, keys: Sequence[str] = (), bucket: Sequence[Column] | None = None
 ) -> DataFrame:
-    """Add 1, 2, 3 … per key in `order`, without sorting a whole key in one task."""
-    return running(df, keys, order, {out: ("sum", F.lit(1))}, bucket, split=split).withColumn(
-        out, (F.col(out) + 1).cast("long")
-    )
+    """Add 1, 2, 3 … per key in `order`, without sorting a whole key in one task.
+
+    Only keys and order are staged and sorted; the numbers are joined back to the rows. So the rows are planned twice, however many
+    levels there are.
+    """
+    unique = [*keys, *order]
+    ranked = running(stage(df.select(*unique)), keys, order, {out: ("sum", F.lit(1))}, bucket, levels=3)
+    return df.join(ranked.select(*unique, (F.col(out) + 1).cast("long").alias(out)), unique)

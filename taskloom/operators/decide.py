@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.jsontext import json_object
 from ..model import TERMINAL, Tables
 from .delta import instant, log_events, log_steps
-from .prompts import prompt_sizes
+from .prompts import prompt_rows, prompt_sizes
 from .search import DEFAULT_K, search_memory
 
 LLM_FIELDS = ("provider", "endpoint", "model_name", "api_key_ref", "temperature", "max_tokens", "request_options")
@@ -38,10 +38,13 @@ def _budgeted(t: Tables, counted: DataFrame) -> DataFrame:
     return joined.withColumn("exhausted", F.coalesce(F.col("steps") >= F.col("max_steps"), F.lit(False)))
 
 
-def _counted(t: Tables) -> DataFrame:
-    """Tasks with the number of their assistant steps."""
-    steps = t.execution_logs.where("role = 'assistant'").groupBy("task_id").agg(F.count(F.lit(1)).alias("_steps"))
+def _counted(t: Tables, asked: DataFrame | None = None) -> DataFrame:
+    """Tasks, all or those asked for, with the number of their assistant steps."""
+    spoken = t.execution_logs.where("role = 'assistant'")
     tasks = t.tasks.select("task_id", "session_id", "agent_id", "status", "input", "output")
+    if asked is not None:
+        spoken, tasks = spoken.join(asked, "task_id", "left_semi"), tasks.join(asked, "task_id", "left_semi")
+    steps = spoken.groupBy("task_id").agg(F.count(F.lit(1)).alias("_steps"))
     return tasks.join(steps, "task_id", "left").select(
         *tasks.columns, F.coalesce("_steps", F.lit(0).cast("long")).alias("steps")
     )
@@ -85,6 +88,7 @@ def memory_context(t: Tables, queries: DataFrame, k: int = DEFAULT_K) -> DataFra
     )
 
 
+# Fixed value: the answer of a task whose steps are used up.
 def _budget_text(limit: Column) -> Column:
     return F.concat(F.lit("Max steps ("), limit.cast("string"), F.lit(") reached."))
 
@@ -105,7 +109,7 @@ def _judged(t: Tables, counted: DataFrame) -> DataFrame:
 
 def task_start_events(t: Tables, asked: DataFrame) -> DataFrame:
     """Event commands for tasks about to take their first step. Asked again before that step, they start again."""
-    return _start_commands(_judged(t, _counted(t).join(asked, "task_id", "left_semi")))
+    return _start_commands(_judged(t, _counted(t, asked.select("task_id").distinct())))
 
 
 def _start_commands(judged: DataFrame) -> DataFrame:
@@ -119,7 +123,8 @@ class Decisions:
     """Decisions for asked tasks. Every part is planned when it is first asked for.
 
     `decisions` has one row per known task, `rejects` the unknown ones. Parts of unbounded length are rows that refer to the task:
-    `pending` the prerequisites a waiting task waits for, `memory` the memories nearest to its query. `tables` are the tables after.
+    `pending` the prerequisites a waiting task waits for; for tasks whose model is called `messages` the prompt, `tools` the tools
+    granted and `memory` the memories nearest to its query. `tables` are the tables after.
     """
 
     def __init__(self, t: Tables, requests: DataFrame, as_of: str | Column, k: int):
@@ -134,7 +139,7 @@ class Decisions:
 
     @cached_property
     def _judged(self) -> DataFrame:
-        return _judged(self._t, _counted(self._t).join(self._asked, "task_id", "left_semi"))
+        return _judged(self._t, _counted(self._t, self._asked))
 
     @cached_property
     def rejects(self) -> DataFrame:
@@ -152,7 +157,7 @@ class Decisions:
         t = self._t
         waits = self.pending.groupBy("task_id").agg(F.count(F.lit(1)).alias("pending_count"))
         sizes = ("history_messages", "result_messages", "log_messages", "message_count")
-        judged = _judged(t, prompt_sizes(t).join(self._asked, "task_id", "left_semi"))
+        judged = _judged(t, prompt_sizes(t, self._asked))
         joined = (
             judged.join(waits, "task_id", "left")
             .join(llm_config_envelope(t), "agent_id", "left")
@@ -169,14 +174,25 @@ class Decisions:
             F.when(calls, F.coalesce("tool_count", none)).alias("tool_count"),
         )
 
+    @cached_property
+    def _calling(self) -> DataFrame:
+        return self._judged.where("action = 'call_llm'").select("task_id", "agent_id")
+
+    @cached_property
+    def messages(self) -> DataFrame:
+        return prompt_rows(self._t, self._calling)
+
+    @cached_property
+    def tools(self) -> DataFrame:
+        return self._calling.join(tool_catalogue(self._t), "agent_id").drop("agent_id")
+
     @cached_property
     def memory(self) -> DataFrame:
         if "query_vec" not in self._requests.columns:
             return self._requests.sparkSession.createDataFrame(
                 [], "task_id bigint, rank int, memory_id bigint, content string, similarity double"
             )
-        calling = self._judged.where("action = 'call_llm'").select("task_id", "agent_id")
-        return memory_context(self._t, self._requests.select("task_id", "query_vec").join(calling, "task_id"), self._k)
+        return memory_context(self._t, self._requests.select("task_id", "query_vec").join(self._calling, "task_id"), self._k)
 
     @cached_property
     def tables(self) -> Tables:
@@ -218,8 +234,7 @@ class Decisions:
 def next_actions(t: Tables, requests: DataFrame, as_of: str | Column, k: int = DEFAULT_K) -> Decisions:
     """Decide for requests (task_id[, query_vec]), at most one per task, all against the same snapshot.
 
-    Prompts, tools and memories are referred to: `decisions` carries their sizes, and the rows come from `prompt_rows` (or the
-    segments), `tool_catalogue` and `memory`. A task whose step budget is used up is completed with a fixed text; its session and
+    Prompts, tools and memories are rows that refer to the task; `decisions` carries their sizes. A task whose step budget is used up is completed with a fixed text; its session and
     its parent are left as they are.
     """
     return Decisions(t, requests, as_of, k)

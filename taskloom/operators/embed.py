@@ -10,14 +10,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.jsontext import json_object
-from ..model import Tables
+from ..model import Principal, Tables
 from ..session import stage
-from .delta import assign_ids, instant, log_events, patch, typed
+from .delta import Upsert, assign_ids, instant, log_events, patch, patched, typed
+from .lifecycle import require
 from .views import active_dims, reembedding_targets
 
 # Takes texts, returns one vector per text; an exception fails the texts one by one.
 EmbedFunction = Callable[[list[str]], list[list[float]]]
 TEXTS_PER_CALL = 64
+#: On whose behalf re-embedding writes.
+WORKER = Principal("embedder", is_worker=True)
 
 
 @dataclass(frozen=True)
@@ -28,15 +31,18 @@ class Rotation:
 
 @dataclass(frozen=True)
 class Reembedded:
-    """`report` is one row (processed, attempted); `errors` one row per target that could not be embedded."""
+    """`report` is one row (processed, attempted); `errors` one row per target that could not be embedded; `changes` the rows that got
+    a vector, for a store."""
 
     tables: Tables
+    changes: dict[str, Upsert]
     report: DataFrame
     errors: DataFrame
 
 
-def plan_rotation(t: Tables, model: str, dims: int, endpoint: str, as_of: str | Column) -> Rotation:
+def plan_rotation(t: Tables, p: Principal, model: str, dims: int, endpoint: str, as_of: str | Column) -> Rotation:
     """Make another model the active one. Stored vectors stay; those of another width drop out of the search."""
+    require(p.privileged, "plan_rotation")
     spark = t.embedding_config.sparkSession
     now = instant(as_of)
     new = spark.createDataFrame(
@@ -58,21 +64,30 @@ def plan_rotation(t: Tables, model: str, dims: int, endpoint: str, as_of: str |
 def _embedder(embed: EmbedFunction, width: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     def one(text: str) -> tuple[list[float] | None, str | None]:
         try:
-            vector = embed([text])[0]
+            answer = embed([text])
+            if answer is None or len(answer) != 1:
+                return None, f"{0 if answer is None else len(answer)} vectors for one text"
+            return _checked(answer[0])
         except Exception as failure:  # noqa: BLE001 - any failure of user code becomes an error row
             return None, str(failure)
-        return _checked(vector)
 
-    def _checked(vector: list[float]) -> tuple[list[float] | None, str | None]:
-        if len(vector) != width:
-            return None, f"dim mismatch: got {len(vector)} expected {width}"
-        return [float(x) for x in vector], None
+    def _checked(vector: list[float] | None) -> tuple[list[float] | None, str | None]:
+        try:
+            if vector is None:
+                return None, "no vector"
+            if len(vector) != width:
+                return None, f"dim mismatch: got {len(vector)} expected {width}"
+            return [float(x) for x in vector], None
+        except (TypeError, ValueError) as failure:  # an answer that is no list of numbers
+            return None, str(failure)
 
     def many(texts: list[str]) -> list[tuple[list[float] | None, str | None]]:
         try:
             vectors = embed(texts)
         except Exception:  # noqa: BLE001 - find out which texts fail
             return [one(text) for text in texts]
+        if vectors is None or len(vectors) != len(texts):  # no telling which vector is whose
+            return [one(text) for text in texts]
         return [_checked(vector) for vector in vectors]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -108,26 +123,35 @@ def reembed(t: Tables, embed: EmbedFunction, as_of: str | Column, batch: int | N
             F.col("row_id").cast("long").alias(key), "embedding", F.lit(width).cast("int").alias("embedding_dims")
         )
 
-    tables = set_memory_embeddings(t, vectors("memory", "memory_id"))
-    tables = set_tool_embeddings(tables, vectors("tool_registry", "tool_id"), as_of)
+    tables = set_memory_embeddings(t, WORKER, vectors("memory", "memory_id"))
+    tables = set_tool_embeddings(tables, WORKER, vectors("tool_registry", "tool_id"), as_of)
+    memory = vectors("memory", "memory_id")
+    tools = vectors("tool_registry", "tool_id").withColumnRenamed("embedding", "description_embedding")
+    changes = {
+        "memory": Upsert(patched(t.memory, memory, "memory_id"), ("memory_id",)),
+        "tool_registry": Upsert(patched(t.tool_registry, tools, "tool_id", as_of), ("tool_id",)),
+    }
     report = done.agg(F.count_if(F.col("error").isNull()).alias("processed"), F.count(F.lit(1)).alias("attempted"))
     errors = done.where(F.col("error").isNotNull()).select("source", "row_id", "error")
-    return Reembedded(tables, report, errors)
+    return Reembedded(tables, changes, report, errors)
 
 
-def set_tool_embeddings(t: Tables, vectors: DataFrame, as_of: str | Column) -> Tables:
+def set_tool_embeddings(t: Tables, p: Principal, vectors: DataFrame, as_of: str | Column) -> Tables:
     """Overwrite vector and width of tools (tool_id, embedding, embedding_dims)."""
+    require(p.privileged, "set_tool_embeddings")
     changes = vectors.select("tool_id", F.col("embedding").alias("description_embedding"), "embedding_dims")
     return t.replace(tool_registry=patch(t.tool_registry, changes, "tool_id", touch=as_of))
 
 
-def set_memory_embeddings(t: Tables, vectors: DataFrame) -> Tables:
+def set_memory_embeddings(t: Tables, p: Principal, vectors: DataFrame) -> Tables:
     """Overwrite vector and width of memories (memory_id, embedding, embedding_dims)."""
+    require(p.privileged, "set_memory_embeddings")
     return t.replace(memory=patch(t.memory, vectors.select("memory_id", "embedding", "embedding_dims"), "memory_id"))
 
 
-def insert_memories(t: Tables, rows: DataFrame, as_of: str | Column) -> Tables:
+def insert_memories(t: Tables, p: Principal, rows: DataFrame, as_of: str | Column) -> Tables:
     """Append memories (seq, agent_id, session_id, content, embedding, embedding_dims)."""
+    require(p.privileged, "insert_memories")
     new = assign_ids(rows, t.memory, "memory_id", "seq").withColumn("created_at", instant(as_of))
     return t.replace(memory=t.memory.unionByName(typed(new, "memory")))
 

@@ -10,16 +10,17 @@ Responses address tasks that exist when the batch starts.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.jsontext import is_json, json_object, json_of, text_of
-from ..functions.running import may_be_hot, running
+from ..functions.running import running
 from ..model import TERMINAL, Tables
 from ..session import stage
-from .delta import apply_delta, assign_ids, instant, log_events, log_steps, patch, typed
+from .delta import Append, Upsert, assign_ids, first_free, instant, log_steps, typed
 from .guard import check_sql
 
 # Texts written to the log of a task.
@@ -68,8 +69,10 @@ def parse_responses(responses: DataFrame) -> DataFrame:
 def _read(t: Tables, responses: DataFrame) -> DataFrame:
     """Parsed responses with their task and, for a delegated task, the instruction it came from."""
     tasks = t.tasks.select("task_id", "session_id", "agent_id", F.col("status").alias("base_status"))
+    asked = responses.select("task_id").distinct()
     instructions = (
-        t.agent_messages.where((F.col("direction") == "instruction") & F.col("child_task_id").isNotNull())
+        t.agent_messages.where(F.col("direction") == "instruction")
+        .join(asked.withColumnRenamed("task_id", "child_task_id"), "child_task_id", "left_semi")
         .groupBy(F.col("child_task_id").alias("task_id"))
         .agg(F.min_by(F.struct("from_agent_id", "parent_task_id"), "message_id").alias("parent"))
     )
@@ -78,10 +81,13 @@ def _read(t: Tables, responses: DataFrame) -> DataFrame:
         .when(F.col("action").isin("finish", "call_tool", "delegate", "request_approval"), F.col("action"))
         .otherwise("continue")
     )
-    parsed = parse_responses(responses).withColumn("kind", kind)
+    repeats = responses.groupBy("seq").agg(F.count(F.lit(1)).alias("repeats")).where("repeats > 1")
+    parsed = parse_responses(responses).withColumn("kind", kind).join(repeats, "seq", "left")
     joined = parsed.join(tasks, "task_id", "left").join(instructions, "task_id", "left")
     reject = (
-        F.when(F.col("session_id").isNull(), "unknown_task")
+        F.when(F.col("repeats") > 1, "repeated_seq")
+        .when(F.col("seq").isNull(), "no_seq")
+        .when(F.col("session_id").isNull(), "unknown_task")
         .when(F.col("response").isNull(), "no_response")
         .when((F.col("kind") == "finish") & F.col("parent").isNotNull() & F.col("final_answer").isNull(),
               "finish_without_answer")
@@ -158,7 +164,7 @@ def classify(t: Tables, responses: DataFrame, outcomes: DataFrame | None = None)
     )
 
 
-def _transitions(c: DataFrame, split: bool = True) -> DataFrame:
+def _transitions(c: DataFrame) -> DataFrame:
     """Responses that set the status of their task, with the change in the number of live tasks.
 
     `own` is the change by the task itself, `change` also counts the new task of a delegation.
@@ -170,7 +176,7 @@ def _transitions(c: DataFrame, split: bool = True) -> DataFrame:
         "seq", "task_id", "session_id", "kind", "answer", "parent", "base_status", "new_status",
         F.col("new_status").isin(*TERMINAL).alias("ends"),
     )
-    before = running(moves, ["task_id"], ["seq"], {"_prev": ("max", F.struct("seq", "ends"))}, split=split)
+    before = running(moves, ["task_id"], ["seq"], {"_prev": ("max", F.struct("seq", "ends"))})
     ended = F.coalesce("_prev.ends", F.col("base_status").isin(*TERMINAL))
     own = ended.cast("int") - F.col("ends").cast("int")
     return before.withColumn("own", own).withColumn(
@@ -178,7 +184,7 @@ def _transitions(c: DataFrame, split: bool = True) -> DataFrame:
     )
 
 
-def close_sessions(t: Tables, moves: DataFrame, split: bool = True) -> DataFrame:
+def close_sessions(t: Tables, moves: DataFrame) -> DataFrame:
     """Finishes after which no task of the session is live."""
     touched = moves.select("session_id").distinct()
     live = (
@@ -187,7 +193,7 @@ def close_sessions(t: Tables, moves: DataFrame, split: bool = True) -> DataFrame
         .groupBy("session_id")
         .agg(F.count(F.lit(1)).alias("_live"))
     )
-    counted = running(moves, ["session_id"], ["seq"], {"_sum": ("sum", F.col("change"))}, split=split)
+    counted = running(moves, ["session_id"], ["seq"], {"_sum": ("sum", F.col("change"))})
     left = F.coalesce("_live", F.lit(0)) + F.col("_sum") + F.col("change")
     return (
         counted.where(F.col("kind").isNotNull())
@@ -197,21 +203,21 @@ def close_sessions(t: Tables, moves: DataFrame, split: bool = True) -> DataFrame
     )
 
 
-def _live_at(moves: DataFrame, lookups: DataFrame, t: Tables, split: bool) -> DataFrame:
+def _live_at(moves: DataFrame, lookups: DataFrame, t: Tables) -> DataFrame:
     """Distinct (task_id, seq) with whether the task is live right after that response."""
-    points = (
+    points = stage(
         moves.select("task_id", "seq", "ends")
         .unionByName(lookups.select("task_id", "seq", F.lit(None).cast("boolean").alias("ends")).distinct())
         .groupBy("task_id", "seq")
         .agg(F.max("ends").alias("ends"))
     )
     known = F.when(F.col("ends").isNotNull(), F.struct("seq", "ends"))
-    before = running(points, ["task_id"], ["seq"], {"_prev": ("max", known)}, split=split)
+    before = running(points, ["task_id"], ["seq"], {"_prev": ("max", known)})
     states = t.tasks.select("task_id", F.col("status").isin(*TERMINAL).alias("_ended"))
     return before.join(states, "task_id").select("task_id", "seq", (~F.coalesce("ends", "_prev.ends", "_ended")).alias("live"))
 
 
-def release_parents(t: Tables, moves: DataFrame, split: bool = True) -> DataFrame:
+def release_parents(t: Tables, moves: DataFrame) -> DataFrame:
     """Parents that end the batch as pending: waiting, and at some answer of a child no prerequisite was live.
 
     The live prerequisites of a parent over time are a running sum of the changes of its prerequisites. Where a prerequisite
@@ -241,19 +247,19 @@ def release_parents(t: Tables, moves: DataFrame, split: bool = True) -> DataFram
     delegated = moves.where("kind = 'delegate'").join(asked, "task_id", "left_semi")
     by_delegation = delegated.select("task_id", "seq", F.lit(1).alias("change"), none.alias("asks"))
     by_answer = answers.select("task_id", "seq", none.alias("change"), F.lit(1).alias("asks"))
-    points = (
+    points = stage(
         by_dependency.unionByName(by_delegation)
         .unionByName(by_answer)
         .groupBy("task_id", "seq")
         .agg(F.sum("change").alias("change"), F.max("asks").alias("asks"))
     )
-    counted = running(points, ["task_id"], ["seq"], {"_sum": ("sum", F.col("change"))}, split=split).where("asks = 1")
+    counted = running(points, ["task_id"], ["seq"], {"_sum": ("sum", F.col("change"))}).where("asks = 1")
 
     if not busy.isEmpty():
         lookups = answers.join(busy, "task_id").select(
             F.col("depends_on_task_id").alias("task_id"), "seq", F.col("task_id").alias("_parent")
         )
-        blocked = lookups.join(_live_at(moves, lookups, t, split), ["task_id", "seq"]).where("live")
+        blocked = lookups.join(_live_at(moves, lookups, t), ["task_id", "seq"]).where("live")
         counted = counted.join(blocked.select(F.col("_parent").alias("task_id"), "seq"), ["task_id", "seq"], "left_anti")
     last = moves.groupBy("task_id").agg(F.max(F.struct("seq", "new_status")).alias("_last"))
     states = t.tasks.select("task_id", F.col("status").alias("_status"))
@@ -281,12 +287,11 @@ def _note_rows(c: DataFrame) -> DataFrame:
             ),
         )
     )
-    return c.select("seq", "task_id", F.explode(steps).alias("s")).select(
-        (F.col("seq") * 2 + F.col("s.slot")).alias("seq"), "task_id", "s.role", "s.content"
-    )
+    return c.select("seq", "task_id", F.explode(steps).alias("s")).select("seq", "task_id", "s.slot", "s.role", "s.content")
 
 
-def _tasks_after(t: Tables, c: DataFrame, released: DataFrame, now: Column) -> DataFrame:
+def _changed_tasks(t: Tables, c: DataFrame, released: DataFrame, now: Column) -> DataFrame:
+    """The tasks that responses address or release, as they are after the batch."""
     ends = F.col("kind").isin("forced", "finish")
     moved = ends | F.col("kind").isin("delegate", "request_approval")
     status = F.when(ends, "completed").otherwise("waiting")
@@ -300,9 +305,9 @@ def _tasks_after(t: Tables, c: DataFrame, released: DataFrame, now: Column) -> D
         "status": F.when(F.col("_released"), "pending").otherwise(F.coalesce("_status.v", "status")),
         "output": F.when(F.col("_output").isNotNull(), F.col("_output.v")).otherwise(F.col("output")),
         "heartbeat_at": F.when(F.col("_hit"), now).otherwise(F.col("heartbeat_at")),
-        "updated_at": F.when(F.coalesce("_hit", "_released"), now).otherwise(F.col("updated_at")),
+        "updated_at": now,
     }
-    return t.tasks.join(marks, "task_id", "left").select(
+    return t.tasks.join(marks, "task_id").select(
         *[changed[x].alias(x) if x in changed else F.col(x) for x in t.tasks.columns]
     )
 
@@ -312,7 +317,7 @@ def _event_commands(c: DataFrame, closed: DataFrame, children: DataFrame, approv
 
     def event(df: DataFrame, slot: int, kind: str, payload: Column) -> DataFrame:
         return df.select(
-            (F.col("seq") * 2 + slot).alias("seq"), "agent_id", "session_id", "task_id",
+            "seq", F.lit(slot).alias("slot"), "agent_id", "session_id", "task_id",
             F.lit(kind).alias("event_type"), payload.alias("payload"),
         )
 
@@ -396,8 +401,6 @@ class Ingested:
         self._as_of = as_of
         self._now = instant(as_of)
         self._accepted = classified.where(F.col("reject").isNull())
-        # A batch too small to hold a hot key (micro-batches are) takes the plain windows.
-        self._split = may_be_hot(classified.count())
 
     @cached_property
     def actions(self) -> DataFrame:
@@ -413,100 +416,151 @@ class Ingested:
             (F.col("kind") == "tool_sql") & F.col("sql_error").isNull() & F.col("sql_output").isNull()
         ).select("seq", "task_id", F.col("tool.tool_id").alias("tool_id"), F.col("args").alias("input"), "sql_text")
 
+    @cached_property
+    def changes(self) -> dict[str, Append | Upsert]:
+        """What the batch adds to each table, for a store that appends and replaces rows instead of tables."""
+        return {name: change() for name, change in self._planned.items()}
+
     @cached_property
     def tables(self) -> Tables:
-        return self._t.replace(
-            tasks=self._tasks,
-            task_dependencies=self._dependencies,
-            execution_logs=self._logs,
-            session_participants=self._participants,
-            agent_messages=self._messages,
-            human_approvals=self._human_approvals,
-            tool_executions=self._executions,
-            sessions=self._sessions,
-            agent_events=self._events,
-        )
+        def after(name: str) -> Callable[[], DataFrame]:
+            return lambda: self._planned[name]().after(self._t[name])
+
+        return self._t.replace(**{name: after(name) for name in self._planned})
+
+    @cached_property
+    def _planned(self) -> dict[str, Callable[[], Append | Upsert]]:
+        return {
+            "tasks": self._tasks,
+            "task_dependencies": self._dependencies,
+            "execution_logs": self._logs,
+            "session_participants": self._participants,
+            "agent_messages": self._messages,
+            "human_approvals": self._human_approvals,
+            "tool_executions": self._executions,
+            "sessions": self._sessions,
+            "agent_events": self._events,
+        }
 
     @cached_property
     def _moves(self) -> DataFrame:
-        return stage(_transitions(self._accepted, self._split))
+        return stage(_transitions(self._accepted))
 
     @cached_property
     def _closed(self) -> DataFrame:
-        return close_sessions(self._t, self._moves, self._split)
+        return close_sessions(self._t, self._moves)
+
+    @cached_property
+    def _before(self) -> DataFrame:
+        """Per response, how many rows of each kind the responses before it add: the batch is numbered once, over narrow rows."""
+        kind = F.col("kind")
+        answered = F.col("sql_error").isNotNull() | F.col("sql_output").isNotNull()
+        finish, delegate = kind == "finish", kind == "delegate"
+        adds = {
+            "children": delegate,
+            "approvals": kind == "request_approval",
+            "messages": delegate | (finish & F.col("parent").isNotNull()),
+            "executions": (kind == "tool_sql") & answered,
+            "notes": F.col("note").isNotNull(),
+            "reports": kind.isin("finish", "forced", "tool_invoke", "tool_sql", "delegate", "request_approval"),
+        }
+        flags = self._accepted.select("seq", "task_id", *[F.coalesce(v, F.lit(False)).cast("long").alias(k) for k, v in adds.items()])
+        closing = self._closed.select("seq", F.lit(1).cast("long").alias("closes"))
+        narrow = flags.join(closing, "seq", "left").withColumns(
+            {"closes": F.coalesce("closes", F.lit(0).cast("long")), "steps": F.col("notes") + 1}
+        )
+        narrow = stage(narrow.withColumn("events", F.col("reports") + F.col("closes")).drop("notes", "reports"))
+        names = ("children", "approvals", "messages", "executions", "steps", "events")
+        every = running(narrow, [], ["seq"], {f"{n}_before": ("sum", F.col(n)) for n in names}, levels=3)
+        own = running(narrow.select("seq", "task_id", "steps"), ["task_id"], ["seq"], {"own_before": ("sum", F.col("steps"))})
+        return stage(every.drop(*names).join(own.select("seq", "own_before"), "seq").drop("task_id"))
+
+    def _number(self, rows: DataFrame, table: str, key: str, kind: str, out: str | None = None, slot: str | Column = "") -> DataFrame:
+        """Rows (seq, …) with their id: the first free one, plus what earlier responses add, plus the place within the response."""
+        start = first_free(self._t[table], key, self._t.last_ids.get(table))
+        place = slot if isinstance(slot, Column) else F.lit(0)
+        keep = ["seq", f"{kind}_before", *(["closes"] if kind == "events" else []), *(["own_before"] if kind == "steps" else [])]
+        joined = rows.join(self._before.select(*keep), "seq")
+        return joined.withColumn(out or key, start + F.col(f"{kind}_before") + place).drop(f"{kind}_before")
 
     @cached_property
     def _children(self) -> DataFrame:
-        return assign_ids(self._accepted.where("kind = 'delegate'"), self._t.tasks, "task_id", "seq", "child_id", self._split)
+        return self._number(self._accepted.where("kind = 'delegate'"), "tasks", "task_id", "children", "child_id")
 
     @cached_property
     def _approvals(self) -> DataFrame:
-        asked = self._accepted.where("kind = 'request_approval'")
-        return assign_ids(asked, self._t.human_approvals, "approval_id", "seq", split=self._split)
+        return self._number(self._accepted.where("kind = 'request_approval'"), "human_approvals", "approval_id", "approvals")
 
-    def _appended(self, table: str, rows: DataFrame) -> DataFrame:
-        return self._t[table].unionByName(typed(rows, table))
-
-    def _tasks(self) -> DataFrame:
-        released = release_parents(self._t, self._moves, self._split)
+    def _tasks(self) -> Upsert:
+        released = release_parents(self._t, self._moves)
         new = self._children.select(
             F.col("child_id").alias("task_id"), "session_id", F.col("to_agent_id").alias("agent_id"),
             F.lit("pending").alias("status"), F.col("sub_task").alias("input"), F.lit(0).alias("retry_count"),
             self._now.alias("created_at"), self._now.alias("updated_at"),
         )
-        return _tasks_after(self._t, self._accepted, released, self._now).unionByName(typed(new, "tasks"))
+        changed = _changed_tasks(self._t, self._accepted, released, self._now)
+        return Upsert(changed.unionByName(typed(new, "tasks")), ("task_id",))
 
-    def _dependencies(self) -> DataFrame:
+    def _dependencies(self) -> Append:
         edges = self._children.select("seq", "task_id", F.col("child_id").alias("depends_on_task_id"))
-        rows = assign_ids(edges, self._t.task_dependencies, "dependency_id", "seq", split=self._split)
-        return self._appended("task_dependencies", rows)
+        return Append(typed(self._number(edges, "task_dependencies", "dependency_id", "children"), "task_dependencies"))
 
-    def _logs(self) -> DataFrame:
+    def _logs(self) -> Append:
         logs = self._t.execution_logs
-        return logs.unionByName(log_steps(logs, _note_rows(self._accepted), self._as_of, self._split))
-
-    def _participants(self) -> DataFrame:
+        asked = self._accepted.select("task_id").distinct()
+        latest = logs.join(asked, "task_id", "left_semi").groupBy("task_id").agg(F.max("step_number").alias("_last"))
+        numbered = self._number(_note_rows(self._accepted), "execution_logs", "log_id", "steps", slot=F.col("slot"))
+        step = F.coalesce("_last", F.lit(0)) + F.col("own_before") + F.col("slot") + 1
+        rows = numbered.join(latest, "task_id", "left").withColumns({"step_number": step, "created_at": self._now})
+        return Append(typed(rows, "execution_logs"))
+
+    def _participants(self) -> Append:
+        key = ["session_id", "agent_id"]
         members = self._children.select("session_id", F.col("to_agent_id").alias("agent_id")).distinct()
-        rows = typed(members.withColumn("joined_at", self._now), "session_participants")
-        return apply_delta(self._t.session_participants, rows, ["session_id", "agent_id"], "ignore")
+        new = members.join(self._t.session_participants.select(*key), key, "left_anti")
+        return Append(typed(new.withColumn("joined_at", self._now), "session_participants"))
 
-    def _messages(self) -> DataFrame:
+    def _messages(self) -> Append:
         sent = deliver_to_parent(self._accepted).unionByName(_instructions(self._children))
-        numbered = assign_ids(sent, self._t.agent_messages, "message_id", "seq", split=self._split)
-        return self._appended("agent_messages", numbered.withColumn("created_at", self._now))
+        numbered = self._number(sent, "agent_messages", "message_id", "messages")
+        return Append(typed(numbered.withColumn("created_at", self._now), "agent_messages"))
 
-    def _human_approvals(self) -> DataFrame:
+    def _human_approvals(self) -> Append:
         asked = self._approvals.select(
             "approval_id", "task_id", "session_id", F.col("agent_id").alias("requested_by_agent_id"), "reason",
             F.lit("pending").alias("status"), self._now.alias("created_at"),
         )
-        return self._appended("human_approvals", asked)
+        return Append(typed(asked, "human_approvals"))
 
-    def _executions(self) -> DataFrame:
+    def _executions(self) -> Append:
         answered = F.col("sql_error").isNotNull() | F.col("sql_output").isNotNull()
         ran = self._accepted.where((F.col("kind") == "tool_sql") & answered).select(
             "seq", "task_id", F.col("tool.tool_id").alias("tool_id"), F.col("args").alias("input"),
             F.col("sql_output").alias("output"), F.col("sql_error").alias("error"),
         )
-        rows = assign_ids(ran, self._t.tool_executions, "exec_id", "seq", split=self._split)
-        return self._appended("tool_executions", rows.withColumn("executed_at", self._now))
-
-    def _sessions(self) -> DataFrame:
-        endings = self._closed.groupBy("session_id").agg(F.max(F.struct("seq", "answer")).alias("_end")).select(
-            "session_id", F.lit("completed").alias("status"), F.col("_end.answer").alias("final_answer"),
-            self._now.alias("completed_at"),
+        rows = self._number(ran, "tool_executions", "exec_id", "executions")
+        return Append(typed(rows.withColumn("executed_at", self._now), "tool_executions"))
+
+    def _sessions(self) -> Upsert:
+        endings = self._closed.groupBy("session_id").agg(F.max(F.struct("seq", "answer")).alias("_end"))
+        ended = {"status": F.lit("completed"), "final_answer": F.col("_end.answer"), "completed_at": self._now}
+        rows = self._t.sessions.join(endings, "session_id").select(
+            *[ended[c].alias(c) if c in ended else F.col(c) for c in self._t.sessions.columns]
         )
-        return patch(self._t.sessions, endings, "session_id")
+        return Upsert(rows, ("session_id",))
 
-    def _events(self) -> DataFrame:
+    def _events(self) -> Append:
         commands = _event_commands(self._accepted, self._closed, self._children, self._approvals)
-        return self._t.agent_events.unionByName(log_events(self._t.agent_events, commands, self._as_of, self._split))
+        # The end of a session is reported first, anything else after it.
+        place = F.when(F.col("slot") == 0, F.lit(0)).otherwise(F.col("closes"))
+        rows = self._number(commands, "agent_events", "event_id", "events", slot=place)
+        return Append(typed(rows.withColumn("created_at", self._now), "agent_events"))
 
 
 def submit_results(
     t: Tables, responses: DataFrame, as_of: str | Column, outcomes: DataFrame | None = None
 ) -> Ingested:
-    """Ingest responses (seq, task_id, response, is_final) with unique `seq`.
+    """Ingest responses (seq, task_id, response, is_final); those that share a `seq`, or have none, are rejected.
 
     `outcomes` (seq, output, error) are results of sql tool calls the caller has already run. Results that come later go through
     `ingest_sql_tool_results`.

@@ -12,6 +12,7 @@ from ..model import STALE_SECONDS, Principal, Tables
 from .delta import assign_ids, instant, log_events, patch, typed
 from .views import last_sign_of_life, my_tasks
 
+# Fixed value: the note of a rejection that gives none.
 DEFAULT_REJECTION = "Rejected by human reviewer"
 
 
@@ -29,13 +30,18 @@ def require(allowed: bool, what: str) -> None:
         raise PermissionError(f"{what}: privileged role required")
 
 
+def _stripped(column: str) -> Column:
+    """Text without white space of any kind at either end; empty for null."""
+    return F.regexp_replace(F.coalesce(F.col(column), F.lit("")), r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+
+
 def enqueue(t: Tables, requests: DataFrame, p: Principal, as_of: str | Column) -> Outcome:
     """Create tasks for requests (request_id, agent_role, task, session_id). Without a session a new one is opened."""
     now = instant(as_of)
     cleaned = requests.select(
         F.col("request_id").cast("long").alias("request_id"),
-        F.trim(F.coalesce("agent_role", F.lit(""))).alias("agent_role"),
-        F.trim(F.coalesce("task", F.lit(""))).alias("task"),
+        _stripped("agent_role").alias("agent_role"),
+        _stripped("task").alias("task"),
         F.col("session_id").cast("long").alias("asked_session"),
     )
     agents = t.agent_meta.where("is_active").select(F.col("role_name").alias("agent_role"), "agent_id")
@@ -132,12 +138,12 @@ def resolve_approvals(t: Tables, decisions: DataFrame, p: Principal, as_of: str
     return Outcome(accepted, rejects, tables)
 
 
-def recover_stale(t: Tables, as_of: str | Column, seconds: int = STALE_SECONDS, p: Principal | None = None) -> Outcome:
+def recover_stale(t: Tables, p: Principal, as_of: str | Column, seconds: int = STALE_SECONDS) -> Outcome:
     """Running tasks without a sign of life go back to pending, or fail when their retries are used up.
 
     Retries are unlimited for agents without a profile. The heartbeat is left as it is.
     """
-    require(p is None or p.privileged, "recover_stale")
+    require(p.privileged, "recover_stale")
     now = instant(as_of)
     stale = (F.col("status") == "running") & (last_sign_of_life() < now - F.make_dt_interval(secs=F.lit(seconds)))
     profiles = t.agent_profiles.select("profile_id", "max_retries")

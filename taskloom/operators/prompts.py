@@ -9,19 +9,18 @@ a prefix of the history stream and to one result stream:
     subagent_segment  one row per message and (agent, session)
     log_segment       one row per message and task
     build_messages    one row per task: the references and the exact number of messages and characters of every part
-    prompt_rows       the written-out prompt of tasks the caller names
+    prompt_rows       the written-out prompts of requested tasks
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.running import running
 from ..model import Tables
 
+# Fixed value: how a delivered result is introduced.
 RESULT_PREFIX = "Subagent result from "
 
 
@@ -102,8 +101,23 @@ def system_prompts(t: Tables) -> DataFrame:
     )
 
 
-def prompt_sizes(t: Tables) -> DataFrame:
-    """`build_messages` with the state of the task and its assistant steps, from one pass over tasks and one over logs."""
+def narrowed(t: Tables, asked: DataFrame) -> Tables:
+    """The tables with only the logs of the asked tasks, and only the tasks and results of their sessions."""
+    sessions = t.tasks.join(asked, "task_id", "left_semi").select("session_id").distinct()
+    return t.replace(
+        tasks=t.tasks.join(sessions, "session_id", "left_semi").select(*t.tasks.columns),
+        execution_logs=t.execution_logs.join(asked, "task_id", "left_semi").select(*t.execution_logs.columns),
+        agent_messages=t.agent_messages.join(sessions, "session_id", "left_semi").select(*t.agent_messages.columns),
+    )
+
+
+def prompt_sizes(t: Tables, asked: DataFrame | None = None) -> DataFrame:
+    """`build_messages` with the state of the task and its assistant steps, from one pass over tasks and one over logs.
+
+    With `asked` (task_id) only for these tasks, and nothing else than their sessions and logs is aggregated.
+    """
+    if asked is not None:
+        return prompt_sizes(narrowed(t, asked)).join(asked, "task_id", "left_semi")
     none = F.lit(0).cast("long")
     results = subagent_segment(t).groupBy("agent_id", "session_id").agg(
         F.count(F.lit(1)).alias("result_messages"), F.sum(_length("content")).alias("result_chars")
@@ -146,12 +160,15 @@ def build_messages(t: Tables) -> DataFrame:
     return prompt_sizes(t).drop("status", "output", "steps")
 
 
-def prompt_rows(t: Tables, task_ids: Sequence[int]) -> DataFrame:
-    """The written-out prompts of the named tasks: (task_id, part, position, role, content), ordered.
+def prompt_rows(t: Tables, requests: DataFrame) -> DataFrame:
+    """The written-out prompts of the requested tasks (task_id): (task_id, part, position, tie, role, content).
 
-    The request is a list, so every scan is filtered on literals and the result is as long as the prompts asked for.
+    Rows that are ordered by (part, position, tie) within a task are its messages. Requests come first: only the sessions and logs of
+    the tasks asked for are read, and the result is as long as their prompts.
     """
-    wanted = t.tasks.where(F.col("task_id").isin(list(task_ids))).select("task_id", "session_id", "agent_id")
+    asked = requests.select("task_id").distinct()
+    t = narrowed(t, asked)
+    wanted = t.tasks.join(asked, "task_id", "left_semi").select("task_id", "session_id", "agent_id")
 
     def rows(df: DataFrame, part: int, *position: Column) -> DataFrame:
         order = [*position, F.lit(0), F.lit(0)][:2]
@@ -165,20 +182,19 @@ def prompt_rows(t: Tables, task_ids: Sequence[int]) -> DataFrame:
     )
     history = wanted.join(history_segment(t), "session_id").where(F.col("source_task_id") < F.col("task_id"))
     results = wanted.join(subagent_segment(t), ["agent_id", "session_id"])
-    logs = log_segment(t).join(wanted.select("task_id"), "task_id", "left_semi")
+    logs = log_segment(t).join(asked, "task_id", "left_semi")
     return (
         rows(system, 0)
         .unionByName(rows(history, 1, F.col("item_id")))
         .unionByName(rows(results, 2, F.unix_micros("created_at"), F.col("message_id")))
         .unionByName(rows(logs, 3, F.col("step_number"), F.coalesce("log_id", F.lit(0))))
-        .orderBy("task_id", "part", "position", "tie")
     )
 
 
 def render_prompt(messages: DataFrame) -> DataFrame:
     """Replace role and content by the line `ROLE: content`.
 
-    Written as text with an empty line between records (`lineSep="\\n\\n"`), the lines of a task are its prompt.
+    Ordered, and written as text with an empty line between records (`lineSep="\\n\\n"`), the lines of a task are its prompt.
     """
     line = F.concat(F.upper("role"), F.lit(": "), F.col("content"))
     return messages.withColumn("line", line).drop("role", "content")

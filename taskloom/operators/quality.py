@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..model import CHECKS, FOREIGN_KEYS, KEYS, UNIQUES, ForeignKey, Tables, Unique
+from ..session import stage
 
 
 def _key_text(columns: Sequence[str]) -> Column:
@@ -42,6 +43,9 @@ def _orphans(t: Tables, fk: ForeignKey) -> DataFrame:
 def validate_tables(t: Tables, tables: Sequence[str] | None = None) -> DataFrame:
     """Violations of domains, ranges, not-null, uniqueness and references, over all tables or the named ones."""
     chosen = list(tables) if tables is not None else list(KEYS)
+    # Every rule reads the same staged copies: a table is built once, however many constraints it has.
+    needed = {*chosen, *[fk.parent for fk in FOREIGN_KEYS if fk.table in chosen]}
+    t = t.replace(**{name: stage(t[name]) for name in sorted(needed)})
     parts = [_row_rules(t, name) for name in chosen]
     parts += [_duplicates(t, u) for u in UNIQUES if u.table in chosen]
     parts += [_orphans(t, fk) for fk in FOREIGN_KEYS if fk.table in chosen]

@@ -7,8 +7,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..model import KEEP_EVENT_DAYS, PURGE_QUALITY, Tables
+from ..model import KEEP_EVENT_DAYS, PURGE_QUALITY, Principal, Tables
 from .delta import instant
+from .lifecycle import require
 
 
 @dataclass(frozen=True)
@@ -23,8 +24,10 @@ def purge_report(t: Tables, task_ids: DataFrame, min_quality: float = PURGE_QUAL
     A row without a quality does not block.
     """
     bad = F.col("compressed_at").isNull() | F.coalesce(F.col("compression_quality") < min_quality, F.lit(False))
-    state = t.execution_logs.groupBy("task_id").agg(F.count(F.lit(1)).alias("_rows"), F.bool_or(bad).alias("_bad"))
-    asked = task_ids.select("task_id").distinct().join(state, "task_id", "left")
+    wanted = task_ids.select("task_id").distinct()
+    logs = t.execution_logs.join(wanted, "task_id", "left_semi")
+    state = logs.groupBy("task_id").agg(F.count(F.lit(1)).alias("_rows"), F.bool_or(bad).alias("_bad"))
+    asked = wanted.join(state, "task_id", "left")
     blocked = F.coalesce("_bad", F.lit(False))
     rows = F.coalesce("_rows", F.lit(0).cast("long"))
     return asked.select(
@@ -32,16 +35,18 @@ def purge_report(t: Tables, task_ids: DataFrame, min_quality: float = PURGE_QUAL
     )
 
 
-def purge_compressed(t: Tables, task_ids: DataFrame, min_quality: float = PURGE_QUALITY) -> Purged:
+def purge_compressed(t: Tables, p: Principal, task_ids: DataFrame, min_quality: float = PURGE_QUALITY) -> Purged:
     """Delete the logs of the asked tasks that nothing blocks."""
+    require(p.privileged, "purge_compressed")
     report = purge_report(t, task_ids, min_quality)
     free = report.where(~F.col("blocked")).select("task_id")
     kept = t.execution_logs.join(free, "task_id", "left_anti").select(*t.execution_logs.columns)
     return Purged(t.replace(execution_logs=kept), report)
 
 
-def purge_events(t: Tables, as_of: str | Column, keep_days: int = KEEP_EVENT_DAYS) -> Purged:
-    """Delete events older than `keep_days`. On events partitioned by date this prunes whole partitions."""
+def purge_events(t: Tables, p: Principal, as_of: str | Column, keep_days: int = KEEP_EVENT_DAYS) -> Purged:
+    """Delete events older than `keep_days`. The condition reaches the scan, where row groups without old events are skipped."""
+    require(p.privileged, "purge_events")
     limit = instant(as_of) - F.make_dt_interval(days=F.lit(keep_days))
     old = F.col("created_at") < limit
     kept = t.agent_events.where(~old)

@@ -22,7 +22,7 @@ from .views import active_dims
 DEFAULT_K = 5
 # Broadcast at most this many vector components (8 bytes each) of queries.
 BROADCAST_COMPONENTS = 4_000_000
-BLOCK_QUERIES = 1024
+BLOCK_QUERIES = 8192
 BLOCK_CANDIDATES = 16384
 
 _HITS = "query_id bigint, item_id bigint, distance double"
@@ -106,8 +106,9 @@ def _scan_with_broadcast(candidates: DataFrame, queries: DataFrame, width: int,
         for found in best.values():
             yield pa.RecordBatch.from_pandas(found.rows(), preserve_index=False)
 
-    asked = F.col("agent_id").isin([int(a) for a in by_agent]) if len(by_agent) <= 1000 else F.lit(True)
-    return candidates.where(asked).mapInArrow(scan, _HITS)
+    # The agents asked about are at most as many as the queries just counted.
+    asked = F.broadcast(queries.select("agent_id").distinct())
+    return candidates.join(asked, "agent_id", "left_semi").mapInArrow(scan, _HITS)
 
 
 def _scan_in_blocks(candidates: DataFrame, queries: DataFrame, width: int, k: int) -> DataFrame:
@@ -179,7 +180,7 @@ def _empty(queries: DataFrame, schema: str) -> DataFrame:
     return queries.sparkSession.createDataFrame([], schema)
 
 
-def search_memory(t: Tables, queries: DataFrame, k: int = DEFAULT_K) -> DataFrame:
+def search_memory(t: Tables, queries: DataFrame, k: int = DEFAULT_K, broadcast_components: int = BROADCAST_COMPONENTS) -> DataFrame:
     """The k memories of the query's agent nearest to each query (query_id, agent_id, query_vec)."""
     width = _width(t)
     if width is None:
@@ -189,7 +190,7 @@ def search_memory(t: Tables, queries: DataFrame, k: int = DEFAULT_K) -> DataFram
     pool = t.memory.where(_searchable("embedding", width)).select(
         "agent_id", F.col("memory_id").alias("item_id"), F.col("embedding").alias("vec")
     )
-    hits = top_k(pool, _asked(queries, width), width, k).withColumnRenamed("item_id", "memory_id")
+    hits = top_k(pool, _asked(queries, width), width, k, broadcast_components).withColumnRenamed("item_id", "memory_id")
     texts = t.memory.select("memory_id", "content", "created_at")
     return hits.join(texts, "memory_id").select(
         "query_id", "rank", "memory_id", "content", (F.lit(1.0) - F.col("distance")).alias("similarity"), "created_at"

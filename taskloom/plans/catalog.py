@@ -8,16 +8,17 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.vectors import cosine_similarity, export_vectors, ingest_vectors
-from ..model import CHECKS, FOREIGN_KEYS, KEYS, OPERATOR, UNIQUES, Principal, Tables
+from ..model import CHECKS, FOREIGN_KEYS, KEYS, OPERATOR, SCHEMAS, UNIQUES, Principal, Tables
 from ..operators import decide, embed, guard, ingest, lifecycle, prompts, quality, registry, retention, search, views
 from ..operators.delta import apply_delta, assign_ids, log_events, log_steps, typed
 from ..session import configure, scratch_path
-from ..sources.fixtures import AS_OF, AS_OF_EVENTS, command, from_driver_tables, live_tables, oracle_ctes
+from ..sources.fixtures import AS_OF, AS_OF_EVENTS, command, from_driver_tables, live_tables, live_tool_calls, oracle_ctes
 from ..sources.tables import load_tables, read_snapshot
 from ..streaming import streams
 from . import monitoring
@@ -132,6 +133,20 @@ _add(
     "SELECT m.memory_id, m.session_id, m.content, CAST(len(m.embedding) AS INT) AS embedding, m.embedding_dims, m.created_at "
     "FROM memory m JOIN agent_meta am ON am.agent_id = m.agent_id",
 )
+_add(
+    "my_memory_of_agent",
+    lambda c: views.my_memory(c.t, AGENT).withColumn("embedding", F.size("embedding")),
+    "memory agent_meta",
+    "SELECT m.memory_id, m.session_id, m.content, CAST(len(m.embedding) AS INT) AS embedding, m.embedding_dims, m.created_at "
+    "FROM memory m JOIN agent_meta am ON am.agent_id = m.agent_id WHERE am.role_name = 'agent_3'",
+)
+_add(
+    "my_tools_of_agent", lambda c: views.my_tools(c.t, AGENT), "tool_registry agent_tool_permissions agent_meta",
+    "SELECT t.tool_id, t.name, t.description, t.input_schema, t.tool_type, t.is_active FROM tool_registry t JOIN agent_tool_permissions p "
+    "ON p.tool_id = t.tool_id JOIN agent_meta am ON am.agent_id = p.agent_id WHERE t.is_active AND am.role_name = 'agent_3'",
+)
+_add("ready_tasks_of_agent", lambda c: views.ready_tasks(c.t, AGENT), "tasks agent_meta task_dependencies",
+     _READY.format("AND am.role_name = 'agent_3'"))
 _add(
     "my_tools", lambda c: views.my_tools(c.t, OPERATOR), "tool_registry agent_tool_permissions agent_meta",
     "SELECT t.tool_id, t.name, t.description, t.input_schema, t.tool_type, t.is_active FROM tool_registry t "
@@ -250,6 +265,13 @@ _add(
     f"{_MEMORY_HITS} SELECT query_id, CAST(rank AS INT) AS rank, memory_id, content, round(s, 6) AS similarity, created_at "
     "FROM ranked WHERE rank <= 5",
 )
+_add(
+    "search_memory_blocks",
+    lambda c: _rounded(search.search_memory(c.t, c.command("search_queries"), broadcast_components=64), "similarity"),
+    "memory search_queries",
+    f"{_MEMORY_HITS} SELECT query_id, CAST(rank AS INT) AS rank, memory_id, content, round(s, 6) AS similarity, created_at "
+    "FROM ranked WHERE rank <= 5",
+)
 _add(
     "search_tools", lambda c: _rounded(search.search_tools(c.t, c.command("search_queries")), "similarity"),
     "tool_registry agent_tool_permissions search_queries",
@@ -314,17 +336,34 @@ _PARTS = (
     "length(system_prompt) + history_chars + result_chars + log_chars AS char_count FROM parts) "
 )
 
-_add(
-    "history_segment", lambda c: prompts.history_segment(c.t), "tasks",
+_HISTORY_ROWS = (
     f"SELECT session_id, task_id AS source_task_id, task_id * 2 AS item_id, 'user' AS role, input AS content FROM tasks "
-    f"WHERE {_HISTORY} UNION ALL SELECT session_id, task_id, task_id * 2 + 1, 'assistant', output FROM tasks WHERE {_HISTORY}",
+    f"WHERE {_HISTORY} UNION ALL SELECT session_id, task_id, task_id * 2 + 1, 'assistant', output FROM tasks WHERE {_HISTORY}"
 )
+_add("history_segment", lambda c: prompts.history_segment(c.t), "tasks", _HISTORY_ROWS)
 _add("history_extent", lambda c: prompts.history_extent(c.t), "tasks", _EXTENT)
 _add("subagent_segment", lambda c: prompts.subagent_segment(c.t), "agent_messages agent_meta", _RESULTS)
 _add("log_segment", lambda c: prompts.log_segment(c.t), "tasks execution_logs", _LOGS)
 _add("build_messages", lambda c: prompts.build_messages(c.t), _PROMPT_NEEDS, f"{_PARTS} SELECT * FROM built")
+_WRITTEN = (
+    f"SELECT a.task_id, 0 AS part, CAST(0 AS BIGINT) AS position, CAST(0 AS BIGINT) AS tie, 'system' AS role, s.system_prompt AS content "
+    f"FROM asked a JOIN ({_SYSTEM}) s ON s.agent_id = a.agent_id UNION ALL "
+    f"SELECT a.task_id, 1, h.item_id, 0, h.role, h.content FROM asked a JOIN ({_HISTORY_ROWS}) h ON h.session_id = a.session_id "
+    f"AND h.source_task_id < a.task_id UNION ALL SELECT a.task_id, 2, epoch_us(r.created_at), r.message_id, r.role, r.content "
+    f"FROM asked a JOIN ({_RESULTS}) r ON r.agent_id = a.agent_id AND r.session_id = a.session_id UNION ALL "
+    f"SELECT l.task_id, 3, l.step_number, coalesce(l.log_id, 0), l.role, l.content FROM ({_LOGS}) l JOIN asked a ON a.task_id = l.task_id"
+)
+_add(
+    "prompt_rows", lambda c: prompts.prompt_rows(c.t, views.ready_tasks(c.t, OPERATOR)), f"{_PROMPT_NEEDS} task_dependencies",
+    f"WITH asked AS ({_READY.format('')}) {_WRITTEN}",
+)
+_add(
+    "render_prompt",
+    lambda c: prompts.render_prompt(prompts.prompt_rows(c.t, views.ready_tasks(c.t, OPERATOR))), f"{_PROMPT_NEEDS} task_dependencies",
+    f"WITH asked AS ({_READY.format('')}) SELECT task_id, part, position, tie, upper(role) || ': ' || content AS line FROM ({_WRITTEN})",
+)
 _add(
-    "render_prompt", lambda c: prompts.render_prompt(prompts.log_segment(c.t)), "tasks execution_logs",
+    "render_log", lambda c: prompts.render_prompt(prompts.log_segment(c.t)), "tasks execution_logs",
     f"SELECT task_id, step_number, log_id, upper(role) || ': ' || content AS line FROM ({_LOGS})",
 )
 
@@ -416,6 +455,29 @@ _add(
     "SELECT r.request_id * 20 AS task_id, 'unknown_task' AS reason FROM enqueue_requests r "
     "WHERE NOT EXISTS (SELECT 1 FROM tasks t WHERE t.task_id = r.request_id * 20)",
 )
+_add(
+    "next_actions_messages", lambda c: _decisions(c).messages, f"{_PROMPT_NEEDS}",
+    f"{_JUDGED}, asked AS (SELECT * FROM judged WHERE action = 'call_llm') {_WRITTEN}",
+)
+_add(
+    "next_actions_tools", lambda c: _decisions(c).tools, f"{_BUDGET_NEEDS} agent_tool_permissions tool_registry",
+    f"{_JUDGED} SELECT j.task_id, k.name, k.description, k.input_schema, k.tool_type FROM judged j JOIN ({_CATALOGUE}) k "
+    "ON k.agent_id = j.agent_id WHERE j.action = 'call_llm'",
+)
+
+
+def _with_vectors(c: Context) -> decide.Decisions:
+    """Every task asks with the mean vector of its agent."""
+    centres = c.command("search_queries").select("agent_id", "query_vec")
+    return decide.next_actions(c.t, c.t.tasks.select("task_id", "agent_id").join(centres, "agent_id").select("task_id", "query_vec"), AS_OF)
+
+
+_add(
+    "next_actions_memory", lambda c: _rounded(_with_vectors(c).memory, "similarity"), f"{_BUDGET_NEEDS} memory search_queries",
+    f"{_MEMORY_HITS}, " + _JUDGED.removeprefix("WITH ")
+    + "SELECT j.task_id, CAST(r.rank AS INT) AS rank, r.memory_id, r.content, round(r.s, 6) AS similarity FROM judged j "
+    "JOIN ranked r ON r.query_id = j.agent_id WHERE j.action = 'call_llm' AND r.rank <= 5",
+)
 _add(
     "next_actions_tasks",
     lambda c: _decisions(c).tables.tasks.select("task_id", "status", "output", "heartbeat_at", "updated_at"),
@@ -528,15 +590,15 @@ _INGEST_TASKS = (
 )
 _TASK_COLUMNS = ("task_id", "status", "output", "heartbeat_at", "updated_at")
 _add("ingest_tasks", lambda c: _ingested(c).tables.tasks.select(*_TASK_COLUMNS), _INGEST_NEEDS, _INGEST_TASKS)
-_add(
-    "ingest_logs", lambda c: _ingested(c).tables.execution_logs.select("log_id", "task_id", "step_number", "role", "content"),
-    _INGEST_NEEDS,
+_LOG_COLUMNS = ("log_id", "task_id", "step_number", "role", "content")
+_INGEST_LOGS = (
     f"{_CLASSIFIED}, added AS (SELECT seq * 2 AS pos, task_id, 'assistant' AS role, response AS content FROM noted UNION ALL "
     "SELECT seq * 2 + 1, task_id, 'tool', note FROM noted WHERE note IS NOT NULL) "
     "SELECT log_id, task_id, step_number, role, content FROM execution_logs UNION ALL SELECT (SELECT max(log_id) FROM execution_logs) "
     "+ row_number() OVER (ORDER BY pos), task_id, CAST(coalesce((SELECT max(e.step_number) FROM execution_logs e WHERE e.task_id = "
-    "added.task_id), 0) + row_number() OVER (PARTITION BY task_id ORDER BY pos) AS INT), role, content FROM added",
+    "added.task_id), 0) + row_number() OVER (PARTITION BY task_id ORDER BY pos) AS INT), role, content FROM added"
 )
+_add("ingest_logs", lambda c: _ingested(c).tables.execution_logs.select(*_LOG_COLUMNS), _INGEST_NEEDS, _INGEST_LOGS)
 _add(
     "ingest_dependencies", lambda c: _ingested(c).tables.task_dependencies, _INGEST_NEEDS,
     f"{_CLASSIFIED} SELECT dependency_id, task_id, depends_on_task_id FROM task_dependencies UNION ALL SELECT "
@@ -596,6 +658,62 @@ _add(
 )
 
 
+# One response for every task, of the kinds the conversations lack. Sql calls name a granted tool of the task's agent.
+_BROAD = (
+    "sql_tools AS (SELECT p.agent_id, min(t.name) AS tool FROM agent_tool_permissions p JOIN tool_registry t ON t.tool_id = p.tool_id "
+    "WHERE t.is_active AND t.tool_type = 'sql' GROUP BY p.agent_id), "
+    "broad AS (SELECT t.task_id AS seq, CASE k WHEN 6 THEN -t.task_id ELSE t.task_id END AS task_id, k, CASE k "
+    "WHEN 0 THEN '{\"action\":\"finish\"}' WHEN 1 THEN '{\"action\":\"call_tool\"}' WHEN 2 THEN concat("
+    "'{\"action\":\"call_tool\",\"tool_name\":\"', coalesce(s.tool, 'none'), '\",\"args\":{\"sql\":\"SELECT * FROM public.v_ready_tasks\"}}') "
+    "WHEN 3 THEN '{\"action\":\"delegate\",\"to_agent\":\"agent_1\"}' WHEN 4 THEN '{\"action\":\"request_approval\"}' "
+    "WHEN 5 THEN NULL ELSE '{\"action\":\"ponder\"}' END AS response, FALSE AS is_final "
+    "FROM (SELECT *, (task_id + session_id) % 8 AS k FROM tasks) t LEFT JOIN sql_tools s ON s.agent_id = t.agent_id)"
+)
+_BROAD_NEEDS = "tasks agent_tool_permissions tool_registry"
+
+
+def _broad(c: Context) -> ingest.Ingested:
+    for name in _BROAD_NEEDS.split():
+        c.t[name].createOrReplaceTempView(f"broad_{name}")
+    text = _BROAD
+    for name in _BROAD_NEEDS.split():
+        text = text.replace(f"FROM {name}", f"FROM broad_{name}").replace(f"JOIN {name}", f"JOIN broad_{name}")
+    return ingest.submit_results(c.t, c.spark.sql(f"WITH {text} SELECT seq, task_id, response, is_final FROM broad"), AS_OF)
+
+
+_add(
+    "ingest_rejects", lambda c: _broad(c).rejects, f"{_BROAD_NEEDS} agent_messages",
+    f"WITH {_BROAD} SELECT seq, task_id, CASE k WHEN 6 THEN 'unknown_task' WHEN 5 THEN 'no_response' WHEN 0 THEN 'finish_without_answer' "
+    "WHEN 3 THEN 'delegate_without_task' ELSE 'approval_without_reason' END AS reason FROM broad WHERE k IN (3, 4, 5, 6) OR (k = 0 AND "
+    "task_id IN (SELECT child_task_id FROM agent_messages WHERE direction = 'instruction'))",
+)
+
+
+def _sql_results(c: Context) -> DataFrame:
+    """Sql calls that pass the checks, with results that came later: half of them errors."""
+    done = _broad(c)
+    even = F.col("seq") % 2 == 0
+    outcomes = done.pending_sql.select(
+        "seq", "task_id", "tool_id", "input", F.when(even, F.lit("[]")).alias("output"), F.when(~even, F.lit("boom")).alias("error")
+    )
+    after = ingest.ingest_sql_tool_results(done.tables, outcomes, AS_OF).tool_executions
+    return after.where(F.col("executed_at") == F.lit(AS_OF).cast("timestamp")).select("task_id", "tool_id", "input", "output", "error")
+
+
+_add(
+    "ingest_sql_results", _sql_results, _BROAD_NEEDS,
+    f"WITH {_BROAD} SELECT b.task_id, t.tool_id, '{{\"sql\":\"SELECT * FROM public.v_ready_tasks\"}}' AS input, CASE WHEN b.seq % 2 = 0 THEN '[]' "
+    "END AS output, CASE WHEN b.seq % 2 <> 0 THEN 'boom' END AS error FROM broad b JOIN tasks x ON x.task_id = b.task_id "
+    "JOIN sql_tools s ON s.agent_id = x.agent_id JOIN tool_registry t ON t.name = s.tool WHERE b.k = 2",
+)
+_add(
+    "ingest_missing_tool_names",
+    lambda c: _broad(c).changes["execution_logs"].rows.where(F.col("content") == ingest.TOOL_NAME_MISSING).select("task_id", "role", "content"),
+    _BROAD_NEEDS,
+    f"WITH {_BROAD} SELECT task_id, 'tool' AS role, '{ingest.TOOL_NAME_MISSING}' AS content FROM broad WHERE k = 1",
+)
+
+
 def _by_action(c: Context) -> DataFrame:
     parts = ingest.split_by_action(_ingested(c).actions)
     frames = [f.select(F.lit(name).alias("output_name"), "seq", "task_id") for name, f in parts.items()]
@@ -703,13 +821,13 @@ _RETRY = (
 )
 _add(
     "recover_stale",
-    lambda c: lifecycle.recover_stale(c.t, AS_OF).tables.tasks.select("task_id", "status", "retry_count", "heartbeat_at", "updated_at"),
+    lambda c: lifecycle.recover_stale(c.t, OPERATOR, AS_OF).tables.tasks.select("task_id", "status", "retry_count", "heartbeat_at", "updated_at"),
     "tasks agent_profile_assignments agent_profiles agent_meta",
     f"SELECT t.task_id, CASE WHEN {_STALE} THEN CASE WHEN t.retry_count + 1 > {_RETRY} THEN 'failed' ELSE 'pending' END ELSE t.status END "
     f"AS status, CASE WHEN {_STALE} THEN t.retry_count + 1 ELSE t.retry_count END AS retry_count, t.heartbeat_at, "
     f"CASE WHEN {_STALE} THEN {NOW} ELSE t.updated_at END AS updated_at FROM tasks t",
 )
-_add("recover_stale_count", lambda c: lifecycle.recover_stale(c.t, AS_OF).accepted.agg(F.count("*").alias("recovered")), "tasks",
+_add("recover_stale_count", lambda c: lifecycle.recover_stale(c.t, OPERATOR, AS_OF).accepted.agg(F.count("*").alias("recovered")), "tasks",
      f"SELECT count(*) AS recovered FROM tasks t WHERE {_STALE}")
 _add(
     "task_graph", lambda c: lifecycle.task_graph(c.t), "tasks agent_meta",
@@ -879,10 +997,10 @@ _COVERAGE = (
     "round(count(*) FILTER (WHERE seen) / count(*), 6) AS share FROM (SELECT 'memory' AS source, CAST(agent_id AS BIGINT) AS agent_id, "
     "{memory} AS seen FROM memory UNION ALL SELECT 'tool_registry', NULL, {tools} FROM tool_registry WHERE is_active) GROUP BY 1, 2"
 )
-_add("plan_rotation", lambda c: embed.plan_rotation(c.t, "model-b", 32, "local", AS_OF).targets, "memory tool_registry", _targets(32))
+_add("plan_rotation", lambda c: embed.plan_rotation(c.t, OPERATOR, "model-b", 32, "local", AS_OF).targets, "memory tool_registry", _targets(32))
 _add(
     "rotation_events",
-    lambda c: embed.plan_rotation(c.t, "model-b", 32, "local", AS_OF).tables.agent_events.select("event_id", "event_type", "payload"),
+    lambda c: embed.plan_rotation(c.t, OPERATOR, "model-b", 32, "local", AS_OF).tables.agent_events.select("event_id", "event_type", "payload"),
     "agent_events",
     "SELECT event_id, event_type, payload FROM agent_events UNION ALL SELECT (SELECT max(event_id) FROM agent_events) + 1, "
     "'embedding_rotated', '{\"model\":\"model-b\",\"dims\":32}'",
@@ -908,7 +1026,7 @@ def _parsed_vectors(c: Context, key: str) -> DataFrame:
 
 _add(
     "set_memory_embeddings",
-    lambda c: embed.set_memory_embeddings(c.t, _parsed_vectors(c, "memory_id")).memory.select(
+    lambda c: embed.set_memory_embeddings(c.t, OPERATOR, _parsed_vectors(c, "memory_id")).memory.select(
         "memory_id", "embedding_dims", F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double")), 6).alias("total")
     ),
     "memory",
@@ -918,7 +1036,7 @@ _add(
 )
 _add(
     "set_tool_embeddings",
-    lambda c: embed.set_tool_embeddings(c.t, _parsed_vectors(c, "tool_id"), AS_OF).tool_registry.select(
+    lambda c: embed.set_tool_embeddings(c.t, OPERATOR, _parsed_vectors(c, "tool_id"), AS_OF).tool_registry.select(
         "tool_id", "embedding_dims", "updated_at"
     ),
     "tool_registry",
@@ -929,7 +1047,7 @@ _add(
 _add(
     "insert_memories",
     lambda c: embed.insert_memories(
-        c.t,
+        c.t, OPERATOR,
         c.t.tasks.where("status = 'completed' AND output IS NOT NULL").select(
             F.col("task_id").alias("seq"), "agent_id", "session_id", F.col("output").alias("content"),
             F.lit(None).cast("array<float>").alias("embedding"), F.lit(None).cast("int").alias("embedding_dims"),
@@ -950,20 +1068,20 @@ _PURGE = (
     "GROUP BY 1) "
 )
 _add(
-    "purge_compressed", lambda c: retention.purge_compressed(c.t, c.t.tasks).report, "tasks execution_logs",
+    "purge_compressed", lambda c: retention.purge_compressed(c.t, OPERATOR, c.t.tasks).report, "tasks execution_logs",
     f"{_PURGE} SELECT task_id, blocked, CASE WHEN blocked THEN 0 ELSE n END AS deleted FROM state",
 )
 _add(
     "purge_compressed_logs",
-    lambda c: retention.purge_compressed(c.t, c.t.tasks).tables.execution_logs.select("log_id", "task_id", "step_number"),
+    lambda c: retention.purge_compressed(c.t, OPERATOR, c.t.tasks).tables.execution_logs.select("log_id", "task_id", "step_number"),
     "tasks execution_logs",
     f"{_PURGE} SELECT el.log_id, el.task_id, el.step_number FROM execution_logs el LEFT JOIN state s ON s.task_id = el.task_id "
     "WHERE coalesce(s.blocked, TRUE)",
 )
 _OLD = f"created_at < TIMESTAMP '{AS_OF_EVENTS}' - INTERVAL '10' DAY"
-_add("purge_events", lambda c: retention.purge_events(c.t, AS_OF_EVENTS, 10).report, "agent_events",
+_add("purge_events", lambda c: retention.purge_events(c.t, OPERATOR, AS_OF_EVENTS, 10).report, "agent_events",
      f"SELECT count(*) AS deleted FROM agent_events WHERE {_OLD}")
-_add("purge_events_kept", lambda c: retention.purge_events(c.t, AS_OF_EVENTS, 10).tables.agent_events, "agent_events",
+_add("purge_events_kept", lambda c: retention.purge_events(c.t, OPERATOR, AS_OF_EVENTS, 10).tables.agent_events, "agent_events",
      f"SELECT * FROM agent_events WHERE NOT ({_OLD})")
 _add(
     "check_sql", lambda c: guard.check_sql(c.command("sql_requests"), c.t.sql_sandbox_allowlist).drop("sql_text"),
@@ -1060,8 +1178,8 @@ def _through_store(c: Context) -> DataFrame:
     store = scratch_path(c.spark, "store")
     streams.tables_to_store(Tables({"tasks": c.t.tasks}), c.spark, store)
     tables = read_snapshot(c.spark, store)
-    after = lifecycle.recover_stale(c.t.replace(tasks=tables.tasks), AS_OF).tables
-    streams.write_snapshot(c.spark, store, 1, {"tasks": after.tasks})
+    after = lifecycle.recover_stale(c.t.replace(tasks=tables.tasks), OPERATOR, AS_OF).tables
+    streams.write_snapshot(c.spark, store, {"tasks": after.tasks})
     return read_snapshot(c.spark, store).tasks.select("task_id", "status", "retry_count", "heartbeat_at", "updated_at")
 
 
@@ -1081,6 +1199,25 @@ def _loaded(c: Context) -> DataFrame:
 
 _add("load_tables", _loaded, "tool_registry tool_executions", _STATS)
 
+
+def _all_loaded(c: Context) -> DataFrame:
+    """Rows of each of the 20 tables after they went through the typed Parquet folders, with the columns that hold a value."""
+    store = scratch_path(c.spark, "tables")
+    for name in SCHEMAS:
+        typed(c.t[name], name).write.parquet(f"{store}/{name}")
+    loaded = load_tables(c.spark, store)
+    counts = [
+        loaded[name].agg(F.lit(name).alias("table_name"), F.count(F.lit(1)).alias("n"), *[F.count(k).alias(f"k{i}") for i, k in enumerate(KEYS[name][:1])])
+        for name in SCHEMAS
+    ]
+    return reduce(DataFrame.unionByName, counts)
+
+
+_add(
+    "load_all_tables", _all_loaded, " ".join(SCHEMAS),
+    " UNION ALL ".join(f"SELECT '{name}' AS table_name, count(*) AS n, count({KEYS[name][0]}) AS k0 FROM {name}" for name in SCHEMAS),
+)
+
 # ---------------------------------------------------------------- monitoring
 
 _ALL = f"BETWEEN TIMESTAMP '{FROM}' AND TIMESTAMP '{TO}'"
@@ -1092,20 +1229,20 @@ def _level_sql(red: int, yellow: int | None = None) -> str:
 
 
 def _count_sql(table: str, where: str) -> str:
-    return f"SELECT CAST(count(*) AS INT) AS value FROM {table} WHERE {where}"
+    return f"SELECT {NOW} AS time, CAST(count(*) AS INT) AS value FROM {table} WHERE {where}"
 
 
-_add("active_sessions_count", lambda c: monitoring.active_sessions_count(c.t), "sessions", _count_sql("sessions", "status = 'active'"))
-_add("running_tasks_count", lambda c: monitoring.running_tasks_count(c.t), "tasks", _count_sql("tasks", "status = 'running'"))
-_add("waiting_tasks_count", lambda c: monitoring.waiting_tasks_count(c.t), "tasks", _count_sql("tasks", "status IN ('waiting', 'pending')"))
-_add("pending_approvals_count", lambda c: monitoring.pending_approvals_count(c.t), "human_approvals",
+_add("active_sessions_count", lambda c: monitoring.active_sessions_count(c.t, AS_OF), "sessions", _count_sql("sessions", "status = 'active'"))
+_add("running_tasks_count", lambda c: monitoring.running_tasks_count(c.t, AS_OF), "tasks", _count_sql("tasks", "status = 'running'"))
+_add("waiting_tasks_count", lambda c: monitoring.waiting_tasks_count(c.t, AS_OF), "tasks", _count_sql("tasks", "status IN ('waiting', 'pending')"))
+_add("pending_approvals_count", lambda c: monitoring.pending_approvals_count(c.t, AS_OF), "human_approvals",
      _count_sql("human_approvals", "status = 'pending'"))
 _add(
     "failed_recent", lambda c: monitoring.failed_recent(c.t, AS_OF), "tasks",
-    f"SELECT value, {_level_sql(5, 1)} FROM ({_count_sql('tasks', f'''status = 'failed' AND updated_at > {NOW} - {DAY}''')})",
+    f"SELECT time, value, {_level_sql(5, 1)} FROM ({_count_sql('tasks', f'''status = 'failed' AND updated_at > {NOW} - {DAY}''')})",
 )
 _add("stale_count", lambda c: monitoring.stale_count(c.t, AS_OF), "tasks",
-     f"SELECT value, {_level_sql(1)} FROM ({_count_sql('tasks t', _STALE)})")
+     f"SELECT time, value, {_level_sql(1)} FROM ({_count_sql('tasks t', _STALE)})")
 _add(
     "task_throughput", lambda c: monitoring.task_throughput(c.t, FROM, TO), "tasks",
     f"SELECT date_trunc('minute', created_at) AS time, status, CAST(count(*) AS INT) AS value FROM tasks WHERE created_at {_ALL} GROUP BY 1, 2",
@@ -1138,10 +1275,10 @@ _DONE = (
     f"{NOW} - {DAY}"
 )
 _add("completed_recent", lambda c: monitoring.completed_recent(c.t, AS_OF), "tasks agent_meta",
-     f"SELECT CAST(count(*) AS INT) AS value {_DONE.format('')}")
+     f"SELECT {NOW} AS time, CAST(count(*) AS INT) AS value {_DONE.format('')}")
 _add(
     "avg_steps_per_task", lambda c: _rounded(monitoring.avg_steps_per_task(c.t, AS_OF), "value"), "tasks agent_meta execution_logs",
-    "SELECT round(coalesce(avg(steps), 0), 6) AS value FROM (SELECT t.task_id, count(el.log_id) AS steps "
+    f"SELECT {NOW} AS time, round(coalesce(avg(steps), 0), 6) AS value FROM (SELECT t.task_id, count(el.log_id) AS steps "
     + _DONE.format("LEFT JOIN execution_logs el ON el.task_id = t.task_id AND el.role = 'assistant'")
     + " GROUP BY t.task_id)",
 )
@@ -1161,6 +1298,35 @@ _add(
     f"t.agent_id WHERE t.status = 'failed' AND t.updated_at > {NOW} - INTERVAL '7' DAY ORDER BY t.updated_at DESC, t.task_id LIMIT 50",
 )
 
+ROLES = ("agent_1", "agent_3")
+_ROLES = "am.role_name IN ('agent_1', 'agent_3')"
+_add("agent_inventory_of_roles", lambda c: monitoring.agent_inventory(c.t, ROLES), _CONTEXT_NEEDS,
+     f"SELECT am.role_name, am.display_name, ap.agent_role, lc.provider, lc.model_name, ap.max_steps, am.is_active {_CONTEXT} WHERE {_ROLES}")
+_add("completed_recent_of_roles", lambda c: monitoring.completed_recent(c.t, AS_OF, roles=ROLES), "tasks agent_meta",
+     f"SELECT {NOW} AS time, CAST(count(*) AS INT) AS value {_DONE.format('')} AND {_ROLES}")
+_add(
+    "avg_steps_per_task_of_roles", lambda c: _rounded(monitoring.avg_steps_per_task(c.t, AS_OF, roles=ROLES), "value"),
+    "tasks agent_meta execution_logs",
+    f"SELECT {NOW} AS time, round(coalesce(avg(steps), 0), 6) AS value FROM (SELECT t.task_id, count(el.log_id) AS steps "
+    + _DONE.format("LEFT JOIN execution_logs el ON el.task_id = t.task_id AND el.role = 'assistant'")
+    + f" AND {_ROLES} GROUP BY t.task_id)",
+)
+_add(
+    "tasks_per_agent_of_roles", lambda c: monitoring.tasks_per_agent(c.t, FROM, TO, ROLES), "tasks agent_meta",
+    "SELECT date_trunc('hour', t.updated_at) AS time, am.role_name AS metric, CAST(count(*) AS INT) AS value FROM tasks t JOIN agent_meta am "
+    f"ON am.agent_id = t.agent_id WHERE t.updated_at {_ALL} AND t.status = 'completed' AND {_ROLES} GROUP BY 1, 2",
+)
+_add(
+    "tool_grants_of_roles", lambda c: monitoring.tool_grants(c.t, ROLES), "agent_tool_permissions agent_meta tool_registry",
+    "SELECT am.role_name AS agent, t.name AS tool, t.tool_type, p.granted_at FROM agent_tool_permissions p JOIN agent_meta am ON am.agent_id "
+    f"= p.agent_id JOIN tool_registry t ON t.tool_id = p.tool_id WHERE {_ROLES}",
+)
+_add(
+    "recent_failures_of_roles", lambda c: monitoring.recent_failures(c.t, AS_OF, roles=ROLES), "tasks agent_meta",
+    "SELECT t.task_id, am.role_name AS agent, t.input, t.output AS reason, t.updated_at FROM tasks t JOIN agent_meta am ON am.agent_id = "
+    f"t.agent_id WHERE t.status = 'failed' AND t.updated_at > {NOW} - INTERVAL '7' DAY AND {_ROLES} ORDER BY t.updated_at DESC, t.task_id LIMIT 50",
+)
+
 # ---------------------------------------------------------------- streams
 
 _CHANGES = "lag(status) OVER (PARTITION BY {} ORDER BY ts)"
@@ -1203,6 +1369,40 @@ _add(
     "SELECT date_trunc('hour', created_at) AS time, event_type AS metric, count(*) AS value FROM agent_events GROUP BY 1, 2 "
     "HAVING date_trunc('hour', created_at) + INTERVAL '1' HOUR <= (SELECT max(created_at) - INTERVAL '10' MINUTE FROM agent_events)",
 )
+_add(
+    "stream_task_throughput",
+    lambda c: streams.drain(streams.throughput_stream(c.live().tasks, "created_at", "1 minute", F.col("status"))), "tasks",
+    "SELECT date_trunc('minute', created_at) AS time, status AS metric, count(*) AS value FROM tasks GROUP BY 1, 2 "
+    "HAVING date_trunc('minute', created_at) + INTERVAL '1' MINUTE <= (SELECT max(created_at) - INTERVAL '10' MINUTE FROM tasks)",
+)
+
+
+def _live_tasks_per_agent(c: Context) -> DataFrame:
+    names = c.t.agent_meta.select("agent_id", "role_name")
+    done = c.live().tasks.where("status = 'completed'").join(names, "agent_id")
+    return streams.drain(streams.throughput_stream(done, "updated_at", "1 hour", F.col("role_name")))
+
+
+_add(
+    "stream_tasks_per_agent", _live_tasks_per_agent, "tasks agent_meta",
+    "WITH done AS (SELECT t.updated_at, am.role_name FROM tasks t JOIN agent_meta am ON am.agent_id = t.agent_id WHERE t.status = 'completed') "
+    "SELECT date_trunc('hour', updated_at) AS time, role_name AS metric, count(*) AS value FROM done GROUP BY 1, 2 "
+    "HAVING date_trunc('hour', updated_at) + INTERVAL '1' HOUR <= (SELECT max(updated_at) - INTERVAL '10' MINUTE FROM done)",
+)
+
+
+def _live_tool_calls(c: Context) -> DataFrame:
+    names = c.t.tool_registry.select("tool_id", "name")
+    calls = live_tool_calls(c.spark, c.directory).join(names, "tool_id")
+    return streams.drain(streams.throughput_stream(calls, "executed_at", "1 minute", F.col("name")))
+
+
+_add(
+    "stream_tool_calls", _live_tool_calls, "tool_executions tool_registry",
+    "WITH calls AS (SELECT te.executed_at, t.name FROM tool_executions te JOIN tool_registry t ON t.tool_id = te.tool_id) "
+    "SELECT date_trunc('minute', executed_at) AS time, name AS metric, count(*) AS value FROM calls GROUP BY 1, 2 "
+    "HAVING date_trunc('minute', executed_at) + INTERVAL '1' MINUTE <= (SELECT max(executed_at) - INTERVAL '10' MINUTE FROM calls)",
+)
 _add(
     "stream_heartbeat_monitor",
     lambda c: streams.drain(streams.heartbeat_monitor(c.command("heartbeats", live=True))), "heartbeats",
@@ -1225,15 +1425,16 @@ _add(
 )
 
 
-def _live_ingest(c: Context) -> DataFrame:
+def _live_ingest(c: Context) -> Tables:
     store = scratch_path(c.spark, "live-store")
     streams.tables_to_store(c.t, c.spark, store)
     live = c.command("responses", live=True)
     streams.ingest_stream(live, store, lambda batch: AS_OF, f"{store}-state").awaitTermination()
-    return read_snapshot(c.spark, store).tasks.select(*_TASK_COLUMNS)
+    return read_snapshot(c.spark, store)
 
 
-_add("stream_ingest", _live_ingest, _INGEST_NEEDS, _INGEST_TASKS)
+_add("stream_ingest", lambda c: _live_ingest(c).tasks.select(*_TASK_COLUMNS), _INGEST_NEEDS, _INGEST_TASKS)
+_add("stream_ingest_logs", lambda c: _live_ingest(c).execution_logs.select(*_LOG_COLUMNS), _INGEST_NEEDS, _INGEST_LOGS)
 
 
 def _live_reembed(c: Context) -> DataFrame:

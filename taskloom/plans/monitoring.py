@@ -1,4 +1,4 @@
-"""The 18 dashboard queries. `roles=None` selects all agents; time ranges include both ends."""
+"""The 18 dashboard queries. `roles=None` selects all agents; time ranges include both ends; counters carry the time they hold for."""
 
 from __future__ import annotations
 
@@ -16,8 +16,8 @@ FAILED_LEVELS = ((5, "red"), (1, "yellow"))
 STALE_LEVELS = ((1, "red"),)
 
 
-def _count(df: DataFrame) -> DataFrame:
-    return df.agg(F.count(F.lit(1)).cast("int").alias("value"))
+def _count(df: DataFrame, as_of: str | Column) -> DataFrame:
+    return df.agg(F.count(F.lit(1)).cast("int").alias("value")).select(instant(as_of).alias("time"), "value")
 
 
 def _level(value: str, levels: Sequence[tuple[int, str]]) -> Column:
@@ -40,30 +40,30 @@ def _within(column: str, start: str, end: str) -> Column:
     return F.col(column).between(instant(start), instant(end))
 
 
-def active_sessions_count(t: Tables) -> DataFrame:
-    return _count(t.sessions.where("status = 'active'"))
+def active_sessions_count(t: Tables, as_of: str | Column) -> DataFrame:
+    return _count(t.sessions.where("status = 'active'"), as_of)
 
 
-def running_tasks_count(t: Tables) -> DataFrame:
-    return _count(t.tasks.where("status = 'running'"))
+def running_tasks_count(t: Tables, as_of: str | Column) -> DataFrame:
+    return _count(t.tasks.where("status = 'running'"), as_of)
 
 
-def waiting_tasks_count(t: Tables) -> DataFrame:
-    return _count(t.tasks.where(F.col("status").isin("waiting", "pending")))
+def waiting_tasks_count(t: Tables, as_of: str | Column) -> DataFrame:
+    return _count(t.tasks.where(F.col("status").isin("waiting", "pending")), as_of)
 
 
-def pending_approvals_count(t: Tables) -> DataFrame:
-    return _count(t.human_approvals.where("status = 'pending'"))
+def pending_approvals_count(t: Tables, as_of: str | Column) -> DataFrame:
+    return _count(t.human_approvals.where("status = 'pending'"), as_of)
 
 
 def failed_recent(t: Tables, as_of: str | Column, hours: int = 24) -> DataFrame:
     """Tasks failed lately, with the colour of the counter."""
     failed = t.tasks.where((F.col("status") == "failed") & _since("updated_at", as_of, hours))
-    return _count(failed).select("value", _level("value", FAILED_LEVELS))
+    return _count(failed, as_of).select("time", "value", _level("value", FAILED_LEVELS))
 
 
 def stale_count(t: Tables, as_of: str | Column, seconds: int = STALE_SECONDS) -> DataFrame:
-    return _count(stale_tasks(t, as_of, seconds)).select("value", _level("value", STALE_LEVELS))
+    return _count(stale_tasks(t, as_of, seconds), as_of).select("time", "value", _level("value", STALE_LEVELS))
 
 
 def task_throughput(t: Tables, start: str, end: str) -> DataFrame:
@@ -138,7 +138,7 @@ def _completed_recent(t: Tables, as_of: str | Column, hours: int, roles: Sequenc
 def completed_recent(
     t: Tables, as_of: str | Column, hours: int = 24, roles: Sequence[str] | None = None
 ) -> DataFrame:
-    return _count(_completed_recent(t, as_of, hours, roles))
+    return _count(_completed_recent(t, as_of, hours, roles), as_of)
 
 
 def avg_steps_per_task(
@@ -148,7 +148,7 @@ def avg_steps_per_task(
     steps = t.execution_logs.where("role = 'assistant'").groupBy("task_id").agg(F.count(F.lit(1)).alias("steps"))
     tasks = _completed_recent(t, as_of, hours, roles).join(steps, "task_id", "left")
     mean = F.avg(F.coalesce("steps", F.lit(0).cast("long")))
-    return tasks.agg(F.coalesce(mean, F.lit(0.0)).alias("value"))
+    return tasks.agg(F.coalesce(mean, F.lit(0.0)).alias("value")).select(instant(as_of).alias("time"), "value")
 
 
 def tasks_per_agent(t: Tables, start: str, end: str, roles: Sequence[str] | None = None) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -64,16 +66,34 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+#: Folders staged inside the innermost `staging()`, to be removed when it ends.
+_staged: list[list[str]] = []
+
+
+@contextmanager
+def staging() -> Iterator[None]:
+    """Remove what is staged inside once the block ends: for work whose results are written by then."""
+    _staged.append([])
+    try:
+        yield
+    finally:
+        spark = SparkSession.getActiveSession()
+        for path in _staged.pop():
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def stage(df: DataFrame) -> DataFrame:
-    """Materialise a frame that many branches read, in reliable storage.
+    """Materialise a frame that many branches read: Parquet in the shared folder, read back.
 
-    A lost executor then costs a re-read of files instead of the whole upstream plan.
+    A lost executor then costs a re-read of files instead of the whole upstream plan, and branches read only the columns they use.
     """
     spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)
+    path = scratch_path(spark, "stage")
+    df.write.parquet(path)
+    if _staged:
+        _staged[-1].append(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def settle(tables, *names: str):

@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.running import numbered, running
+from ..functions.running import running
 from ..model import SCHEMAS, Tables
 
 # Fixed clocks of the fixtures.
@@ -314,7 +314,7 @@ COMMANDS: dict[str, Derived] = {
     "responses": Derived(
         "(SELECT *, (conv_id + turn) % 8 AS k FROM conversations WHERE role = 'assistant') x",
         {
-            "seq": "conv_id * 100 + turn",
+            "seq": "conv_id * 100000 + turn",
             "task_id": "conv_id",
             "response": "CASE k WHEN 0 THEN '{\"action\":\"finish\",\"final_answer\":\"done\"}' "
             "WHEN 1 THEN concat('{\"action\":\"call_tool\",\"tool_name\":\"tool_', (conv_id * 7 + turn) % 200, "
@@ -482,14 +482,15 @@ class _Driver:
         return self.spark.sql(f"SELECT * FROM {source}")
 
     def steps(self) -> DataFrame:
-        """lineitem with a step number per order; a hot order is cut by line number and part."""
-        return numbered(
+        """lineitem with a step number per order; an order of very many lines is cut every 1,024 line numbers."""
+        counted = running(
             self.scan("lineitem"),
+            ["l_orderkey"],
             _LINE_ORDER.split(", "),
-            "step",
-            keys=["l_orderkey"],
-            bucket=[F.col("l_linenumber"), F.shiftright("l_partkey", 16)],
+            {"step": ("sum", F.lit(1).cast("long"))},
+            bucket=[F.shiftright("l_linenumber", 10)],
         )
+        return counted.withColumn("step", F.col("step") + 1)
 
     def numbered_orders(self) -> DataFrame:
         """orders with the previous order of the same customer."""
@@ -579,6 +580,13 @@ def live_tables(spark: SparkSession, directory: str) -> Tables:
     return _bundle(_Driver(spark, directory, live=True))
 
 
+def live_tool_calls(spark: SparkSession, directory: str) -> DataFrame:
+    """(task_id, tool_id, executed_at) of tool executions as a file stream; their ids need an order and have no stream."""
+    columns = DERIVED["tool_executions"].columns
+    rows = _Driver(spark, directory, live=True).scan("lineitem").where("l_partkey % 23 <> 1")
+    return rows.select(*[F.expr(columns[c]).alias(c) for c in ("task_id", "tool_id")], F.expr(columns["executed_at"]).cast("timestamp").alias("executed_at"))
+
+
 def command(spark: SparkSession, directory: str, name: str, live: bool = False) -> DataFrame:
     """A command input of FIXTURES.md, as a table or as a file stream."""
     driver = _Driver(spark, directory, live)

@@ -1,9 +1,10 @@
 """Live variants of the operators on Structured Streaming.
 
 What the built-in streaming operators express (deduplication, tumbling and session windows, sums) is left to them. Notifications
-on a change of status need the status before: each micro-batch is joined to the last known status of its keys, kept as a versioned
-table, and changes inside the batch are found by a running aggregate. Neither gathers the rows of one key in one task, so a key
-that sends a third of all rows is no special case. Every micro-batch commits under its batch id and may be repeated safely.
+on a change of status need the status before: each micro-batch is joined to the newest known status of its keys, kept as a table of a
+store, and changes inside the batch are found by a running aggregate. Neither gathers the rows of one key in one task, so a key
+that sends a third of all rows is no special case. Every micro-batch is one commit under the stream's own name and batch id, may be
+repeated safely, and leaves the rows written before it where they are.
 """
 
 from __future__ import annotations
@@ -17,30 +18,33 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.running import running
 from ..model import STALE_SECONDS, Tables
-from ..operators.delta import apply_delta
+from ..operators.delta import Append, Upsert
 from ..operators.embed import EmbedFunction, reembed
 from ..operators.ingest import ANSWER_CHARS, submit_results
-from ..session import scratch_path, stage
-from ..sources.tables import committed_versions, read_snapshot, write_snapshot
+from ..session import scratch_path, stage, staging
+from ..sources.tables import committed_batch, read_snapshot, write_snapshot
 
-# 2**30 microseconds, about 18 minutes: the piece of a key's history that is scanned in one window.
-_TIME_BITS = 30
+# 2**20 microseconds, about a second: the piece of a key's history that is scanned in one window.
+_TIME_BITS = 20
 
 
 def status_changes(batch: DataFrame, known: DataFrame | None, key: str) -> DataFrame:
     """Rows (key, …, status, ts) whose status differs from the one before, with that `previous` status.
 
-    `known` holds the last status per key from earlier batches. Rows of a key are ordered by time.
+    `known` (key, status, ts) holds the newest status per key of earlier batches. Rows of a key are ordered by time, of equal times by
+    status; rows that are not newer than what is known come too late, or again, and are left out.
     """
-    timed = batch.withColumn("_us", F.unix_micros("ts"))
+    if known is not None:
+        before = known.select(key, F.col("status").alias("_known"), F.col("ts").alias("_known_ts"))
+        joined = batch.join(before, key, "left")
+        newer = F.struct("ts", "status") > F.struct(F.col("_known_ts").alias("ts"), F.col("_known").alias("status"))
+        fresh = joined.where(F.col("_known_ts").isNull() | newer).drop("_known_ts")
+    else:
+        fresh = batch.withColumn("_known", F.lit(None).cast("string"))
     ranked = running(
-        timed, [key], ["_us", "status"], {"_prev": ("max", F.struct("_us", "status"))},
+        fresh.withColumn("_us", F.unix_micros("ts")), [key], ["_us", "status"], {"_prev": ("max", F.struct("_us", "status"))},
         bucket=[F.shiftright("_us", _TIME_BITS)],
     )
-    if known is not None:
-        ranked = ranked.join(known.select(key, F.col("status").alias("_known")), key, "left")
-    else:
-        ranked = ranked.withColumn("_known", F.lit(None).cast("string"))
     previous = F.coalesce("_prev.status", "_known")
     return (
         ranked.withColumn("previous", previous)
@@ -50,9 +54,17 @@ def status_changes(batch: DataFrame, known: DataFrame | None, key: str) -> DataF
 
 
 def last_status(batch: DataFrame, known: DataFrame | None, key: str) -> DataFrame:
-    """The last known status per key after a batch."""
-    newest = batch.groupBy(key).agg(F.max_by("status", F.struct("ts", "status")).alias("status"))
-    return newest if known is None else apply_delta(known.select(key, "status"), newest, [key])
+    """(key, status, ts) of the keys whose newest status a batch moves on."""
+    newest = batch.groupBy(key).agg(F.max(F.struct("ts", "status")).alias("_new")).select(key, "_new.status", "_new.ts")
+    if known is None:
+        return newest
+    before = known.select(key, F.struct("ts", "status").alias("_old"))
+    return newest.join(before, key, "left").where(F.col("_old").isNull() | (F.struct("ts", "status") > F.col("_old"))).drop("_old")
+
+
+def stream_name(spark: SparkSession, given: str) -> str:
+    """Who writes: the given name and the id that Spark keeps in the stream's checkpoint. A new checkpoint is a new writer."""
+    return f"{given}:{spark.sparkContext.getLocalProperty('sql.streaming.queryId')}"
 
 
 def _available(trigger: dict[str, Any]) -> dict[str, Any]:
@@ -62,17 +74,22 @@ def _available(trigger: dict[str, Any]) -> dict[str, Any]:
 def change_stream(
     changes: DataFrame, key: str, emit: Callable[[DataFrame], DataFrame], store: str, **trigger: Any
 ) -> StreamingQuery:
-    """Write `emit(status changes)` of every micro-batch below `store`/out and keep the last status per key beside it."""
+    """Add `emit(status changes)` of every micro-batch to the table `out` of a store, and keep the newest status per key beside it.
+
+    Both are committed together. Of the statuses only the buckets of keys that moved on are written anew.
+    """
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        done, _ = committed_versions(spark, f"{store}/state")
-        if done >= batch_id:
+        name = stream_name(spark, "changes")
+        if committed_batch(spark, f"{store}/state", name) >= batch_id:
             return
         known = read_snapshot(spark, f"{store}/state").get("last")
-        rows = stage(batch)
-        emit(status_changes(rows, known, key)).write.mode("overwrite").parquet(f"{store}/out/batch={batch_id}")
-        write_snapshot(spark, f"{store}/state", batch_id, {"last": last_status(rows, known, key)}, slots=2)
+        with staging():
+            rows = stage(batch)
+            notices = emit(status_changes(rows, known, key))
+            changes = {"last": Upsert(last_status(rows, known, key), (key,)), "out": Append(notices)}
+            write_snapshot(spark, f"{store}/state", changes, name, batch_id)
 
     writer = changes.writeStream.foreachBatch(run).option("checkpointLocation", f"{store}/checkpoint")
     return writer.trigger(**_available(trigger)).start()
@@ -159,37 +176,40 @@ def session_progress_stream(deltas: DataFrame) -> DataFrame:
 
 
 def ingest_stream(
-    responses: DataFrame, store: str, as_of: Callable[[int], str], checkpoint: str, **trigger: Any
+    responses: DataFrame, store: str, as_of: Callable[[int], str], checkpoint: str, name: str = "ingest", **trigger: Any
 ) -> StreamingQuery:
-    """Ingest every micro-batch into the snapshot store. A repeated batch finds its snapshot committed and does nothing."""
+    """Ingest every micro-batch into the store: one commit of new rows and touched buckets, with the batch's `actions` and `rejects`.
+
+    A batch this stream has committed does nothing when it is repeated; versions of other writers have no bearing on that.
+    """
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        done, _ = committed_versions(spark, store)
-        if done > batch_id:
+        writer = stream_name(spark, name)
+        if committed_batch(spark, store, writer) >= batch_id:
             return
-        tables = read_snapshot(spark, store)
-        result = submit_results(tables, batch, as_of(batch_id))
-        changed = {name: frame for name, frame in result.tables.items() if frame is not tables[name]}
-        result.actions.write.mode("overwrite").parquet(f"{store}/actions/batch={batch_id}")
-        write_snapshot(spark, store, batch_id + 1, changed)
+        with staging():
+            result = submit_results(read_snapshot(spark, store), batch, as_of(batch_id))
+            changes = {**result.changes, "actions": Append(result.actions), "rejects": Append(result.rejects)}
+            write_snapshot(spark, store, changes, writer, batch_id)
 
     writer = responses.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     return writer.trigger(**_available(trigger)).start()
 
 
 def reembed_stream(
-    ticks: DataFrame, store: str, embed: EmbedFunction, as_of: Callable[[int], str], checkpoint: str, **trigger: Any
+    ticks: DataFrame, store: str, embed: EmbedFunction, as_of: Callable[[int], str], checkpoint: str, name: str = "reembed", **trigger: Any
 ) -> StreamingQuery:
-    """Re-embed whatever is due whenever new rows arrive, and commit the vectors as a snapshot."""
+    """Re-embed whatever is due whenever new rows arrive, and commit the rows that got a vector."""
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        done, _ = committed_versions(spark, store)
-        if done > batch_id:
+        writer = stream_name(spark, name)
+        if committed_batch(spark, store, writer) >= batch_id:
             return
-        tables = reembed(read_snapshot(spark, store), embed, as_of(batch_id)).tables
-        write_snapshot(spark, store, batch_id + 1, {"memory": tables.memory, "tool_registry": tables.tool_registry})
+        with staging():
+            result = reembed(read_snapshot(spark, store), embed, as_of(batch_id))
+            write_snapshot(spark, store, result.changes, writer, batch_id)
 
     writer = ticks.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     return writer.trigger(**_available(trigger)).start()
@@ -206,9 +226,9 @@ def drain(stream: DataFrame) -> DataFrame:
 
 def emitted(spark: SparkSession, store: str) -> DataFrame:
     """Everything a change stream has written so far."""
-    return spark.read.parquet(f"{store}/out").drop("batch")
+    return read_snapshot(spark, f"{store}/state")["out"]
 
 
 def tables_to_store(t: Tables, spark: SparkSession, store: str) -> None:
-    """Version 0 of a snapshot store."""
-    write_snapshot(spark, store, 0, dict(t.items()))
+    """The first version of a store."""
+    write_snapshot(spark, store, dict(t.items()))

@@ -62,7 +62,7 @@ def test_recovery_boundaries(spark):
         task(6, status="running", updated_at=T0 + timedelta(minutes=55)),  # exactly 300 s: not stale yet
     ]
     t = bundle(spark, **data, sessions=[session(1)], tasks=tasks)
-    got = recover_stale(t, NOW)
+    got = recover_stale(t, OPERATOR, NOW)
     assert rows(got.tables.tasks, "task_id", "status", "retry_count") == [
         (1, "pending", 1), (2, "failed", 2), (3, "pending", 10), (4, "running", 0), (5, "pending", 0), (6, "running", 0)]
     assert got.tables.tasks.where("task_id = 1").first()["heartbeat_at"] == old
@@ -118,3 +118,11 @@ def test_tool_scenario(spark):
     got = submit_results(t, spark.createDataFrame(batch, RESPONSE), NOW)
     assert rows(got.actions, "seq", "action", "args") == [(1, "invoke_tool", '{"q":"x"}'), (2, "done", None)]
     assert rows(got.tables.tasks, "status", "output") == [("completed", "y")]
+
+
+def test_blank_requests_of_any_white_space(spark):
+    t = bundle(spark, **agents(1))
+    asked = [(1, "a1", "\n\t ", None), (2, " a1\u00a0", "\u2003go\n", None), (3, "\t", "x", None)]
+    got = enqueue(t, spark.createDataFrame(asked, REQUEST), OPERATOR, NOW)
+    assert rows(got.rejects) == [(1, "task_required"), (3, "agent_role_required")]
+    assert rows(got.tables.tasks, "input") == [("go",)]

@@ -50,13 +50,13 @@ def test_prompts_equal_brute_force(spark):
     ]
     t = bundle(spark, **data)
     wanted = [x["task_id"] for x in data["tasks"]]
-    written = prompt_rows(t, wanted)
     got = {}
-    for r in written.collect():
+    asked = spark.createDataFrame([(i,) for i in [*wanted, 99]], "task_id long")
+    for r in prompt_rows(t, asked).orderBy("part", "position", "tie").collect():
         got.setdefault(r["task_id"], []).append((r["role"], r["content"]))
     expected = {x["task_id"]: expected_prompt(data, x) for x in data["tasks"]}
     assert got == expected
     sizes = {r["task_id"]: (r["message_count"], r["char_count"]) for r in build_messages(t).collect()}
     assert sizes == {k: (len(v), sum(len(c) for _, c in v)) for k, v in expected.items()}
-    lines = [r["line"] for r in render_prompt(prompt_rows(t, wanted[:1])).collect()]
+    lines = [r["line"] for r in render_prompt(prompt_rows(t, asked.where("task_id = 1"))).orderBy("part", "position", "tie").collect()]
     assert lines == [f"{role.upper()}: {content}" for role, content in expected[wanted[0]]]

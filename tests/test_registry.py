@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from taskloom.model import OPERATOR, Principal
 from taskloom.operators import embed, registry
 from taskloom.operators.guard import check_sql
+from taskloom.operators.lifecycle import recover_stale
 from taskloom.operators.quality import validate_tables
 from taskloom.operators.retention import purge_compressed, purge_events
 
@@ -20,7 +21,9 @@ def agent_config(name, **more):
     return json.dumps({"name": name, "agent_role": "executor", "provider": "custom", "model_name": "m", **more})
 
 
-def test_conflicting_agents_are_admitted_first_come(spark):
+@pytest.mark.parametrize("on_driver", [0, 5, 10_000])
+def test_conflicting_agents_are_admitted_first_come(spark, monkeypatch, on_driver):
+    monkeypatch.setattr(registry, "DRIVER_CONFLICTS", on_driver)
     rng = random.Random(3)
     asked = [(i, f"r{rng.randint(1, 6)}", f"n{rng.randint(1, 6)}") for i in range(1, 30)]
     roles, names, expected = set(), set(), []
@@ -37,6 +40,14 @@ def test_conflicting_agents_are_admitted_first_come(spark):
     assert sorted(r[0] for r in rows(got.accepted, "agent_id")) == list(range(2, 2 + len(expected)))
 
 
+def test_a_chain_of_conflicts(spark):
+    """Each asks for the role of the one before or its name: every other is admitted."""
+    t = bundle(spark, **agents(1))
+    asked = [(i, f"r{(i + 1) // 2}", agent_config(f"n{i // 2}")) for i in range(1, 101)]
+    got = registry.provision_agents(t, spark.createDataFrame(asked, CONFIG), OPERATOR, NOW)
+    assert rows(got.accepted, "seq") == [(i,) for i in range(1, 101, 2)]
+
+
 def test_agent_defaults_and_refusals(spark):
     tool = {"tool_id": 5, "name": "t", "description": "d", "input_schema": "{}", "tool_type": "sql", "is_active": True,
             "created_at": T0, "updated_at": T0}
@@ -106,7 +117,7 @@ def test_rotation_and_reembedding(spark):
     memory = [{"memory_id": i, "agent_id": 1, "content": c, "embedding": [1.0, 1.0], "embedding_dims": 2, "created_at": T0}
               for i, c in enumerate(["good", "bad", "short"], start=1)]
     t = bundle(spark, **agents(1), embedding_config=config, memory=memory)
-    rotated = embed.plan_rotation(t, "n", 3, "e", NOW)
+    rotated = embed.plan_rotation(t, OPERATOR, "n", 3, "e", NOW)
     assert rows(rotated.targets, "row_id", "current_dims") == [("1", 2), ("2", 2), ("3", 2)]
     assert rows(rotated.tables.embedding_config, "config_id", "dimensions", "is_active") == [(1, 2, False), (2, 3, True)]
 
@@ -121,6 +132,22 @@ def test_rotation_and_reembedding(spark):
     assert rows(done.tables.memory, "memory_id", "embedding_dims") == [(1, 3), (2, 2), (3, 2)]
     assert rows(embed.embedding_coverage(done.tables), "searchable", "excluded") == [(1, 2)]
     assert rows(embed.reembed(rotated.tables, model, NOW, batch=1).report) == [(1, 1)]
+    assert rows(done.changes["memory"].rows, "memory_id", "embedding_dims") == [(1, 3)]
+    for answer in (lambda texts: None, lambda texts: [None] * len(texts), lambda texts: [], lambda texts: ["abc"] * len(texts)):
+        bad = embed.reembed(rotated.tables, answer, NOW)
+        assert rows(bad.report) == [(0, 3)] and bad.errors.where("error IS NULL").isEmpty()
+
+
+def test_privileged_commands(spark):
+    t = bundle(spark, **agents(1))
+    nobody, none = Principal("a1"), t.memory.limit(0)
+    for command in (
+        lambda p: embed.plan_rotation(t, p, "m", 2, "e", NOW), lambda p: embed.set_memory_embeddings(t, p, none),
+        lambda p: embed.set_tool_embeddings(t, p, t.tool_registry, NOW), lambda p: embed.insert_memories(t, p, none.withColumn("seq", F.lit(1)), NOW),
+        lambda p: purge_compressed(t, p, t.tasks), lambda p: purge_events(t, p, NOW), lambda p: recover_stale(t, p, NOW),
+    ):
+        with pytest.raises(PermissionError):
+            command(nobody)
 
 
 def test_guard(spark):
@@ -141,10 +168,10 @@ def test_purges(spark):
             {**log, "log_id": 4, "task_id": 3}]
     t = bundle(spark, **agents(1), sessions=[session(1)], tasks=[task(i) for i in (1, 2, 3, 4)], execution_logs=logs,
                agent_events=[{"event_id": 1, "event_type": "task_end", "created_at": T0}])
-    got = purge_compressed(t, t.tasks)
+    got = purge_compressed(t, OPERATOR, t.tasks)
     assert rows(got.report) == [(1, False, 2), (2, True, 0), (3, True, 0), (4, False, 0)]
     assert rows(got.tables.execution_logs, "log_id") == [(3,), (4,)]
-    assert rows(purge_events(t, NOW, 0).report) == [(1,)] and rows(purge_events(t, NOW, 1).report) == [(0,)]
+    assert rows(purge_events(t, OPERATOR, NOW, 0).report) == [(1,)] and rows(purge_events(t, OPERATOR, NOW, 1).report) == [(0,)]
 
 
 def test_checks_report_planted_violations(spark):

@@ -1,4 +1,4 @@
-"""Running aggregates against brute force, with keys that count as hot and with plain ones."""
+"""Running aggregates against brute force, over one and several levels of buckets."""
 
 import random
 
@@ -9,11 +9,10 @@ import taskloom.functions.running as running_module
 from taskloom.functions.running import id_bucket, numbered, running
 
 
-@pytest.mark.parametrize("hot,levels,bits", [(10, 2, 3), (10, 1, 4), (10, 3, 2), (10**6, 2, 3)])
-def test_running_equals_brute_force(spark, monkeypatch, hot, levels, bits):
-    monkeypatch.setattr(running_module, "HOT_ROWS", hot)
+@pytest.mark.parametrize("levels,bits", [(2, 3), (1, 4), (3, 2), (2, 16)])
+def test_running_equals_brute_force(spark, monkeypatch, levels, bits):
     monkeypatch.setattr(running_module, "BUCKET_BITS", bits)
-    rng = random.Random(hot + levels)
+    rng = random.Random(bits + levels)
     ids = rng.sample(range(3000), 300) + rng.sample(range(2**40, 2**40 + 300), 50)
     data = [(rng.choice("aaabc"), i, rng.randint(0, 5)) for i in ids]
     df = spark.createDataFrame(data, "k string, i long, v int")
@@ -35,8 +34,17 @@ def test_numbers_are_dense_and_ordered(spark, monkeypatch):
     assert [r.n for r in numbered(df, ["i"], "n").orderBy("i").collect()] == list(range(1, 501))
 
 
-def test_own_buckets(spark, monkeypatch):
-    monkeypatch.setattr(running_module, "HOT_ROWS", 5)
+def test_own_buckets(spark):
     df = spark.createDataFrame([(1, i // 7, i) for i in range(60)], "k long, a int, b int")
     out = numbered(df, ["a", "b"], "n", keys=["k"], bucket=[F.col("a"), id_bucket("b", 1)])
     assert [r.n for r in out.orderBy("a", "b").collect()] == list(range(1, 61))
+
+
+def test_numbering_sorts_only_the_order_column(spark):
+    """No window, and so no single task, holds the rows themselves."""
+    df = spark.range(1000).selectExpr("id", "repeat('x', 100) AS text")
+    out = numbered(df, ["id"], "n")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    windows = [line for line in plan.splitlines() if "Window [" in line]
+    assert windows and not any("text" in line for line in windows)
+    assert out.where("n <> id + 1").isEmpty() and out.count() == 1000

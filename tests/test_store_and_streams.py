@@ -6,11 +6,22 @@ import pytest
 from helpers import NOW, T0, agents, bundle, frame, rows, session, task
 from pyspark.sql import functions as F
 
-from taskloom.operators.delta import apply_delta, assign_ids, patch
+import taskloom.sources.tables as store_module
+from taskloom.operators.delta import Append, Upsert, apply_delta, assign_ids, patch
 from taskloom.session import scratch_path
-from taskloom.sources.tables import committed_versions, load_tables, read_snapshot, write_snapshot
+from taskloom.sources.tables import (
+    VersionTaken,
+    committed_batch,
+    compact,
+    load_tables,
+    manifest,
+    read_snapshot,
+    vacuum,
+    write_snapshot,
+)
 from taskloom.streaming import streams
 
+LOG = {"log_id": 7, "task_id": 1, "step_number": 1, "role": "user", "content": "c", "created_at": T0}
 CHANGES = "task_id long, session_id long, agent_id long, status string, ts timestamp"
 
 
@@ -41,20 +52,65 @@ def test_delta_modes(spark):
                            empty, "task_id", "seq"), "task_id") == [(1,)]
 
 
-def test_snapshots_commit_once(spark):
+def test_store_appends_upserts_and_replaces(spark):
     store = scratch_path(spark, "store")
-    assert committed_versions(spark, store) == (-1, {})
-    t = bundle(spark, **agents(1), tasks=[task(1)])
-    assert write_snapshot(spark, store, 0, {"tasks": t.tasks, "agent_meta": t.agent_meta})
-    assert write_snapshot(spark, store, 3, {"tasks": frame(spark, "tasks", [task(1), task(2)])})
-    assert not write_snapshot(spark, store, 3, {"tasks": t.tasks})
-    after = read_snapshot(spark, store)
-    assert committed_versions(spark, store) == (3, {"tasks": 3, "agent_meta": 0})
-    assert after.tasks.count() == 2 and after.agent_meta.count() == 1
+    assert manifest(spark, store)["version"] == -1 and read_snapshot(spark, store).get("tasks") is None
+    t = bundle(spark, **agents(1), tasks=[task(i) for i in range(1, 60)], execution_logs=[LOG])
+    assert write_snapshot(spark, store, {"tasks": t.tasks, "agent_meta": t.agent_meta, "execution_logs": t.execution_logs}) == 0
+    before = manifest(spark, store)
+    changed = frame(spark, "tasks", [task(2, status="failed"), task(99)])
+    more = frame(spark, "execution_logs", [{**LOG, "log_id": 8}])
+    assert write_snapshot(spark, store, {"tasks": Upsert(changed, ("task_id",)), "execution_logs": Append(more)}) == 1
+    after, state = read_snapshot(spark, store), manifest(spark, store)
+    assert after.tasks.count() == 60 and rows(after.tasks.where("status = 'failed'"), "task_id") == [(2,)]
+    assert rows(after.execution_logs, "log_id") == [(7,), (8,)] and after.agent_meta.count() == 1
+    assert after.last_ids["tasks"] == 99 and after.last_ids["execution_logs"] == 8
+    assert after.replace(tasks=t.tasks).last_ids.get("tasks") is None
+    # Logs are only added to, and of the tasks only the two buckets concerned are new.
+    assert state["tables"]["execution_logs"]["parts"][:1] == before["tables"]["execution_logs"]["parts"]
+    moved = {b for b, p in state["tables"]["tasks"]["buckets"].items() if before["tables"]["tasks"]["buckets"].get(b) != p}
+    assert 1 <= len(moved) <= 2
+    assert write_snapshot(spark, store, {"tasks": frame(spark, "tasks", [task(5)])}) == 2
+    assert rows(read_snapshot(spark, store).tasks, "task_id") == [(5,)] and read_snapshot(spark, store).last_ids["tasks"] == 5
     t.tasks.write.parquet(f"{store}/plain/tasks")
     assert load_tables(spark, f"{store}/plain").tasks.schema == t.tasks.schema
 
 
+def test_compaction_and_vacuum(spark):
+    store = scratch_path(spark, "store")
+    write_snapshot(spark, store, {"execution_logs": frame(spark, "execution_logs", [LOG])})
+    for i in range(3):
+        write_snapshot(spark, store, {"execution_logs": Append(frame(spark, "execution_logs", [{**LOG, "log_id": 20 + i}]))})
+    assert len(manifest(spark, store)["tables"]["execution_logs"]["parts"]) == 4
+    compact(spark, store, "execution_logs")
+    assert len(manifest(spark, store)["tables"]["execution_logs"]["parts"]) == 1 and vacuum(spark, store) == 4
+    assert rows(read_snapshot(spark, store).execution_logs, "log_id") == [(7,), (20,), (21,), (22,)]
+
+
+def test_streams_know_their_own_batches_only(spark):
+    store = scratch_path(spark, "store")
+    one = frame(spark, "tasks", [task(1)])
+    for _ in range(4):
+        write_snapshot(spark, store, {"tasks": one})
+    assert write_snapshot(spark, store, {"tasks": one}, "a", 0) == 4
+    assert write_snapshot(spark, store, {"tasks": one}, "a", 0) is None
+    assert write_snapshot(spark, store, {"tasks": one}, "b", 0) == 5
+    assert committed_batch(spark, store, "a") == 0 and committed_batch(spark, store, "c") == -1
+
+
+def test_second_writer_of_a_version_fails(spark, monkeypatch):
+    store = scratch_path(spark, "store")
+    one = frame(spark, "tasks", [task(1)])
+    write_snapshot(spark, store, {"tasks": one})
+    stale = manifest(spark, store)
+    write_snapshot(spark, store, {"tasks": frame(spark, "tasks", [task(2)])})
+    monkeypatch.setattr(store_module, "manifest", lambda *_: stale)
+    with pytest.raises(VersionTaken):
+        write_snapshot(spark, store, {"tasks": one})
+    monkeypatch.undo()
+    assert rows(read_snapshot(spark, store).tasks, "task_id") == [(2,)]
+
+
 def test_ready_and_progress_over_batches(spark):
     batches = [
         [(1, 1, 1, "pending", at(0)), (2, 1, 1, "running", at(0)), (1, 1, 1, "running", at(1))],
@@ -69,8 +125,8 @@ def test_ready_and_progress_over_batches(spark):
     counts = streams.session_progress_stream(streams.emitted(spark, store))
     names = ("session_id", "total_tasks", "completed_tasks", "running_tasks", "failed_tasks")
     assert rows(counts, *names) == [(1, 2, 1, 0, 0), (2, 1, 0, 0, 0)]
-    live = spark.readStream.schema("session_id long, total_tasks long, completed_tasks long, running_tasks long, failed_tasks long, batch int")
-    totals = streams.session_progress_stream(live.parquet(f"{store}/out"))
+    live = spark.readStream.schema("session_id long, total_tasks long, completed_tasks long, running_tasks long, failed_tasks long")
+    totals = streams.session_progress_stream(live.parquet(f"{store}/state/out/*"))
     query = totals.writeStream.outputMode("complete").format("memory").queryName("progress").trigger(availableNow=True).start()
     query.awaitTermination()
     assert rows(spark.table("progress"), *names) == rows(counts, *names)
@@ -112,21 +168,48 @@ def test_heartbeats(spark):
     assert rows(silent) == [(1, at(0)), (2, at(7)), (9, at(12))]
 
 
-def test_ingest_stream_is_idempotent(spark):
-    schema = "seq long, task_id long, response string, is_final boolean"
+def test_late_statuses_change_nothing(spark):
+    batches = [[(1, 1, 1, "running", at(5))], [(1, 1, 1, "pending", at(2)), (1, 1, 1, "running", at(5))], [(1, 1, 1, "pending", at(6))]]
+    store = scratch_path(spark, "late")
+    streams.task_ready(files(spark, batches, CHANGES), store).awaitTermination()
+    assert rows(streams.emitted(spark, store), "task_id", "ts") == [(1, at(6))]
+
+
+RESPONSE = "seq long, task_id long, response string, is_final boolean"
+
+
+def test_ingest_stream(spark):
     t = bundle(spark, **agents(2), sessions=[session(1)], tasks=[task(1, status="running")])
-    batches = [[(1, 1, '{"action":"delegate","to_agent":"a2","task":"sub"}', False)], [(2, 2, "result", False)],
+    batches = [[(1, 1, '{"action":"delegate","to_agent":"a2","task":"sub"}', False)], [(2, 2, "result", False), (9, 77, "x", False)],
                [(3, 1, '{"action":"finish","final_answer":"all done"}', False)]]
     store = scratch_path(spark, "live")
     streams.tables_to_store(t, spark, store)
-    source = files(spark, batches, schema)
+    for _ in range(3):  # other writers' versions have no bearing on the stream's batches
+        write_snapshot(spark, store, {"agent_meta": t.agent_meta})
+    source = files(spark, batches, RESPONSE)
     streams.ingest_stream(source, store, lambda batch: NOW, f"{store}-state").awaitTermination()
     after = read_snapshot(spark, store)
     assert rows(after.tasks, "task_id", "status", "output") == [(1, "completed", "all done"), (2, "completed", "result")]
     assert rows(after.sessions, "status", "final_answer") == [("completed", "all done")]
-    # The same stream from the start again: every batch id is committed, nothing changes.
-    streams.ingest_stream(source, store, lambda batch: NOW, f"{store}-state-2").awaitTermination()
-    assert rows(read_snapshot(spark, store).execution_logs) == rows(after.execution_logs)
+    assert rows(after["actions"], "seq", "action") == [(1, "wait_tasks"), (2, "done"), (3, "done")]
+    assert rows(after["rejects"], "seq", "reason") == [(9, "unknown_task")]
+    assert rows(after.execution_logs, "log_id") == [(1,), (2,), (3,)]
+    # The same checkpoint again: every batch is committed, nothing changes.
+    version = manifest(spark, store)["version"]
+    streams.ingest_stream(source, store, lambda batch: NOW, f"{store}-state").awaitTermination()
+    assert manifest(spark, store)["version"] == version
+
+
+def test_batch_leaves_written_logs_where_they_are(spark):
+    t = bundle(spark, **agents(1), sessions=[session(1)], tasks=[task(i, status="running") for i in range(1, 12)], execution_logs=[LOG])
+    store = scratch_path(spark, "live")
+    streams.tables_to_store(t, spark, store)
+    first = manifest(spark, store)["tables"]["execution_logs"]["parts"]
+    batch = [(i, i, '{"action":"ponder"}', False) for i in range(1, 11)]
+    streams.ingest_stream(files(spark, [batch], RESPONSE), store, lambda batch: NOW, f"{store}-state").awaitTermination()
+    parts = manifest(spark, store)["tables"]["execution_logs"]["parts"]
+    assert parts[: len(first)] == first and len(parts) == len(first) + 1
+    assert spark.read.parquet(f"{store}/{parts[-1]}").count() == 10
 
 
 def test_reembed_stream(spark):
