@@ -5,13 +5,14 @@ over its character n-grams known from there, so that unseen forms of known stems
 `STRIDE`, cover the whole text; forward and backward gated recurrent units run over each, attention weights their states,
 and a document's score is that of its highest window.
 
-The network is trained in numpy on a bounded sample of labelled rows. A document's label holds for its highest window (a toxic
+The network is trained in numpy, in one task, on a bounded sample of labelled rows. A document's label holds for its highest window (a toxic
 document needs one toxic window, a clean one has none), so each step learns from the window that scores highest at that time.
 Tasks get the parameters by broadcast; their size is fixed by the bounds below.
 """
 
 from __future__ import annotations
 
+import io
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,17 +27,17 @@ from .common import arrow_batches, crc_mod
 WINDOW = 48
 STRIDE = 32
 #: Labelled documents to learn from: at most so many of either label, and so many words of each (any passage of it).
-SAMPLE_TOXIC = 1500
-SAMPLE_CLEAN = 3000
-SAMPLE_WORDS = 400
+SAMPLE_TOXIC = 1200
+SAMPLE_CLEAN = 2400
+SAMPLE_WORDS = 300
 MAX_WORDS = 1 << 14
 MAX_GRAMS = 1 << 16
 GRAMS = (4, 5)
 DIM = 8
 HIDDEN = 8
-STEPS = 400
+STEPS = 900
 #: Clean and toxic documents of a step.
-BATCH = (48, 20)
+BATCH = (56, 20)
 SLOTS = 1 << 20
 _TRIM = " .,;:!?\"'()[]{}<>|*#$%&+-=/\\_~`^0123456789"
 
@@ -64,17 +65,26 @@ def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     return trimmed.dictionary, codes[filled], kept[starts]
 
 
-def _hashes(words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash of every word, hashes of its n-grams, the n-grams' words)."""
-    marked = pc.binary_join_element_wise("^", words, "$", "").cast(pa.large_binary()) if len(words) else pa.array([], pa.large_binary())
-    offsets = np.frombuffer(marked.buffers()[1], np.int64)[marked.offset : marked.offset + len(marked) + 1] if len(marked) else np.zeros(1, np.int64)
+def _hashes(words: pa.Array, slice_words: int = 1 << 14) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash of every word, hashes of its n-grams, the n-grams' words), made in slices of the words."""
+    whole, grams, of = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int32)]
+    for low in range(0, len(words), slice_words):
+        w, g, o = _hashes_of(words.slice(low, slice_words))
+        whole.append(w)
+        grams += g
+        of += [x + np.int32(low) for x in o]
+    return np.concatenate(whole), np.concatenate(grams), np.concatenate(of)
+
+
+def _hashes_of(words: pa.Array) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    marked = pc.binary_join_element_wise("^", words, "$", "").cast(pa.large_binary())
+    offsets = np.frombuffer(marked.buffers()[1], np.int64)[marked.offset : marked.offset + len(marked) + 1]
     low, high = int(offsets[0]), int(offsets[-1])
-    data = np.frombuffer(marked.buffers()[2], np.uint8)[low:high].astype(np.uint64) + np.uint64(1) if high > low else np.zeros(0, np.uint64)
-    ends = offsets[1:] - low
-    starts = offsets[:-1] - low
-    owner = np.repeat(np.arange(len(marked)), ends - starts)
+    data = np.frombuffer(marked.buffers()[2], np.uint8)[low:high].astype(np.uint64) + np.uint64(1)
+    starts, ends = offsets[:-1] - low, offsets[1:] - low
+    owner = np.repeat(np.arange(len(marked), dtype=np.int32), ends - starts)
     place = np.arange(len(data)) - starts[owner]
-    whole = _mixed(np.add.reduceat(_mixed(data * _POWERS[place % 64] + place.astype(np.uint64)), starts)) if len(data) else np.zeros(0, np.uint64)
+    whole = _mixed(np.add.reduceat(_mixed(data * _POWERS[place % 64] + place.astype(np.uint64)), starts))
     grams, of = [], []
     for n in GRAMS:
         if len(data) < n:
@@ -85,7 +95,7 @@ def _hashes(words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         inside = np.flatnonzero(np.arange(len(h)) + n <= ends[owner[: len(h)]])
         grams.append(_mixed(h[inside] + np.uint64(n)))
         of.append(owner[inside])
-    return whole, np.concatenate(grams) if grams else np.zeros(0, np.uint64), np.concatenate(of) if of else np.zeros(0, np.int64)
+    return whole, grams, of
 
 
 class Known:
@@ -104,6 +114,9 @@ class Known:
     def __len__(self) -> int:
         return len(self.hashes)
 
+    def __reduce__(self):
+        return Known, (self.hashes,)  # the table is made anew
+
     def find(self, hashes: np.ndarray) -> np.ndarray:
         slots = (hashes & np.uint64(SLOTS - 1)).astype(np.int64)
         return np.where(self.keys[slots] == (hashes >> np.uint64(32)).astype(np.uint32), self.numbers[slots], 0)
@@ -131,6 +144,16 @@ class Network:
             p |= {"W" + d: normal(2 * DIM, 3 * HIDDEN), "U" + d: normal(HIDDEN, 3 * HIDDEN), "c" + d: np.zeros(3 * HIDDEN, np.float32)}
         return Network(words, grams, p | {"v": normal(2 * HIDDEN), "w": normal(2 * HIDDEN), "o": np.float32([-1.0])})
 
+    def to_bytes(self) -> bytes:
+        file = io.BytesIO()
+        np.savez(file, known_words=self.words.hashes, known_grams=self.grams.hashes, **self.p)
+        return file.getvalue()
+
+    @staticmethod
+    def from_bytes(data: bytes) -> Network:
+        p = dict(np.load(io.BytesIO(data)))
+        return Network(Known(p.pop("known_words")), Known(p.pop("known_grams")), p)
+
     def features(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(number of every word, numbers of its known n-grams, the n-grams' words)."""
         whole, grams, of = _hashes(words)
@@ -242,11 +265,11 @@ def windows(codes: np.ndarray, starts: np.ndarray, size: int = WINDOW, stride: i
     return grid, real, owner
 
 
-def _frequent(hashes: np.ndarray, at: np.ndarray, owner: np.ndarray, documents: int, most: int) -> np.ndarray:
-    """Those of `hashes` found in at least three documents (or all, in a tiny sample), the most frequent first; `at` points at them."""
+def _frequent(hashes: np.ndarray, weights: np.ndarray, documents: int, most: int) -> np.ndarray:
+    """Hashes whose weights, documents of the words that have them, sum up to three at least (or to all, in a tiny sample), the heaviest
+    first."""
     distinct, number = np.unique(hashes, return_inverse=True)
-    pairs = np.unique(owner * max(1, len(distinct)) + number[at])
-    counts = np.bincount(pairs % max(1, len(distinct)), minlength=len(distinct))
+    counts = np.bincount(number, weights=weights, minlength=len(distinct))
     keep = np.flatnonzero(counts >= min(3, documents))
     return distinct[keep[np.argsort(-counts[keep], kind="stable")]][:most]
 
@@ -257,15 +280,11 @@ def fit(texts: list[str], labels: list[int], steps: int = STEPS, seed: int = 7)
     whole, grams, of = _hashes(words)
     owner = np.repeat(np.arange(len(texts)), np.diff(starts))
     pairs = np.unique(owner * max(1, len(words)) + codes) if len(codes) else np.zeros(0, np.int64)
-    doc, word = pairs // max(1, len(words)), pairs % max(1, len(words))
-    # Documents that hold an n-gram: expand each word's n-grams for every document that holds the word.
-    per_word = np.bincount(of, minlength=len(words))
-    order = np.argsort(of, kind="stable")
-    first = np.concatenate(([0], np.cumsum(per_word)))[:-1]
-    sizes = per_word[word]
-    at = np.arange(sizes.sum()) + np.repeat(first[word] - (np.cumsum(sizes) - sizes), sizes)
-    known_words = Known(_frequent(whole, word, doc, len(texts), MAX_WORDS))
-    known_grams = Known(_frequent(grams, order[at], np.repeat(doc, sizes), len(texts), MAX_GRAMS))
+    documents = np.bincount(pairs % max(1, len(words)), minlength=len(words))
+    del pairs, owner
+    known_words = Known(_frequent(whole, documents, len(texts), MAX_WORDS))
+    known_grams = Known(_frequent(grams, documents[of], len(texts), MAX_GRAMS))
+    del whole, grams, of
     net = Network.fresh(known_words, known_grams, seed)
     if not len(codes):
         return net
@@ -305,7 +324,7 @@ def fit(texts: list[str], labels: list[int], steps: int = STEPS, seed: int = 7)
         g = net.gradients(
             known, net.vectors(known), local.reshape(len(top), -1), real[own[top]], label, np.full(len(top), 1 / len(top), np.float32)
         )
-        rate = 0.02 * min(1.0, 2 * (1 - step / (steps + 1)))
+        rate = 0.015 * min(1.0, 2 * (1 - step / (steps + 1)))
         for k, v in net.p.items():
             slow[k] += 0.1 * (g[k] - slow[k])
             fast[k] += 0.01 * (g[k] * g[k] - fast[k])
@@ -330,11 +349,17 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     found = rows.join(F.broadcast(few), F.col("doc_id") == F.col("_id"))  # at most some 2 * (toxic + clean) rows
     passages = found.select("_toxic", h.alias("h"), F.array_join(F.slice(word_list, begin.cast("int"), SAMPLE_WORDS), " ").alias("text"))
     once = passages.groupBy("_toxic", "h").agg(F.min("text").alias("text"))
-    taken = []
-    for value, most in ((1, toxic), (0, clean)):
-        taken += once.where(F.col("_toxic") == value).orderBy("h").limit(most).collect()  # the bounded sample
-    taken.sort(key=lambda r: (r["h"], r["_toxic"]))
-    return fit([r["text"] for r in taken], [r["_toxic"] for r in taken])
+    parts = [once.where(F.col("_toxic") == value).orderBy("h").limit(most) for value, most in ((1, toxic), (0, clean))]
+    # The bounded sample goes to one task, which returns the parameters: the driver holds neither texts nor gradients.
+    row = parts[0].unionByName(parts[1]).coalesce(1).mapInArrow(_learn, "network binary").first()
+    return Network.from_bytes(row["network"]) if row else fit([], [])
+
+
+def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows = [r for batch in batches for r in batch.to_pylist()]
+    rows.sort(key=lambda r: (r["h"], r["_toxic"]))
+    network = fit([r["text"] for r in rows], [r["_toxic"] for r in rows])
+    yield pa.RecordBatch.from_arrays([pa.array([network.to_bytes()], pa.binary())], ["network"])
 
 
 def scored(docs: DataFrame, network: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
