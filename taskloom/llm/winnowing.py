@@ -20,7 +20,7 @@ from .common import staged
 LENGTH = 10
 GRAM = 5
 WINDOW = LENGTH - GRAM + 1
-BITMAP = 1 << 20
+BITMAP = 1 << 17
 #: Benchmark windows up to which they are broadcast (some 100 bytes each).
 BROADCAST_ROWS = 100_000
 #: Fixed value: what separates words, before lower-casing.
