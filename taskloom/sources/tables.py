@@ -13,6 +13,7 @@ from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType, StructType
 
 from ..model import KEYS, SCHEMAS, Tables
 from ..operators.delta import Append, Upsert
@@ -94,9 +95,7 @@ def committed_batch(spark: SparkSession, directory: str, stream: str) -> int:
     return manifest(spark, directory)["streams"].get(stream, -1)
 
 
-def _schema_of(entry: dict):
-    from pyspark.sql.types import StructType
-
+def _schema_of(entry: dict) -> StructType:
     return StructType.fromJson(entry["schema"])
 
 
@@ -123,10 +122,16 @@ def _write_buckets(rows: DataFrame, key: tuple[str, ...], directory: str, name:
     return {n.removeprefix("bucket="): f"{where}/{n}" for n in sorted(names) if n.startswith("bucket=")}
 
 
+def _id_of(rows: DataFrame, name: str) -> str | None:
+    """The column of a table that is its one integer key, if it has such."""
+    key = KEYS.get(name, ())
+    return key[0] if len(key) == 1 and isinstance(rows.schema[key[0]].dataType, IntegralType) else None
+
+
 def _last_id(rows: DataFrame, name: str) -> int | None:
     """Largest id of rows of a table with one integer key, from files just written."""
-    key = KEYS.get(name, ())
-    return rows.agg(F.max(F.col(key[0]).cast("long"))).first()[0] if len(key) == 1 else None
+    key = _id_of(rows, name)
+    return rows.agg(F.max(F.col(key).cast("long"))).first()[0] if key else None
 
 
 def write_snapshot(
@@ -173,7 +178,7 @@ def write_snapshot(
         last = _last_id(spark.read.schema(rows.schema).parquet(*written), name) if written else None
         if last is not None:
             state["last_ids"][name] = max(last, state["last_ids"].get(name, last))
-        elif isinstance(change, Append) and len(KEYS.get(name, ())) == 1:
+        elif isinstance(change, Append) and _id_of(rows, name):
             entry["parts"].remove(where)  # nothing was added
         state["tables"][name] = entry
     if stream is not None:
