@@ -378,6 +378,7 @@ def _actions(c: DataFrame, children: DataFrame, approvals: DataFrame) -> DataFra
             F.when(kind == "tool_invoke", F.col("args")).alias("args"),
             pending.cast("array<bigint>").alias("pending_task_ids"),
             approval.alias("approval_id"),
+            ((kind == "tool_sql") & F.col("sql_error").isNull() & F.col("sql_output").isNull()).alias("awaits_sql"),
         )
 
     rest = c.where(~kind.isin("delegate", "request_approval"))
@@ -391,7 +392,8 @@ def _actions(c: DataFrame, children: DataFrame, approvals: DataFrame) -> DataFra
 class Ingested:
     """The effect of a batch. Every part is planned when it is first asked for.
 
-    `actions` has one row per accepted response, `rejects` the refused ones, and `pending_sql` the sql tool calls that passed the
+    `actions` has one row per accepted response; `awaits_sql` marks those to be held back until the result of their sql call is in.
+    `rejects` has the refused ones, and `pending_sql` the sql tool calls that passed the
     checks and whose result the caller still has to supply. `tables` are the tables after the batch.
     """
 

@@ -162,9 +162,10 @@ def test_sql_outcomes_and_routing(spark):
     t = bundle(spark, **data)
     first = submit_results(t, batch, NOW)
     assert rows(first.pending_sql, "seq", "task_id", "tool_id", "sql_text") == [(1, 1, 2, "SELECT x FROM v_ok")]
+    assert rows(first.actions.where("awaits_sql"), "seq", "action") == [(1, "continue")]
     outcome = spark.createDataFrame([(1, "[]", None)], "seq long, output string, error string")
     second = submit_results(t, batch, NOW, outcome)
-    assert second.pending_sql.isEmpty()
+    assert second.pending_sql.isEmpty() and second.actions.where("awaits_sql").isEmpty()
     assert rows(second.tables.execution_logs.where("log_id > 1"), "step_number", "role") == [
         (1, "assistant"), (5, "assistant"), (6, "tool"), (7, "assistant")]
     late = spark.createDataFrame([(1, 1, 2, "{}", None, "boom")],
