@@ -21,6 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import shingles
 from .common import arrow_batches, connected, staged
 
 RADIUS = 3
@@ -61,10 +62,20 @@ def _mark(docs: DataFrame) -> F.Column:
     return F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in docs.columns])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, mark, fp (the fingerprint as a signed long) of every row. Null and empty texts, and texts without a word, have 0."""
+def _sketched_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        (made,) = _fingerprint_batches(iter([batch]))
+        columns = [*made.columns, *shingles.sketch_columns(batch.column("text").to_pylist())]
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "mark", "fp", "copy", "size", "bands"])
+
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sketch: bool = False) -> DataFrame:
+    """doc_id, mark, fp (the fingerprint as a signed long) of every row, and if wanted the sketch of its shingles. Null and empty
+    texts, and texts without a word, have 0."""
     arrow_batches(docs.sparkSession)
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), _mark(docs).alias("mark"), F.col(text_col).cast("string").alias("text"))
+    if sketch:
+        return narrow.mapInArrow(_sketched_batches, f"doc_id long, mark long, fp long, {shingles.SKETCH}")
     return narrow.mapInArrow(_fingerprint_batches, "doc_id long, mark long, fp long")
 
 
@@ -139,11 +150,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return joined.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", blocks: int = BLOCKS) -> DataFrame:
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", blocks: int = BLOCKS, similar: bool = False) -> DataFrame:
     """The documents with one row kept of each class: that of the least doc_id (null ids last; of rows of one id any, always the
-    same one)."""
-    prints = staged(fingerprints(docs, id_col, text_col), "simhash")
-    rooted = prints.join(classes(prints, blocks), "fp")
+    same one). With `similar`, texts whose five-word shingles have a Jaccard likeness of 0.8 or more are linked too."""
+    prints = staged(fingerprints(docs, id_col, text_col, similar), "simhash")
+    roots = classes(prints, blocks)
+    if similar:
+        texts = docs.select(_mark(docs).alias("mark"), F.col(text_col).cast("string").alias("text"))
+        roots = shingles.joined_classes(texts, prints, staged(roots, "classes"))
+    rooted = prints.select("doc_id", "mark", "fp").join(roots, "fp")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")
     pick = rooted.groupBy("root").agg(F.min(order).alias("pick")).select("pick.doc_id", "pick.mark")
     pick = staged(pick.select(F.col("doc_id").alias("_doc_id"), F.col("mark").alias("_pick")), "kept")
