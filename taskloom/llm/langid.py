@@ -177,13 +177,15 @@ def train(docs: DataFrame, sample_chars: int = SAMPLE_CHARS, total_chars: int =
     """
     rows = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     rows = rows.select("lang", F.xxhash64("text").alias("h"), F.substring(F.col("text"), F.greatest(F.lit(1), F.floor((F.length("text") - SLICE_CHARS) / 2).cast("int") + 1), F.lit(SLICE_CHARS)).alias("slice"))
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(total_chars // SLICE_CHARS).collect()}
+    # Copies count once: the share below is one of distinct texts.
+    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("h").alias("texts"))
+    sizes = {r["lang"]: r["texts"] for r in counts.orderBy(F.desc("n"), "lang").limit(total_chars // SLICE_CHARS).collect()}
     if not sizes:
         return build({})
     chars = min(sample_chars, total_chars // len(sizes))
     wanted = max(1, 2 * chars // SLICE_CHARS)
-    # A row is looked at if its hash lies among the least share that should hold four times the rows wanted.
-    share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, 4.0 * wanted / n))])
+    # A row is looked at if its hash lies among the least share that should hold four times the texts wanted.
+    share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, 4.0 * wanted / max(1, n)))])
     lot = F.pmod(F.col("h"), F.lit(1 << 30)) / float(1 << 30)
     few = rows.where(F.element_at(share, F.col("lang")) > lot).groupBy("lang", "h").agg(F.min("slice").alias("slice"))
     ranked = few.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 30)), "h"))).where(F.col("nth") <= wanted)

@@ -99,6 +99,14 @@ def test_repeated_rows_and_ids_of_held_out_rows_teach_nothing(make_docs):  # noq
     assert {r.lang_pred for r in langid.identify(make_docs(docs)).collect()} == {"aa"}
 
 
+def test_a_language_that_is_nearly_all_copies_is_learned(make_docs):  # noqa: F811
+    rng = random.Random(6)
+    hot = speak(rng, "bb", 50)
+    docs = [(i, hot, "bb") for i in range(6000)] + [(7000 + i, speak(rng, "bb", 50), "bb") for i in range(40)] + [(8000 + i, speak(rng, "aa", 50), "aa") for i in range(40)]
+    parser = langid.train(make_docs(docs), sample_chars=2400, total_chars=4800)
+    assert parser.languages == ["aa", "bb"] and min(2**parser.weights) > 2000
+
+
 def test_in_languages(make_docs):  # noqa: F811
     docs = make_docs([*labelled(), (900, "123 !!"), (901, None)])
     parser = langid.train(docs)
