@@ -2,11 +2,13 @@
 
 For every language a suffix automaton holds all substrings of a sample of its labelled text. A text is parsed against each language
 from left to right into longest phrases that occur in that language's sample; a character that never occurs is a phrase of its
-own. phrases * log2(sample length) / characters estimates the cross entropy in bits a character, and the language of the least
-wins.
+own. A phrase costs log2(sample length) bits, and a character that the language's sample doesn't hold as much as a phrase of the
+longest sample, so that a small sample gains nothing by what it lacks. Bits / characters estimates the cross entropy, and the language
+of the least wins.
 
-The automata become one table of next states with a mark where a phrase begins, so that many stretches of text are parsed at once, one
-character a step. Whole texts are parsed, in stretches of `STRETCH` characters.
+The automata become one table of next states with marks where a phrase begins and where a character is unseen, so that many stretches of
+text are parsed at once, one character a step. The `CLASSES` most frequent characters have a column each; steps by the other
+characters of the samples are sorted keys. Whole texts are parsed, in stretches of `STRETCH` characters.
 """
 
 from __future__ import annotations
@@ -30,12 +32,16 @@ TOTAL_CHARS = 96_000
 #: Characters taken from one document for the sample.
 SLICE_CHARS = 240
 STRETCH = 512
+#: Characters with a column of their own in the table.
 CLASSES = 200
 UNKNOWN = "und"
 
 _OTHER = re.compile(r"[\W\d_]+")
 _LETTER = re.compile(r"[^\W\d_]")
-_BEGINS = 1 << 30
+#: Marks above a state: a phrase begins; the character is unseen. Marks of a stretch are summed up, at most STRETCH < 1024 of each.
+_BEGINS = 1 << 20
+_UNSEEN = 1 << 30
+_POINTS = 0x110000
 
 
 def plain(text: str) -> str:
@@ -75,56 +81,83 @@ def suffix_automaton(codes: list[int]) -> list[dict[int, int]]:
 
 @dataclass
 class CrossParser:
-    """Tables of all languages: `table[state, class]` is the next state, plus `_BEGINS` where a phrase begins."""
+    """Tables of all languages: `table[state, class]` is the next state, plus `_BEGINS` where a phrase begins and `_UNSEEN`.
+
+    Classes beyond the table's columns are rare: `rare_steps` holds what follows the keys state * `_POINTS` + class; with no step from
+    a state, the one from the language's root holds.
+    """
 
     languages: list[str]
     table: np.ndarray
     roots: np.ndarray
     weights: np.ndarray  # log2 of the sample length
-    classes: np.ndarray  # class of every code point of the basic plane
+    classes: np.ndarray  # class of every code point
+    rare_keys: np.ndarray
+    rare_steps: np.ndarray
 
     def codes(self, text: str) -> np.ndarray:
-        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-        return self.classes[np.minimum(points, 65535)]
+        return self.classes[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
+
+    def _rare_moves(self, state: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """Steps of all languages by rare classes."""
+        last = len(self.rare_keys) - 1
+        keys = state * np.int64(_POINTS) + codes
+        at = np.minimum(np.searchsorted(self.rare_keys, keys), last)
+        first = self.roots[:, None] * np.int64(_POINTS) + codes
+        anew = np.minimum(np.searchsorted(self.rare_keys, first), last)
+        begun = np.where(self.rare_keys[anew] == first, self.rare_steps[anew], self.roots[:, None] | (_BEGINS | _UNSEEN))
+        return np.where(self.rare_keys[at] == keys, self.rare_steps[at], begun)
 
     def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(phrases by text and language, characters parsed by text)."""
+        total, _, sizes = self.parsed(texts)
+        return total, sizes
+
+    def parsed(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(phrases and unseen characters by text and language, characters parsed by text)."""
         coded = [self.codes(t) for t in texts]
         sizes = np.array([len(c) for c in coded], np.int64)
         lanes = -(-sizes // STRETCH)
-        grid = np.zeros((int(lanes.sum()), STRETCH), np.uint8)  # class 0 fills up and counts nothing
+        grid = np.zeros((int(lanes.sum()), STRETCH), np.int32)  # class 0 fills up and counts nothing
         row = 0
         for c, n in zip(coded, lanes.tolist()):
             grid[row : row + n].reshape(-1)[: len(c)] = c
             row += n
         counts = np.zeros((len(self.languages), len(grid)), np.int32)
-        columns = np.ascontiguousarray(grid.T).astype(np.int32)
+        columns = np.ascontiguousarray(grid.T)
         width = self.table.shape[1]
         flat = self.table.reshape(-1)
         order = np.argsort(-(grid != 0).sum(axis=1), kind="stable")  # long stretches first: finished ones drop off the end
         columns = columns[:, order]
         filled = (columns != 0).sum(axis=1)
+        rare = columns >= width
+        some = rare.any(axis=1)
+        dense = np.where(rare, 1, columns)
         state = np.repeat(self.roots[:, None], len(grid), axis=1)
         for t in range(STRETCH):
             n = int(filled[t])
             if not n:
                 break
-            move = flat[state[:, :n] * width + columns[t, :n]]
-            counts[:, order[:n]] += move >> 30
+            move = flat[state[:, :n] * width + dense[t, :n]]
+            if some[t]:
+                at = np.flatnonzero(rare[t, :n])
+                move[:, at] = self._rare_moves(state[:, at], columns[t, at])
+            counts[:, order[:n]] += move >> 20
             state[:, :n] = move & (_BEGINS - 1)
         owner = np.repeat(np.arange(len(texts)), lanes)
-        total = np.zeros((len(texts), len(self.languages)), np.int64)
+        total, unseen = np.zeros((2, len(texts), len(self.languages)), np.int64)
         for k in range(len(self.languages)):
-            total[:, k] = np.bincount(owner, weights=counts[k], minlength=len(texts)).astype(np.int64) if len(owner) else 0
-        return total, sizes
+            for out, marks in ((total, counts[k] & 1023), (unseen, counts[k] >> 10)):
+                out[:, k] = np.bincount(owner, weights=marks, minlength=len(texts)).astype(np.int64) if len(owner) else 0
+        return total, unseen, sizes
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float, float | None]]:
         """(language, score, bits a character) of every text."""
         known = [t is not None and _LETTER.search(t) is not None for t in texts]
         if not self.languages or not any(known):
             return [(UNKNOWN, 0.0, None)] * len(texts)
-        phrases, sizes = self.phrases([plain(t) for t, k in zip(texts, known) if k])
-        bits = phrases * self.weights / np.maximum(sizes, 1)[:, None]
+        phrases, unseen, sizes = self.parsed([plain(t) for t, k in zip(texts, known) if k])
+        bits = ((phrases - unseen) * self.weights + unseen * self.weights.max()) / np.maximum(sizes, 1)[:, None]
         best = bits.argmin(axis=1)  # of equal ones the first by name
         least = bits.min(axis=1)
         # Relative likelihood of the best, were the characters of a short passage coded at these rates.
@@ -143,30 +176,38 @@ class CrossParser:
 def build(samples: dict[str, str]) -> CrossParser:
     """Automata of plain texts by language."""
     languages = sorted(k for k, v in samples.items() if v.strip())
-    letters = [c for c, _ in Counter("".join(samples[k] for k in languages)).most_common(CLASSES) if ord(c) < 65535]
-    classes = np.full(65536, 1, np.uint8)  # 0 fills up, 1 is unseen
+    letters = [c for c, _ in Counter("".join(samples[k] for k in languages)).most_common()]
+    classes = np.full(_POINTS, 1, np.int32)  # 0 fills up, 1 is unseen
     for i, c in enumerate(letters):
         classes[ord(c)] = i + 2
-    width, tables, roots, base = len(letters) + 2, [], [], 0
+    width, tables, roots, base = min(len(letters), CLASSES) + 2, [], [], 0
+    rare: dict[int, int] = {}
     for k in languages:
-        codes = classes[np.minimum(np.frombuffer(samples[k].encode("utf-32-le"), np.uint32), 65535)].tolist()
+        codes = classes[np.frombuffer(samples[k].encode("utf-32-le"), np.uint32)].tolist()
         steps = suffix_automaton(codes)
-        start = np.full(width, base | _BEGINS, np.int64)
-        for c, s in steps[0].items():
-            start[c] = (base + s) | _BEGINS
-        start[1] = base | _BEGINS
+        start = np.full(width, base | _BEGINS | _UNSEEN, np.int64)
         table = np.repeat(start[None, :], len(steps), axis=0)
+        for c, s in steps[0].items():
+            if c < width:
+                table[:, c] = (base + s) | _BEGINS
+            else:
+                rare[base * _POINTS + c] = (base + s) | _BEGINS
         for state, moves in enumerate(steps[1:], 1):
             for c, s in moves.items():
-                if c != 1:
+                if c < width:
                     table[state, c] = base + s
+                else:
+                    rare[(base + state) * _POINTS + c] = base + s
         table[:, 0] = base
         tables.append(table.astype(np.int32))
         roots.append(base)
         base += len(steps)
+    assert base < _BEGINS  # twice the characters of all samples
+    keys = np.array(sorted(rare), np.int64)
+    following = np.array([rare[k] for k in keys.tolist()], np.int32)
     weights = np.array([np.log2(max(2, len(samples[k]))) for k in languages])
     table = np.concatenate(tables) if tables else np.zeros((0, width), np.int32)
-    return CrossParser(languages, table, np.array(roots, np.int32), weights, classes)
+    return CrossParser(languages, table, np.array(roots, np.int32), weights, classes, keys, following)
 
 
 def train(docs: DataFrame, sample_chars: int = SAMPLE_CHARS, total_chars: int = TOTAL_CHARS, text_col: str = "text", lang_col: str = "lang") -> CrossParser:
@@ -199,7 +240,7 @@ def predictions(docs: DataFrame, parser: CrossParser, id_col: str = "doc_id", te
     """doc_id, lang_pred, score, bits of every row: `und`, 0 and null where the text is null or has no letter."""
     spark = docs.sparkSession
     arrow_batches(spark, 2048)
-    shared = spark.sparkContext.broadcast(parser)  # its size is bounded by total_chars and CLASSES
+    shared = spark.sparkContext.broadcast(parser)  # its size is bounded by total_chars and the code points
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
     def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -99,6 +99,41 @@ def test_repeated_rows_and_ids_of_held_out_rows_teach_nothing(make_docs):  # noq
     assert {r.lang_pred for r in langid.identify(make_docs(docs)).collect()} == {"aa"}
 
 
+HAN = {k: [chr(low + i * 7 + j * 3) for i in range(900) for j in range(2)] for k, low in (("han", 0x4E00), ("more", 0x20000), ("kana", 0x4E03))}
+
+
+def write(rng, lang, n):
+    """Texts of words of two characters over some 1,800 characters; "han" and "kana" share half of theirs."""
+    return "".join(HAN[lang][i] + HAN[lang][i + 1] for i in (min(int(rng.expovariate(1 / 250)), 1790) for _ in range(n)))
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_phrases_of_many_characters_are_longest_matches(seed):
+    rng = random.Random(seed)
+    samples = {k: write(rng, k, 400) for k in HAN} | {"aa": speak(rng, "aa", 60)}
+    parser = langid.build(samples)
+    texts = [langid.plain(write(rng, k, 60) + speak(rng, "aa", 3)) for k in HAN for _ in range(3)]
+    found, unseen, _ = parser.parsed(texts)
+    for text, row, lost in zip(texts, found.tolist(), unseen.tolist()):
+        assert row == [brute_phrases(text, samples[k]) for k in parser.languages]
+        assert lost == [sum(c not in samples[k] for c in text) for k in parser.languages]
+
+
+def test_scripts_of_many_characters_and_unequal_samples():
+    rng = random.Random(8)
+    samples = {"han": write(rng, "han", 6000), "more": write(rng, "more", 3000), "kana": write(rng, "kana", 1500), "aa": speak(rng, "aa", 200)}
+    parser = langid.build(samples)
+    texts = [(k, write(rng, k, 60)) for k in HAN for _ in range(10)] + [("aa", speak(rng, "aa", 20)) for _ in range(10)]
+    assert [p[0] for p in parser.predict([t for _, t in texts])] == [k for k, _ in texts]
+
+
+def test_a_label_with_a_few_characters_wins_nowhere():
+    rng = random.Random(9)
+    parser = langid.build({lang: speak(rng, lang, 3000) for lang in SYLLABLES} | {"one": "a", "two": "ka lo", "stray": "thrigh ka"})
+    for lang in SYLLABLES:
+        assert {p[0] for p in parser.predict([speak(rng, lang, 40) for _ in range(20)])} == {lang}
+
+
 def test_a_language_that_is_nearly_all_copies_is_learned(make_docs):  # noqa: F811
     rng = random.Random(6)
     hot = speak(rng, "bb", 50)
