@@ -32,6 +32,12 @@ TOTAL_CHARS = 96_000
 #: Characters taken from one document for the sample.
 SLICE_CHARS = 240
 STRETCH = 512
+#: Characters of a passage when it is asked whether any language fits: each passage may be in another one.
+PASSAGE = 32
+#: Shorter plain texts are not judged. A text fits up to SLACK times the median, or the given quantile, of held-out text of its language.
+LEAST_CHARS = 160
+SLACK = 1.4
+QUANTILE = 0.99
 #: Characters with a column of their own in the table.
 CLASSES = 200
 UNKNOWN = "und"
@@ -110,11 +116,23 @@ class CrossParser:
 
     def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(phrases by text and language, characters parsed by text)."""
-        total, _, sizes = self.parsed(texts)
+        total, _, sizes, _ = self._parse(texts)
         return total, sizes
 
     def parsed(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(phrases and unseen characters by text and language, characters parsed by text)."""
+        return self._parse(texts)[:3]
+
+    def _cost(self, marks: np.ndarray, weight: float) -> np.ndarray:
+        return ((marks & 1023) - (marks >> 10)) * weight + (marks >> 10) * self.weights.max()
+
+    def fit(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(least language, bits a character when every passage is in the language that suits it, characters) of plain texts."""
+        phrases, unseen, sizes, passages = self._parse(texts, True)
+        bits = (phrases - unseen) * self.weights + unseen * self.weights.max()
+        return bits.argmin(axis=1), passages / np.maximum(sizes, 1), sizes
+
+    def _parse(self, texts: list[str], by_passage: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         coded = [self.codes(t) for t in texts]
         sizes = np.array([len(c) for c in coded], np.int64)
         lanes = -(-sizes // STRETCH)
@@ -134,8 +152,12 @@ class CrossParser:
         some = rare.any(axis=1)
         dense = np.where(rare, 1, columns)
         state = np.repeat(self.roots[:, None], len(grid), axis=1)
+        least, before = np.zeros(len(grid)), counts.copy()
         for t in range(STRETCH):
             n = int(filled[t])
+            if by_passage and t and (t % PASSAGE == 0 or not n):
+                least += np.min([self._cost(c, w) for c, w in zip(counts - before, self.weights)], axis=0)
+                before = counts.copy()
             if not n:
                 break
             move = flat[state[:, :n] * width + dense[t, :n]]
@@ -144,12 +166,14 @@ class CrossParser:
                 move[:, at] = self._rare_moves(state[:, at], columns[t, at])
             counts[:, order[:n]] += move >> 20
             state[:, :n] = move & (_BEGINS - 1)
+        if by_passage:
+            least += np.min([self._cost(c, w) for c, w in zip(counts - before, self.weights)], axis=0)
         owner = np.repeat(np.arange(len(texts)), lanes)
         total, unseen = np.zeros((2, len(texts), len(self.languages)), np.int64)
         for k in range(len(self.languages)):
             for out, marks in ((total, counts[k] & 1023), (unseen, counts[k] >> 10)):
                 out[:, k] = np.bincount(owner, weights=marks, minlength=len(texts)).astype(np.int64) if len(owner) else 0
-        return total, unseen, sizes
+        return total, unseen, sizes, np.bincount(owner, weights=least, minlength=len(texts))
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float, float | None]]:
         """(language, score, bits a character) of every text."""
@@ -216,15 +240,21 @@ def train(docs: DataFrame, sample_chars: int = SAMPLE_CHARS, total_chars: int =
     Rows without text, letters or language teach nothing. With so many languages that `total_chars` would be passed, each gets less.
     Rare languages use what there is; beyond total_chars / SLICE_CHARS languages only the most frequent are learned.
     """
+    taken, chars = _slices(docs, sample_chars, total_chars, text_col, lang_col, SLICE_CHARS)
+    return build({lang: " ".join(plain(p) for p in parts)[:chars] for lang, parts in taken.items()})
+
+
+def _slices(docs: DataFrame, sample_chars: int, total_chars: int, text_col: str, lang_col: str, slice_chars: int) -> tuple[dict[str, list[str]], int]:
+    """(slices by language, characters for a language): from the middle of documents of least hash, each text once."""
     rows = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    rows = rows.select("lang", F.xxhash64("text").alias("h"), F.substring(F.col("text"), F.greatest(F.lit(1), F.floor((F.length("text") - SLICE_CHARS) / 2).cast("int") + 1), F.lit(SLICE_CHARS)).alias("slice"))
+    rows = rows.select("lang", F.xxhash64("text").alias("h"), F.substring(F.col("text"), F.greatest(F.lit(1), F.floor((F.length("text") - slice_chars) / 2).cast("int") + 1), F.lit(slice_chars)).alias("slice"))
     # Copies count once: the share below is one of distinct texts.
     counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("h").alias("texts"))
-    sizes = {r["lang"]: r["texts"] for r in counts.orderBy(F.desc("n"), "lang").limit(total_chars // SLICE_CHARS).collect()}
+    sizes = {r["lang"]: r["texts"] for r in counts.orderBy(F.desc("n"), "lang").limit(total_chars // slice_chars).collect()}
     if not sizes:
-        return build({})
+        return {}, 0
     chars = min(sample_chars, total_chars // len(sizes))
-    wanted = max(1, 2 * chars // SLICE_CHARS)
+    wanted = max(1, 2 * chars // slice_chars)
     # A row is looked at if its hash lies among the least share that should hold four times the texts wanted.
     share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, 4.0 * wanted / max(1, n)))])
     lot = F.pmod(F.col("h"), F.lit(1 << 30)) / float(1 << 30)
@@ -232,8 +262,8 @@ def train(docs: DataFrame, sample_chars: int = SAMPLE_CHARS, total_chars: int =
     ranked = few.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 30)), "h"))).where(F.col("nth") <= wanted)
     taken: dict[str, list[str]] = {}
     for r in ranked.orderBy("lang", "nth").collect():  # at most 2 * total_chars characters
-        taken.setdefault(r["lang"], []).append(plain(r["slice"]))
-    return build({lang: " ".join(parts)[:chars] for lang, parts in taken.items()})
+        taken.setdefault(r["lang"], []).append(r["slice"])
+    return taken, chars
 
 
 def predictions(docs: DataFrame, parser: CrossParser, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -261,16 +291,44 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     return found.select("doc_id", (crc_mod("doc_id", folds) == held).alias("held_out"), "lang_pred", "score", "bits")
 
 
-def in_languages(docs: DataFrame, parser: CrossParser, languages: list[str] | None = None, text_col: str = "text") -> DataFrame:
-    """The rows whose text is in one of the languages (by default, in any learned one); others, and texts without a letter, go."""
+def limits(docs: DataFrame, parser: CrossParser, text_col: str = "text", lang_col: str = "lang") -> np.ndarray:
+    """The most bits a character, by language of the parser, of a text in it; from a bounded sample of labelled text that the parser has not seen.
+
+    A language with less than ten such texts of `LEAST_CHARS` takes the greatest limit of the others; with none, every text fits.
+    """
+    taken, _ = _slices(docs, 10 * SAMPLE_CHARS, 10 * TOTAL_CHARS, text_col, lang_col, 1200)
+    found = np.full(len(parser.languages), np.nan)
+    for k, lang in enumerate(parser.languages):
+        texts = [plain(t) for t in taken.get(lang, [])]
+        texts = [t for t in texts if len(t) >= LEAST_CHARS]
+        if len(texts) >= 10:
+            _, bits, _ = parser.fit(texts)
+            found[k] = max(SLACK * np.median(bits), np.quantile(bits, QUANTILE))
+    return np.where(np.isnan(found), np.inf if np.isnan(found).all() else np.nanmax(found), found)
+
+
+def in_languages(docs: DataFrame, parser: CrossParser, languages: list[str] | None = None, text_col: str = "text", most: np.ndarray | None = None) -> DataFrame:
+    """The rows whose text is in one of the languages (by default, in any learned one); others, and texts without a letter, go.
+
+    With `most` (see `limits`) texts of `LEAST_CHARS` or more that no language fits go too.
+    """
     spark = docs.sparkSession
     arrow_batches(spark, 2048)
     wanted = set(parser.languages if languages is None else languages)
-    shared = spark.sparkContext.broadcast(parser)
+    shared = spark.sparkContext.broadcast((parser, most))
 
     def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parser, most = shared.value
         for batch in found:
-            keep = [p[0] in wanted for p in shared.value.predict(batch.column(text_col).to_pylist())]
+            texts = batch.column(text_col).to_pylist()
+            if most is None:
+                keep = [p[0] in wanted for p in parser.predict(texts)]
+            else:
+                keep = np.array([t is not None and _LETTER.search(t) is not None for t in texts], bool) & bool(parser.languages)
+                if keep.any():
+                    best, bits, sizes = parser.fit([plain(t) for t, k in zip(texts, keep) if k])
+                    named = np.isin(best, [k for k, lang in enumerate(parser.languages) if lang in wanted])
+                    keep[keep] = named & ((sizes < LEAST_CHARS) | (bits <= most[best]))
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(batches, docs.schema)

@@ -150,6 +150,22 @@ def test_in_languages(make_docs):  # noqa: F811
     assert langid.in_languages(docs, parser, ["aa"]).count() == 30
 
 
+def test_texts_that_no_learned_language_fits_go(make_docs):  # noqa: F811
+    rng = random.Random(11)
+    other = "zwo fy qer dhu vax pij".split()
+    docs = [(i, speak(rng, lang := sorted(SYLLABLES)[i % 3], rng.randrange(30, 120)), lang) for i in range(400)]
+    mixed = [(500 + i, speak(rng, "aa", 40) + " " + speak(rng, "bb", 40), "aa") for i in range(20)]
+    unlearned = [(600 + i, " ".join("".join(rng.choice(other) for _ in range(rng.randrange(1, 4))) for _ in range(90)), ["aa", None][i % 2]) for i in range(20)]
+    gibberish = [(700 + i, " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(5)) for _ in range(90)), None) for i in range(20)]
+    script = [(800 + i, write(rng, "more", 200), None) for i in range(5)]
+    frame = make_docs(docs + mixed + unlearned + gibberish + script + [(900, "123"), (901, None), (902, "short and foreign")])
+    parser = langid.train(make_docs(docs[:270]))
+    most = langid.limits(make_docs(docs[270:]), parser)
+    kept = langid.in_languages(frame, parser, most=most)
+    assert {r.doc_id for r in kept.collect()} == {d[0] for d in docs + mixed} | {902}
+    assert langid.in_languages(frame, parser, ["bb"], most=most).where("doc_id < 400").count() == len([d for d in docs if d[2] == "bb"])
+
+
 def test_no_labels_and_no_rows(make_docs):  # noqa: F811
     assert {r.lang_pred for r in langid.identify(make_docs([(1, "text"), (2, None)])).collect()} == {"und"}
     assert langid.identify(make_docs([])).count() == 0
