@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import configure, scratch_path
-from . import attention_lm, bitplanes, langid, licences, packing, simhash, syncmers, tokencounts, toxicity, winnowing
+from . import attention_lm, bitplanes, langid, licences, packing, simhash, suffixdedup, syncmers, tokencounts, toxicity, winnowing
 from .common import read_table
 
 
@@ -73,6 +73,12 @@ def op10_token_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencounts.section_counts(read_table(configure(spark), sf_dir, "documents"), "majority")
 
 
+def op11_prefix_doubling_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = suffixdedup.without_repeats(read_table(configure(spark), sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["high"] - s["low"])
+    return kept.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of the corpus pipeline."""
     import corpus_pipeline
@@ -84,7 +90,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_best_fit_packing, op2_syncmer_fingerprints, op3_cross_parsing_language, op4_attention_lm_scores, op5_licence_scan,
-        op6_bitplane_ids, op7_toxicity_bigru, op8_winnowing_decontamination, op9_simhash_duplicates, op10_token_attribution, pipeline,
+        op6_bitplane_ids, op7_toxicity_bigru, op8_winnowing_decontamination, op9_simhash_duplicates, op10_token_attribution,
+        op11_prefix_doubling_repeats, pipeline,
     )
 }
 
