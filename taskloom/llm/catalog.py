@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import configure, scratch_path
-from . import attention_lm, bitplanes, langid, licences, packing, simhash, suffixdedup, syncmers, tokencounts, toxicity, winnowing
+from . import attention_lm, bitplanes, collocations, langid, licences, packing, simhash, suffixdedup, syncmers, tokencounts, toxicity, winnowing
 from .common import read_table
 
 
@@ -79,6 +79,10 @@ def op11_prefix_doubling_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op13_parse_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(read_table(configure(spark), sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of the corpus pipeline."""
     import corpus_pipeline
@@ -91,7 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_best_fit_packing, op2_syncmer_fingerprints, op3_cross_parsing_language, op4_attention_lm_scores, op5_licence_scan,
         op6_bitplane_ids, op7_toxicity_bigru, op8_winnowing_decontamination, op9_simhash_duplicates, op10_token_attribution,
-        op11_prefix_doubling_repeats, pipeline,
+        op11_prefix_doubling_repeats, op13_parse_collocations, pipeline,
     )
 }
 
@@ -147,5 +151,25 @@ _LEAKS = f"""
       coalesce(n_hit, 0) > 0 AS contaminated
     FROM d LEFT JOIN words USING (r) LEFT JOIN items USING (r)"""
 
+_PHRASES = f"""
+    WITH pieces AS (SELECT lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[.,;:!?\\x0A-\\x0D]')) AS piece FROM (SELECT coalesce(lang, 'und') AS lang, text FROM documents)),
+    p AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM pieces),
+    f AS (SELECT lang, m, array_to_string(w[i : i + m - 1], ' ') AS phrase, count(*) AS c
+      FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM p, (VALUES (1), (2), (3), (4)) v(m) WHERE len(w) >= m) GROUP BY ALL),
+    totals AS (SELECT lang, sum(c)::BIGINT AS n FROM f WHERE m = 1 GROUP BY lang),
+    often AS (SELECT lang, m, phrase, c, string_split(phrase, ' ') AS w FROM f WHERE c >= {collocations.LEAST}),
+    cuts AS (SELECT lang, m, phrase, c, w, unnest(range(1, m)) AS k FROM often WHERE m > 1),
+    scored AS (SELECT cuts.lang, cuts.phrase, cuts.c AS a, k, l.c AS l, r.c AS r, (2000000::HUGEINT * cuts.c) // (l.c::HUGEINT + r.c) AS score
+      FROM cuts JOIN often l ON l.lang = cuts.lang AND l.phrase = array_to_string(cuts.w[1 : k], ' ')
+      JOIN often r ON r.lang = cuts.lang AND r.phrase = array_to_string(cuts.w[k + 1 : cuts.m], ' ')),
+    worst AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+    longer AS (SELECT lang, array_to_string(w[i : i + j - 1], ' ') AS phrase, max(c) AS c
+      FROM (SELECT lang, m, w, c, j, unnest(range(1, m - j + 2)) AS i FROM often, (VALUES (2), (3)) v(j) WHERE j < m) GROUP BY ALL)
+    SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(worst.phrase)) AS rank, worst.phrase, a, l, r, n, score::BIGINT AS score
+    FROM worst JOIN totals USING (lang) LEFT JOIN longer USING (lang, phrase)
+    WHERE longer.c IS NULL OR 100::HUGEINT * longer.c < {collocations.SHARE} * a::HUGEINT
+    QUALIFY rank <= {collocations.TOP}"""
+
 #: The others are learnt, hashed or sequential; tests hold them against brute force.
-ORACLE: dict[str, str] = {"op5_licence_scan": _licence_sql(), "op8_winnowing_decontamination": _LEAKS}
+ORACLE: dict[str, str] = {"op5_licence_scan": _licence_sql(), "op8_winnowing_decontamination": _LEAKS, "op13_parse_collocations": _PHRASES}
