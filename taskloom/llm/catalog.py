@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import configure, scratch_path
-from . import attention_lm, bitplanes, collocations, langid, licences, packing, simhash, suffixdedup, syncmers, tokencounts, toxicity, winnowing
+from . import attention_lm, bitplanes, collocations, langid, licences, packing, simhash, suffixdedup, syncmers, tokencounts, toxicity, vectorcodes, winnowing
 from .common import read_table
 
 
@@ -79,6 +79,10 @@ def op11_prefix_doubling_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op12_resident_lloyd_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectorcodes.codes(read_table(configure(spark), sf_dir, "embeddings"))
+
+
 def op13_parse_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(read_table(configure(spark), sf_dir, "documents"))
 
@@ -95,7 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_best_fit_packing, op2_syncmer_fingerprints, op3_cross_parsing_language, op4_attention_lm_scores, op5_licence_scan,
         op6_bitplane_ids, op7_toxicity_bigru, op8_winnowing_decontamination, op9_simhash_duplicates, op10_token_attribution,
-        op11_prefix_doubling_repeats, op13_parse_collocations, pipeline,
+        op11_prefix_doubling_repeats, op12_resident_lloyd_codes, op13_parse_collocations, pipeline,
     )
 }
 
@@ -171,5 +175,40 @@ _PHRASES = f"""
     WHERE longer.c IS NULL OR 100::HUGEINT * longer.c < {collocations.SHARE} * a::HUGEINT
     QUALIFY rank <= {collocations.TOP}"""
 
+_MOVED = "list_sum(list_transform(list_zip({0}, {1}), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+
+
+def _lloyd_sql() -> str:
+    """Two rounds, each as an assignment and new entries, and the last assignment."""
+
+    def assignment(i: int) -> str:
+        return f"""
+    a{i} AS MATERIALIZED (SELECT rid, p, part, min(dist * {vectorcodes.ENTRIES} + e) % {vectorcodes.ENTRIES} AS e, min(dist) AS dist
+      FROM (SELECT rid, parts.p, parts.part, e, {_MOVED.format('parts.part', f'b{i}.part')} AS dist FROM parts JOIN b{i} USING (p)) GROUP BY rid, p, part)"""
+
+    def entries(i: int) -> str:
+        return f"""
+    m{i} AS (SELECT p, e, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS part FROM (
+      SELECT p, e, i, sum(part[i]) AS s, count(*) AS n FROM (SELECT p, e, part, unnest(range(1, len(part) + 1)) AS i FROM a{i}) GROUP BY ALL) GROUP BY p, e),
+    b{i + 1} AS MATERIALIZED (SELECT p, e, coalesce(m{i}.part, b{i}.part) AS part FROM b{i} LEFT JOIN m{i} USING (p, e))"""
+
+    steps = ",".join(f"{assignment(i)},{entries(i)}" for i in range(vectorcodes.ROUNDS))
+    return f"""
+    WITH kept AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id, label, list_transform(embedding, lambda x: floor({vectorcodes.SCALE} * x::DOUBLE)::BIGINT) AS q
+      FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    parts AS MATERIALIZED (SELECT rid, vec_id, p, q[p * (len(q) // {vectorcodes.PARTS}) + 1 : (p + 1) * (len(q) // {vectorcodes.PARTS})] AS part
+      FROM kept, range({vectorcodes.PARTS}) t(p)),
+    b0 AS MATERIALIZED (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, part FROM parts
+      WHERE vec_id IN (SELECT vec_id FROM kept ORDER BY vec_id LIMIT {vectorcodes.ENTRIES})),{steps},{assignment(vectorcodes.ROUNDS)},
+    coded AS (SELECT rid, string_agg(printf('%02x', e::INTEGER), '' ORDER BY p) AS code, sum(dist)::BIGINT AS error FROM a{vectorcodes.ROUNDS} GROUP BY rid),
+    book AS (SELECT sha256(string_agg(array_to_string(part, ','), ',' ORDER BY p, e)) AS digest FROM b{vectorcodes.ROUNDS})
+    SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, digest AS codebooks_sha256 FROM kept JOIN coded USING (rid), book"""
+
+
 #: The others are learnt, hashed or sequential; tests hold them against brute force.
-ORACLE: dict[str, str] = {"op5_licence_scan": _licence_sql(), "op8_winnowing_decontamination": _LEAKS, "op13_parse_collocations": _PHRASES}
+ORACLE: dict[str, str] = {
+    "op5_licence_scan": _licence_sql(),
+    "op8_winnowing_decontamination": _LEAKS,
+    "op12_resident_lloyd_codes": _lloyd_sql(),
+    "op13_parse_collocations": _PHRASES,
+}
