@@ -14,6 +14,7 @@ COLUMNS = {
     "op7": "doc_id held_out score predicted",
     "op8": "doc_id n_words n_hit n_items items_sha256 contaminated",
     "op9": "doc_id fingerprint component_id",
+    "op11": "doc_id n_bytes n_removed n_spans kept_sha256",
 }
 
 
