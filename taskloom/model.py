@@ -284,8 +284,12 @@ OPERATOR = Principal("operator", is_operator=True)
 class Tables(Mapping):
     """A bundle of the 20 frames. A frame is built on first use, so a query plans only what it reads."""
 
-    def __init__(self, sources: Mapping[str, DataFrame | Callable[[], DataFrame]], last_ids: Mapping[str, int] | None = None):
+    def __init__(
+        self, sources: Mapping[str, DataFrame | Callable[[], DataFrame]], last_ids: Mapping[str, int] | None = None, version: int | None = None
+    ):
         self._sources = dict(sources)
+        #: The version of a store that the bundle was read from.
+        self.version = version
         #: Largest id of each table, where a store has kept count.
         self.last_ids = dict(last_ids or {})
         self._frames: dict[str, DataFrame] = {}
@@ -313,4 +317,4 @@ class Tables(Mapping):
     def replace(self, **frames: DataFrame | Callable[[], DataFrame]) -> Tables:
         """The same bundle with some frames exchanged."""
         merged: dict[str, DataFrame | Callable[[], DataFrame]] = {**self._sources, **self._frames, **frames}
-        return Tables(merged, {name: last for name, last in self.last_ids.items() if name not in frames})
+        return Tables(merged, {name: last for name, last in self.last_ids.items() if name not in frames}, self.version)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -86,6 +87,31 @@ class Upsert:
         return apply_delta(base, self.rows, self.key)
 
 
+@dataclass(frozen=True)
+class Delete:
+    """Keys whose rows go."""
+
+    rows: DataFrame
+    key: tuple[str, ...]
+
+    def after(self, base: DataFrame) -> DataFrame:
+        return apply_delta(base, self.rows, self.key, "delete")
+
+
+@dataclass(frozen=True)
+class DeleteBefore:
+    """Rows go whose time lies before a limit; rows without a time stay."""
+
+    column: str
+    limit: datetime | str
+
+    def gone(self) -> Column:
+        return F.col(self.column) < F.lit(self.limit).cast("timestamp")
+
+    def after(self, base: DataFrame) -> DataFrame:
+        return base.where(~F.coalesce(self.gone(), F.lit(False)))
+
+
 def first_free(base: DataFrame, key: str, last: int | None = None) -> Column:
     """The first id not taken: after `last` where the caller knows it, else after the largest in `base`."""
     if last is not None:

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.jsontext import json_object
 from ..model import STALE_SECONDS, Principal, Tables
-from .delta import assign_ids, instant, log_events, patch, typed
+from .delta import Delete, Upsert, assign_ids, instant, log_events, patch, typed
 from .views import last_sign_of_life, my_tasks
 
 # Fixed value: the note of a rejection that gives none.
@@ -18,11 +19,13 @@ DEFAULT_REJECTION = "Rejected by human reviewer"
 
 @dataclass(frozen=True)
 class Outcome:
-    """Accepted commands with what they produced, refused commands with the reason, and the new tables."""
+    """Accepted commands with what they produced, refused commands with the reason, and the new tables; where given, the same as
+    changes for a store."""
 
     accepted: DataFrame
     rejects: DataFrame
     tables: Tables
+    changes: Mapping[str, Sequence[Delete | Upsert]] = field(default_factory=dict)
 
 
 def require(allowed: bool, what: str) -> None:

@@ -23,7 +23,7 @@ from ..model import (
     Tables,
 )
 from ..session import stage
-from .delta import apply_delta, assign_ids, instant, patch, typed
+from .delta import Delete, Upsert, apply_delta, assign_ids, instant, patch, typed
 from .lifecycle import Outcome, require
 
 #: Conflicting rows up to which the driver decides the rest.
@@ -202,23 +202,29 @@ def drop_agents(t: Tables, roles: DataFrame, p: Principal) -> Outcome:
     gone: dict[str, DataFrame] = {"agent_meta": known.join(named, "role_name", "left_semi")}
     rejects = named.join(known, "role_name", "left_anti").select("role_name", F.lit("not_found").alias("reason"))
     frames = {"agent_meta": t.agent_meta.join(named, "role_name", "left_anti").select(*t.agent_meta.columns)}
+    changes: dict[str, list[Delete | Upsert]] = {"agent_meta": [Delete(gone["agent_meta"].select("agent_id"), ("agent_id",))]}
     for table in _DROP_ORDER:
         rows = t[table]
         references = [fk for fk in FOREIGN_KEYS if fk.table == table and fk.parent in gone]
         lost: list[DataFrame] = []
+        touched: list[Column] = []
         for fk in references:
             keys = gone[fk.parent].select(F.col(fk.parent_column).alias(fk.column)).distinct()
             if fk.on_delete == "cascade":
                 lost.append(t[table].join(keys, fk.column, "left_semi").select(*KEYS[table]))
                 rows = rows.join(keys, fk.column, "left_anti")
             elif fk.on_delete == "set null":
-                marked = rows.join(keys.withColumn("_gone", F.lit(True)), fk.column, "left")
-                kept = F.when(F.col("_gone").isNull(), F.col(fk.column)).alias(fk.column)
-                rows = marked.select(*[kept if c == fk.column else F.col(c) for c in t[table].columns])
+                mark = f"_gone_{fk.column}"
+                touched.append(F.coalesce(F.col(mark), F.lit(False)))
+                rows = rows.join(keys.withColumn(mark, F.lit(True)), fk.column, "left")
+                rows = rows.withColumn(fk.column, F.when(F.col(mark).isNull(), F.col(fk.column)))
         frames[table] = rows.select(*t[table].columns)
+        changes[table] = [Delete(reduce(DataFrame.unionByName, lost).distinct(), KEYS[table])] if lost else []
+        if touched:
+            changes[table].append(Upsert(rows.where(reduce(Column.__or__, touched)).select(*t[table].columns), KEYS[table]))
         if table in ("sessions", "tasks"):
             gone[table] = reduce(DataFrame.unionByName, lost).distinct()
-    return Outcome(gone["agent_meta"], rejects, t.replace(**frames))
+    return Outcome(gone["agent_meta"], rejects, t.replace(**frames), {name: steps for name, steps in changes.items() if steps})
 
 
 def grant_tools(t: Tables, pairs: DataFrame, p: Principal, as_of: str | Column) -> Tables:

@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..model import KEEP_EVENT_DAYS, PURGE_QUALITY, Principal, Tables
-from .delta import instant
+from .delta import Delete, DeleteBefore, instant
 from .lifecycle import require
 
 
 @dataclass(frozen=True)
 class Purged:
+    """The tables without the purged rows, and the deletion as a change for a store."""
+
     tables: Tables
     report: DataFrame
+    changes: Mapping[str, Delete | DeleteBefore]
 
 
 def purge_report(t: Tables, task_ids: DataFrame, min_quality: float = PURGE_QUALITY) -> DataFrame:
@@ -41,14 +45,16 @@ def purge_compressed(t: Tables, p: Principal, task_ids: DataFrame, min_quality:
     report = purge_report(t, task_ids, min_quality)
     free = report.where(~F.col("blocked")).select("task_id")
     kept = t.execution_logs.join(free, "task_id", "left_anti").select(*t.execution_logs.columns)
-    return Purged(t.replace(execution_logs=kept), report)
+    lost = t.execution_logs.join(free, "task_id", "left_semi").select("log_id")
+    return Purged(t.replace(execution_logs=kept), report, {"execution_logs": Delete(lost, ("log_id",))})
 
 
 def purge_events(t: Tables, p: Principal, as_of: str | Column, keep_days: int = KEEP_EVENT_DAYS) -> Purged:
     """Delete events older than `keep_days`. The condition reaches the scan, where row groups without old events are skipped."""
     require(p.privileged, "purge_events")
     limit = instant(as_of) - F.make_dt_interval(days=F.lit(keep_days))
-    old = F.col("created_at") < limit
+    limit = t.agent_events.sparkSession.range(1).select(limit.cast("string")).first()[0]
+    old = F.col("created_at") < F.lit(limit).cast("timestamp")
     kept = t.agent_events.where(~old)
     report = t.agent_events.where(old).agg(F.count(F.lit(1)).alias("deleted"))
-    return Purged(t.replace(agent_events=kept), report)
+    return Purged(t.replace(agent_events=kept), report, {"agent_events": DeleteBefore("created_at", limit)})

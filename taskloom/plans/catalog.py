@@ -6,7 +6,7 @@ Results are flat: structs are spread into columns and doubles rounded to six dec
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 from functools import reduce
 
@@ -1183,6 +1183,29 @@ def _through_store(c: Context) -> DataFrame:
     return read_snapshot(c.spark, store).tasks.select("task_id", "status", "retry_count", "heartbeat_at", "updated_at")
 
 
+def _stored(c: Context, tables: str, change: Callable[[Tables], Mapping], out: str) -> DataFrame:
+    """A table of a store after a change that was computed from the store's tables and committed to it."""
+    store = scratch_path(c.spark, "store")
+    streams.tables_to_store(Tables({name: c.t[name] for name in tables.split()}), c.spark, store)
+    before = read_snapshot(c.spark, store)
+    streams.write_snapshot(c.spark, store, change(before), base=before.version)
+    return read_snapshot(c.spark, store)[out]
+
+
+def _dropping(t: Tables) -> Mapping:
+    return registry.drop_agents(t, t.agent_meta.where("NOT is_active").select("role_name"), OPERATOR).changes
+
+
+def _add_stored(like: str, tables: str, change: Callable[[Tables], Mapping], out: str, *columns: str) -> None:
+    """The query `like` once more, through the store: only what changes is written, and the result is what the store then holds."""
+    CATALOG[f"{like}_stored"] = Query(lambda c: _stored(c, tables, change, out).select(*columns or "*"), CATALOG[like].oracle)
+
+
+_add_stored("purge_events_kept", "agent_events", lambda t: retention.purge_events(t, OPERATOR, AS_OF_EVENTS, 10).changes, "agent_events")
+_add_stored("purge_compressed_logs", "tasks execution_logs", lambda t: retention.purge_compressed(t, OPERATOR, t.tasks).changes, "execution_logs",
+            "log_id", "task_id", "step_number")
+_add_stored("drop_agents_tasks", " ".join(SCHEMAS), _dropping, "tasks", "task_id", "session_id", "agent_id")
+_add_stored("drop_agents_messages", " ".join(SCHEMAS), _dropping, "agent_messages", "message_id", "session_id", "parent_task_id", "child_task_id")
 _add("write_snapshot", _through_store, "tasks agent_profile_assignments agent_profiles agent_meta",
      CATALOG["recover_stale"].oracle and f"SELECT t.task_id, CASE WHEN {_STALE} THEN CASE WHEN t.retry_count + 1 > {_RETRY} THEN 'failed' ELSE "
      f"'pending' END ELSE t.status END AS status, CASE WHEN {_STALE} THEN t.retry_count + 1 ELSE t.retry_count END AS retry_count, "
@@ -1414,7 +1437,10 @@ _add(
 
 
 def _live_progress(c: Context) -> DataFrame:
-    return streams.session_progress_stream(_notices(c, streams.progress_delta_stream, "task_changes"))
+    """The counts as the stream wrote them."""
+    store = scratch_path(c.spark, "progress")
+    streams.live_progress(c.command("task_changes", live=True), store).awaitTermination()
+    return streams.progress(c.spark, store)
 
 
 _add(

@@ -1,218 +1,42 @@
-"""Typed scans of the control-plane tables, and a store that takes changes of them.
-
-The store keeps every table as a list of Parquet folders. A commit appends a folder of new rows to tables that only grow, and rewrites
-the touched hash buckets of tables whose rows change; rows already written are left where they are. What a version consists of stands in
-its manifest, a small file that is created last and never overwritten: of two writers of one version the second fails. The
-manifest also carries the last batch of every stream that writes, by the stream's own name, and the largest id of every table.
-"""
+"""Typed scans of the control-plane tables; the store of `store.py` by its old names."""
 
 from __future__ import annotations
 
-import json
-from collections.abc import Mapping
-
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql.types import IntegralType, StructType
-
-from ..model import KEYS, SCHEMAS, Tables
-from ..operators.delta import Append, Upsert
 
-MANIFEST = "manifest"
-#: Tables whose rows change, kept in hash buckets of their key. The others only grow, or are written whole.
-BUCKETED = {"tasks": ("task_id",), "sessions": ("session_id",), "memory": ("memory_id",), "tool_registry": ("tool_id",), "last": None}
-BUCKETS = 32
-
-Change = DataFrame | Append | Upsert
+from ..model import SCHEMAS, Tables
+from .store import (
+    VersionTaken,
+    changed_rows,
+    committed_batch,
+    compact,
+    manifest,
+    read_snapshot,
+    rows_near,
+    seen_version,
+    vacuum,
+    write_snapshot,
+)
+
+__all__ = [
+    "VersionTaken",
+    "changed_rows",
+    "committed_batch",
+    "compact",
+    "load_tables",
+    "manifest",
+    "read_snapshot",
+    "rows_near",
+    "seen_version",
+    "vacuum",
+    "write_snapshot",
+]
 
 
 def load_tables(spark: SparkSession, directory: str) -> Tables:
     """One Parquet folder per table below `directory`; the declared schemas spare inference and type the columns."""
-    return Tables({name: _scan(spark, [f"{directory}/{name}"], SCHEMAS[name]) for name in SCHEMAS})
-
-
-def _scan(spark: SparkSession, paths: list[str], schema):
-    return lambda: spark.read.schema(schema).parquet(*paths)
-
-
-class VersionTaken(RuntimeError):
-    """Another writer has committed the version first."""
-
-
-def _file(spark: SparkSession, path: str):
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()), hadoop
-
-
-def _manifest_path(directory: str, version: int) -> str:
-    return f"{directory}/{MANIFEST}/{version}.json"
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    system, file = _file(spark, path)
-    return system.exists(file)
-
-
-def _text(spark: SparkSession, path: str) -> str:
-    system, file = _file(spark, path)
-    stream = system.open(file)
-    try:
-        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-    finally:
-        stream.close()
-
-
-def _create(spark: SparkSession, path: str, text: str, overwrite: bool) -> None:
-    system, file = _file(spark, path)
-    if not overwrite and system.exists(file):
-        raise VersionTaken(path)
-    stream = system.create(file, overwrite)  # fails if another writer was faster
-    try:
-        stream.write(bytearray(text.encode()))
-    finally:
-        stream.close()
-
-
-def _newest(spark: SparkSession, directory: str) -> int:
-    """The newest version, -1 for an empty store: the number kept under a fixed name, and any that came after it."""
-    hint = f"{directory}/{MANIFEST}/newest"
-    version = int(_text(spark, hint)) if _exists(spark, hint) else -1
-    while _exists(spark, _manifest_path(directory, version + 1)):
-        version += 1
-    return version
-
-
-def manifest(spark: SparkSession, directory: str) -> dict:
-    """What the newest version consists of: {version, tables: {name: {schema, parts, buckets}}, streams, last_ids}."""
-    version = _newest(spark, directory)
-    if version < 0:
-        return {"version": -1, "tables": {}, "streams": {}, "last_ids": {}}
-    return json.loads(_text(spark, _manifest_path(directory, version)))
-
-
-def committed_batch(spark: SparkSession, directory: str, stream: str) -> int:
-    """The last batch a stream has committed, -1 for none."""
-    return manifest(spark, directory)["streams"].get(stream, -1)
-
-
-def _schema_of(entry: dict) -> StructType:
-    return StructType.fromJson(entry["schema"])
-
-
-def _paths(directory: str, entry: dict) -> list[str]:
-    return [f"{directory}/{p}" for p in [*entry["parts"], *entry["buckets"].values()]]
-
-
-def _read(spark: SparkSession, directory: str, entry: dict):
-    schema = _schema_of(entry)
-    paths = _paths(directory, entry)
-    return _scan(spark, paths, schema) if paths else lambda: spark.createDataFrame([], schema)
-
-
-def _bucket(key: tuple[str, ...]) -> F.Column:
-    return F.pmod(F.xxhash64(*key), F.lit(BUCKETS)).cast("int")
-
-
-def _write_buckets(rows: DataFrame, key: tuple[str, ...], directory: str, name: str, version: int) -> dict[str, str]:
-    """Write rows by bucket; {bucket: folder} of those that have any."""
-    where = f"{name}/v={version}"
-    rows.withColumn("bucket", _bucket(key)).repartition("bucket").write.partitionBy("bucket").mode("overwrite").parquet(f"{directory}/{where}")
-    system, folder = _file(rows.sparkSession, f"{directory}/{where}")
-    names = [f.getPath().getName() for f in system.listStatus(folder)]
-    return {n.removeprefix("bucket="): f"{where}/{n}" for n in sorted(names) if n.startswith("bucket=")}
-
-
-def _id_of(rows: DataFrame, name: str) -> str | None:
-    """The column of a table that is its one integer key, if it has such."""
-    key = KEYS.get(name, ())
-    return key[0] if len(key) == 1 and isinstance(rows.schema[key[0]].dataType, IntegralType) else None
-
-
-def _last_id(rows: DataFrame, name: str) -> int | None:
-    """Largest id of rows of a table with one integer key, from files just written."""
-    key = _id_of(rows, name)
-    return rows.agg(F.max(F.col(key).cast("long"))).first()[0] if key else None
-
-
-def write_snapshot(
-    spark: SparkSession, directory: str, changes: Mapping[str, Change], stream: str | None = None, batch: int | None = None
-) -> int | None:
-    """Commit changes as the next version and return its number; a table that isn't named stays as it is.
-
-    A frame replaces its table, `Append` adds rows, `Upsert` replaces and adds rows by key. With `stream` and `batch` a batch that
-    this very stream has committed already is left alone, and None is returned: repeating a micro-batch changes nothing, and another
-    writer's versions have no bearing on it. Raises `VersionTaken` if another writer commits the version in the meantime.
-    """
-    state = manifest(spark, directory)
-    if stream is not None and state["streams"].get(stream, -1) >= batch:
-        return None
-    version = state["version"] + 1
-    if _exists(spark, _manifest_path(directory, version)):
-        raise VersionTaken(_manifest_path(directory, version))
-    for name, change in changes.items():
-        entry = state["tables"].get(name)
-        rows = change if isinstance(change, DataFrame) else change.rows
-        key = change.key if isinstance(change, Upsert) else BUCKETED.get(name)
-        if entry is None or isinstance(change, DataFrame):
-            entry = {"schema": rows.schema.jsonValue(), "parts": [], "buckets": {}}
-            state["last_ids"].pop(name, None)
-        else:
-            rows = rows.select(*[f.name for f in _schema_of(entry)])
-        where = f"{name}/v={version}"
-        if key is not None and not isinstance(change, Append):
-            if not entry["buckets"] and not entry["parts"]:
-                entry["buckets"] = _write_buckets(rows, key, directory, name, version)
-            else:
-                rows.write.mode("overwrite").parquet(f"{directory}/{where}-delta")
-                delta = spark.read.schema(rows.schema).parquet(f"{directory}/{where}-delta")
-                touched = {str(r["b"]) for r in delta.select(_bucket(key).alias("b")).distinct().collect()}  # at most BUCKETS
-                old = [f"{directory}/{entry['buckets'][b]}" for b in sorted(touched & set(entry["buckets"]))]
-                base = spark.read.schema(rows.schema).parquet(*old) if old else spark.createDataFrame([], rows.schema)
-                if touched:
-                    entry["buckets"] |= _write_buckets(Upsert(delta, key).after(base), key, directory, name, version)
-            written = [f"{directory}/{p}" for p in entry["buckets"].values() if p.startswith(where)]
-        else:
-            rows.write.mode("overwrite").parquet(f"{directory}/{where}")
-            entry["parts"] = [*entry["parts"], where]
-            written = [f"{directory}/{where}"]
-        last = _last_id(spark.read.schema(rows.schema).parquet(*written), name) if written else None
-        if last is not None:
-            state["last_ids"][name] = max(last, state["last_ids"].get(name, last))
-        elif isinstance(change, Append) and _id_of(rows, name):
-            entry["parts"].remove(where)  # nothing was added
-        state["tables"][name] = entry
-    if stream is not None:
-        state["streams"][stream] = batch
-    state["version"] = version
-    _create(spark, _manifest_path(directory, version), json.dumps(state), overwrite=False)
-    _create(spark, f"{directory}/{MANIFEST}/newest", str(version), overwrite=True)
-    return version
-
-
-def read_snapshot(spark: SparkSession, directory: str) -> Tables:
-    """The tables of the newest version."""
-    state = manifest(spark, directory)
-    sources = {name: _read(spark, directory, entry) for name, entry in state["tables"].items()}
-    return Tables(sources, state["last_ids"])
-
-
-def compact(spark: SparkSession, directory: str, *names: str) -> int:
-    """Commit a version in which each named table that only grows has one folder instead of one for every commit."""
-    state = manifest(spark, directory)
-    many = [n for n in names if len(state["tables"][n]["parts"]) > 1]
-    return write_snapshot(spark, directory, {n: _read(spark, directory, state["tables"][n])() for n in many})
 
+    def scan(name: str) -> DataFrame:
+        return spark.read.schema(SCHEMAS[name]).parquet(f"{directory}/{name}")
 
-def vacuum(spark: SparkSession, directory: str) -> int:
-    """Delete the folders that the newest version does not refer to; returns how many. Not while others read or write."""
-    state, gone = manifest(spark, directory), 0
-    for name, entry in state["tables"].items():
-        used = {p.split("/")[1] for p in [*entry["parts"], *entry["buckets"].values()]}
-        system, folder = _file(spark, f"{directory}/{name}")
-        if not system.exists(folder):
-            continue
-        for status in system.listStatus(folder):
-            if status.getPath().getName() not in used:
-                system.delete(status.getPath(), True)
-                gone += 1
-    return gone
+    return Tables({name: lambda name=name: scan(name) for name in SCHEMAS})

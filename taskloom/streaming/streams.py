@@ -1,15 +1,16 @@
 """Live variants of the operators on Structured Streaming.
 
 What the built-in streaming operators express (deduplication, tumbling and session windows, sums) is left to them. Notifications
-on a change of status need the status before: each micro-batch is joined to the newest known status of its keys, kept as a table of a
-store, and changes inside the batch are found by a running aggregate. Neither gathers the rows of one key in one task, so a key
+on a change of status need the status before: each micro-batch is joined to the newest known status of its keys, read from the buckets of
+a store that hold them, and changes inside the batch are found by a running aggregate. Neither gathers the rows of one key in one task, so a key
 that sends a third of all rows is no special case. Every micro-batch is one commit under the stream's own name and batch id, may be
-repeated safely, and leaves the rows written before it where they are.
+repeated safely, and leaves the rows written before it where they are. Where other writers have changed the same rows in the meantime, the
+micro-batch is computed again on top of theirs.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,7 +23,18 @@ from ..operators.delta import Append, Upsert
 from ..operators.embed import EmbedFunction, reembed
 from ..operators.ingest import ANSWER_CHARS, submit_results
 from ..session import scratch_path, stage, staging
-from ..sources.tables import committed_batch, read_snapshot, write_snapshot
+from ..sources.store import (
+    Changes,
+    VersionTaken,
+    changed_rows,
+    committed_batch,
+    manifest,
+    newest_version,
+    read_snapshot,
+    rows_near,
+    seen_version,
+    write_snapshot,
+)
 
 # 2**20 microseconds, about a second: the piece of a key's history that is scanned in one window.
 _TIME_BITS = 20
@@ -71,30 +83,52 @@ def _available(trigger: dict[str, Any]) -> dict[str, Any]:
     return trigger or {"availableNow": True}
 
 
-def change_stream(
-    changes: DataFrame, key: str, emit: Callable[[DataFrame], DataFrame], store: str, **trigger: Any
-) -> StreamingQuery:
-    """Add `emit(status changes)` of every micro-batch to the table `out` of a store, and keep the newest status per key beside it.
+def commit_batch(
+    spark: SparkSession, store: str, writer: str, batch_id: int, made: Callable[[int], Mapping[str, Changes]], before: Callable[[], None] | None = None
+) -> None:
+    """Commit what `made` computes from a version of the store, anew for as long as others change the same rows; once for a batch."""
+    while committed_batch(spark, store, writer) < batch_id:
+        version = newest_version(spark, store)
+        with staging():
+            changes = made(version)
+            try:
+                write_snapshot(spark, store, changes, writer, batch_id, base=version)
+            except VersionTaken:
+                continue
 
-    Both are committed together. Of the statuses only the buckets of keys that moved on are written anew.
-    """
+
+def _change_stream(
+    changes: DataFrame, key: str, made: Callable[[SparkSession, DataFrame, int], Mapping[str, Changes]], store: str, **trigger: Any
+) -> StreamingQuery:
+    """Commit `made(status changes, version)` of every micro-batch, and with it the newest status per key."""
+    state = f"{store}/state"
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        name = stream_name(spark, "changes")
-        if committed_batch(spark, f"{store}/state", name) >= batch_id:
-            return
-        known = read_snapshot(spark, f"{store}/state").get("last")
-        with staging():
+
+        def compute(version: int) -> dict[str, Changes]:
             rows = stage(batch)
-            notices = emit(status_changes(rows, known, key))
-            changes = {"last": Upsert(last_status(rows, known, key), (key,)), "out": Append(notices)}
-            write_snapshot(spark, f"{store}/state", changes, name, batch_id)
+            known = rows_near(spark, state, "last", rows, version)
+            changed = status_changes(rows, known, key)
+            return {"last": Upsert(last_status(rows, known, key), (key,)), **made(spark, changed, version)}
+
+        commit_batch(spark, state, stream_name(spark, "changes"), batch_id, compute)
 
     writer = changes.writeStream.foreachBatch(run).option("checkpointLocation", f"{store}/checkpoint")
     return writer.trigger(**_available(trigger)).start()
 
 
+def change_stream(
+    changes: DataFrame, key: str, emit: Callable[[DataFrame], DataFrame], store: str, **trigger: Any
+) -> StreamingQuery:
+    """Add `emit(status changes)` of every micro-batch to the table `out` of a store, and keep the newest status per key beside it.
+
+    Both are committed together. Of the statuses only the buckets of the batch's keys are read, and those of keys that moved on are
+    written anew.
+    """
+    return _change_stream(changes, key, lambda spark, changed, version: {"out": Append(emit(changed))}, store, **trigger)
+
+
 def ready_notice(changed: DataFrame) -> DataFrame:
     """A task became pending: its first row, or a change from another status."""
     return changed.where("status = 'pending'").select("task_id", "session_id", "agent_id", "ts")
@@ -171,8 +205,32 @@ def progress_delta_stream(changes: DataFrame, store: str, **trigger: Any) -> Str
 
 def session_progress_stream(deltas: DataFrame) -> DataFrame:
     """Current task counts per session: the sum of the deltas. As a stream use output mode update or complete."""
-    names = ("total_tasks", "completed_tasks", "running_tasks", "failed_tasks")
-    return deltas.groupBy("session_id").agg(*[F.sum(c).alias(c) for c in names])
+    return deltas.groupBy("session_id").agg(*[F.sum(c).alias(c) for c in PROGRESS])
+
+
+#: Counts of a session's tasks.
+PROGRESS = ("total_tasks", "completed_tasks", "running_tasks", "failed_tasks")
+
+
+def live_progress(changes: DataFrame, store: str, **trigger: Any) -> StreamingQuery:
+    """Keep the task counts of every session, as the table `progress` of a store, from task changes (task_id, session_id, status, ts).
+
+    A micro-batch adds its deltas to the counts of the sessions it names, and commits them together with the statuses they came from.
+    """
+
+    def made(spark: SparkSession, changed: DataFrame, version: int) -> dict[str, Changes]:
+        deltas = stage(progress_deltas(changed))
+        before = rows_near(spark, f"{store}/state", "progress", deltas, version)
+        if before is not None:
+            deltas = before.join(deltas, "session_id", "left_semi").unionByName(deltas)
+        return {"progress": Upsert(session_progress_stream(deltas), ("session_id",))}
+
+    return _change_stream(changes, "task_id", made, store, **trigger)
+
+
+def progress(spark: SparkSession, store: str) -> DataFrame:
+    """The counts that `live_progress` has written so far."""
+    return read_snapshot(spark, f"{store}/state")["progress"]
 
 
 def ingest_stream(
@@ -180,36 +238,71 @@ def ingest_stream(
 ) -> StreamingQuery:
     """Ingest every micro-batch into the store: one commit of new rows and touched buckets, with the batch's `actions` and `rejects`.
 
-    A batch this stream has committed does nothing when it is repeated; versions of other writers have no bearing on that.
+    A batch this stream has committed does nothing when it is repeated. Several streams may write to one store: a batch whose ids or rows
+    another writer has taken in the meantime is ingested again, on top of what that one committed.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        writer = stream_name(spark, name)
-        if committed_batch(spark, store, writer) >= batch_id:
-            return
-        with staging():
-            result = submit_results(read_snapshot(spark, store), batch, as_of(batch_id))
-            changes = {**result.changes, "actions": Append(result.actions), "rejects": Append(result.rejects)}
-            write_snapshot(spark, store, changes, writer, batch_id)
+
+        def compute(version: int) -> dict[str, Changes]:
+            result = submit_results(read_snapshot(spark, store, version), batch, as_of(batch_id))
+            return {**result.changes, "actions": Append(result.actions), "rejects": Append(result.rejects)}
+
+        commit_batch(spark, store, stream_name(spark, name), batch_id, compute)
 
     writer = responses.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     return writer.trigger(**_available(trigger)).start()
 
 
+#: Tables with vectors, and their keys.
+_VECTORS = {"memory": "memory_id", "tool_registry": "tool_id"}
+
+
+def due_rows(spark: SparkSession, store: str, version: int, since: int | None) -> Tables:
+    """The tables of a version with only those rows of `memory` and `tool_registry` that may lack a vector.
+
+    These are the rows changed after version `since`, and those that could not be embedded then (the table `unembedded`). All rows where the
+    embedding model changed since, there was no tick before, or the store can't tell what changed.
+    """
+    tables = read_snapshot(spark, store, version)
+    if since is None:
+        return tables
+    before, now = manifest(spark, store, since)["tables"], manifest(spark, store, version)["tables"]
+    if before.get("embedding_config") != now.get("embedding_config"):
+        return tables
+    failed = tables.get("unembedded")
+    for table, key in _VECTORS.items():
+        changed = changed_rows(spark, store, table, since, (key,), version) if table in tables else None
+        if changed is None:
+            continue
+        if failed is not None:
+            keys = failed.where(F.col("source") == table).select(F.col("row_id").cast("long").alias(key))
+            again = rows_near(spark, store, table, keys, version)
+            if again is not None:
+                changed = changed.unionByName(again.join(keys, key, "left_semi").join(changed.select(key), key, "left_anti"))
+        tables = tables.replace(**{table: stage(changed)})
+    return tables
+
+
 def reembed_stream(
     ticks: DataFrame, store: str, embed: EmbedFunction, as_of: Callable[[int], str], checkpoint: str, name: str = "reembed", **trigger: Any
 ) -> StreamingQuery:
-    """Re-embed whatever is due whenever new rows arrive, and commit the rows that got a vector."""
+    """Re-embed whatever is due whenever new rows arrive, and commit the rows that got a vector.
+
+    A tick reads what changed since the tick before, and what failed then, unless the embedding model has changed.
+    """
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         writer = stream_name(spark, name)
-        if committed_batch(spark, store, writer) >= batch_id:
-            return
-        with staging():
-            result = reembed(read_snapshot(spark, store), embed, as_of(batch_id))
-            write_snapshot(spark, store, result.changes, writer, batch_id)
+
+        def compute(version: int) -> dict[str, Changes]:
+            due = due_rows(spark, store, version, seen_version(spark, store, writer))
+            result = reembed(due, embed, as_of(batch_id))
+            return {**result.changes, "unembedded": result.errors.select("source", "row_id")}
+
+        commit_batch(spark, store, writer, batch_id, compute)
 
     writer = ticks.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     return writer.trigger(**_available(trigger)).start()
