@@ -8,7 +8,7 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import scratch_path
+from ..session import passing, scratch_path
 
 #: Rows of one Arrow batch. With texts of a few thousand characters a batch then takes some megabytes in a Python worker.
 BATCH_ROWS = 1024
@@ -23,11 +23,16 @@ def arrow_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
-def staged(df: DataFrame, label: str) -> DataFrame:
-    """The frame written as Parquet into the shared folder and read back: cuts lineage, keeps column pruning, survives executors."""
+def staged(df: DataFrame, label: str, lasting: bool = False) -> DataFrame:
+    """The frame written as Parquet into the shared folder and read back: cuts lineage, keeps column pruning, survives executors.
+
+    Inside `staging()` the folder goes when the block ends, unless it is to last.
+    """
     path = scratch_path(df.sparkSession, label)
     with _shuffles_removed(df.sparkSession):
         df.write.parquet(path)
+    if not lasting:
+        passing(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

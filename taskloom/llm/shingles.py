@@ -1,9 +1,13 @@
 """Pairs of texts whose sets of five-word shingles have a Jaccard likeness of 0.8 or more.
 
-Candidates come from `BANDS` bands of `ROWS` least hashes each: a pair of likeness 0.8 shares a band with a probability of
-1 - (1 - 0.8**5)**32 = 0.999997, likelier ones more surely. Every candidate is verified on the sets themselves. Copies are merged before, and
-texts of one component are not compared: every text is held against one leader of the buckets it lies in, in turns with other leaders until none is found near,
-so that a group of near copies becomes one component with rows in proportion to its size; what still differs in a bucket is compared pair by pair.
+Candidates share one of `BANDS` bands of `ROWS` least hashes each: a pair of likeness 0.8 does with a probability of
+1 - (1 - 0.8**7)**48 = 0.99999, likelier ones more surely, one of 0.5 with 0.31, one of 0.3 with 0.01. One bit of each least hash is kept as
+well; where two texts differ in more than `APART` of these bits (a pair of 0.8 does so once in 100,000 times) they are not looked at
+further. All others are verified on the sets themselves.
+
+Copies are merged before. Texts of one component are not compared. In a few turns every text is held against one leader of each
+bucket it lies in, first against the text that shares most buckets with others, the middle of a group of near copies; so a group becomes one
+component with rows in proportion to its size. What is then left of different components in one bucket is compared pair by pair.
 """
 
 from __future__ import annotations
@@ -14,14 +18,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import staging
 from .common import arrow_batches, connected, staged
 
 WORDS = 5
-ROWS = 5
-BANDS = 32
+ROWS = 7
+BANDS = 48
 SEED = 43
-#: Sets of fewer shingles have no other set at 0.8.
-LEAST = 4
+#: Differing bits, of ROWS * BANDS, beyond which a pair is not near: 34 are expected at 0.8, with a deviation of 5.5.
+APART = 58
+#: Turns with leaders before pairs of what is left.
+TURNS = 3
 #: Shingles hashed at a time.
 CHUNK = 1 << 18
 
@@ -47,9 +54,10 @@ def shingle_set(text: str | None) -> np.ndarray:
     return np.unique(_mixed(out))
 
 
-def bands(sets: list[np.ndarray]) -> np.ndarray:
-    """The keys of the buckets of every set, one for each band; no set may be empty."""
-    out, low = np.zeros((len(sets), BANDS), np.uint64), 0
+def sketches(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(keys of the buckets of every set, one for each band; a bit of each least hash, packed in longs); no set may be empty."""
+    keys, low = np.zeros((len(sets), BANDS), np.uint64), 0
+    bits = np.zeros((len(sets), -(-ROWS * BANDS // 64) * 64), np.uint8)
     while low < len(sets):
         high, size = low + 1, len(sets[low])
         while high < len(sets) and size + len(sets[high]) <= CHUNK:
@@ -60,26 +68,33 @@ def bands(sets: list[np.ndarray]) -> np.ndarray:
         for band in range(BANDS):
             key = np.full(high - low, band, np.uint64)
             for j in range(band * ROWS, band * ROWS + ROWS):
-                key = key * _STEP + np.minimum.reduceat(flat * _ODD[0, j] + _ODD[1, j], starts)
-            out[low:high, band] = _mixed(key)
+                least = np.minimum.reduceat(flat * _ODD[0, j] + _ODD[1, j], starts)
+                key = key * _STEP + least
+                bits[low:high, j] = (_mixed(least) & np.uint64(1)).astype(np.uint8)
+            keys[low:high, band] = _mixed(key)
         low = high
-    return out
+    return keys, np.packbits(bits, axis=1).view(np.int64)
+
+
+def _lists(values: np.ndarray, places: np.ndarray) -> pa.Array:
+    """Rows of a matrix as lists, at the given places; -1 is null."""
+    lists = pa.FixedSizeListArray.from_arrays(pa.array(np.ascontiguousarray(values).reshape(-1)), values.shape[1]).cast(pa.list_(pa.int64()))
+    return lists.take(pa.array(places, mask=places < 0))
 
 
 def sketch_columns(texts: list[str | None]) -> list[pa.Array]:
-    """copy (hash of the words), size (of the set) and bands (null where no other set can be near) of every text."""
+    """copy (hash of the words), size (of the set), bands and bits (null for a text without words) of every text."""
     sets = [shingle_set(t) for t in texts]
     copies = np.fromiter((xxhash.xxh64_intdigest(b" ".join((t or "").encode("utf-8", "surrogatepass").lower().split()), SEED) for t in texts), np.uint64, len(texts))
     sizes = np.fromiter(map(len, sets), np.int32, len(sets))
-    large = np.flatnonzero(sizes >= LEAST)
-    keys = bands([sets[i] for i in large]).view(np.int64)
-    lists = pa.FixedSizeListArray.from_arrays(pa.array(keys.reshape(-1)), BANDS).cast(pa.list_(pa.int64()))
+    some = np.flatnonzero(sizes)
+    keys, bits = sketches([sets[i] for i in some])
     places = np.full(len(texts), -1)
-    places[large] = np.arange(len(large))
-    return [pa.array(copies.view(np.int64)), pa.array(sizes), lists.take(pa.array(places, mask=places < 0))]
+    places[some] = np.arange(len(some))
+    return [pa.array(copies.view(np.int64)), pa.array(sizes), _lists(keys.view(np.int64), places), _lists(bits, places)]
 
 
-SKETCH = "copy long, size int, bands array<long>"
+SKETCH = "copy long, size int, bands array<long>, bits array<long>"
 
 
 def _sets(batches):
@@ -96,50 +111,65 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return near.select(F.greatest("root", "other_root").alias("a"), F.least("root", "other_root").alias("b")).distinct()
 
 
-def _joined(rooted: DataFrame, links: DataFrame) -> DataFrame:
-    """`rooted` with the roots that hold after the links between roots."""
-    label = connected(links, "root", "to")
-    if label is None:
-        return rooted
-    moved = rooted.join(label, "root", "left")
-    return staged(moved.select(*[F.coalesce("to", "root").alias("root") if c == "root" else F.col(c) for c in rooted.columns]), "similar-roots")
+def _near(x: str, y: str) -> F.Column:
+    """Sizes at which a likeness of 0.8 is possible, and bits at which it is likely."""
+    apart = [F.bit_count(F.get(f"{x}bits", F.lit(i)).bitwiseXOR(F.get(f"{y}bits", F.lit(i)))) for i in range(-(-ROWS * BANDS // 64))]
+    return (5 * F.least(f"{x}size", f"{y}size") >= 4 * F.greatest(f"{x}size", f"{y}size")) & (sum(apart[1:], apart[0]) <= APART)
 
 
-def _fit(x: str, y: str) -> F.Column:
-    """Sizes at which a likeness of 0.8 is possible."""
-    return (5 * F.least(x, y) >= 4 * F.greatest(x, y))
+def _relabelled(rooted: DataFrame, links: DataFrame, label: str, lasting: bool = False) -> DataFrame:
+    """`rooted` with the roots that hold after the links between roots."""
+    to = connected(links, "root", "to")
+    if to is None:
+        return staged(rooted, label, lasting) if lasting else rooted
+    moved = rooted.join(to, "root", "left")
+    return staged(moved.select(*[F.coalesce("to", "root").alias("root") if c == "root" else F.col(c) for c in rooted.columns]), label, lasting)
+
 
+def _met(prints: DataFrame, rooted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(texts: copy, mark, size, bits, root; meetings: bucket, copy, crowd) of texts that share a bucket with one of another root.
 
-def _mixed_buckets(met: DataFrame) -> DataFrame:
-    """The rows of buckets that hold more than one root."""
-    mixed = met.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket")
-    return staged(met.join(mixed, "bucket", "left_semi"), "similar-meetings")
+    crowd is the same for all meetings of a text: how many others it meets, on a logarithmic scale.
+    """
+    first = [F.first(c).alias(c) for c in ("fp", "size", "bits", "bands")]
+    distinct = prints.where("bands IS NOT NULL").groupBy("copy").agg(F.min("mark").alias("mark"), *first)
+    texts = staged(distinct.join(rooted, "fp").select("copy", "mark", "size", "bits", "bands", "root"), "similar-texts")
+    placed = texts.select("copy", "root", F.explode("bands").alias("bucket"))
+    shared = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("n")).where("low <> high")
+    met = staged(placed.join(shared.select("bucket", "n"), "bucket").select("bucket", "copy", "n"), "similar-meetings")
+    crowd = staged(met.groupBy("copy").agg(F.sum(F.log2("n")).alias("crowd")), "similar-crowds")
+    return texts.drop("bands").join(crowd.select("copy"), "copy", "left_semi"), met.join(crowd, "copy").select("bucket", "copy", "crowd")
 
 
 def joined_classes(docs: DataFrame, prints: DataFrame, rooted: DataFrame) -> DataFrame:
-    """fp, root of `rooted` after classes with texts at 0.8 or more are joined. `docs` has mark, text; `prints` mark, fp and the sketch."""
-    distinct = prints.where("bands IS NOT NULL").groupBy("copy").agg(F.min("mark").alias("mark"), F.first("fp").alias("fp"), F.first("size").alias("size"), F.first("bands").alias("bands"))
-    met = distinct.join(rooted, "fp").select("copy", "mark", "size", "root", F.explode("bands").alias("bucket"))
-    met = staged(met, "similar-bands")
-    met = _mixed_buckets(met)
-    if met.isEmpty():
-        return rooted
-    wanted = met.groupBy("copy").agg(F.min("mark").alias("mark"))
+    """fp, root of `rooted` after classes with texts at 0.8 or more are joined. `docs` has mark, text; `prints` mark, fp and the sketch.
+
+    Texts without words are near no other; a text of fewer than five words is one shingle. What is written on the way is removed.
+    """
     arrow_batches(docs.sparkSession)
-    texts = docs.join(wanted, "mark").select("copy", "text")
-    sets = staged(texts.mapInArrow(_sets, "copy long, shingles array<long>").groupBy("copy").agg(F.first("shingles").alias("shingles")), "similar-sets")
-    met = met.drop("mark")
-    turn, found = 0, True
-    while found and not met.isEmpty():
-        lead = met.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("copy", F.lit(turn)).alias("h"), F.col("copy").alias("other"), F.col("size").alias("other_size"), F.col("root").alias("other_root"))).alias("lead"))
-        held = met.join(lead, "bucket").where((F.col("root") != F.col("lead.other_root")) & _fit("size", "lead.other_size"))
-        pairs = held.groupBy("copy", "root").agg(F.min("lead").alias("lead")).select("copy", "root", "lead.other", "lead.other_root")
-        links = staged(_verified(pairs, sets), "similar-links")
-        found = not links.isEmpty()
-        if found:
-            rooted, met = _joined(rooted, links), _mixed_buckets(_joined(met, links))
-        turn += 1
-    x, y = met.alias("x"), met.alias("y")
-    rest = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.root") < F.col("y.root")) & _fit("x.size", "y.size"))
-    pairs = rest.select("x.copy", "x.root", F.col("y.copy").alias("other"), F.col("y.root").alias("other_root")).distinct()
-    return _joined(rooted, staged(_verified(pairs, sets), "similar-links"))
+    with staging():
+        texts, met = _met(prints, rooted)
+        texts, met = staged(texts, "similar-texts"), staged(met, "similar-meetings")
+        if met.isEmpty():
+            return staged(rooted, "similar-roots", lasting=True)
+        made = docs.join(texts.select("copy", "mark"), "mark").select("copy", "text").mapInArrow(_sets, "copy long, shingles array<long>")
+        sets = staged(made.groupBy("copy").agg(F.first("shingles").alias("shingles")), "similar-sets")
+        fact = ["copy", "root", "size", "bits"]
+        for turn in range(TURNS):
+            order = F.col("crowd") if turn == 0 else F.xxhash64("copy", F.lit(turn)).cast("double")
+            placed = met.join(texts.select(*fact), "copy")
+            lead = F.max(F.struct(order.alias("order"), *fact)).alias("lead")
+            mixed = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), lead).where("low <> high").select("bucket", "lead.*")
+            mixed = mixed.select("bucket", *[F.col(c).alias(f"other_{c}") for c in fact])
+            held = placed.join(mixed, "bucket").where((F.col("root") != F.col("other_root")) & _near("", "other_"))
+            pairs = held.select("copy", "root", F.col("other_copy").alias("other"), "other_root").distinct()
+            links = staged(_verified(pairs, sets), "similar-links")
+            if not links.isEmpty():
+                rooted, texts = _relabelled(rooted, links, "similar-roots"), _relabelled(texts, links, "similar-texts")
+        placed = met.join(texts.select(*fact), "copy")
+        mixed = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket")
+        left = staged(placed.join(mixed, "bucket", "left_semi").select("bucket", *fact), "similar-left")
+        other = left.select("bucket", *[F.col(c).alias(f"other_{c}") for c in fact])
+        rest = left.join(other, "bucket").where((F.col("root") < F.col("other_root")) & _near("", "other_"))
+        pairs = rest.select("copy", "root", F.col("other_copy").alias("other"), "other_root").distinct()
+        return _relabelled(rooted, staged(_verified(pairs, sets), "similar-links"), "similar-roots", lasting=True)

@@ -66,7 +66,7 @@ def _sketched_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
     for batch in batches:
         (made,) = _fingerprint_batches(iter([batch]))
         columns = [*made.columns, *shingles.sketch_columns(batch.column("text").to_pylist())]
-        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "mark", "fp", "copy", "size", "bands"])
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "mark", "fp", "copy", "size", "bands", "bits"])
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sketch: bool = False) -> DataFrame:
@@ -123,7 +123,8 @@ def far_links(distinct: DataFrame, label: DataFrame | None, blocks: int = BLOCKS
 
 def classes(prints: DataFrame, blocks: int = BLOCKS) -> DataFrame:
     """fp, root: the class of every distinct fingerprint, classes being the connected components of the link graph."""
-    distinct = staged(prints.select("fp").distinct(), "prints")
+    # Few and small files, and each row becomes more than a hundred: dealt anew before.
+    distinct = staged(prints.select("fp").distinct(), "prints").repartition("fp")
     near = staged(near_links(distinct), "near-links")
     label = connected(near, "fp", "root")
     far = staged(far_links(distinct, label, blocks), "far-links")
@@ -155,15 +156,17 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     same one). With `similar`, texts whose five-word shingles have a Jaccard likeness of 0.8 or more are linked too."""
     prints = staged(fingerprints(docs, id_col, text_col, similar), "simhash")
     roots = classes(prints, blocks)
+    # Near copies are seldom within three bits: fingerprints find exact copies and the closest ones, and shingles what is left of them.
     if similar:
         texts = docs.select(_mark(docs).alias("mark"), F.col(text_col).cast("string").alias("text"))
         roots = shingles.joined_classes(texts, prints, staged(roots, "classes"))
     rooted = prints.select("doc_id", "mark", "fp").join(roots, "fp")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")
     pick = rooted.groupBy("root").agg(F.min(order).alias("pick")).select("pick.doc_id", "pick.mark")
-    pick = staged(pick.select(F.col("doc_id").alias("_doc_id"), F.col("mark").alias("_pick")), "kept")
-    marked = docs.withColumn("_mark", _mark(docs))
-    kept = marked.join(pick, (F.col("_mark") == F.col("_pick")) & F.col(id_col).cast("long").eqNullSafe(F.col("_doc_id")), "left_semi")
+    pick = staged(pick, "kept").select(F.col("doc_id").alias("_doc_id"), F.col("mark").alias("_pick"))
+    # The rows as one column: no name of theirs meets one used here.
+    rows = docs.select(_mark(docs).alias("_mark"), F.col(id_col).cast("long").alias("_id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    kept = rows.join(pick, (F.col("_mark") == F.col("_pick")) & F.col("_id").eqNullSafe(F.col("_doc_id")), "left_semi")
     if not prints.groupBy("doc_id", "mark").count().where("count > 1").isEmpty():
-        kept = kept.dropDuplicates([id_col, "_mark"])  # rows that repeat in every column
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+        kept = kept.dropDuplicates(["_id", "_mark"])  # rows that repeat in every column
+    return kept.select("_row.*")

@@ -14,6 +14,10 @@ DOCS = T.StructType(
 )
 
 
+#: Names that the operators use inside.
+CLASHING = "_id _mark _row _doc_id _pick _hash _gone copy size bands bits root bucket kmer near place piece kept spans chunk own freq phrase tag q code".split()
+
+
 @pytest.fixture(scope="session")
 def make_docs(spark):
     """Documents of (id, text) or (id, text, lang); extra columns have names that the operators use inside."""
@@ -21,7 +25,7 @@ def make_docs(spark):
     def make(rows):
         full = [(r[0], r[1], r[2] if len(r) > 2 else None, None, None if r[1] is None else len(r[1])) for r in rows]
         frame = spark.createDataFrame(full, DOCS)
-        return frame.selectExpr("*", "'x' AS fp", "1 AS mark", "'y' AS words", "2 AS part", "3 AS row", "4 AS shard", "5 AS n", "'z' AS hash")
+        return frame.selectExpr("*", "'x' AS fp", "1 AS mark", "'y' AS words", "2 AS part", "3 AS row", "4 AS shard", "5 AS n", "'z' AS hash", *[f"{i} AS {name}" for i, name in enumerate(CLASHING)])
 
     return make
 
