@@ -83,6 +83,12 @@ def staging() -> Iterator[None]:
             folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def passing(path: str) -> None:
+    """Let a folder go at the end of the innermost `staging()`, if there is one."""
+    if _staged:
+        _staged[-1].append(path)
+
+
 def stage(df: DataFrame) -> DataFrame:
     """Materialise a frame that many branches read: Parquet in the shared folder, read back.
 
@@ -91,8 +97,7 @@ def stage(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, "stage")
     df.write.parquet(path)
-    if _staged:
-        _staged[-1].append(path)
+    passing(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
