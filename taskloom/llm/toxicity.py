@@ -5,9 +5,11 @@ over its character n-grams known from there, so that unseen forms of known stems
 `STRIDE`, cover the whole text; forward and backward gated recurrent units run over each, attention weights their states,
 and a document's score is that of its highest window.
 
-The network is trained in numpy, in one task, on a bounded sample of labelled rows. A document's label holds for its highest window (a toxic
-document needs one toxic window, a clean one has none), so each step learns from the window that scores highest at that time.
-Tasks get the parameters by broadcast; their size is fixed by the bounds below.
+The network is trained in numpy, in one task, on whole texts of a bounded sample of labelled rows. A document's label holds for its highest
+window (a toxic document needs one toxic window, a clean one has none), so each step learns from the window that scores highest at
+that time. Words and n-grams start from how far their documents' labels depart from chance, change slowly, decay, and are left out at random, so
+that rare words aren't learnt by heart; a fifth of the sample is kept back, and the parameters of its least loss are the result. Tasks
+get the parameters by broadcast; their size is fixed by the bounds below.
 """
 
 from __future__ import annotations
@@ -26,16 +28,24 @@ from .common import arrow_batches, crc_mod
 
 WINDOW = 48
 STRIDE = 32
-#: Labelled documents to learn from: at most so many of either label, and so many words of each (any passage of it).
+#: Labelled documents to learn from: at most so many of either label, and whole documents of so many words together.
 SAMPLE_TOXIC = 1200
 SAMPLE_CLEAN = 2400
-SAMPLE_WORDS = 300
+SAMPLE_WORDS = 2_000_000
 MAX_WORDS = 1 << 14
 MAX_GRAMS = 1 << 16
 GRAMS = (4, 5)
 DIM = 8
 HIDDEN = 8
-STEPS = 900
+#: Steps at most; every `LOOK` steps the loss on what is kept back is looked at, and `PATIENCE` looks without a better one end it.
+STEPS = 400
+LOOK = 20
+PATIENCE = 5
+#: Share of words left out of a step, their decay and their learning rate beside that of the rest, and the weight of their start.
+DROP = 0.3
+DECAY = 0.5
+WORD_RATE = 0.02
+START = 3.0
 #: Clean and toxic documents of a step.
 BATCH = (56, 20)
 SLOTS = 1 << 20
@@ -138,7 +148,7 @@ class Network:
     def fresh(words: Known, grams: Known, seed: int = 7) -> Network:
         rng = np.random.default_rng(seed)
         normal = lambda *s, by=0.3: (rng.standard_normal(s) * by).astype(np.float32)
-        p = {"word": normal(len(words) + 1, DIM, by=0.1), "gram": normal(len(grams) + 1, DIM, by=0.1)}
+        p = {"word": normal(len(words) + 1, DIM, by=0.02), "gram": normal(len(grams) + 1, DIM, by=0.02)}
         p["word"][0] = p["gram"][0] = 0
         for d in ("f", "b"):
             p |= {"W" + d: normal(2 * DIM, 3 * HIDDEN), "U" + d: normal(HIDDEN, 3 * HIDDEN), "c" + d: np.zeros(3 * HIDDEN, np.float32)}
@@ -274,26 +284,44 @@ def _frequent(hashes: np.ndarray, weights: np.ndarray, documents: int, most: int
     return distinct[keep[np.argsort(-counts[keep], kind="stable")]][:most]
 
 
-def fit(texts: list[str], labels: list[int], steps: int = STEPS, seed: int = 7) -> Network:
-    """A network learnt from texts and their labels, 0 or 1."""
+def _departure(number: np.ndarray, size: int, documents: np.ndarray, toxic: np.ndarray, share: float) -> np.ndarray:
+    """How far the toxic documents of each known word or n-gram depart from their share, in deviations; small ones count as none."""
+    total = np.bincount(number, weights=documents, minlength=size)
+    seen = np.bincount(number, weights=toxic, minlength=size)
+    z = (seen - total * share) / np.sqrt(total * share + 1)
+    return np.sign(z) * np.tanh(np.maximum(np.abs(z) - 2.5, 0) / 4)
+
+
+def fit(texts: list[str], labels: list[int], steps: int | None = None, seed: int = 7) -> Network:
+    """A network learnt from texts and their labels, 0 or 1, in at most `steps` steps."""
+    steps = STEPS if steps is None else steps
     words, codes, starts = words_of(pa.array(texts, pa.string()))
     whole, grams, of = _hashes(words)
+    y = np.array(labels, np.float32)
+    back = np.arange(len(texts)) % 5 == 4  # kept back
     owner = np.repeat(np.arange(len(texts)), np.diff(starts))
     pairs = np.unique(owner * max(1, len(words)) + codes) if len(codes) else np.zeros(0, np.int64)
     documents = np.bincount(pairs % max(1, len(words)), minlength=len(words))
-    del pairs, owner
+    learnt = pairs[~back[pairs // max(1, len(words))]] if len(pairs) else pairs
+    in_learnt, own = learnt % max(1, len(words)), learnt // max(1, len(words))
+    seen, toxic = np.bincount(in_learnt, minlength=len(words)), np.bincount(in_learnt, weights=y[own], minlength=len(words))
+    del pairs, owner, learnt
     known_words = Known(_frequent(whole, documents, len(texts), MAX_WORDS))
     known_grams = Known(_frequent(grams, documents[of], len(texts), MAX_GRAMS))
-    del whole, grams, of
     net = Network.fresh(known_words, known_grams, seed)
+    share = float(y[~back].mean()) if len(y) else 0.0
+    net.p["word"][1:, 0] = START * _departure(known_words.find(whole), len(known_words) + 1, seen, toxic, share)[1:]
+    net.p["gram"][1:, 0] = START * _departure(known_grams.find(grams), len(known_grams) + 1, seen[of], toxic[of], share)[1:]
+    del whole, grams, of
     if not len(codes):
         return net
-    y = np.array(labels, np.float32)
     feature = net.features(words)
     grid, real, of_text = windows(codes, starts)
     rng = np.random.default_rng(seed)
     by_text = np.split(np.arange(len(of_text)), np.cumsum(np.bincount(of_text, minlength=len(texts)))[:-1])
-    pools = [np.flatnonzero((y == v) & (np.diff(starts) > 0)) for v in (0, 1)]
+    full = np.diff(starts) > 0
+    pools = [np.flatnonzero((y == v) & full & ~back) for v in (0, 1)]
+    judges = np.flatnonzero(full & back)
     if not len(pools[0]) or not len(pools[1]):
         net.p["w"][:] = 0
         net.p["o"][:] = 4.0 if len(pools[1]) else -4.0
@@ -303,11 +331,26 @@ def fit(texts: list[str], labels: list[int], steps: int = STEPS, seed: int = 7)
     ptr = np.concatenate(([0], np.cumsum(np.bincount(feature[2], minlength=len(words)))))
     by_word = np.argsort(feature[2], kind="stable")
 
-    def known_of(used: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def known_of(used: np.ndarray, drop: float = 0.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         sizes = ptr[used + 1] - ptr[used]
         pick = by_word[np.arange(sizes.sum()) + np.repeat(ptr[used] - (np.cumsum(sizes) - sizes), sizes)]
-        return feature[0][used], feature[1][pick], np.repeat(np.arange(len(used)), sizes)
-
+        numbers, of = feature[0][used], np.repeat(np.arange(len(used)), sizes)
+        if drop:
+            there = rng.random(len(used)) >= drop
+            numbers, pick, of = np.where(there, numbers, 0), pick[there[of]], of[there[of]]
+        return numbers, feature[1][pick], of
+
+    def loss() -> float:
+        """Cross entropy of the documents kept back, either label counting alike."""
+        gates, of_judge = net.gates(net.vectors(feature)), np.concatenate([by_text[d] for d in judges])
+        best = np.full(len(texts), -np.inf)
+        for low in range(0, len(of_judge), 4096):
+            part = of_judge[low : low + 4096]
+            np.maximum.at(best, of_text[part], net.run(gates, grid[part], real[part]))
+        each = np.logaddexp(0, best[judges]) - y[judges] * best[judges]
+        return float(np.mean([each[y[judges] == v].mean() for v in (0, 1) if (y[judges] == v).any()]))
+
+    least, kept, waited = np.inf, net.p, 0
     for step in range(1, steps + 1):
         chosen = np.concatenate([rng.choice(pool, n) for pool, n in zip(pools, BATCH)])
         own = np.concatenate([by_text[d] for d in chosen])
@@ -319,7 +362,7 @@ def fit(texts: list[str], labels: list[int], steps: int = STEPS, seed: int = 7)
         if step % 4 == 0:  # now and then random windows of the clean
             top = np.concatenate([top, rng.choice(np.flatnonzero(y[chosen][text_of] == 0), 16)])
         used, local = np.unique(grid[own[top]], return_inverse=True)
-        known = known_of(used)
+        known = known_of(used, DROP)
         label = y[chosen][text_of[top]]
         g = net.gradients(
             known, net.vectors(known), local.reshape(len(top), -1), real[own[top]], label, np.full(len(top), 1 / len(top), np.float32)
@@ -328,14 +371,27 @@ def fit(texts: list[str], labels: list[int], steps: int = STEPS, seed: int = 7)
         for k, v in net.p.items():
             slow[k] += 0.1 * (g[k] - slow[k])
             fast[k] += 0.01 * (g[k] * g[k] - fast[k])
-            v -= rate * (slow[k] / (1 - 0.9**step)) / (np.sqrt(fast[k] / (1 - 0.99**step)) + 1e-6)
-    return net
-
-
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", toxic: int = SAMPLE_TOXIC, clean: int = SAMPLE_CLEAN) -> Network:
+            one = rate
+            if k in ("word", "gram"):
+                v *= 1 - rate * DECAY
+                one = rate * WORD_RATE
+            v -= one * (slow[k] / (1 - 0.9**step)) / (np.sqrt(fast[k] / (1 - 0.99**step)) + 1e-6)
+        if step % LOOK == 0 and len(judges):
+            now = loss()
+            waited += 1
+            if now < least:
+                least, kept, waited = now, {k: v.copy() for k, v in net.p.items()}, 0
+            if waited >= PATIENCE:
+                break
+    return Network(net.words, net.grams, kept)
+
+
+def train(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", toxic: int = SAMPLE_TOXIC, clean: int = SAMPLE_CLEAN, steps: int | None = None
+) -> Network:
     """A network from at most `toxic` and `clean` labelled rows of least hash of their id; rows without text or label teach nothing.
 
-    Copies of a text teach once for each label. Of a text longer than `SAMPLE_WORDS` words a passage of that length is taken, from a place given by its hash.
+    Copies of a text teach once for each label. Texts are learnt whole, up to `SAMPLE_WORDS` words of all together.
     """
     marks = labels.select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("_toxic")).where("_id IS NOT NULL AND _toxic IN (0, 1)").distinct()
     sizes = {r["_toxic"]: r["n"] for r in marks.groupBy("_toxic").agg(F.count(F.lit(1)).alias("n")).collect()}  # two rows
@@ -343,23 +399,28 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     share = F.when(F.col("_toxic") == 1, F.lit(2.0 * toxic / max(1, sizes.get(1, 0)))).otherwise(F.lit(2.0 * clean / max(1, sizes.get(0, 0))))
     few = marks.where(lot < share)  # some twice as many as wanted
     rows = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    h = F.xxhash64("text")
-    word_list = F.split("text", r"\s+")
-    begin = F.pmod(h, F.greatest(F.lit(1), F.size(word_list) - SAMPLE_WORDS)) + 1
     found = rows.join(F.broadcast(few), F.col("doc_id") == F.col("_id"))  # at most some 2 * (toxic + clean) rows
-    passages = found.select("_toxic", h.alias("h"), F.array_join(F.slice(word_list, begin.cast("int"), SAMPLE_WORDS), " ").alias("text"))
-    once = passages.groupBy("_toxic", "h").agg(F.min("text").alias("text"))
+    once = found.groupBy("_toxic", F.xxhash64("text").alias("h")).agg(F.min("text").alias("text"))
     parts = [once.where(F.col("_toxic") == value).orderBy("h").limit(most) for value, most in ((1, toxic), (0, clean))]
     # The bounded sample goes to one task, which returns the parameters: the driver holds neither texts nor gradients.
-    row = parts[0].unionByName(parts[1]).coalesce(1).mapInArrow(_learn, "network binary").first()
+    row = parts[0].unionByName(parts[1]).coalesce(1).mapInArrow(_learn(STEPS if steps is None else steps), "network binary").first()
     return Network.from_bytes(row["network"]) if row else fit([], [])
 
 
-def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    rows = [r for batch in batches for r in batch.to_pylist()]
-    rows.sort(key=lambda r: (r["h"], r["_toxic"]))
-    network = fit([r["text"] for r in rows], [r["_toxic"] for r in rows])
-    yield pa.RecordBatch.from_arrays([pa.array([network.to_bytes()], pa.binary())], ["network"])
+def _learn(steps: int):
+    def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [r for batch in found for r in batch.to_pylist()]
+        rows.sort(key=lambda r: (r["h"], r["_toxic"]))
+        held, words = [], 0
+        for r in rows:
+            words += r["text"].count(" ") + 1
+            if words > SAMPLE_WORDS and held:
+                break
+            held.append(r)
+        network = fit([r["text"] for r in held], [r["_toxic"] for r in held], steps)
+        yield pa.RecordBatch.from_arrays([pa.array([network.to_bytes()], pa.binary())], ["network"])
+
+    return batches
 
 
 def scored(docs: DataFrame, network: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
