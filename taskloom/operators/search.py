@@ -1,9 +1,13 @@
 """Exact top-k vector search over memories and granted tools.
 
-Scoring is one matrix product per batch of candidate vectors. Only the best k per query leave a batch, so scored pairs are
-never materialised as rows. A query set that is small by measurement is broadcast and every task scans its share of the
-candidates, however they are distributed over agents. A larger query set is cut into blocks, and so are the candidates of each
-agent: each task gets one block of either, so neither a hot agent nor the number of queries changes the size of a task.
+Scoring is one matrix product per batch of candidate vectors. Only the best k per query leave a task, so scored pairs are
+never materialised as rows, and there are as many scanning tasks as the session works on at a time, not as many as the candidates have
+files. Queries go out by broadcast, in blocks of a bounded size; candidates stay where they are, however they are distributed over
+agents.
+
+Where there is more than one block, the candidates are first dealt once, in clusters of like directions. A cluster is skipped
+for the queries that already have k candidates nearer than any of its vectors can be: by the angle to its centre less the
+widest angle inside. So the result is exact however well the vectors cluster.
 """
 
 from __future__ import annotations
@@ -17,13 +21,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..model import Tables
+from ..session import passing, scratch_path, stage
 from .views import active_dims
 
 DEFAULT_K = 5
-# Broadcast at most this many vector components (8 bytes each) of queries.
+# Broadcast at most this many vector components (8 bytes each) of queries at a time.
 BROADCAST_COMPONENTS = 4_000_000
-BLOCK_QUERIES = 8192
-BLOCK_CANDIDATES = 16384
+# Bits of a cluster's number: the signs of as many random projections.
+CLUSTER_BITS = 8
 
 _HITS = "query_id bigint, item_id bigint, distance double"
 _UNDEFINED = 4.0  # stands for an undefined distance: after every cosine distance, which is at most 2
@@ -41,13 +46,29 @@ class _Best:
         self.ranks = np.full((len(query_ids), k), _MISSING)
         self.items = np.full((len(query_ids), k), np.iinfo(np.int64).max)
 
-    def add(self, items: np.ndarray, vectors: np.ndarray) -> None:
+    def add(self, items: np.ndarray, vectors: np.ndarray, bounded: bool = False) -> int:
+        """Take in candidates, if bounded only for the queries that may gain by it; returns how many pairs were scored."""
         unit = _unit(vectors)
+        wanted = np.flatnonzero(self._may_gain(unit)) if bounded else np.arange(len(self.query_ids))
         step = max(1, _SCORES_AT_ONCE // len(items))
-        for start in range(0, len(self.query_ids), step):
-            self._add(slice(start, start + step), items, unit)
-
-    def _add(self, part: slice, items: np.ndarray, unit: np.ndarray) -> None:
+        for start in range(0, len(wanted), step):
+            self._add(wanted[start : start + step], items, unit)
+        return len(wanted) * len(items)
+
+    def _may_gain(self, unit: np.ndarray) -> np.ndarray:
+        """Queries whose k-th distance isn't below the least there can be to any of the vectors."""
+        worst = self.ranks.max(axis=1)
+        centre = unit.sum(axis=0)
+        length = np.sqrt(centre @ centre)
+        if not np.isfinite(length) or length < 1e-9:
+            return np.ones(len(worst), bool)
+        centre = centre / length
+        width = np.arccos(np.clip((unit @ centre).min(), -1, 1))
+        angle = np.arccos(np.clip(self.unit @ centre, -1, 1))
+        least = 1 - np.cos(np.maximum(angle - width, 0))
+        return ~(worst < least - 1e-9)
+
+    def _add(self, part: np.ndarray, items: np.ndarray, unit: np.ndarray) -> None:
         k = self.k
         scores = 1.0 - self.unit[part] @ unit.T
         ranks = np.hstack([self.ranks[part], np.where(np.isnan(scores), _UNDEFINED, scores)])
@@ -85,65 +106,52 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
 
 
-def _scan_with_broadcast(candidates: DataFrame, queries: DataFrame, width: int, k: int) -> DataFrame:
+def _scan(candidates: DataFrame, queries: DataFrame, width: int, k: int, clustered: bool) -> DataFrame:
+    """The best k of every query within each task; `queries` are few enough to go out by broadcast."""
+    spark = candidates.sparkSession
     rows = queries.toPandas()
     by_agent = {
         agent: (part["query_id"].to_numpy(np.int64), np.array(part["query_vec"].tolist()).reshape(-1, width))
         for agent, part in rows.groupby("agent_id")
     }
-    shared = candidates.sparkSession.sparkContext.broadcast(by_agent)
+    shared = spark.sparkContext.broadcast(by_agent)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = {agent: _Best(ids, vectors, k) for agent, (ids, vectors) in shared.value.items()}
         for batch in batches:
             agents = batch.column("agent_id").to_numpy(zero_copy_only=False)
             items = batch.column("item_id").to_numpy(zero_copy_only=False)
+            groups = batch.column("cluster").to_numpy(zero_copy_only=False) if clustered else np.zeros(len(agents), np.int64)
             vectors = _matrix(batch.column("vec"), width)
-            for agent in np.unique(agents):
+            for agent, group in np.unique(np.stack([agents, groups]), axis=1).T.tolist():
                 if agent in best:
-                    here = agents == agent
-                    best[agent].add(items[here], vectors[here])
+                    here = (agents == agent) & (groups == group)
+                    best[agent].add(items[here], vectors[here], clustered)
         for found in best.values():
             yield pa.RecordBatch.from_pandas(found.rows(), preserve_index=False)
 
     # The agents asked about are at most as many as the queries just counted.
     asked = F.broadcast(queries.select("agent_id").distinct())
-    return candidates.join(asked, "agent_id", "left_semi").mapInArrow(scan, _HITS)
-
-
-def _scan_in_blocks(candidates: DataFrame, queries: DataFrame, width: int, k: int) -> DataFrame:
-    def sizes(df: DataFrame, block: int, out: str) -> DataFrame:
-        return df.groupBy("agent_id").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias(out))
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return candidates.join(asked, "agent_id", "left_semi").coalesce(tasks).mapInArrow(scan, _HITS)
 
-    blocks = sizes(candidates, BLOCK_CANDIDATES, "c_blocks").join(
-        sizes(queries, BLOCK_QUERIES, "q_blocks"), "agent_id"
-    )
-
-    def spread(df: DataFrame, key: str, own: str, other: str) -> DataFrame:
-        """Each row in one block of its own side, repeated for every block of the other side."""
-        placed = df.join(blocks, "agent_id").withColumn(own, F.pmod(F.xxhash64(key), F.col(f"{own}s")).cast("int"))
-        return placed.withColumn(other, F.explode(F.sequence(F.lit(0), F.col(f"{other}s") - 1))).drop(
-            "c_blocks", "q_blocks"
-        )
 
-    keys = ["agent_id", "c_block", "q_block"]
+def _nearest(scored: DataFrame, k: int) -> DataFrame:
+    order = Window.partitionBy("query_id").orderBy("distance", "item_id")
+    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
-    def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        if left.num_rows == 0 or right.num_rows == 0:
-            found = pd.DataFrame({"query_id": [], "item_id": [], "distance": []})
-        else:
-            left, right = left.combine_chunks(), right.combine_chunks()
-            best = _Best(
-                right.column("query_id").to_numpy(), _matrix(right.column("query_vec").chunk(0), width), k
-            )
-            best.add(left.column("item_id").to_numpy(), _matrix(left.column("vec").chunk(0), width))
-            found = best.rows()
-        kinds = {"query_id": "int64", "item_id": "int64", "distance": "float64"}
-        return pa.Table.from_pandas(found.astype(kinds), preserve_index=False)
 
-    left = spread(candidates, "item_id", "c_block", "q_block")
-    right = spread(queries, "query_id", "q_block", "c_block")
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(score, _HITS)
+def _clusters(candidates: DataFrame, width: int) -> DataFrame:
+    """The candidates with the number of their cluster, dealt and ordered by it, written once."""
+    projections = np.random.default_rng(5).standard_normal((CLUSTER_BITS, width))
+    signs = [
+        (F.aggregate(F.zip_with("vec", F.lit([float(x) for x in row]), lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x) > 0).cast("int") * (1 << i)
+        for i, row in enumerate(projections)
+    ]
+    numbered = candidates.withColumn("cluster", sum(signs[1:], signs[0]))
+    # A salt of the item keeps a cluster that holds most candidates from being one task's.
+    dealt = numbered.repartition("agent_id", "cluster", F.pmod(F.xxhash64("item_id"), F.lit(16)))
+    return stage(dealt.sortWithinPartitions("agent_id", "cluster"))
 
 
 def top_k(
@@ -151,13 +159,24 @@ def top_k(
 ) -> DataFrame:
     """(query_id, item_id, distance, rank) of the k nearest candidates of each query's agent.
 
-    candidates: (agent_id, item_id, vec), queries: (query_id, agent_id, query_vec), all vectors of the given width.
+    candidates: (agent_id, item_id, vec), queries: (query_id, agent_id, query_vec), all vectors of the given width. Queries beyond
+    `broadcast_components` are answered block by block, each in a job of its own whose answers are written.
     """
-    few = broadcast_components // width
-    small = queries.limit(few + 1).count() <= few
-    scored = (_scan_with_broadcast if small else _scan_in_blocks)(candidates, queries, width, k)
-    nearest = Window.partitionBy("query_id").orderBy("distance", "item_id")
-    return scored.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k)
+    few = max(1, broadcast_components // width)
+    n = queries.count()
+    if n <= few:
+        return _nearest(_scan(candidates, queries, width, k, False), k)
+    blocks = -(-2 * n // few)  # half full on average, since a hash deals them
+    asked = stage(queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).repartition("block"))
+    asked_of = candidates.join(asked.select("agent_id").distinct(), "agent_id", "left_semi").select("agent_id", "item_id", "vec")
+    near = _clusters(asked_of, width)
+    spark, path = candidates.sparkSession, scratch_path(candidates.sparkSession, "hits")
+    schema = f"{_HITS}, rank int"
+    for block in range(blocks):
+        found = _nearest(_scan(near, asked.where(F.col("block") == block).drop("block"), width, k, True), k)
+        found.write.mode("append").parquet(path)
+    passing(path)
+    return spark.read.schema(schema).parquet(path)
 
 
 def _width(t: Tables) -> int | None:
@@ -197,7 +216,7 @@ def search_memory(t: Tables, queries: DataFrame, k: int = DEFAULT_K, broadcast_c
     )
 
 
-def search_tools(t: Tables, queries: DataFrame, k: int = DEFAULT_K) -> DataFrame:
+def search_tools(t: Tables, queries: DataFrame, k: int = DEFAULT_K, broadcast_components: int = BROADCAST_COMPONENTS) -> DataFrame:
     """As `search_memory` over the active tools granted to the query's agent."""
     width = _width(t)
     if width is None:
@@ -213,7 +232,7 @@ def search_tools(t: Tables, queries: DataFrame, k: int = DEFAULT_K) -> DataFrame
     )
     grants = t.agent_tool_permissions.join(asked.select("agent_id").distinct(), "agent_id", "left_semi")
     pool = grants.join(vectors, "tool_id").select("agent_id", F.col("tool_id").alias("item_id"), "vec")
-    hits = top_k(pool, asked, width, k).withColumnRenamed("item_id", "tool_id")
+    hits = top_k(pool, asked, width, k, broadcast_components).withColumnRenamed("item_id", "tool_id")
     texts = tools.select("tool_id", "name", "description", "input_schema", "tool_type")
     return hits.join(texts, "tool_id").select(
         "query_id", "rank", "tool_id", "name", "description", "input_schema", "tool_type",

@@ -222,6 +222,11 @@ _add(
     "SELECT s.session_id, am.role_name AS agent_role, s.status, s.goal, s.started_at, s.completed_at FROM sessions s "
     "JOIN agent_meta am ON am.agent_id = s.agent_id",
 )
+_add(
+    "list_sessions_of_role", lambda c: views.list_sessions(c.t, AGENT.name), "sessions agent_meta",
+    "SELECT s.session_id, am.role_name AS agent_role, s.status, s.goal, s.started_at, s.completed_at FROM sessions s "
+    f"JOIN agent_meta am ON am.agent_id = s.agent_id WHERE am.role_name = '{AGENT.name}'",
+)
 _add(
     "session_documents", lambda c: views.session_documents(c.t), "sessions tasks session_participants agent_meta",
     "WITH h AS (SELECT s.*, (SELECT count(*) FROM tasks t WHERE t.session_id = s.session_id) AS task_count, "
@@ -267,7 +272,7 @@ _add(
 )
 _add(
     "search_memory_blocks",
-    lambda c: _rounded(search.search_memory(c.t, c.command("search_queries"), broadcast_components=64), "similarity"),
+    lambda c: _rounded(search.search_memory(c.t, c.command("search_queries"), broadcast_components=64 * 16), "similarity"),
     "memory search_queries",
     f"{_MEMORY_HITS} SELECT query_id, CAST(rank AS INT) AS rank, memory_id, content, round(s, 6) AS similarity, created_at "
     "FROM ranked WHERE rank <= 5",
@@ -282,6 +287,9 @@ _add(
     "SELECT query_id, CAST(rank AS INT) AS rank, tool_id, name, description, input_schema, tool_type, round(s, 6) AS similarity "
     "FROM ranked WHERE rank <= 5",
 )
+CATALOG["search_tools_blocks"] = Query(
+    lambda c: _rounded(search.search_tools(c.t, c.command("search_queries"), broadcast_components=64 * 16), "similarity"), CATALOG["search_tools"].oracle
+)
 _add(
     "ingest_vectors",
     lambda c: ingest_vectors(c.command("vector_payloads"))[0].select(
@@ -1188,7 +1196,8 @@ def _stored(c: Context, tables: str, change: Callable[[Tables], Mapping], out: s
     store = scratch_path(c.spark, "store")
     streams.tables_to_store(Tables({name: c.t[name] for name in tables.split()}), c.spark, store)
     before = read_snapshot(c.spark, store)
-    streams.write_snapshot(c.spark, store, change(before), base=before.version)
+    changes = change(c.t.replace(**dict(before.items())))
+    streams.write_snapshot(c.spark, store, {name: steps for name, steps in changes.items() if name in before}, base=before.version)
     return read_snapshot(c.spark, store)[out]
 
 
@@ -1204,8 +1213,8 @@ def _add_stored(like: str, tables: str, change: Callable[[Tables], Mapping], out
 _add_stored("purge_events_kept", "agent_events", lambda t: retention.purge_events(t, OPERATOR, AS_OF_EVENTS, 10).changes, "agent_events")
 _add_stored("purge_compressed_logs", "tasks execution_logs", lambda t: retention.purge_compressed(t, OPERATOR, t.tasks).changes, "execution_logs",
             "log_id", "task_id", "step_number")
-_add_stored("drop_agents_tasks", " ".join(SCHEMAS), _dropping, "tasks", "task_id", "session_id", "agent_id")
-_add_stored("drop_agents_messages", " ".join(SCHEMAS), _dropping, "agent_messages", "message_id", "session_id", "parent_task_id", "child_task_id")
+_add_stored("drop_agents_tasks", "tasks", _dropping, "tasks", "task_id", "session_id", "agent_id")
+_add_stored("drop_agents_messages", "agent_messages", _dropping, "agent_messages", "message_id", "session_id", "parent_task_id", "child_task_id")
 _add("write_snapshot", _through_store, "tasks agent_profile_assignments agent_profiles agent_meta",
      CATALOG["recover_stale"].oracle and f"SELECT t.task_id, CASE WHEN {_STALE} THEN CASE WHEN t.retry_count + 1 > {_RETRY} THEN 'failed' ELSE "
      f"'pending' END ELSE t.status END AS status, CASE WHEN {_STALE} THEN t.retry_count + 1 ELSE t.retry_count END AS retry_count, "

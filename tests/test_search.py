@@ -21,10 +21,8 @@ def brute_force(vectors, query, k):
     return [i for i, _ in sorted(((i, distance(v)) for i, v in vectors.items()), key=lambda p: (round(p[1], 9), p[0]))[:k]]
 
 
-@pytest.mark.parametrize("broadcast_components", [10**6, 0])
-def test_top_k(spark, monkeypatch, broadcast_components):
-    monkeypatch.setattr(search, "BLOCK_CANDIDATES", 7)
-    monkeypatch.setattr(search, "BLOCK_QUERIES", 2)
+@pytest.mark.parametrize("broadcast_components", [10**6, 12])
+def test_top_k(spark, broadcast_components):
     rng = np.random.default_rng(0)
     # Few distinct vectors, so many candidates tie and the id decides; one zero vector comes last.
     pool = {a: {100 * a + i: rng.integers(-1, 2, 4).astype(float) for i in range(40)} for a in (1, 2)}
@@ -41,6 +39,19 @@ def test_top_k(spark, monkeypatch, broadcast_components):
     assert got == {q: brute_force(pool[a], np.array(v), 5) for q, a, v in asked if a in pool}
 
 
+def test_bounds_skip_clusters_and_nothing_else():
+    rng = np.random.default_rng(1)
+    centres = rng.standard_normal((30, 8))
+    groups = [(np.arange(50) + 50 * g, c + 0.05 * rng.standard_normal((50, 8))) for g, c in enumerate(centres)]
+    groups.append((np.array([9000, 9001]), np.zeros((2, 8))))  # no direction at all
+    groups.append((np.array([9002, 9003]), np.array([[1.0] + [0.0] * 7, [-1.0] + [0.0] * 7])))
+    queries = np.concatenate([centres[:20] + 0.1 * rng.standard_normal((20, 8)), rng.standard_normal((5, 8))])
+    plain, bounded = (search._Best(np.arange(25), queries, 3) for _ in range(2))
+    scored = [plain.add(*g) - bounded.add(*g, True) for g in groups]
+    assert (np.sort(plain.items, axis=1) == np.sort(bounded.items, axis=1)).all()
+    assert sum(scored) > 25 * 1504 / 3  # at least a third was skipped
+
+
 def test_declared_width_and_missing_model(spark):
     memory = [
         {"memory_id": 1, "agent_id": 1, "content": "a", "embedding": [1.0, 0.0, 0.0, 0.0], "embedding_dims": 4, "created_at": T0},
