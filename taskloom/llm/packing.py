@@ -111,5 +111,8 @@ def packed(docs: DataFrame, length: Column, capacities: Sequence[int] = CAPACITI
 
 def pieces_with_text(docs: DataFrame, placed: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The placed pieces beside the columns of their documents (of ids that don't repeat)."""
-    return docs.join(placed.withColumnRenamed("doc_id", "_doc_id"), F.col(id_col).eqNullSafe(F.col("_doc_id"))).drop("_doc_id")
+    own = docs.select(F.col(id_col).cast("long").alias("own_id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("own_row"))
+    names = [c for c in placed.columns if c != "doc_id"]
+    where = placed.select(F.col("doc_id").alias("placed_id"), F.struct(*names).alias("placed"))
+    return own.join(where, F.col("own_id").eqNullSafe(F.col("placed_id"))).select("own_row.*", "placed.*")
 

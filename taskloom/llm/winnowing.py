@@ -5,8 +5,8 @@ of GRAM + WINDOW - 1 = 10 words that both share has the same k-grams, hence the
 documents join those of the benchmark; each hit is extended to the windows of 10 words around it, and these are compared with the
 benchmark's own windows word by word. So what is reported is exact, and nothing of 10 words or more is missed.
 
-Only kept hashes that pass a bitmap of the benchmark's hashes leave a document row. The bitmap has a fixed size whatever the
-benchmark's, and only spares work: the join decides. The benchmark's fingerprints and windows are broadcast while they are counted to
+Only kept hashes that pass a bitmap of the benchmark's hashes leave a document row. The bitmap has `SLOTS_EACH` bytes for each of them, up to
+`MAX_BITMAP`, and only spares work: the join decides. The benchmark's fingerprints and windows are broadcast while they are counted to
 be few, and joined by a shuffle beyond that.
 """
 
@@ -20,7 +20,8 @@ from .common import staged
 LENGTH = 10
 GRAM = 5
 WINDOW = LENGTH - GRAM + 1
-BITMAP = 1 << 17
+SLOTS_EACH = 32
+MAX_BITMAP = 1 << 22
 #: Benchmark windows up to which they are broadcast (some 100 bytes each).
 BROADCAST_ROWS = 100_000
 #: Fixed value: what separates words, before lower-casing.
@@ -81,13 +82,14 @@ def benchmark_windows(items: DataFrame, id_col: str = "item_id", text_col: str =
     return own.select("item_id", "length", F.explode(F.array_distinct(spans)).alias("span")).distinct()
 
 
-def _bitmap(rows: DataFrame) -> Column:
-    """One byte a slot, 1 where a hash of the benchmark falls; a literal of `BITMAP` bytes."""
-    slots = rows.select(F.pmod("hash", F.lit(BITMAP)).cast("int").alias("slot")).distinct()
-    marks = bytearray(BITMAP)
-    for row in slots.toLocalIterator():  # at most BITMAP small integers
+def _bitmap(rows: DataFrame) -> tuple[Column, int]:
+    """(a literal with one byte a slot, 1 where a hash of the benchmark falls; the number of slots)."""
+    size = min(MAX_BITMAP, 1 << max(12, (SLOTS_EACH * rows.count()).bit_length()))
+    slots = rows.select(F.pmod("hash", F.lit(size)).cast("int").alias("slot")).distinct()
+    marks = bytearray(size)
+    for row in slots.toLocalIterator():  # at most MAX_BITMAP small integers, a partition at a time
         marks[row["slot"]] = 1
-    return F.lit(bytes(marks))
+    return F.lit(bytes(marks)), size
 
 
 def hits(docs: DataFrame, windows: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -110,10 +112,10 @@ def hits(docs: DataFrame, windows: DataFrame, id_col: str = "doc_id", text_col:
         own_hashes = F.transform(F.split("span", " "), lambda w: F.xxhash64(w))
         own_prints = own.select(F.array_min(_grams(own_hashes, gram)).alias("hash")).distinct()
         prints.append(own_prints.select(F.lit(length).alias("length"), "hash"))
-        marks = _bitmap(own_prints)
+        marks, slots = _bitmap(own_prints)
         name = f"grams_{length}"
         rows = rows.withColumn(name, _grams(F.col("hashes"), gram))
-        kept = F.array_distinct(F.filter(_least(F.col(name), window), lambda h: F.substring(marks, F.pmod(h, F.lit(BITMAP)).cast("int") + 1, 1) == F.lit(b"\x01")))
+        kept = F.array_distinct(F.filter(_least(F.col(name), window), lambda h: F.substring(marks, F.pmod(h, F.lit(slots)).cast("int") + 1, 1) == F.lit(b"\x01")))
         places = F.filter(F.sequence(F.lit(0), F.size(name) - 1), lambda i: F.array_contains(F.col(f"kept_{length}"), F.get(F.col(name), i)))
         rows = rows.withColumn(f"kept_{length}", kept)
         around = F.transform(
@@ -156,7 +158,8 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     come, and rows of one id with different texts are judged each on its own. `mark` is xxhash64 of the text.
     """
     owned = staged(benchmark_windows(items, length=length).withColumn("window_id", F.xxhash64("length", "span")), "windows")
-    found = hits(docs, owned.select("window_id", "length", "span").distinct(), id_col, text_col)
+    # Read twice below, and narrow: written once.
+    found = staged(hits(docs, owned.select("window_id", "length", "span").distinct(), id_col, text_col), "hits")
     copies = found.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).drop("copies", "copy")
     named = found.select("doc_id", "mark", F.explode("spans").alias("window_id")).join(owned.select("window_id", "item_id"), "window_id")
     named = named.groupBy("doc_id", "mark").agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("item_ids"))
@@ -173,5 +176,7 @@ def decontaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", te
     owned = staged(benchmark_windows(items).withColumn("window_id", F.xxhash64("length", "span")), "windows")
     found = hits(docs, owned.select("window_id", "length", "span").distinct(), id_col, text_col)
     bad = staged(found.where(F.size("spans") > 0).select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark")), "leaks")
-    hit = F.col(id_col).eqNullSafe(F.col("_id")) & F.xxhash64(F.col(text_col)).eqNullSafe(F.col("_mark"))
-    return docs.join(bad, hit, "left_anti")
+    # The rows as one column: no name of theirs meets one used here.
+    own = docs.select(F.col(id_col).alias("own_id"), F.xxhash64(text_col).alias("own_mark"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("own_row"))
+    hit = F.col("own_id").eqNullSafe(F.col("_id")) & F.col("own_mark").eqNullSafe(F.col("_mark"))
+    return own.join(bad, hit, "left_anti").select("own_row.*")
