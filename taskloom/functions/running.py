@@ -2,8 +2,12 @@
 
 A plain window over a hot key sorts the whole group in one task. Rows are therefore always cut into buckets that are monotone in the
 order: each bucket is scanned on its own, the bucket totals (combined before the exchange) are scanned on the next level, and the two
-are added. With a unique integer order key no window holds more than 2**BUCKET_BITS rows, whatever the distribution, up to the last
-level, whose rows are ids shifted right by all levels' bits. The plan is the same for every size; there is no count beforehand.
+are added. The plan is the same for every size; there is no count beforehand.
+
+`placed` cuts rows into ranges of about equal counts, by the bounds that Spark samples for a range partitioning, and writes them with the
+number of their range: whatever the ids look like, no bucket holds more than a task's share, and the last level has one row a range.
+Where rows aren't written anyway, buckets are the upper bits of a unique integer order key: at most 2**BUCKET_BITS rows each, which suits
+ids that are about dense.
 """
 
 from __future__ import annotations
@@ -23,6 +27,15 @@ def id_bucket(order: str, bits: int | None = None) -> Column:
     return F.shiftright(F.col(order).cast("long"), BUCKET_BITS if bits is None else bits)
 
 
+#: Column with the number of a row's range.
+PLACE = "_placed"
+
+
+def placed(df: DataFrame, *order: str) -> DataFrame:
+    """The rows written in ranges of the order, of about equal counts, with the number of the range; it rises with the order."""
+    return stage(df.repartitionByRange(*order).withColumn(PLACE, F.spark_partition_id()))
+
+
 def _combine(kind: str, local: Column, before: Column) -> Column:
     if kind == "sum":
         return F.coalesce(local, F.lit(0)) + F.coalesce(before, F.lit(0))
@@ -40,11 +53,13 @@ def running(
     """Add, per key and in `order`, the aggregate of each measure over the rows strictly before the current one.
 
     `measures` maps an output column to ("sum" | "max", expression). `keys` must not be null and `order` must be unique
-    within a key. By default the (single, integer) order key is bucketed, and the buckets again: with two levels the last one
-    has at most 2**16 rows a key for ids below 2**48. Otherwise `bucket` lists expressions monotone in `order`. The input is read
-    `levels` + 1 times (twice with own buckets).
+    within a key. By default rows of `placed` go by their range, and otherwise the (single, integer) order key is bucketed, and the
+    buckets again: with two levels the last one has at most 2**16 rows a key for ids below 2**48. Or `bucket` lists expressions
+    monotone in `order`. The input is read `levels` + 1 times (twice with ranges or own buckets).
     """
     keys = list(keys)
+    if bucket is None and PLACE in df.columns:
+        bucket = [F.col(PLACE)]
     buckets = list(bucket) if bucket is not None else [id_bucket(order[0])]
     names = [f"_bucket{levels}_{i}" for i in range(len(buckets))]
     kinds = {out: kind for out, (kind, _) in measures.items()}
@@ -77,9 +92,9 @@ def numbered(
 ) -> DataFrame:
     """Add 1, 2, 3 … per key in `order`, without sorting a whole key in one task.
 
-    Only keys and order are staged and sorted; the numbers are joined back to the rows. So the rows are planned twice, however many
-    levels there are.
+    Only keys and order are staged and sorted; the numbers are joined back to the rows. Without own buckets they are placed in ranges.
     """
     unique = [*keys, *order]
-    ranked = running(stage(df.select(*unique)), keys, order, {out: ("sum", F.lit(1))}, bucket, levels=3)
+    narrow = placed(df.select(*unique), *order) if bucket is None else stage(df.select(*unique))
+    ranked = running(narrow, keys, order, {out: ("sum", F.lit(1))}, [F.col(PLACE)] if bucket is None else bucket)
     return df.join(ranked.select(*unique, (F.col(out) + 1).cast("long").alias(out)), unique)

@@ -9,9 +9,8 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.running import numbered, running
+from ..functions.running import numbered, placed, running
 from ..model import SCHEMAS
-from ..session import stage
 
 MODES = ("upsert", "ignore", "delete")
 
@@ -154,10 +153,10 @@ def log_steps(logs: DataFrame, new_steps: DataFrame, as_of: str | Column, last:
 
     Only the logs of the tasks addressed are aggregated.
     """
-    narrow = stage(new_steps.select("task_id", "seq"))
+    narrow = placed(new_steps.select("task_id", "seq"), "seq")
     latest = logs.join(narrow.select("task_id").distinct(), "task_id", "left_semi").groupBy("task_id").agg(F.max("step_number").alias("_last"))
     own = running(narrow, ["task_id"], ["seq"], {"_own": ("sum", F.lit(1))})
-    every = running(narrow.select("seq"), [], ["seq"], {"_before": ("sum", F.lit(1).cast("long"))}, levels=3)
+    every = running(narrow.drop("task_id"), [], ["seq"], {"_before": ("sum", F.lit(1).cast("long"))})
     start = first_free(logs, "log_id", last)
     steps = own.join(latest, "task_id", "left").join(every, "seq").select(
         "seq", (F.coalesce("_last", F.lit(0)) + F.col("_own") + 1).alias("step_number"), (start + F.col("_before")).alias("log_id")

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.jsontext import is_json, json_object, json_of, text_of
-from ..functions.running import running
+from ..functions.running import PLACE, placed, running
 from ..model import TERMINAL, Tables
 from ..session import stage
 from .delta import Append, Upsert, assign_ids, first_free, instant, log_steps, typed
@@ -176,7 +176,7 @@ def _transitions(c: DataFrame) -> DataFrame:
         "seq", "task_id", "session_id", "kind", "answer", "parent", "base_status", "new_status",
         F.col("new_status").isin(*TERMINAL).alias("ends"),
     )
-    before = running(moves, ["task_id"], ["seq"], {"_prev": ("max", F.struct("seq", "ends"))})
+    before = running(placed(moves, "seq"), ["task_id"], ["seq"], {"_prev": ("max", F.struct("seq", "ends"))})
     ended = F.coalesce("_prev.ends", F.col("base_status").isin(*TERMINAL))
     own = ended.cast("int") - F.col("ends").cast("int")
     return before.withColumn("own", own).withColumn(
@@ -205,11 +205,12 @@ def close_sessions(t: Tables, moves: DataFrame) -> DataFrame:
 
 def _live_at(moves: DataFrame, lookups: DataFrame, t: Tables) -> DataFrame:
     """Distinct (task_id, seq) with whether the task is live right after that response."""
-    points = stage(
+    points = placed(
         moves.select("task_id", "seq", "ends")
         .unionByName(lookups.select("task_id", "seq", F.lit(None).cast("boolean").alias("ends")).distinct())
         .groupBy("task_id", "seq")
-        .agg(F.max("ends").alias("ends"))
+        .agg(F.max("ends").alias("ends")),
+        "seq",
     )
     known = F.when(F.col("ends").isNotNull(), F.struct("seq", "ends"))
     before = running(points, ["task_id"], ["seq"], {"_prev": ("max", known)})
@@ -247,11 +248,12 @@ def release_parents(t: Tables, moves: DataFrame) -> DataFrame:
     delegated = moves.where("kind = 'delegate'").join(asked, "task_id", "left_semi")
     by_delegation = delegated.select("task_id", "seq", F.lit(1).alias("change"), none.alias("asks"))
     by_answer = answers.select("task_id", "seq", none.alias("change"), F.lit(1).alias("asks"))
-    points = stage(
+    points = placed(
         by_dependency.unionByName(by_delegation)
         .unionByName(by_answer)
         .groupBy("task_id", "seq")
-        .agg(F.sum("change").alias("change"), F.max("asks").alias("asks"))
+        .agg(F.sum("change").alias("change"), F.max("asks").alias("asks")),
+        "seq",
     )
     counted = running(points, ["task_id"], ["seq"], {"_sum": ("sum", F.col("change"))}).where("asks = 1")
 
@@ -471,11 +473,11 @@ class Ingested:
         narrow = flags.join(closing, "seq", "left").withColumns(
             {"closes": F.coalesce("closes", F.lit(0).cast("long")), "steps": F.col("notes") + 1}
         )
-        narrow = stage(narrow.withColumn("events", F.col("reports") + F.col("closes")).drop("notes", "reports"))
+        narrow = placed(narrow.withColumn("events", F.col("reports") + F.col("closes")).drop("notes", "reports"), "seq")
         names = ("children", "approvals", "messages", "executions", "steps", "events")
-        every = running(narrow, [], ["seq"], {f"{n}_before": ("sum", F.col(n)) for n in names}, levels=3)
-        own = running(narrow.select("seq", "task_id", "steps"), ["task_id"], ["seq"], {"own_before": ("sum", F.col("steps"))})
-        return stage(every.drop(*names).join(own.select("seq", "own_before"), "seq").drop("task_id"))
+        every = running(narrow, [], ["seq"], {f"{n}_before": ("sum", F.col(n)) for n in names})
+        own = running(narrow.select("seq", "task_id", "steps", PLACE), ["task_id"], ["seq"], {"own_before": ("sum", F.col("steps"))})
+        return stage(every.drop(*names).join(own.select("seq", "own_before"), "seq").drop("task_id", PLACE))
 
     def _number(self, rows: DataFrame, table: str, key: str, kind: str, out: str | None = None, slot: str | Column = "") -> DataFrame:
         """Rows (seq, …) with their id: the first free one, plus what earlier responses add, plus the place within the response."""

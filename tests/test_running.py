@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import taskloom.functions.running as running_module
-from taskloom.functions.running import id_bucket, numbered, running
+from taskloom.functions.running import PLACE, id_bucket, numbered, placed, running
 
 
 @pytest.mark.parametrize("levels,bits", [(2, 3), (1, 4), (3, 2), (2, 16)])
@@ -48,3 +48,18 @@ def test_numbering_sorts_only_the_order_column(spark):
     windows = [line for line in plan.splitlines() if "Window [" in line]
     assert windows and not any("text" in line for line in windows)
     assert out.where("n <> id + 1").isEmpty() and out.count() == 1000
+
+
+def test_sparse_ids_fall_into_even_ranges(spark):
+    """Time-stamped ids near 2**62: no window holds more than a few times its share, and the totals have one row a range."""
+    rng = random.Random(7)
+    ids = [rng.randrange(2**61, 2**62) for _ in range(4000)]
+    df = spark.createDataFrame([(i, rng.choice("aab")) for i in ids], "i long, k string").repartition(6)
+    ranges = placed(df.repartition(8), "i").groupBy(PLACE).agg(F.count("i").alias("n"), F.min("i").alias("low"), F.max("i").alias("high")).orderBy(PLACE).collect()
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert len(ranges) <= parts and max(r.n for r in ranges) < 3 * 4000 / min(parts, len(ranges))
+    assert all(a.high < b.low for a, b in zip(ranges, ranges[1:]))
+    got = numbered(df, ["i"], "n").orderBy("i").collect()
+    assert [r.n for r in got] == list(range(1, 4001))
+    by_key = numbered(df, ["i"], "n", keys=["k"]).orderBy("k", "i").collect()
+    assert [r.n for r in by_key] == [n for key in "ab" for n in range(1, 1 + sum(r.k == key for r in got))]
