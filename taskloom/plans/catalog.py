@@ -1435,6 +1435,15 @@ _add(
     "SELECT date_trunc('minute', executed_at) AS time, name AS metric, count(*) AS value FROM calls GROUP BY 1, 2 "
     "HAVING date_trunc('minute', executed_at) + INTERVAL '1' MINUTE <= (SELECT max(executed_at) - INTERVAL '10' MINUTE FROM calls)",
 )
+_GAP = "ps = 'running' AND ts - p >= INTERVAL '300' SECOND"
+_add(
+    "stream_heartbeat_changes", lambda c: _notices(c, lambda beats, store: streams.heartbeat_changes(beats, store), "heartbeats"), "heartbeats",
+    "WITH b AS (SELECT DISTINCT task_id, status, ts FROM heartbeats), "
+    "l AS (SELECT *, lag(ts) OVER w AS p, lag(status) OVER w AS ps, lead(ts) OVER w AS nx FROM b WINDOW w AS (PARTITION BY task_id ORDER BY ts, status)) "
+    f"SELECT task_id, 'silent' AS state, p AS ts FROM l WHERE {_GAP} UNION ALL SELECT task_id, 'back' AS state, ts FROM l WHERE {_GAP} "
+    "UNION ALL SELECT task_id, 'silent' AS state, ts FROM l WHERE nx IS NULL AND status = 'running' "
+    "AND ts <= (SELECT max(ts) FROM heartbeats) - INTERVAL '360' SECOND",
+)
 _add(
     "stream_heartbeat_monitor",
     lambda c: streams.drain(streams.heartbeat_monitor(c.command("heartbeats", live=True))), "heartbeats",

@@ -19,7 +19,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.running import running
 from ..model import STALE_SECONDS, Tables
-from ..operators.delta import Append, Upsert
+from ..operators.delta import Append, Delete, Upsert
 from ..operators.embed import EmbedFunction, reembed
 from ..operators.ingest import ANSWER_CHARS, submit_results
 from ..session import scratch_path, stage, staging
@@ -185,6 +185,66 @@ def heartbeat_monitor(beats: DataFrame, seconds: int = STALE_SECONDS, delay: str
     return quiet.where("_last.status = 'running'").select("task_id", "last_seen")
 
 
+def silences(batch: DataFrame, known: DataFrame | None, seconds: int) -> DataFrame:
+    """Rows (task_id, state, ts) that new heartbeats (task_id, status, ts) tell: `silent` since the last word of a running task when the next
+    one comes `seconds` later or more, and `back` with that next one. What is known as silent already is not said again."""
+    rows = batch.select("task_id", "status", "ts", F.lit(False).alias("silent"))
+    if known is not None:
+        rows = rows.unionByName(known.join(batch.select("task_id"), "task_id", "left_semi").select(*rows.columns))
+    ranked = running(
+        rows.withColumn("_us", F.unix_micros("ts")), ["task_id"], ["_us", "status"], {"_prev": ("max", F.struct("_us", "status", "silent"))},
+        bucket=[F.shiftright("_us", _TIME_BITS)],
+    )
+    long = (F.col("_us") - F.col("_prev._us")) >= seconds * 1_000_000
+    gaps = ranked.where((F.col("_prev.status") == "running") & (long | F.col("_prev.silent")))
+    said = F.struct(F.lit("silent").alias("state"), F.timestamp_micros("_prev._us").alias("ts"))
+    back = F.struct(F.lit("back").alias("state"), F.col("ts"))
+    return gaps.select("task_id", F.explode(F.when(F.col("_prev.silent"), F.array(back)).otherwise(F.array(said, back))).alias("r")).select("task_id", "r.*")
+
+
+def heartbeat_changes(beats: DataFrame, store: str, seconds: int = STALE_SECONDS, delay: int = 60, **trigger: Any) -> StreamingQuery:
+    """Silences of running tasks while they last, and the heartbeats that end them: rows (task_id, state, ts) of the table `out` of a store.
+
+    A task is silent once its last heartbeat lies `seconds` and `delay` before the newest one of any task. The store keeps the last
+    word of running tasks only, so that a micro-batch looks through the tasks under watch and not through all there ever were. Heartbeats that
+    are not newer than a task's last one change nothing.
+    """
+    state = f"{store}/state"
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+
+        def compute(version: int) -> dict[str, Changes]:
+            tables = read_snapshot(spark, state, version)
+            watched, clock = tables.get("watch"), tables.get("clock")
+            news = batch.select("task_id", "status", "ts").distinct()
+            if watched is not None:
+                last = watched.select("task_id", F.col("ts").alias("_ts"))
+                news = news.join(last, "task_id", "left").where(F.col("_ts").isNull() | (F.col("ts") > F.col("_ts"))).drop("_ts")
+            news = stage(news)
+            newest = news.select("ts") if clock is None else news.select("ts").unionByName(clock.select("ts"))
+            now = newest.agg(F.max("ts")).first()[0]
+            late = F.col("ts") <= F.lit(now) - F.make_dt_interval(secs=F.lit(seconds + delay))
+            ends = news.groupBy("task_id").agg(F.max(F.struct("ts", "status")).alias("_new")).select("task_id", "_new.status", "_new.ts")
+            watch = ends.where("status = 'running'").select("task_id", "status", "ts", F.coalesce(late, F.lit(False)).alias("silent"))
+            due = watch.where("silent")
+            if watched is not None:
+                overdue = watched.join(ends.select("task_id"), "task_id", "left_anti").where(~F.col("silent") & late)
+                due = due.unionByName(overdue)
+                watch = watch.unionByName(overdue.withColumn("silent", F.lit(True)))
+            said = silences(news, watched, seconds).unionByName(due.select("task_id", F.lit("silent").alias("state"), "ts"))
+            changes: dict[str, Changes] = {"out": Append(said), "clock": spark.createDataFrame([(now,)], "ts timestamp")}
+            changes["watch"] = Upsert(watch, ("task_id",))
+            if watched is not None:
+                changes["watch"] = [changes["watch"], Delete(ends.where("status <> 'running'").select("task_id"), ("task_id",))]
+            return changes
+
+        commit_batch(spark, state, stream_name(spark, "heartbeats"), batch_id, compute)
+
+    writer = beats.writeStream.foreachBatch(run).option("checkpointLocation", f"{store}/checkpoint")
+    return writer.trigger(**_available(trigger)).start()
+
+
 def progress_deltas(changed: DataFrame) -> DataFrame:
     """What the status changes of a batch add to the task counts of each session."""
 

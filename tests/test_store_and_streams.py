@@ -311,6 +311,26 @@ def test_heartbeats(spark):
     assert rows(silent) == [(1, at(0)), (2, at(7)), (9, at(12))]
 
 
+def test_silences_and_their_ends_over_batches(spark):
+    schema = "task_id long, status string, ts timestamp"
+    batches = [
+        [(1, "running", at(0)), (2, "running", at(0)), (3, "running", at(0)), (5, "running", at(0)), (5, "running", at(5))],
+        [(2, "running", at(3)), (3, "completed", at(4)), (5, "running", at(6))],
+        [(9, "running", at(12))],  # 1, 2 and 5 have been silent for six minutes or more
+        [(1, "running", at(13)), (2, "running", at(2)), (3, "running", at(13)), (9, "running", at(14))],  # 1 is back; the beat of 2 is old
+        [(9, "completed", at(30))],
+    ]
+    store = scratch_path(spark, "beats")
+    streams.heartbeat_changes(files(spark, batches, schema), store).awaitTermination()
+    assert rows(streams.emitted(spark, store), "task_id", "state", "ts") == sorted([
+        (5, "silent", at(0)), (5, "back", at(5)),
+        (1, "silent", at(0)), (2, "silent", at(3)), (5, "silent", at(6)),
+        (1, "back", at(13)),
+        (1, "silent", at(13)), (3, "silent", at(13)), (9, "silent", at(14)), (9, "back", at(30)),
+    ])
+    assert rows(read_snapshot(spark, f"{store}/state")["watch"], "task_id", "silent") == [(1, True), (2, True), (3, True), (5, True)]
+
+
 def test_late_statuses_change_nothing(spark):
     batches = [[(1, 1, 1, "running", at(5))], [(1, 1, 1, "pending", at(2)), (1, 1, 1, "running", at(5))], [(1, 1, 1, "pending", at(6))]]
     store = scratch_path(spark, "late")
