@@ -7,7 +7,9 @@ further. All others are verified on the sets themselves.
 
 Copies are merged before. Texts of one component are not compared. In a few turns every text is held against one leader of each
 bucket it lies in, first against the text that shares most buckets with others, the middle of a group of near copies; so a group becomes one
-component with rows in proportion to its size. What is then left of different components in one bucket is compared pair by pair.
+component with rows in proportion to its size. What is then left of different components in one bucket meets by an exact prefix
+filter: two sets of 0.8 share a shingle among the rarest few of either, so that a text with its own edits, which no leader held, meets
+nobody through what the whole group has in common.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ BANDS = 48
 SEED = 43
 #: Differing bits, of ROWS * BANDS, beyond which a pair is not near: 34 are expected at 0.8, with a deviation of 5.5.
 APART = 58
-#: Turns with leaders before pairs of what is left.
+#: Turns with leaders before the prefix filter.
 TURNS = 3
 #: Shingles hashed at a time.
 CHUNK = 1 << 18
@@ -141,6 +143,26 @@ def _met(prints: DataFrame, rooted: DataFrame) -> tuple[DataFrame, DataFrame]:
     return texts.drop("bands").join(crowd.select("copy"), "copy", "left_semi"), met.join(crowd, "copy").select("bucket", "copy", "crowd")
 
 
+def _prefix_pairs(texts: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs of texts (copy, root, size, bits) of different roots that may be near: copy, root, other, other_root.
+
+    Sets of x and y shingles at 0.8 share o = ceil(4 / 9 * (x + y)) of them at least. In one order of all shingles, the rarest first, they then
+    share one among the first x - o + 1 of the one and the first y - o + 1 of the other.
+    """
+    each = texts.select("copy").join(sets, "copy").select("copy", F.explode("shingles").alias("shingle"))
+    often = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"))
+    order = each.join(often, "shingle").groupBy("copy").agg(F.sort_array(F.collect_list(F.struct("n", "shingle"))).alias("all"))
+    # The longest prefix is that against the smallest set that can be near, of 4/5 the size.
+    longest = F.col("size") - F.ceil(F.col("size") * 0.8 - 1e-9) + 1
+    placed = texts.join(order, "copy").select("copy", "root", "size", "bits", F.posexplode(F.slice("all", F.lit(1), longest.cast("int"))).alias("place", "s"))
+    placed = staged(placed.select("copy", "root", "size", "bits", "place", F.col("s.shingle").alias("shingle")), "similar-prefixes")
+    other = placed.select("shingle", *[F.col(c).alias(f"other_{c}") for c in ("copy", "root", "size", "bits", "place")])
+    shared = F.floor((4 * (F.col("size") + F.col("other_size")) + 8) / 9)
+    inside = (F.col("place") <= F.col("size") - shared) & (F.col("other_place") <= F.col("other_size") - shared)
+    met = placed.join(other, "shingle").where((F.col("root") < F.col("other_root")) & inside & _near("", "other_"))
+    return met.select("copy", "root", F.col("other_copy").alias("other"), "other_root").distinct()
+
+
 def joined_classes(docs: DataFrame, prints: DataFrame, rooted: DataFrame) -> DataFrame:
     """fp, root of `rooted` after classes with texts at 0.8 or more are joined. `docs` has mark, text; `prints` mark, fp and the sketch.
 
@@ -169,7 +191,5 @@ def joined_classes(docs: DataFrame, prints: DataFrame, rooted: DataFrame) -> Dat
         placed = met.join(texts.select(*fact), "copy")
         mixed = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket")
         left = staged(placed.join(mixed, "bucket", "left_semi").select("bucket", *fact), "similar-left")
-        other = left.select("bucket", *[F.col(c).alias(f"other_{c}") for c in fact])
-        rest = left.join(other, "bucket").where((F.col("root") < F.col("other_root")) & _near("", "other_"))
-        pairs = rest.select("copy", "root", F.col("other_copy").alias("other"), "other_root").distinct()
+        pairs = _prefix_pairs(left.drop("bucket").distinct(), sets)
         return _relabelled(rooted, staged(_verified(pairs, sets), "similar-links"), "similar-roots", lasting=True)

@@ -56,3 +56,44 @@ def test_stage_finds_every_pair_of_likeness_08(make_docs):  # noqa: F811
         best.setdefault(find(i), []).append((d is None, d or 0))
     kept = simhash.deduplicated(make_docs(docs), similar=True).collect()
     assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept) == sorted(min(v) for v in best.values())
+
+
+def test_small_sets_and_groups_that_no_leader_holds(make_docs):  # noqa: F811
+    """Equal sets of few shingles are linked; in a group around one text, heavily edited ones are linked with whom they are near and only them."""
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(150)]
+    heavy = [edited(rng, base, rng.randrange(4, 8)) for _ in range(40)]
+    texts = ["a b a b a b", "a b a b a b a", "c d"] + [edited(rng, base, rng.randrange(1, 5)) for _ in range(80)] + heavy
+    texts += [" ".join(t.split()[:-1] + ["z"]) for t in heavy[:5]]
+    sets, prints, root = [brute_set(t) for t in texts], [brute_print(t) for t in texts], list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if 5 * both >= 4 * (len(sets[i]) + len(sets[j]) - both) or (prints[i] ^ prints[j]).bit_count() <= 3:
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    assert len({find(i) for i in range(len(texts))}) > 5
+    kept = simhash.deduplicated(make_docs(list(enumerate(texts))), similar=True).collect()
+    assert sorted(r.doc_id for r in kept) == sorted({find(i) for i in range(len(texts))})
+
+
+def test_prefix_filter_finds_every_near_pair(spark, monkeypatch):
+    """All pairs of 0.8 among sets of many sizes, whatever the bits say."""
+    monkeypatch.setattr(shingles, "APART", 10**6)
+    rng = random.Random(3)
+    sets = []
+    for _ in range(25):
+        own = rng.sample(range(400), rng.randrange(1, 60))
+        sets.append(set(own))
+        for _ in range(3):
+            sets.append((set(own) - set(rng.sample(own, min(len(own) - 1, rng.randrange(0, 1 + len(own) // 6))))) | set(rng.sample(range(400), rng.randrange(0, 1 + len(own) // 8))))
+    frame = spark.createDataFrame([(i, sorted(s)) for i, s in enumerate(sets)], "copy long, shingles array<long>")
+    texts = spark.createDataFrame([(i, i, len(s), [0] * 6) for i, s in enumerate(sets)], "copy long, root long, size int, bits array<long>")
+    found = {(r.copy, r.other) for r in shingles._prefix_pairs(texts, frame).collect()}
+    near = {(i, j) for j in range(len(sets)) for i in range(j) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])}
+    assert near and near <= found and len(found) < len(sets) * (len(sets) - 1) / 4
