@@ -6,9 +6,9 @@ into windows of `NEW` subwords with the `CONTEXT` subwords before them, so that
 given at least `CONTEXT` predecessors where there are as many. A window's queries attend to it and to what precedes them; the
 output is factored into a group of subwords and a subword within the group.
 
-The model is trained where the data is: windows are chosen by a hash at a fixed rate, so that their number grows with the corpus,
-and dealt to shards; in every round each shard runs a number of steps from the common parameters, and the parameters are averaged by an aggregate
-in Spark. Only the average, whose size is fixed, reaches the driver.
+The model is trained where the data is: every distinct window of the training texts is dealt to one shard of one round. In a round
+each of its shards is gone through, in steps from the common parameters, and the parameters are averaged by an aggregate in Spark. The
+shards of all rounds together hold each window once. Only the average, whose size is fixed, reaches the driver.
 
 The baseline counts every word of the training documents. Words among the `FREQUENT` most frequent travel to the documents; all
 others, none of which can be hot, are joined with their counts by a shuffle.
@@ -25,6 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import staging
 from .common import arrow_batches, crc_mod, staged
 from .subwords import ChunkEncoder, rank_encoder, vocabulary_path
 
@@ -39,16 +40,20 @@ DIM = 16
 KEYS = 8
 INNER = 24
 
-#: One window in so many is trained on, at every size; windows of a shard; rounds; steps of a round; windows of a step.
-RATE = 256
-SHARD_WINDOWS = 8192
+#: One window in so many is trained on, at every size: all of them. Windows of a shard; rounds; least steps of a shard; windows of a step.
+RATE = 1
+SHARD_WINDOWS = 65_536
 ROUNDS = 3
-STEPS = 150
-BATCH = 96
+STEPS = 100
+BATCH = 512
 #: Words with a share of all tokens of at least 1 / FREQUENT are broadcast (some 20 bytes each); there are at most so many.
 FREQUENT = 400_000
 
 _LENGTH = CONTEXT + NEW
+#: Stands in a packed window for what lies beyond the end of the text.
+_PAST = 1023
+_PACKED = _LENGTH + 1 + (_LENGTH + 4) // 4  # bytes: eight bits of each subword, then the upper two of four each
+_UPPER = np.array([0, 2, 4, 6], np.uint8)
 _SHAPES = {
     "emb": (VOCABULARY + 2, DIM), "pos": (_LENGTH, DIM), "q": (DIM, KEYS), "k": (DIM, KEYS), "v": (DIM, KEYS), "o": (KEYS, DIM),
     "w1": (DIM, INNER), "b1": (INNER,), "w2": (INNER, DIM), "g": (DIM, GROUPS), "gb": (GROUPS,), "m": (GROUPS, DIM, EACH), "mb": (GROUPS, EACH),
@@ -124,6 +129,15 @@ def _log_sum(x: np.ndarray) -> np.ndarray:
     return np.log(x @ np.ones(x.shape[1], np.float32))
 
 
+def _soft(logits: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    """Probabilities along rows, in place."""
+    logits += bias
+    np.minimum(logits, 60, out=logits)
+    np.exp(logits, out=logits)
+    logits /= (logits @ np.ones(logits.shape[1], logits.dtype))[:, None]
+    return logits
+
+
 def log_probabilities(flat: np.ndarray, inputs: np.ndarray, targets: np.ndarray, chunk: int = 2048) -> np.ndarray:
     """Natural logarithm of the probability of every target of every window."""
     p = named(flat)
@@ -156,38 +170,35 @@ def _gradient(flat: np.ndarray, inputs: np.ndarray, targets: np.ndarray, real: n
     p, grad = named(flat), np.zeros_like(flat)
     d = named(grad)
     x, target, k, v, a, total, mixed, h1, inner, h = _hidden(p, inputs)
-    a = a / total.reshape(len(inputs), NEW, 1)
+    a /= total.reshape(len(inputs), NEW, 1)
     q = target @ p["q"]
-    n, y = len(inputs), targets.reshape(-1).astype(np.int64)
-    weight = (real.reshape(-1) / max(1, real.sum())).astype(np.float32)
-    group, member, rows = y % GROUPS, y // GROUPS, np.arange(len(y))
-    logits = h @ p["g"] + p["gb"]
-    soft = np.exp(logits - logits.max(axis=1, keepdims=True))
-    soft /= soft.sum(axis=1, keepdims=True)
-    soft[rows, group] -= 1
-    soft *= weight[:, None]
-    d["g"][:], d["gb"][:] = h.T @ soft, soft.sum(axis=0)
-    d_h = soft @ p["g"].T
-    for g in range(GROUPS):
-        at = np.flatnonzero(group == g)
-        if not len(at):
-            continue
-        logits = h[at] @ p["m"][g] + p["mb"][g]
-        soft = np.exp(logits - logits.max(axis=1, keepdims=True))
-        soft /= soft.sum(axis=1, keepdims=True)
-        soft[np.arange(len(at)), member[at]] -= 1
-        soft *= weight[at][:, None]
-        d["m"][g], d["mb"][g] = h[at].T @ soft, soft.sum(axis=0)
-        d_h[at] += soft @ p["m"][g].T
+    n, y, ones = len(inputs), targets.reshape(-1), np.ones(targets.size, h.dtype)  # products with ones are faster than sums
+    rows = np.flatnonzero(real.reshape(-1))  # the real targets by group, as in `log_probabilities`
+    rows = rows[np.argsort((y[rows] % GROUPS).astype(np.int8), kind="stable")]
+    own, group, member = h[rows], y[rows] % GROUPS, y[rows] // GROUPS
+    soft = _soft(own @ p["g"], p["gb"])
+    soft[np.arange(len(rows)), group] -= 1
+    d["g"][:], d["gb"][:] = own.T @ soft, ones[: len(own)] @ soft
+    d_own = soft @ p["g"].T
+    ends = np.cumsum(np.bincount(group, minlength=GROUPS)).tolist()
+    for g, (begin, end) in enumerate(zip([0, *ends], ends)):
+        if end > begin:
+            soft = _soft(own[begin:end] @ p["m"][g], p["mb"][g])
+            soft[np.arange(end - begin), member[begin:end]] -= 1
+            d["m"][g], d["mb"][g] = own[begin:end].T @ soft, ones[begin:end] @ soft
+            d_own[begin:end] += soft @ p["m"][g].T
+    d_h = np.zeros_like(h)
+    d_h[rows] = d_own
     d["w2"][:] = inner.T @ d_h
     d_inner = (d_h @ p["w2"].T) * (inner > 0)
-    d["w1"][:], d["b1"][:] = h1.T @ d_inner, d_inner.sum(axis=0)
-    d_h = d_h + d_inner @ p["w1"].T
+    d["w1"][:], d["b1"][:] = h1.T @ d_inner, ones @ d_inner
+    d_h += d_inner @ p["w1"].T
     d["o"][:] = mixed.T @ d_h
     d_mixed = (d_h @ p["o"].T).reshape(n, NEW, KEYS)
     d_a = d_mixed @ v.transpose(0, 2, 1)
     d_v = a.transpose(0, 2, 1) @ d_mixed
-    d_s = a * (d_a - (a * d_a).sum(axis=2, keepdims=True))
+    d_a -= ((a * d_a).reshape(-1, _LENGTH) @ np.ones(_LENGTH, h.dtype)).reshape(n, NEW, 1)
+    d_s = a * d_a
     d_q = (d_s @ k).reshape(-1, KEYS)
     d_k = (d_s.transpose(0, 2, 1) @ q.reshape(n, NEW, KEYS)).reshape(-1, KEYS)
     d_v = d_v.reshape(-1, KEYS)
@@ -196,9 +207,10 @@ def _gradient(flat: np.ndarray, inputs: np.ndarray, targets: np.ndarray, real: n
     d_x = (d_k @ p["k"].T + d_v @ p["v"].T).reshape(n, _LENGTH, DIM)
     d_x[:, CONTEXT:] += (d_h + d_q @ p["q"].T).reshape(n, NEW, DIM)
     d["pos"][:] = d_x.sum(axis=0)
-    flat_ids, flat_dx = inputs.reshape(-1), d_x.reshape(-1, DIM)
+    flat_ids, flat_dx = inputs.reshape(-1), np.ascontiguousarray(d_x.reshape(-1, DIM).T)
     for c in range(DIM):
-        d["emb"][:, c] = np.bincount(flat_ids, weights=flat_dx[:, c], minlength=VOCABULARY + 2)
+        d["emb"][:, c] = np.bincount(flat_ids, weights=flat_dx[c], minlength=VOCABULARY + 2)
+    grad /= max(1, len(rows))
     return grad
 
 
@@ -273,59 +285,78 @@ def _hash(*parts: np.ndarray) -> np.ndarray:
 
 
 def training_windows(docs: DataFrame, path: str, rate: int, text_col: str = "text") -> DataFrame:
-    """lot, inputs, targets of one window in `rate`, chosen by a hash of its text's first words, length and place."""
+    """Packed windows, all of them or one in `rate`, chosen by a hash of the text's length and the window's place and first subwords."""
 
     def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(path)
         for batch in found:
-            ids, starts = Words(batch.column(0)).subwords(encoder)
-            counts = np.diff(starts)
-            per_text = -(-counts // NEW)
-            owner = np.repeat(np.arange(len(counts)), per_text)
-            nth = np.arange(len(owner)) - np.repeat(np.cumsum(per_text) - per_text, per_text)
-            inside = ids[np.minimum(starts[owner] + nth * NEW, len(ids) - 1)], ids[np.minimum(starts[owner] + nth * NEW + 1, len(ids) - 1)]
-            h = _hash(counts[owner], nth, *inside)
-            chosen = np.flatnonzero(h % np.uint64(rate) == 0)
-            if not len(chosen):
-                continue
-            inputs, targets, real, _ = windows(ids, starts)
-            inputs, targets, real = inputs[chosen], targets[chosen], real[chosen]
-            both = np.concatenate([inputs, np.where(real, targets, -1)], axis=1).astype(np.int32)
-            lists = pa.FixedSizeListArray.from_arrays(pa.array(both.reshape(-1)), _LENGTH + NEW).cast(pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([pa.array((h[chosen] >> np.uint64(1)).astype(np.int64)), lists], ["lot", "ids"])
-
-    return docs.select(F.col(text_col).cast("string").alias("text")).where("text IS NOT NULL").mapInArrow(batches, "lot long, ids array<int>")
+            words = Words(batch.column(0))
+            for low in range(0, batch.num_rows, 256):
+                ids, starts = words.subwords(encoder, slice(low, min(low + 256, batch.num_rows)))
+                inputs, targets, real, owner = windows(ids, starts)
+                rows = packed(inputs, targets, real)
+                if rate > 1:
+                    nth = np.arange(len(owner)) - np.searchsorted(owner, owner)
+                    rows = rows[_hash(np.diff(starts)[owner], nth, targets[:, 0], targets[:, 1]) % np.uint64(rate) == 0]
+                binary = pa.FixedSizeBinaryArray.from_buffers(pa.binary(_PACKED), len(rows), [None, pa.py_buffer(rows.tobytes())])
+                yield pa.RecordBatch.from_arrays([binary.cast(pa.binary())], ["ids"])
+
+    return docs.select(F.col(text_col).cast("string").alias("text")).where("text IS NOT NULL").mapInArrow(batches, "ids binary")
+
+
+def packed(inputs: np.ndarray, targets: np.ndarray, real: np.ndarray) -> np.ndarray:
+    """Ten bits a subword, a row for each window: its inputs, all but the first ones of which are targets too, and its last target."""
+    ids = np.concatenate([inputs, targets[:, -1:]], axis=1).astype(np.uint16)
+    ids[:, CONTEXT + 1 :][~real] = _PAST
+    upper = np.zeros((len(ids), 4 * (_PACKED - _LENGTH - 1)), np.uint8)
+    upper[:, : _LENGTH + 1] = ids >> 8
+    return np.concatenate([ids.astype(np.uint8), np.bitwise_or.reduce(upper.reshape(len(ids), -1, 4) << _UPPER, axis=2)], axis=1)
+
+
+def unpacked(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(inputs, targets, which targets are real); 0 stands beyond the end of a text, which no real target sees."""
+    upper = (rows[:, _LENGTH + 1 :, None] >> _UPPER & 3).reshape(len(rows), -1)[:, : _LENGTH + 1]
+    ids = rows[:, : _LENGTH + 1] | upper.astype(np.int32) << 8
+    real = ids[:, CONTEXT + 1 :] != _PAST
+    ids[ids == _PAST] = 0
+    return ids[:, :_LENGTH], ids[:, CONTEXT + 1 :], real
 
 
 def _local_round(shared, r: int, steps: int):
+    """One pass over a shard or, where that is less, so many steps."""
+
     def local(pdf: pd.DataFrame) -> pd.DataFrame:
-        both = np.array(sorted(map(tuple, pdf["ids"])), np.int64)
-        inputs, targets = both[:, :_LENGTH], both[:, _LENGTH:]
-        found = descend(shared.value, inputs, np.maximum(targets, 0), targets >= 0, steps, 0.02 / (1 + r), r)
-        return pd.DataFrame({"number": np.arange(PARAMETERS), "value": found.astype(np.float64), "weight": float(len(both))})
+        rows = np.frombuffer(b"".join(sorted(pdf["ids"])), np.uint8).reshape(-1, _PACKED)
+        found = descend(shared.value, *unpacked(rows), max(steps, -(-len(rows) // BATCH)), 0.02 / (1 + r), r)
+        return pd.DataFrame({"number": np.arange(PARAMETERS), "value": found.astype(np.float64), "weight": float(len(rows))})
 
     return local
 
 
 def train(docs: DataFrame, vocabulary: str, rate: int = RATE, rounds: int = ROUNDS, steps: int = STEPS, shard: int = SHARD_WINDOWS, text_col: str = "text") -> np.ndarray:
-    """Parameters learnt from one window in `rate` of the rows' texts, at every size; fresh ones if none is chosen.
+    """Parameters learnt from every window of the rows' texts, or from one in `rate`, at every size; fresh ones if there is none.
 
     Equal windows are one, however many copies of a text there are: they would all fall into one shard and outweigh the rest.
     """
+    with staging():
+        return _trained(docs, vocabulary, rate, rounds, steps, shard, text_col)
+
+
+def _trained(docs: DataFrame, vocabulary: str, rate: int, rounds: int, steps: int, shard: int, text_col: str) -> np.ndarray:
     spark = docs.sparkSession
-    sample = staged(training_windows(docs, vocabulary, rate, text_col).groupBy("ids").agg(F.count(F.lit(1)).alias("n")), "lm-windows")
-    count = sample.count()
+    distinct = staged(training_windows(docs, vocabulary, rate, text_col).distinct(), "lm-windows")
+    count = distinct.count()
     flat = fresh()
     if not count:
         return flat
-    shards = max(1, count // shard)
-    dealt = staged(sample.select("ids", F.pmod(F.xxhash64("ids"), F.lit(shards)).cast("int").alias("shard")), "lm-shards")
+    shards = max(1, count // (shard * rounds))  # of a round
+    dealt = staged(distinct.select("ids", F.pmod(F.xxhash64("ids"), F.lit(rounds * shards)).cast("int").alias("shard")), "lm-shards")
     for r in range(rounds):
         shared = spark.sparkContext.broadcast(flat)
-
-        updates = dealt.groupBy("shard").applyInPandas(_local_round(shared, r, steps), "number int, value double, weight double")
+        of_round = dealt.where(F.col("shard").between(r * shards, (r + 1) * shards - 1))
+        updates = of_round.groupBy("shard").applyInPandas(_local_round(shared, r, steps), "number int, value double, weight double")
         mean = updates.groupBy("number").agg((F.sum(F.col("value") * F.col("weight")) / F.sum("weight")).alias("value"))
-        for row in mean.collect():  # one number for each parameter
+        for row in staged(mean, "lm-mean").collect():  # one number for each parameter
             flat[row["number"]] = row["value"]
     return flat
 

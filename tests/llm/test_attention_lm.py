@@ -2,8 +2,10 @@ import math
 import random
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from cases import ODD, make_docs  # noqa: F401
@@ -159,6 +161,40 @@ def test_copies_neither_fill_a_shard_nor_outweigh(make_docs, monkeypatch, times)
     assert rates == [4] and sizes[0] == sizes[1] == once
 
 
+def test_windows_are_packed_and_unpacked():
+    ids, starts = lm.Words(pa.array(TEXTS, pa.string())).subwords(lm._encoder(PATH))
+    inputs, targets, real, _ = lm.windows(ids, starts)
+    rows = lm.packed(inputs, targets, real)
+    assert rows.shape == (len(inputs), lm._PACKED) and rows.dtype == np.uint8 and lm.START < lm._PAST
+    some, goals, there = lm.unpacked(rows)
+    assert (there == real).all() and (goals[real] == targets[real]).all() and (some[:, : lm.CONTEXT + 1] == inputs[:, : lm.CONTEXT + 1]).all()
+
+
+def test_every_window_teaches(make_docs, monkeypatch):  # noqa: F811
+    """By default all windows of all texts are dealt, each to one shard of one round, and a shard is gone through whole."""
+    rng = random.Random(7)
+    texts = [" ".join(str(rng.random()) for _ in range(rng.randrange(60))) for _ in range(50)]
+    ids, starts = lm.Words(pa.array(texts)).subwords(lm._encoder(PATH))
+    inputs, targets, real, _ = lm.windows(ids, starts)
+    every = {(tuple(i[: lm.CONTEXT + 1]), tuple(t[r])) for i, t, r in zip(inputs.tolist(), targets, real)}
+    dealt = []
+    monkeypatch.setattr(lm, "staged", lambda df, label: dealt.append(df.collect()) or df.cache())
+    lm.train(make_docs(list(enumerate(texts))), PATH, steps=1, shard=100)
+    shards = {}
+    for row in dealt[1]:
+        shards.setdefault(row.shard, []).append(bytes(row.ids))
+    assert len(every) > 900 and len(shards) > lm.ROUNDS
+
+    met = []
+    monkeypatch.setattr(lm, "BATCH", 32)
+    monkeypatch.setattr(lm, "_gradient", lambda flat, i, t, r: met.extend(zip(i, t, r)) or flat * 0)
+    for number in range(max(shards) + 1):
+        before = len(met)
+        lm._local_round(SimpleNamespace(value=lm.fresh()), 0, 1)(pd.DataFrame({"ids": shards[number]}))
+        assert len(met) - before >= len(shards[number])
+    assert {(tuple(i[: lm.CONTEXT + 1].tolist()), tuple(t[r])) for i, t, r in met} == every
+
+
 def test_nothing_to_learn_from(make_docs):  # noqa: F811
     assert lm.corpus_scores(make_docs([])).count() == 0
     held = [i for i in range(40) if zlib.crc32(str(i).encode()) % 5 == 1][:2]
