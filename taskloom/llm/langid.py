@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import arrow_batches, crc_mod
+from .common import arrow_batches, crc_mod, staged
 
 #: Characters of labelled text a language's automaton holds, and of all languages together: the bound of the sample.
 SAMPLE_CHARS = 24_000
@@ -38,6 +38,10 @@ PASSAGE = 32
 LEAST_CHARS = 160
 SLACK = 1.4
 QUANTILE = 0.99
+RANKS = 10_000
+#: Longer words, of scripts without spaces, are counted in pieces of so many characters.
+LONG_WORD = 24
+PIECE = 4
 #: Characters with a column of their own in the table.
 CLASSES = 200
 UNKNOWN = "und"
@@ -266,6 +270,49 @@ def _slices(docs: DataFrame, sample_chars: int, total_chars: int, text_col: str,
     return taken, chars
 
 
+def _distinct_texts(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
+    """lang, text of labelled rows, each text once a language: copies are merged before the exchange."""
+    rows = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    return rows.groupBy("lang", F.xxhash64("text").alias("h")).agg(F.min("text").alias("text")).select("lang", "text")
+
+
+def word_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """lang, word, n over whole distinct texts; words of more than `LONG_WORD` characters (scripts without spaces) count as pieces of `PIECE`."""
+    arrow_batches(docs.sparkSession, 2048)
+
+    def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in found:
+            counts: dict[str, Counter] = {}
+            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
+                words = plain(text).split()
+                if len(max(words, key=len, default="")) > LONG_WORD:
+                    words = [p for w in words for p in ([w] if len(w) <= LONG_WORD else [w[i : i + PIECE] for i in range(0, len(w), PIECE)])]
+                counts.setdefault(lang, Counter()).update(words)
+            for lang, own in counts.items():
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(own), pa.string()), pa.array(own, pa.string()), pa.array(own.values(), pa.int64())], ["lang", "word", "n"])
+
+    return _distinct_texts(docs, text_col, lang_col).mapInArrow(batches, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+
+
+def train_on_all(docs: DataFrame, sample_chars: int = SAMPLE_CHARS, total_chars: int = TOTAL_CHARS, text_col: str = "text", lang_col: str = "lang") -> CrossParser:
+    """Automata of the most frequent words of each language, counted over the whole of all labelled texts, copies once.
+
+    `sample_chars` and `total_chars` bound the automata, not what is read. Of more than total_chars / SLICE_CHARS languages only
+    those of the most words are learned.
+    """
+    counts = staged(word_counts(docs, text_col, lang_col), "language-words")
+    most = counts.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(total_chars // SLICE_CHARS).collect()
+    if not most:
+        return build({})
+    chars = min(sample_chars, total_chars // len(most))
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
+    first = counts.where(F.col("lang").isin([r["lang"] for r in most])).withColumn("nth", nth).where(F.col("nth") <= chars // 2)
+    words: dict[str, list[str]] = {}
+    for r in first.orderBy("lang", "nth").collect():  # at most total_chars / 2 words
+        words.setdefault(r["lang"], []).append(r["word"])
+    return build({lang: " ".join(own)[:chars] for lang, own in words.items()})
+
+
 def predictions(docs: DataFrame, parser: CrossParser, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, lang_pred, score, bits of every row: `und`, 0 and null where the text is null or has no letter."""
     spark = docs.sparkSession
@@ -292,18 +339,31 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
 
 def limits(docs: DataFrame, parser: CrossParser, text_col: str = "text", lang_col: str = "lang") -> np.ndarray:
-    """The most bits a character, by language of the parser, of a text in it; from a bounded sample of labelled text that the parser has not seen.
+    """The most bits a character, by language of the parser, of a text in it; from all labelled rows, which the parser has not seen.
 
-    A language with less than ten such texts of `LEAST_CHARS` takes the greatest limit of the others; with none, every text fits.
+    Each text counts once, whole. Quantiles are those of a sketch over all of them, off by a rank in `RANKS`. A language with less than
+    ten such texts of `LEAST_CHARS` takes the greatest limit of the others; with none, every text fits.
     """
-    taken, _ = _slices(docs, 10 * SAMPLE_CHARS, 10 * TOTAL_CHARS, text_col, lang_col, 1200)
+    spark = docs.sparkSession
+    arrow_batches(spark, 2048)
+    shared = spark.sparkContext.broadcast(parser)
+
+    def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in found:
+            texts = [plain(t) for t in batch.column("text").to_pylist()]
+            long = np.array([len(t) >= LEAST_CHARS for t in texts], bool)
+            if long.any():
+                _, bits, _ = shared.value.fit([t for t, k in zip(texts, long) if k])
+                yield pa.RecordBatch.from_arrays([batch.column("lang").filter(pa.array(long)), pa.array(bits, pa.float64())], ["lang", "bits"])
+
     found = np.full(len(parser.languages), np.nan)
-    for k, lang in enumerate(parser.languages):
-        texts = [plain(t) for t in taken.get(lang, [])]
-        texts = [t for t in texts if len(t) >= LEAST_CHARS]
-        if len(texts) >= 10:
-            _, bits, _ = parser.fit(texts)
-            found[k] = max(SLACK * np.median(bits), np.quantile(bits, QUANTILE))
+    if parser.languages:
+        texts = _distinct_texts(docs, text_col, lang_col).where(F.col("lang").isin(parser.languages))
+        bits = texts.mapInArrow(batches, "lang string, bits double").groupBy("lang")
+        cuts = F.percentile_approx("bits", F.array(F.lit(0.5), F.lit(QUANTILE)), F.lit(RANKS))
+        for r in bits.agg(F.count(F.lit(1)).alias("n"), cuts.alias("cuts")).collect():  # one row a language
+            if r["n"] >= 10:
+                found[parser.languages.index(r["lang"])] = max(SLACK * r["cuts"][0], r["cuts"][1])
     return np.where(np.isnan(found), np.inf if np.isnan(found).all() else np.nanmax(found), found)
 
 

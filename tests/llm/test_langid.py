@@ -1,5 +1,6 @@
 import math
 import random
+from collections import Counter
 
 import pytest
 from cases import ODD, make_docs  # noqa: F401
@@ -166,6 +167,40 @@ def test_texts_that_no_learned_language_fits_go(make_docs):  # noqa: F811
     assert langid.in_languages(frame, parser, ["bb"], most=most).where("doc_id < 400").count() == len([d for d in docs if d[2] == "bb"])
 
 
+def test_all_labelled_text_is_counted(make_docs, monkeypatch):  # noqa: F811
+    """Words anywhere in any text count, copies once; the dictionary takes the most frequent ones of the whole."""
+    rng = random.Random(12)
+    docs = [(i, "Often, %s " % "".join(rng.choice("abcdef") for _ in range(5)) + speak(rng, "aa", rng.randrange(20, 300)), "aa") for i in range(150)]
+    docs += [(400 + i, docs[0][1], "aa") for i in range(300)] + [(800, None, "aa"), (801, "no language", None), (802, "12", "bb"), (803, "東" * 30, "cc")]
+    counts = Counter(w for t in {t for _, t, k in docs if k == "aa" and t} for w in langid.plain(t).split())
+    found = {(r.lang, r.word): r.n for r in langid.word_counts(make_docs(docs)).collect()}
+    assert found == {("aa", w): n for w, n in counts.items()} | {("cc", "東" * 4): 7, ("cc", "東東"): 1}
+    built = []
+    monkeypatch.setattr(langid, "build", built.append)
+    langid.train_on_all(make_docs(docs), sample_chars=300)
+    words = " ".join(sorted(counts, key=lambda w: (-counts[w], w)))
+    assert built == [{"aa": words[:300], "cc": "東東東東 東東"}] and "often" in words[:300]
+
+
+def test_limits_are_those_of_all_held_out_text(make_docs):  # noqa: F811
+    rng = random.Random(13)
+    parser = langid.build({k: speak(rng, k, 300) for k in SYLLABLES})
+    docs = [(i, speak(rng, k, rng.randrange(300, 900)) + (" " + speak(rng, "cc", 60) if i % 9 == 0 else ""), k) for k in ("aa", "bb") for i in range(60)]
+    found = langid.limits(make_docs([*docs, *docs[:20], (900, None, "aa"), (901, "short", "aa"), (902, docs[0][1], "zz")]), parser)
+    for k, lang in enumerate(("aa", "bb")):
+        _, bits, _ = parser.fit([langid.plain(t) for _, t, own in docs if own == lang])
+        assert found[k] == pytest.approx(max(langid.SLACK * sorted(bits)[29], sorted(bits)[59]))
+    assert found[2] == max(found[:2])
+
+
+def test_frequent_words_tell_languages_apart(make_docs):  # noqa: F811
+    rng = random.Random(14)
+    parser = langid.train_on_all(make_docs(labelled()))
+    for lang in SYLLABLES:
+        assert {p[0] for p in parser.predict([speak(rng, lang, 40) for _ in range(20)])} == {lang}
+    assert langid.train_on_all(make_docs([(1, None, "aa"), (2, "x")])).languages == []
+
+
 def test_no_labels_and_no_rows(make_docs):  # noqa: F811
     assert {r.lang_pred for r in langid.identify(make_docs([(1, "text"), (2, None)])).collect()} == {"und"}
     assert langid.identify(make_docs([])).count() == 0
