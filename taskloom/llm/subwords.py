@@ -18,6 +18,8 @@ import pyarrow.compute as pc
 
 #: Chunks a worker remembers (some 150 bytes each); beyond that the memory starts anew. It changes nothing but time.
 REMEMBERED = 600_000
+#: Chunks in one string of the tokenizers library.
+JOINED = 64
 #: A space beside other white space, in any order.
 UNEVEN = r"[\s\p{Z}\x{85}\x1c-\x1f] | [\s\p{Z}\x{85}\x1c-\x1f]"
 
@@ -41,7 +43,7 @@ class ChunkEncoder:
             if len(self.known) + len(fresh) > REMEMBERED:
                 self.known = {}
                 fresh = chunks
-            self.known.update(zip(fresh, (np.array(i, "<u2").tobytes() for i in self.encode(fresh))))
+            self.known.update(zip(fresh, (np.asarray(i, "<u2").tobytes() for i in self.encode(fresh))))
         return [self.known[c] for c in chunks]
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -89,7 +91,34 @@ def json_encoder(path: str) -> ChunkEncoder:
 
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True
-    return ChunkEncoder(lambda texts: [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
+    own = tokenizer.get_vocab(with_added_tokens=False)
+    lengths = np.zeros(max(own.values()) + 1, np.int64)
+    for token, i in own.items():
+        lengths[i] = len(token)  # one character a byte in a byte-level vocabulary
+    whole = lambda texts: [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    return ChunkEncoder(lambda chunks: joined_ids(chunks, whole, lengths, JOINED))
+
+
+def joined_ids(chunks: list[str], whole: Callable[[list[str]], Sequence[Sequence[int]]], lengths: np.ndarray, lot: int) -> list:
+    """Ids of every chunk, `lot` chunks to a string of `whole`, which costs less than a string each: a chunk that begins with a space and
+    holds no other white space is cut off from its neighbours by the vocabulary's pattern, and the lengths of the tokens tell where it
+    ends. Other chunks are strings of their own."""
+    out: list = [None] * len(chunks)
+    odd = pc.match_substring_regex(pa.array(chunks, pa.string()), r"^[^ ]|^ ?$|.[\s\p{Z}\x{85}\x1c-\x1f]")
+    odd = odd.to_numpy(zero_copy_only=False)
+    alone = np.flatnonzero(odd).tolist()
+    for i, ids in zip(alone, whole([chunks[i] for i in alone])):
+        out[i] = ids
+    even = np.flatnonzero(~odd)
+    if len(even):
+        kept = [chunks[i] for i in even.tolist()]
+        found = whole(["".join(kept[low : low + lot]) for low in range(0, len(kept), lot)])
+        ids = np.concatenate([np.array(i, np.uint16) for i in found])
+        sizes = pc.binary_length(pa.array(kept, pa.string())).to_numpy(zero_copy_only=False)
+        ends = np.searchsorted(np.cumsum(lengths[ids]), np.cumsum(sizes, dtype=np.int64)) + 1
+        for i, low, high in zip(even.tolist(), [0, *ends.tolist()], ends.tolist()):
+            out[i] = ids[low:high]
+    return out
 
 
 def rank_table(path: str, size: int | None = None) -> dict[bytes, int]:
@@ -107,26 +136,10 @@ def rank_encoding(path: str, size: int | None = None):
 
 
 def rank_encoder(path: str, size: int | None = None) -> ChunkEncoder:
-    """By the tiktoken library, many chunks in one call: a chunk that begins with a space and holds no other white space is cut off
-    from its neighbours by the vocabulary's pattern, and the lengths of the tokens tell where it ends."""
+    """By the tiktoken library, many chunks in one call."""
     encoding = rank_encoding(path, size)
     lengths = np.zeros(encoding.max_token_value + 1, np.int64)
     for token in encoding.token_byte_values():
         lengths[encoding.encode_single_token(token)] = len(token)
-
-    def encode(chunks: list[str]) -> list:
-        out: list = [None] * len(chunks)
-        odd = pc.match_substring_regex(pa.array(chunks, pa.string()), r"^[^ ]|^$|.[\s\p{Z}\x{85}\x1c-\x1f]")
-        odd = odd.to_numpy(zero_copy_only=False)
-        for i in np.flatnonzero(odd).tolist():
-            out[i] = encoding.encode_ordinary(chunks[i])
-        even = np.flatnonzero(~odd)
-        joined = "".join(chunks[i] for i in even.tolist())
-        ids = np.array(encoding.encode_ordinary(joined), np.uint16)
-        sizes = pc.binary_length(pa.array(chunks, pa.string())).to_numpy(zero_copy_only=False)[even]
-        ends = np.searchsorted(np.cumsum(lengths[ids]), np.cumsum(sizes)) + 1
-        for i, low, high in zip(even.tolist(), [0, *ends.tolist()], ends.tolist()):
-            out[i] = ids[low:high]
-        return out
-
-    return ChunkEncoder(encode)
+    whole = lambda texts: [encoding.encode_ordinary(t) for t in texts]
+    return ChunkEncoder(lambda chunks: joined_ids(chunks, whole, lengths, max(1, len(chunks))))

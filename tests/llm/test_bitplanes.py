@@ -48,6 +48,24 @@ def test_rank_encoder_cuts_where_single_calls_do():
         assert [list(i) for i in subwords.rank_encoder(path, size).encode(words)] == [encoding.encode_ordinary(w) for w in words]
 
 
+def test_joined_chunks_have_their_own_ids(tokenizer):
+    rng = random.Random(2)
+    words = SPACED + [" word", " é", " a b", "nospace", " x ", " 東京", " it's", " \x1f", " 12,5", " \u2003x", " <|endoftext|>", " a\nb", " '", " s"]
+    words += [" " + "".join(rng.choice("abé東's1.,😀") for _ in range(rng.randrange(1, 9))) for _ in range(500)]
+    calls = []
+
+    def whole(texts):
+        calls.extend(texts)
+        return [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+    lengths = np.zeros(1 << 16, np.int64)
+    for token, i in tokenizer.get_vocab(with_added_tokens=False).items():
+        lengths[i] = len(token)
+    alone = [tokenizer.encode(w, add_special_tokens=False).ids for w in words]
+    assert [list(i) for i in subwords.joined_ids(words, whole, lengths, 64)] == alone and len(calls) < 50
+    assert [list(i) for i in subwords.json_encoder(PATH).encode(words)] == alone and subwords.json_encoder(PATH).encode([]) == []
+
+
 @pytest.mark.parametrize("planes", ["byte", "bit"])
 @pytest.mark.parametrize("count", [0, 1, 7, 64, 65, 1000])
 def test_planes_there_and_back(planes, count):
