@@ -2,8 +2,9 @@
 
 A byte-level BPE of this family cuts a text by a pattern whose pieces never run on from a non-space character into white space. A
 text without two adjacent white-space characters one of which is a space can therefore be cut before every space, and the ids of
-the chunks, encoded on their own, are the ids of the text. Other texts are encoded whole. A worker remembers the ids of chunks it
-has met, up to a bounded number.
+the chunks, encoded on their own, are the ids of the text. Other texts are encoded whole. Chunks of well-known characters are cut
+further, into the pieces of the pattern: runs of letters, of digits or of punctuation, each with the space before it, and line feeds. A
+worker remembers the ids of pieces it has met, up to a bounded number.
 """
 
 from __future__ import annotations
@@ -16,10 +17,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Chunks a worker remembers (some 150 bytes each); beyond that the memory starts anew. It changes nothing but time.
+#: Pieces a worker remembers (some 150 bytes each); beyond that the memory starts anew. It changes nothing but time.
 REMEMBERED = 600_000
-#: Chunks in one string of the tokenizers library.
+#: Chunks, and pieces, in one string of the tokenizers library.
 JOINED = 64
+JOINED_PIECES = 256
 #: A space beside other white space, in any order.
 UNEVEN = r"[\s\p{Z}\x{85}\x1c-\x1f] | [\s\p{Z}\x{85}\x1c-\x1f]"
 
@@ -30,21 +32,91 @@ def vocabulary_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+LETTER, DIGIT, MARK, LINE, SPACE = 1, 2, 3, 4, 5
+
+
+def _kinds() -> np.ndarray:
+    """The kinds of code points whose class no version of Unicode disputes; 0 for all others, and for the apostrophe, which may begin a
+    piece that goes on with letters."""
+    kinds = np.zeros(1 << 16, np.uint8)
+    letters = "AZ az \u00c0\u00d6 \u00d8\u00f6 \u00f8\u017f \u0391\u03a1 \u03a3\u03a9 \u03b1\u03c9 \u0410\u044f \u05d0\u05ea \u0621\u063a \u0641\u064a \u3041\u3096 \u30a1\u30fa \u4e00\u9fa5 \uac00\ud7a3"
+    for low, high in letters.split():
+        kinds[ord(low) : ord(high) + 1] = LETTER
+    kinds[ord("0") : ord("9") + 1] = DIGIT
+    for c in "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~\u00a1\u00bf\u2013\u2014\u201c\u201d\u2026\u3001\u3002\uff01\uff0c\uff1f":
+        kinds[ord(c)] = MARK
+    kinds[ord("\n")], kinds[ord(" ")] = LINE, SPACE
+    return kinds
+
+
+_KINDS = _kinds()
+
+
+def pieces_of(chunks: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """(pieces of all chunks one after the other, how many each chunk has, which pieces are whole chunks that could not be cut)."""
+    offsets = np.frombuffer(chunks.buffers()[1], np.int32)[chunks.offset : chunks.offset + len(chunks) + 1] if len(chunks) else np.zeros(1, np.int32)
+    data = np.frombuffer(chunks.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+    letters = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))  # where each code point starts
+    points = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), "<u4")
+    ends = np.searchsorted(letters, offsets[1:] - offsets[0])
+    sizes = np.diff(ends, prepend=0)
+    kinds = _KINDS[np.minimum(points, 0xFFFF)]
+    first, before, after = np.zeros(len(points), bool), np.roll(kinds, 1), np.roll(kinds, -1)
+    first[(ends - sizes)[sizes > 0]] = True
+    before[first], after[ends[sizes > 0] - 1] = 0, 0
+    # White space is one space at the beginning, before a run, or one line feed beside no other.
+    strange = (kinds == 0) | (kinds == SPACE) & (~first | (after == 0) | (after == LINE)) | (kinds == LINE) & (before == LINE)
+    so_far = np.concatenate(([0], np.cumsum(strange)))
+    odd = so_far[ends] > so_far[ends - sizes]
+    cut = first | (kinds != before) & (before != SPACE) & ~np.repeat(odd, sizes)
+    so_far = np.concatenate(([0], np.cumsum(cut)))
+    counts = so_far[ends] - so_far[ends - sizes]
+    cuts = letters[np.append(np.flatnonzero(cut), len(points))].astype(np.int32)
+    pieces = pa.StringArray.from_buffers(len(cuts) - 1, pa.py_buffer(cuts), pa.py_buffer(data))
+    return pieces, counts, np.repeat(odd, counts)
+
+
+def gathered(pool: np.ndarray, sizes: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(stretches of the pool by their numbers, one after the other; where each starts and the last ends)."""
+    begins = np.cumsum(sizes) - sizes
+    lengths = sizes[codes]
+    ends = np.concatenate(([0], np.cumsum(lengths)))
+    return pool[np.arange(ends[-1]) + np.repeat(begins[codes] - ends[:-1], lengths)], ends
+
+
 class ChunkEncoder:
-    """Ids of whole texts; `encode` gives the ids of a list of short strings."""
+    """Ids of whole texts; `encode` gives the ids of a list of short strings, `encode_pieces` those of pieces of the pattern."""
 
-    def __init__(self, encode: Callable[[list[str]], Sequence[Sequence[int]]]):
+    def __init__(self, encode: Callable[[list[str]], Sequence[Sequence[int]]], encode_pieces: Callable[[list[str]], Sequence[Sequence[int]]] | None = None):
         self.encode = encode
+        self.encode_pieces = encode_pieces or encode
         self.known: dict[str, bytes] = {}
 
+    def pooled(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all chunks one after the other as uint16, how many each has)."""
+        pieces, counts, odd = pieces_of(chunks)
+        distinct = pieces.dictionary_encode()
+        codes = distinct.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        whole = np.zeros(len(distinct.dictionary), bool)
+        whole[codes] = odd
+        names = distinct.dictionary.to_pylist()
+        encoded = list(map(self.known.get, names))
+        fresh = [i for i, e in enumerate(encoded) if e is None]
+        if len(self.known) + len(fresh) > REMEMBERED:
+            self.known, fresh = {}, range(len(names))
+        fresh = np.array(fresh, np.int64)
+        for encode, some in ((self.encode, fresh[whole[fresh]]), (self.encode_pieces, fresh[~whole[fresh]])):
+            lot = [names[i] for i in some.tolist()]
+            for i, ids in zip(some.tolist(), encode(lot) if lot else ()):
+                self.known[names[i]] = encoded[i] = ids if isinstance(ids, bytes) else np.asarray(ids, "<u2").tobytes()
+        sizes = np.fromiter(map(len, encoded), np.int64, len(encoded)) // 2
+        ids, ends = gathered(np.frombuffer(b"".join(encoded), "<u2"), sizes, codes)
+        return ids, np.diff(ends[np.concatenate(([0], np.cumsum(counts)))])
+
     def chunk_ids(self, chunks: list[str]) -> list[bytes]:
-        fresh = [c for c in chunks if c not in self.known]
-        if fresh:
-            if len(self.known) + len(fresh) > REMEMBERED:
-                self.known = {}
-                fresh = chunks
-            self.known.update(zip(fresh, (np.asarray(i, "<u2").tobytes() for i in self.encode(fresh))))
-        return [self.known[c] for c in chunks]
+        ids, sizes = self.pooled(pa.array(chunks, pa.string()))
+        ends, data = np.cumsum(sizes * 2), ids.tobytes()
+        return [data[a:b] for a, b in zip((ends - sizes * 2).tolist(), ends.tolist())]
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after the other as uint16, where each text starts and the last ends)."""
@@ -60,17 +132,15 @@ class ChunkEncoder:
         codes = flat.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         spaced = np.ones(len(codes), bool)
         spaced[firsts[:-1][counts > 0]] = False
-        words = flat.dictionary.to_pylist()
-        used, codes = np.unique(codes * 2 + spaced, return_inverse=True)
-        encoded = self.chunk_ids([(" " if u & 1 else "") + words[u >> 1] for u in used.tolist()])
-        sizes = np.fromiter(map(len, encoded), np.int64, len(encoded)) // 2
-        pool = np.frombuffer(b"".join(encoded), "<u2")
-        begins = np.concatenate(([0], np.cumsum(sizes)))[:-1]
-        ends = np.concatenate(([0], np.cumsum(sizes[codes])))
-        total = int(ends[-1]) if len(ends) else 0
-        # Positions into the pool: each chunk's ids in turn.
-        at = np.arange(total) + np.repeat(begins[codes] - ends[:-1], sizes[codes])
-        return pool[at], ends[firsts]
+        met = np.zeros(2 * len(flat.dictionary), bool)
+        codes = codes * 2 + spaced
+        met[codes] = True
+        used = np.flatnonzero(met)
+        spaces = pa.array(["", " "]).take(pa.array(used & 1))
+        pool, sizes = self.pooled(pc.binary_join_element_wise(spaces, flat.dictionary.take(pa.array(used >> 1)), ""))
+        codes = (np.cumsum(met) - 1)[codes]
+        ids, ends = gathered(pool, sizes, codes)
+        return ids, ends[firsts]
 
     def _mixed(self, texts: pa.Array, uneven: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         plain = np.flatnonzero(~uneven)
@@ -85,9 +155,13 @@ class ChunkEncoder:
 
 
 def json_encoder(path: str) -> ChunkEncoder:
-    """By the tokenizers library; strings of special tokens count as ordinary text."""
+    """By the tokenizers library; strings of special tokens count as ordinary text.
+
+    Pieces need none of the library's cutting: many, in the letters that stand for bytes, are one string with a blank between them,
+    and the lengths of the tokens tell where each ends.
+    """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
+    from tokenizers import Tokenizer, pre_tokenizers
 
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True
@@ -96,7 +170,26 @@ def json_encoder(path: str) -> ChunkEncoder:
     for token, i in own.items():
         lengths[i] = len(token)  # one character a byte in a byte-level vocabulary
     whole = lambda texts: [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-    return ChunkEncoder(lambda chunks: joined_ids(chunks, whole, lengths, JOINED))
+    plain = Tokenizer.from_file(path)
+    plain.encode_special_tokens = True
+    plain.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
+    table = byte_letters() | {0: " "}  # no piece holds a byte of zero
+
+    def pieces(lot: list[str]) -> list[bytes]:
+        strings = ["\0".join(lot[low : low + JOINED_PIECES]).encode().decode("latin-1").translate(table) for low in range(0, len(lot), JOINED_PIECES)]
+        ids = np.concatenate([np.array(e.ids, "<u2") for e in plain.encode_batch_fast(strings, add_special_tokens=False)])
+        sizes = pc.binary_length(pa.array(lot, pa.string())).to_numpy(zero_copy_only=False)
+        ends = 2 * (np.searchsorted(np.cumsum(lengths[ids]), np.cumsum(sizes, dtype=np.int64)) + 1)
+        data = ids.tobytes()
+        return [data[a:b] for a, b in zip([0, *ends.tolist()], ends.tolist())]
+
+    return ChunkEncoder(lambda chunks: joined_ids(chunks, whole, lengths, JOINED), pieces)
+
+
+def byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in byte-level vocabularies: printable ones for themselves, the others from U+0100 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return {b: chr(b) for b in own} | {b: chr(256 + n) for n, b in enumerate(sorted(set(range(256)) - set(own)))}
 
 
 def joined_ids(chunks: list[str], whole: Callable[[list[str]], Sequence[Sequence[int]]], lengths: np.ndarray, lot: int) -> list:

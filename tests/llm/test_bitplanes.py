@@ -66,6 +66,28 @@ def test_joined_chunks_have_their_own_ids(tokenizer):
     assert [list(i) for i in subwords.json_encoder(PATH).encode(words)] == alone and subwords.json_encoder(PATH).encode([]) == []
 
 
+def test_a_word_is_encoded_once_whatever_mark_follows():
+    met = []
+    encoder = subwords.ChunkEncoder(lambda texts: met.extend(texts) or [[len(t)] for t in texts])
+    ids, starts = encoder.ids(pa.array(["word word, word.\nword \"word\" word%%% a1b", "no word!", None]))
+    assert sorted(met) == sorted(set(met)) and {" word", "word", ",", ".", "\n", ' "', '"', "%%%", " a", "1", "b", "!"} <= set(met)
+    assert ids.tolist() == [4, 5, 1, 5, 1, 1, 4, 2, 4, 1, 5, 3, 2, 1, 1, 2, 5, 1] and starts.tolist() == [0, 15, 18, 18]
+
+
+def test_pieces_have_the_ids_of_whole_texts(tokenizer):
+    rng = random.Random(3)
+    marks = ["a", "Zé", "ß", "я", "東", "ガ", "한", "א", "1", "23", ".", ",%", "'", "'s", "’", "。", "…", "\n", "\n", "\r", "\t", "\0", "\u00a0", "ª", "²", "😀", "ı̇", "ǆ", "<|endoftext|>", " ", " ", " "]
+    texts = ["".join(rng.choice(marks) for _ in range(rng.randrange(1, 40))) for _ in range(3000)]
+    texts += ["".join(chr(c) for c in range(low, low + 64) if not 0xD800 <= c < 0xE000) for low in range(0, 1 << 16, 64)]
+    ids, starts = subwords.json_encoder(PATH).ids(pa.array(texts))
+    assert [ids[a:b].tolist() for a, b in zip(starts[:-1], starts[1:])] == [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    # Every undisputed character beside others of its kind, of other kinds and behind a space.
+    known = [chr(c) for c in np.flatnonzero(subwords._KINDS).tolist() if chr(c) not in " \n"]
+    chunks = [f"{a}{b}" for c in known for a, b in ((" ", c), (" a", c), ("1", c), (".", c), (c, "a1"), (c, ".\n"))]
+    found = [np.frombuffer(b, "<u2").tolist() for b in subwords.json_encoder(PATH).chunk_ids(chunks)]
+    assert found == [e.ids for e in tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
+
+
 @pytest.mark.parametrize("planes", ["byte", "bit"])
 @pytest.mark.parametrize("count", [0, 1, 7, 64, 65, 1000])
 def test_planes_there_and_back(planes, count):
