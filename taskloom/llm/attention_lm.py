@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from ..session import staging
 from .common import arrow_batches, crc_mod, staged
-from .subwords import ChunkEncoder, rank_encoder, vocabulary_path
+from .subwords import ChunkEncoder, gathered, rank_encoder, vocabulary_path
 
 VOCABULARY = 511
 GROUPS = 16
@@ -61,8 +61,8 @@ _SHAPES = {
 _SIZES = {name: int(np.prod(shape)) for name, shape in _SHAPES.items()}
 PARAMETERS = sum(_SIZES.values())
 
-#: Target j of a window (position CONTEXT + j) sees positions up to its own.
-_UNSEEN = np.where(np.arange(_LENGTH)[None, :] > CONTEXT + np.arange(NEW)[:, None], np.float32(-1e9), np.float32(0))
+#: Target j of a window (position CONTEXT + j) sees positions up to its own; logits of what it sees are clipped at 60.
+_MOST = np.where(np.arange(_LENGTH)[None, :] > CONTEXT + np.arange(NEW)[:, None], np.float32(-1e9), np.float32(60))
 
 
 def fresh(seed: int = 5) -> np.ndarray:
@@ -96,72 +96,89 @@ def windows(ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return inputs, targets, real, owner
 
 
+#: Arrays by use and kind, taken again for every batch of windows: memory that is new each time costs more than the arithmetic in it.
+_ROOM: dict[tuple[str, np.dtype], np.ndarray] = {}
+
+
+def _room(use: str, kind: np.dtype, *shape: int) -> np.ndarray:
+    """An array of this shape, with any content; the next call for the same use gives the same memory. A worker is one thread."""
+    size = int(np.prod(shape))
+    held = _ROOM.get((use, kind))
+    if held is None or held.size < size:
+        held = _ROOM[use, kind] = np.empty(size, kind)
+    return held[:size].reshape(shape)
+
+
 def _hidden(p: dict[str, np.ndarray], inputs: np.ndarray):
-    x = p["emb"][inputs]
+    n, kind = len(inputs), p["emb"].dtype
+    x = np.take(p["emb"], inputs, axis=0, out=_room("x", kind, n, _LENGTH, DIM), mode="clip")
     x += p["pos"]
-    n = len(inputs)
-    target = np.ascontiguousarray(x[:, CONTEXT:]).reshape(-1, DIM)
-    kv = x.reshape(-1, DIM) @ np.concatenate([p["k"], p["v"]], axis=1)
-    k = np.ascontiguousarray(kv[:, :KEYS]).reshape(n, _LENGTH, KEYS)
-    v = np.empty((n, _LENGTH, KEYS + 1), np.float32)  # a last column of ones sums the weights up
-    v[:, :, :KEYS], v[:, :, KEYS] = kv[:, KEYS:].reshape(n, _LENGTH, KEYS), 1
-    a = (target @ p["q"]).reshape(n, NEW, KEYS) @ k.transpose(0, 2, 1)
-    a += _UNSEEN
-    np.minimum(a, np.float32(60), out=a)
+    target = _room("target", kind, n * NEW, DIM)
+    target.reshape(n, NEW, DIM)[:] = x[:, CONTEXT:]
+    kv = np.matmul(x.reshape(-1, DIM), np.concatenate([p["k"], p["v"]], axis=1), out=_room("kv", kind, n * _LENGTH, 2 * KEYS)).reshape(n, _LENGTH, 2 * KEYS)
+    across = _room("across", kind, n, KEYS, _LENGTH)
+    across[:] = kv[:, :, :KEYS].transpose(0, 2, 1)
+    v = _room("v", kind, n, _LENGTH, KEYS + 1)  # a last column of ones sums the weights up
+    v[:, :, :KEYS], v[:, :, KEYS] = kv[:, :, KEYS:], 1
+    q = np.matmul(target, p["q"], out=_room("q", kind, n * NEW, KEYS)).reshape(n, NEW, KEYS)
+    a = np.matmul(q, across, out=_room("a", kind, n, NEW, _LENGTH))
+    np.minimum(a, _MOST, out=a)
     np.exp(a, out=a)
-    mixed = (a @ v).reshape(-1, KEYS + 1)
-    total = np.ascontiguousarray(mixed[:, KEYS:])
-    mixed = mixed[:, :KEYS] / total
-    h = mixed @ p["o"]
+    sums = np.matmul(a, v, out=_room("sums", kind, n, NEW, KEYS + 1)).reshape(-1, KEYS + 1)
+    total = sums[:, KEYS:]
+    mixed = np.divide(sums[:, :KEYS], total, out=_room("mixed", kind, n * NEW, KEYS))
+    h = np.matmul(mixed, p["o"], out=_room("h", kind, n * NEW, DIM))
     h += target
-    inner = h @ p["w1"]
+    inner = np.matmul(h, p["w1"], out=_room("inner", kind, n * NEW, INNER))
     inner += p["b1"]
     np.maximum(inner, 0, out=inner)
-    out = inner @ p["w2"]
+    out = np.matmul(inner, p["w2"], out=_room("out", kind, n * NEW, DIM))
     out += h
-    return x, target, k, v[:, :, :KEYS], a, total, mixed, h, inner, out
+    return x, q, kv, v, a, total, mixed, h, inner, out
+
+
+def _by_group(p: dict[str, np.ndarray], h: np.ndarray, y: np.ndarray, rows: np.ndarray):
+    """Of these rows, sorted by group: (own hidden values, group, member, logits of groups, of members, which rows each group has)."""
+    kind, m = h.dtype, len(rows)
+    own = np.take(h, rows, axis=0, out=_room("own", kind, m, DIM), mode="clip")
+    y = y[rows]
+    group, member = y % GROUPS, y // GROUPS
+    logits = np.matmul(own, p["g"], out=_room("groups", kind, m, GROUPS))
+    logits += p["gb"]
+    inside = _room("members", kind, m, EACH)
+    ends = np.cumsum(np.bincount(group, minlength=GROUPS)).tolist()
+    parts = [(g, begin, end) for g, (begin, end) in enumerate(zip([0, *ends], ends)) if end > begin]
+    for g, begin, end in parts:
+        np.matmul(own[begin:end], p["m"][g], out=inside[begin:end])
+        inside[begin:end] += p["mb"][g]
+    return own, group, member, logits, inside, parts
 
 
-def _log_sum(x: np.ndarray) -> np.ndarray:
-    """log of the sum of exp along rows; logits are clipped at 60, far above what training reaches."""
-    np.minimum(x, np.float32(60), out=x)
+def _exp(x: np.ndarray) -> np.ndarray:
+    """exp in place, and its sum along rows; logits are clipped at 60, far above what training reaches."""
+    np.minimum(x, 60, out=x)
     np.exp(x, out=x)
-    return np.log(x @ np.ones(x.shape[1], np.float32))
+    return x @ np.ones(x.shape[1], x.dtype)
 
 
-def _soft(logits: np.ndarray, bias: np.ndarray) -> np.ndarray:
-    """Probabilities along rows, in place."""
-    logits += bias
-    np.minimum(logits, 60, out=logits)
-    np.exp(logits, out=logits)
-    logits /= (logits @ np.ones(logits.shape[1], logits.dtype))[:, None]
-    return logits
+def _picked(x: np.ndarray, columns: np.ndarray) -> np.ndarray:
+    """Where in the flat array the given column of every row stands."""
+    return np.arange(0, x.size, x.shape[1]) + columns
 
 
-def log_probabilities(flat: np.ndarray, inputs: np.ndarray, targets: np.ndarray, chunk: int = 2048) -> np.ndarray:
+def log_probabilities(flat: np.ndarray, inputs: np.ndarray, targets: np.ndarray, chunk: int = 512) -> np.ndarray:
     """Natural logarithm of the probability of every target of every window."""
     p = named(flat)
     out = np.empty(targets.shape, np.float32)
     for low in range(0, len(inputs), chunk):
         *_, h = _hidden(p, inputs[low : low + chunk])
         y = targets[low : low + chunk].reshape(-1)
-        group, member = y % GROUPS, y // GROUPS
-        order = np.argsort(group.astype(np.int8), kind="stable")
-        h, group, member = h[order], group[order], member[order]
-        logits = h @ p["g"]
-        logits += p["gb"]
-        found = logits[np.arange(len(y)), group]
-        found -= _log_sum(logits)
-        ends = np.cumsum(np.bincount(group, minlength=GROUPS)).tolist()
-        for g, (begin, end) in enumerate(zip([0, *ends], ends)):
-            if end > begin:
-                logits = h[begin:end] @ p["m"][g]
-                logits += p["mb"][g]
-                found[begin:end] += logits[np.arange(end - begin), member[begin:end]]
-                found[begin:end] -= _log_sum(logits)
-        back = np.empty_like(found)
-        back[order] = found
-        out[low : low + chunk] = back.reshape(-1, NEW)
+        order = np.argsort((y % GROUPS).astype(np.int8), kind="stable")
+        _, group, member, logits, inside, _ = _by_group(p, h, y, order)
+        found = logits.reshape(-1)[_picked(logits, group)]
+        found += inside.reshape(-1)[_picked(inside, member)]
+        found -= np.log(_exp(logits) * _exp(inside))
+        out[low : low + chunk].reshape(-1)[order] = found
     return out
 
 
@@ -169,47 +186,60 @@ def _gradient(flat: np.ndarray, inputs: np.ndarray, targets: np.ndarray, real: n
     """Gradient of the mean cross entropy over the real targets."""
     p, grad = named(flat), np.zeros_like(flat)
     d = named(grad)
-    x, target, k, v, a, total, mixed, h1, inner, h = _hidden(p, inputs)
-    a /= total.reshape(len(inputs), NEW, 1)
-    q = target @ p["q"]
-    n, y, ones = len(inputs), targets.reshape(-1), np.ones(targets.size, h.dtype)  # products with ones are faster than sums
+    x, q, kv, v, a, total, mixed, h1, inner, h = _hidden(p, inputs)
+    n, kind, y, ones = len(inputs), h.dtype, targets.reshape(-1), np.ones(targets.size, h.dtype)  # products with ones are faster than sums
     rows = np.flatnonzero(real.reshape(-1))  # the real targets by group, as in `log_probabilities`
     rows = rows[np.argsort((y[rows] % GROUPS).astype(np.int8), kind="stable")]
-    own, group, member = h[rows], y[rows] % GROUPS, y[rows] // GROUPS
-    soft = _soft(own @ p["g"], p["gb"])
-    soft[np.arange(len(rows)), group] -= 1
+    own, group, member, soft, inside, parts = _by_group(p, h, y, rows)
+    for logits, goal in ((soft, group), (inside, member)):
+        logits *= (1 / _exp(logits))[:, None]
+        logits.reshape(-1)[_picked(logits, goal)] -= 1
     d["g"][:], d["gb"][:] = own.T @ soft, ones[: len(own)] @ soft
-    d_own = soft @ p["g"].T
-    ends = np.cumsum(np.bincount(group, minlength=GROUPS)).tolist()
-    for g, (begin, end) in enumerate(zip([0, *ends], ends)):
-        if end > begin:
-            soft = _soft(own[begin:end] @ p["m"][g], p["mb"][g])
-            soft[np.arange(end - begin), member[begin:end]] -= 1
-            d["m"][g], d["mb"][g] = own[begin:end].T @ soft, ones[begin:end] @ soft
-            d_own[begin:end] += soft @ p["m"][g].T
-    d_h = np.zeros_like(h)
-    d_h[rows] = d_own
+    d_own = np.matmul(soft, p["g"].T, out=_room("d_own", kind, len(rows), DIM))
+    for g, begin, end in parts:
+        some = inside[begin:end]
+        d["m"][g], d["mb"][g] = own[begin:end].T @ some, ones[begin:end] @ some
+        d_own[begin:end] += some @ p["m"][g].T
+    place = np.zeros(n * NEW, np.int64)
+    place[rows] = np.arange(len(rows))
+    d_h = np.take(d_own, place, axis=0, out=_room("d_h", kind, n * NEW, DIM), mode="clip") if len(rows) else np.zeros((n * NEW, DIM), kind)
+    if len(rows) < n * NEW:
+        d_h[~real.reshape(-1)] = 0
     d["w2"][:] = inner.T @ d_h
-    d_inner = (d_h @ p["w2"].T) * (inner > 0)
+    d_inner = np.matmul(d_h, p["w2"].T, out=_room("d_inner", kind, n * NEW, INNER))
+    d_inner *= inner > 0
     d["w1"][:], d["b1"][:] = h1.T @ d_inner, ones @ d_inner
-    d_h += d_inner @ p["w1"].T
+    d_h += np.matmul(d_inner, p["w1"].T, out=_room("d_through", kind, n * NEW, DIM))
     d["o"][:] = mixed.T @ d_h
-    d_mixed = (d_h @ p["o"].T).reshape(n, NEW, KEYS)
-    d_a = d_mixed @ v.transpose(0, 2, 1)
-    d_v = a.transpose(0, 2, 1) @ d_mixed
-    d_a -= ((a * d_a).reshape(-1, _LENGTH) @ np.ones(_LENGTH, h.dtype)).reshape(n, NEW, 1)
-    d_s = a * d_a
-    d_q = (d_s @ k).reshape(-1, KEYS)
-    d_k = (d_s.transpose(0, 2, 1) @ q.reshape(n, NEW, KEYS)).reshape(-1, KEYS)
-    d_v = d_v.reshape(-1, KEYS)
-    every = x.reshape(-1, DIM)
-    d["q"][:], d["k"][:], d["v"][:] = target.T @ d_q, every.T @ d_k, every.T @ d_v
-    d_x = (d_k @ p["k"].T + d_v @ p["v"].T).reshape(n, _LENGTH, DIM)
-    d_x[:, CONTEXT:] += (d_h + d_q @ p["q"].T).reshape(n, NEW, DIM)
-    d["pos"][:] = d_x.sum(axis=0)
-    flat_ids, flat_dx = inputs.reshape(-1), np.ascontiguousarray(d_x.reshape(-1, DIM).T)
-    for c in range(DIM):
-        d["emb"][:, c] = np.bincount(flat_ids, weights=flat_dx[c], minlength=VOCABULARY + 2)
+    # With the weights a not divided by their sum yet, a target's d_s is a * (d_mixed @ v - mixed @ d_mixed) / total: the subtrahend meets
+    # the column of ones in v.
+    d_sums = _room("d_sums", kind, n * NEW, KEYS + 1)
+    d_mixed = np.matmul(d_h, p["o"].T, out=_room("d_mixed", kind, n * NEW, KEYS))
+    d_mixed /= total
+    d_sums[:, :KEYS] = d_mixed
+    d_sums[:, KEYS] = -np.einsum("ij,ij->i", d_mixed, mixed)
+    d_sums = d_sums.reshape(n, NEW, KEYS + 1)
+    d_s = np.matmul(d_sums, v.transpose(0, 2, 1), out=_room("d_s", kind, n, NEW, _LENGTH))
+    d_s *= a
+    k = _room("k", kind, n, _LENGTH, KEYS)
+    k[:] = kv[:, :, :KEYS]
+    d_kvq = _room("d_kvq", kind, n, _LENGTH, 3 * KEYS)
+    d_kvq[:, :CONTEXT, 2 * KEYS :] = 0
+    d_kvq[:, CONTEXT:, 2 * KEYS :] = np.matmul(d_s, k, out=_room("d_q", kind, n, NEW, KEYS))
+    d_kvq[:, :, :KEYS] = np.matmul(d_s.transpose(0, 2, 1), q, out=_room("d_k", kind, n, _LENGTH, KEYS))
+    d_kvq[:, :, KEYS : 2 * KEYS] = np.matmul(a.transpose(0, 2, 1), d_mixed.reshape(n, NEW, KEYS), out=_room("d_v", kind, n, _LENGTH, KEYS))
+    d_kvq = d_kvq.reshape(-1, 3 * KEYS)
+    d["k"][:], d["v"][:], d["q"][:] = np.split(x.reshape(-1, DIM).T @ d_kvq, 3, axis=1)
+    d_x = np.matmul(d_kvq, np.concatenate([p["k"], p["v"], p["q"]], axis=1).T, out=_room("d_x", kind, n * _LENGTH, DIM)).reshape(n, _LENGTH, DIM)
+    d_x[:, CONTEXT:] += d_h.reshape(n, NEW, DIM)
+    d["pos"][:] = (np.ones(n, kind) @ d_x.reshape(n, -1)).reshape(_LENGTH, DIM)
+    # Rows of one subword side by side are summed up at once.
+    ids = inputs.reshape(-1).astype(np.int16)
+    order = np.argsort(ids, kind="stable")
+    counts = np.bincount(ids, minlength=VOCABULARY + 2)
+    there = np.flatnonzero(counts)
+    sorted_dx = np.take(d_x.reshape(-1, DIM), order, axis=0, out=_room("sorted", kind, n * _LENGTH, DIM), mode="clip")
+    d["emb"][there] = np.add.reduceat(sorted_dx, (np.cumsum(counts) - counts)[there], axis=0)
     grad /= max(1, len(rows))
     return grad
 
@@ -255,25 +285,20 @@ class Words:
         self.distinct = flat.dictionary
         self.codes = codes[filled]
         self.starts = kept[np.concatenate(([0], np.cumsum(counts)))]
-        self.pool = self.sizes = self.begins = None
+        self.pool = self.sizes = None
 
     def subwords(self, encoder: ChunkEncoder, texts: slice = slice(None)) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, or of those in a slice, each with its end; where each starts). Distinct words are encoded once."""
         if self.pool is None:
-            encoded = encoder.chunk_ids([" " + w for w in self.distinct.to_pylist()])
-            encoded.append(np.array([END], "<u2").tobytes())
-            self.sizes = np.fromiter(map(len, encoded), np.int64, len(encoded)) // 2
-            self.begins = np.cumsum(self.sizes) - self.sizes
-            self.pool = np.frombuffer(b"".join(encoded), "<u2").astype(np.int32)
+            pool, sizes = encoder.pooled(pc.binary_join_element_wise(pa.scalar(" "), self.distinct, ""))
+            self.pool, self.sizes = np.append(pool, np.uint16(END)).astype(np.int32), np.append(sizes, 1)
         low, high, _ = texts.indices(len(self.starts) - 1)
         starts = self.starts[low : high + 1]
         # The end is one more chunk after the last word of every text.
         codes = np.insert(self.codes[starts[0] : starts[-1]], starts[1:] - starts[0], len(self.sizes) - 1)
         starts = starts - starts[0] + np.arange(len(starts))
-        sizes = self.sizes[codes]
-        ends = np.concatenate(([0], np.cumsum(sizes)))
-        at = np.arange(ends[-1]) + np.repeat(self.begins[codes] - ends[:-1], sizes)
-        return self.pool[at], ends[starts]
+        ids, ends = gathered(self.pool, self.sizes, codes)
+        return ids, ends[starts]
 
 
 def _hash(*parts: np.ndarray) -> np.ndarray:

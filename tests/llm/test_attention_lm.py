@@ -1,5 +1,6 @@
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 from types import SimpleNamespace
@@ -200,3 +201,23 @@ def test_nothing_to_learn_from(make_docs):  # noqa: F811
     held = [i for i in range(40) if zlib.crc32(str(i).encode()) % 5 == 1][:2]
     rows = lm.corpus_scores(make_docs([(i, "two words") for i in held])).collect()
     assert len(rows) == 2 and all((r.n_known, r.train_tokens) == (0, 0) and r.base_score == pytest.approx(0) and r.score < 0 for r in rows)
+
+
+@pytest.mark.parametrize("windows", [64, 512])
+def test_arrays_are_taken_again_for_the_next_windows(windows):
+    """What a batch needs beside the arrays of the batch before is less than a sixth of them."""
+    rng = np.random.default_rng(8)
+    flat, inputs, targets = lm.fresh(8), rng.integers(0, 512, (windows, lm._LENGTH)), rng.integers(0, 512, (windows, lm.NEW))
+    real = np.ones(targets.shape, bool)
+    real[3, 5:] = False
+    hidden = 4 * windows * (lm._LENGTH * 5 * lm.DIM + lm.NEW * (2 * lm._LENGTH + 6 * lm.DIM + 2 * lm.INNER + 2 * lm.GROUPS + 2 * lm.EACH))
+    for work in (lambda: lm._gradient(flat, inputs, targets, real), lambda: lm.log_probabilities(flat, inputs, targets)):
+        before = work()
+        tracemalloc.start()
+        assert np.array_equal(work(), before)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < hidden / 6
+    some = lm._gradient(flat, inputs[:7], targets[:7], real[:7])  # fewer windows in the same arrays, and none that are real
+    assert np.allclose(some, lm._gradient(flat.astype(np.float64), inputs[:7], targets[:7], real[:7]), atol=1e-5)
+    assert not lm._gradient(flat, inputs[:7], targets[:7], real[:7] & False).any()
