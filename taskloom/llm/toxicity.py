@@ -49,6 +49,8 @@ START = 2.0
 #: Clean and toxic documents of a step.
 BATCH = (56, 20)
 SLOTS = 1 << 20
+#: Distinct words whose n-grams are held at a time when texts are scored.
+SCORED_WORDS = 1 << 14
 _TRIM = " .,;:!?\"'()[]{}<>|*#$%&+-=/\\_~`^0123456789"
 
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
@@ -250,10 +252,12 @@ class Network:
         g["word"][0] = g["gram"][0] = 0
         return g
 
-    def scores(self, texts: pa.Array, chunk: int = 4096) -> np.ndarray:
+    def scores(self, texts: pa.Array, chunk: int = 1024) -> np.ndarray:
         """Score of every text: of its highest window; that of no words for empty texts."""
         words, codes, starts = words_of(texts)
-        gates = self.gates(self.vectors(self.features(words)))
+        lots = [self.gates(self.vectors(self.features(words.slice(low, SCORED_WORDS)))) for low in range(0, max(1, len(words)), SCORED_WORDS)]
+        gates = {d: np.concatenate([g[d] for g in lots]) for d in ("f", "b")}
+        del lots, words
         grid, real, owner = windows(codes, starts)
         out = np.full(len(texts), self.p["o"][0], np.float32)
         best = np.full(len(texts), -np.inf, np.float32)
@@ -448,7 +452,7 @@ def _learn(steps: int):
 def scored(docs: DataFrame, network: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, score (0 to 1) of every row; null texts count as empty."""
     spark = docs.sparkSession
-    arrow_batches(spark, 2048)
+    arrow_batches(spark)
     shared = spark.sparkContext.broadcast(network)  # bounded by MAX_WORDS, MAX_GRAMS and SLOTS
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
@@ -470,7 +474,7 @@ def toxic_scores(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int =
 def without_toxic(docs: DataFrame, network: Network, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """The rows that score below the threshold."""
     spark = docs.sparkSession
-    arrow_batches(spark, 2048)
+    arrow_batches(spark)
     shared = spark.sparkContext.broadcast(network)
 
     def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

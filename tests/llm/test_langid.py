@@ -1,7 +1,9 @@
 import math
 import random
+import tracemalloc
 from collections import Counter
 
+import numpy as np
 import pytest
 from cases import ODD, make_docs  # noqa: F401
 
@@ -204,3 +206,20 @@ def test_frequent_words_tell_languages_apart(make_docs):  # noqa: F811
 def test_no_labels_and_no_rows(make_docs):  # noqa: F811
     assert {r.lang_pred for r in langid.identify(make_docs([(1, "text"), (2, None)])).collect()} == {"und"}
     assert langid.identify(make_docs([])).count() == 0
+
+
+def test_memory_of_a_batch_is_that_of_a_part_of_it(monkeypatch):
+    rng = random.Random(9)
+    parser = langid.build({k: langid.plain(speak(rng, k, 2000)) for k in SYLLABLES})
+    texts = [langid.plain(speak(rng, rng.choice(sorted(SYLLABLES)), n)) for n in (0, 1, 900, 40, 3000, 7) * 30]
+    whole = [parser.parsed(texts), parser.fit(texts)]
+    monkeypatch.setattr(langid, "PARSED_CHARS", 20_000)
+    assert sum(map(len, texts)) > 20 * langid.PARSED_CHARS
+    tracemalloc.start()
+    parts = [parser.parsed(texts), parser.fit(texts)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 4 * sum(map(len, texts))  # the codes of all texts alone
+    for a, b in zip(whole, parts):
+        assert all(np.array_equal(x, y) for x, y in zip(a, b))
+    assert [len(x) for x in parser.fit([])] == [0, 0, 0]

@@ -118,3 +118,17 @@ def test_without_toxic(make_docs, learnt):  # noqa: F811
     docs = make_docs([(i, text_of(rng, i % 2, 60)) for i in range(40)])
     kept = toxicity.without_toxic(docs, learnt)
     assert kept.columns == docs.columns and {r.doc_id % 2 for r in kept.collect()} == {0}
+
+
+def test_words_are_scored_in_lots(monkeypatch):
+    """The n-grams of a batch's words are never held at once; scores don't depend on where lots end."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(12))
+    network = toxicity.fit([f"{word()} {word()} {'bad' if i % 2 else 'good'} words" for i in range(60)], [i % 2 for i in range(60)], 20)
+    texts = pa.array([None, "", *(" ".join(word() for _ in range(rng.randrange(400))) for _ in range(100))])
+    whole, most = network.scores(texts), []
+    plain_features = network.features
+    monkeypatch.setattr(toxicity, "SCORED_WORDS", 512)
+    monkeypatch.setattr(toxicity.Network, "features", lambda self, words: most.append(len(words)) or plain_features(words))
+    assert np.allclose(network.scores(texts), whole, atol=1e-6)
+    assert max(most) == 512 and sum(most) > 15_000
