@@ -5,6 +5,9 @@ never materialised as rows, and there are as many scanning tasks as the session
 files. Queries go out by broadcast, in blocks of a bounded size; candidates stay where they are, however they are distributed over
 agents.
 
+Queries of one agent with equal vectors are one question, however many there are: it is answered once, and its answer is joined with
+its queries after the texts are.
+
 Where there is more than one block, the candidates are first dealt once, in clusters of like directions. A cluster is skipped
 for the queries that already have k candidates nearer than any of its vectors can be: by the angle to its centre less the
 widest angle inside. So the result is exact however well the vectors cluster.
@@ -159,13 +162,41 @@ def top_k(
 ) -> DataFrame:
     """(query_id, item_id, distance, rank) of the k nearest candidates of each query's agent.
 
-    candidates: (agent_id, item_id, vec), queries: (query_id, agent_id, query_vec), all vectors of the given width. Queries beyond
-    `broadcast_components` are answered block by block, each in a job of its own whose answers are written.
+    candidates: (agent_id, item_id, vec), queries: (query_id, agent_id, query_vec), all vectors of the given width. Rows of one
+    query_id share its k places.
     """
+    asked, hits = _answered(candidates, queries, width, k, broadcast_components)
+    return asked.join(hits, "answer").select("query_id", "item_id", "distance", "rank")
+
+
+def _answered(
+    candidates: DataFrame, queries: DataFrame, width: int, k: int, broadcast_components: int
+) -> tuple[DataFrame, DataFrame]:
+    """Which answer every query has (query_id, answer), and the answers (answer, item_id, distance, rank)."""
+    asked = stage(queries)
+    numbered = asked.select("agent_id", "query_vec").distinct().withColumn("question", F.monotonically_increasing_id())
+    questions = stage(numbered)
+    asking = asked.join(questions, ["agent_id", "query_vec"]).select("query_id", "question")
+    # An id of one row has the answer of its question, an id of several rows one of its own, below 0.
+    ids = asking.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("question").alias("question"))
+    counted = stage(ids.withColumn("nth", F.monotonically_increasing_id()))
+    answer = F.when(F.col("n") == 1, F.col("question")).otherwise(-1 - F.col("nth"))
+    of_query = counted.select("query_id", answer.alias("answer"))
+    hits = _hits(candidates, questions.withColumnRenamed("question", "query_id"), width, k, broadcast_components)
+    own = of_query.where("answer < 0").withColumnRenamed("query_id", "own_id")
+    several = asking.join(own, F.col("query_id").eqNullSafe(F.col("own_id"))).select("answer", "question")
+    shared = several.join(hits.drop("rank").withColumnRenamed("query_id", "question"), "question").drop("question")
+    ranked = _nearest(shared.withColumnRenamed("answer", "query_id"), k)
+    return of_query, hits.unionByName(ranked).withColumnRenamed("query_id", "answer")
+
+
+def _hits(candidates: DataFrame, queries: DataFrame, width: int, k: int, broadcast_components: int) -> DataFrame:
+    """The k nearest candidates of queries with an id each, written. Queries beyond `broadcast_components` are answered block by block,
+    each in a job of its own."""
     few = max(1, broadcast_components // width)
     n = queries.count()
     if n <= few:
-        return _nearest(_scan(candidates, queries, width, k, False), k)
+        return stage(_nearest(_scan(candidates, queries, width, k, False), k))
     blocks = -(-2 * n // few)  # half full on average, since a hash deals them
     asked = stage(queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).repartition("block"))
     asked_of = candidates.join(asked.select("agent_id").distinct(), "agent_id", "left_semi").select("agent_id", "item_id", "vec")
@@ -209,9 +240,10 @@ def search_memory(t: Tables, queries: DataFrame, k: int = DEFAULT_K, broadcast_c
     pool = t.memory.where(_searchable("embedding", width)).select(
         "agent_id", F.col("memory_id").alias("item_id"), F.col("embedding").alias("vec")
     )
-    hits = top_k(pool, _asked(queries, width), width, k, broadcast_components).withColumnRenamed("item_id", "memory_id")
+    asked, hits = _answered(pool, _asked(queries, width), width, k, broadcast_components)
     texts = t.memory.select("memory_id", "content", "created_at")
-    return hits.join(texts, "memory_id").select(
+    found = hits.withColumnRenamed("item_id", "memory_id").join(texts, "memory_id")
+    return asked.join(found, "answer").select(
         "query_id", "rank", "memory_id", "content", (F.lit(1.0) - F.col("distance")).alias("similarity"), "created_at"
     )
 
@@ -232,9 +264,10 @@ def search_tools(t: Tables, queries: DataFrame, k: int = DEFAULT_K, broadcast_co
     )
     grants = t.agent_tool_permissions.join(asked.select("agent_id").distinct(), "agent_id", "left_semi")
     pool = grants.join(vectors, "tool_id").select("agent_id", F.col("tool_id").alias("item_id"), "vec")
-    hits = top_k(pool, asked, width, k, broadcast_components).withColumnRenamed("item_id", "tool_id")
+    of_query, hits = _answered(pool, asked, width, k, broadcast_components)
     texts = tools.select("tool_id", "name", "description", "input_schema", "tool_type")
-    return hits.join(texts, "tool_id").select(
+    found = hits.withColumnRenamed("item_id", "tool_id").join(texts, "tool_id")
+    return of_query.join(found, "answer").select(
         "query_id", "rank", "tool_id", "name", "description", "input_schema", "tool_type",
         (F.lit(1.0) - F.col("distance")).alias("similarity"),
     )

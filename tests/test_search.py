@@ -39,6 +39,35 @@ def test_top_k(spark, broadcast_components):
     assert got == {q: brute_force(pool[a], np.array(v), 5) for q, a, v in asked if a in pool}
 
 
+@pytest.mark.parametrize("broadcast_components", [10**6, 12])
+def test_equal_questions_are_answered_once(spark, monkeypatch, broadcast_components):
+    """Many queries of few vectors are few questions: they fit into one block, and every query has the whole answer. Rows of one id share its places."""
+    rng = np.random.default_rng(2)
+    pool = {a: {100 * a + i: rng.standard_normal(4) for i in range(30)} for a in (1, 2)}
+    candidates = spark.createDataFrame(
+        [(a, i, v.tolist()) for a, items in pool.items() for i, v in items.items()],
+        "agent_id long, item_id long, vec array<float>",
+    )
+    vectors = {a: rng.standard_normal(4) for a in pool}
+    asked = [(q, 1 + q % 2, vectors[1 + q % 2].tolist()) for q in range(400)] + [(500, 1, vectors[1].tolist())] * 2 + [(501, a, v.tolist()) for a, v in vectors.items()]
+    asked += [(None, 2, vectors[2].tolist())] * 2 + [(502, None, vectors[1].tolist())]
+    scanned = []
+    scan = search._scan
+    monkeypatch.setattr(search, "_scan", lambda c, queries, *more: scanned.append(queries.count()) or scan(c, queries, *more))
+    queries = spark.createDataFrame(asked, "query_id long, agent_id long, query_vec array<double>")
+    got = {}
+    for r in search.top_k(candidates, queries, 4, 5, broadcast_components).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["item_id"]))
+    best = {a: brute_force(pool[a], v, 5) for a, v in vectors.items()}
+    assert scanned == [3]  # one of them has no agent
+    twice = {a: [i for i in found[:3] for _ in (0, 1)][:5] for a, found in best.items()}
+    expected = {q: best[1 + q % 2] for q in range(400)} | {500: twice[1], None: twice[2]}
+    assert {q: [i for _, i in found] for q, found in got.items() if q != 501} == expected
+    near = sorted((1 - float(v @ vectors[a]) / np.linalg.norm(v) / np.linalg.norm(vectors[a]), i) for a in pool for i, v in pool[a].items())
+    assert [i for _, i in got[501]] == [i for _, i in near[:5]]
+    assert all([r for r, _ in found] == [1, 2, 3, 4, 5] for found in got.values())
+
+
 def test_bounds_skip_clusters_and_nothing_else():
     rng = np.random.default_rng(1)
     centres = rng.standard_normal((30, 8))
