@@ -16,6 +16,7 @@ others, none of which can be hot, are joined with their counts by a shuffle.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -102,13 +103,30 @@ _ROOM: dict[tuple[str, np.dtype], np.ndarray] = {}
 
 def _room(use: str, kind: np.dtype, *shape: int) -> np.ndarray:
     """An array of this shape, with any content; the next call for the same use gives the same memory. A worker is one thread."""
-    size = int(np.prod(shape))
+    size = math.prod(shape)
     held = _ROOM.get((use, kind))
     if held is None or held.size < size:
         held = _ROOM[use, kind] = np.empty(size, kind)
     return held[:size].reshape(shape)
 
 
+def _zeros(kind: np.dtype, size: int) -> np.ndarray:
+    """So many zeros, not to be written to: loops over two whole arrays are several times faster than over one and a number."""
+    held = _ROOM.get(("zeros", kind))
+    if held is None or held.size < size:
+        held = _ROOM["zeros", kind] = np.zeros(size, kind)
+    return held[:size]
+
+
+def _add_row(x: np.ndarray, row: np.ndarray, many: int = 64) -> None:
+    """x += row, for `many` rows at a time: a loop over one short row costs more than its additions."""
+    even = len(x) - len(x) % many
+    if even:
+        long = x[:even].reshape(-1, many * x.shape[1])
+        long += np.tile(row, many)
+    x[even:] += row
+
+
 def _hidden(p: dict[str, np.ndarray], inputs: np.ndarray):
     n, kind = len(inputs), p["emb"].dtype
     x = np.take(p["emb"], inputs, axis=0, out=_room("x", kind, n, _LENGTH, DIM), mode="clip")
@@ -130,8 +148,8 @@ def _hidden(p: dict[str, np.ndarray], inputs: np.ndarray):
     h = np.matmul(mixed, p["o"], out=_room("h", kind, n * NEW, DIM))
     h += target
     inner = np.matmul(h, p["w1"], out=_room("inner", kind, n * NEW, INNER))
-    inner += p["b1"]
-    np.maximum(inner, 0, out=inner)
+    _add_row(inner, p["b1"])
+    np.maximum(inner, _zeros(kind, n * NEW * INNER).reshape(inner.shape), out=inner)
     out = np.matmul(inner, p["w2"], out=_room("out", kind, n * NEW, DIM))
     out += h
     return x, q, kv, v, a, total, mixed, h, inner, out
@@ -144,19 +162,20 @@ def _by_group(p: dict[str, np.ndarray], h: np.ndarray, y: np.ndarray, rows: np.n
     y = y[rows]
     group, member = y % GROUPS, y // GROUPS
     logits = np.matmul(own, p["g"], out=_room("groups", kind, m, GROUPS))
-    logits += p["gb"]
+    _add_row(logits, p["gb"])
     inside = _room("members", kind, m, EACH)
     ends = np.cumsum(np.bincount(group, minlength=GROUPS)).tolist()
     parts = [(g, begin, end) for g, (begin, end) in enumerate(zip([0, *ends], ends)) if end > begin]
     for g, begin, end in parts:
         np.matmul(own[begin:end], p["m"][g], out=inside[begin:end])
-        inside[begin:end] += p["mb"][g]
+    inside += np.take(p["mb"], group, axis=0, out=_room("biases", kind, m, EACH), mode="clip")
     return own, group, member, logits, inside, parts
 
 
 def _exp(x: np.ndarray) -> np.ndarray:
     """exp in place, and its sum along rows; logits are clipped at 60, far above what training reaches."""
-    np.minimum(x, 60, out=x)
+    if x.size and not x.max() <= 60:
+        np.minimum(x, 60, out=x)
     np.exp(x, out=x)
     return x @ np.ones(x.shape[1], x.dtype)
 
@@ -196,10 +215,13 @@ def _gradient(flat: np.ndarray, inputs: np.ndarray, targets: np.ndarray, real: n
         logits.reshape(-1)[_picked(logits, goal)] -= 1
     d["g"][:], d["gb"][:] = own.T @ soft, ones[: len(own)] @ soft
     d_own = np.matmul(soft, p["g"].T, out=_room("d_own", kind, len(rows), DIM))
+    through = _room("through", kind, len(rows), DIM)
     for g, begin, end in parts:
         some = inside[begin:end]
-        d["m"][g], d["mb"][g] = own[begin:end].T @ some, ones[begin:end] @ some
-        d_own[begin:end] += some @ p["m"][g].T
+        np.matmul(own[begin:end].T, some, out=d["m"][g])
+        np.matmul(ones[begin:end], some, out=d["mb"][g])
+        np.matmul(some, p["m"][g].T, out=through[begin:end])
+    d_own += through
     place = np.zeros(n * NEW, np.int64)
     place[rows] = np.arange(len(rows))
     d_h = np.take(d_own, place, axis=0, out=_room("d_h", kind, n * NEW, DIM), mode="clip") if len(rows) else np.zeros((n * NEW, DIM), kind)
@@ -221,13 +243,11 @@ def _gradient(flat: np.ndarray, inputs: np.ndarray, targets: np.ndarray, real: n
     d_sums = d_sums.reshape(n, NEW, KEYS + 1)
     d_s = np.matmul(d_sums, v.transpose(0, 2, 1), out=_room("d_s", kind, n, NEW, _LENGTH))
     d_s *= a
-    k = _room("k", kind, n, _LENGTH, KEYS)
-    k[:] = kv[:, :, :KEYS]
     d_kvq = _room("d_kvq", kind, n, _LENGTH, 3 * KEYS)
     d_kvq[:, :CONTEXT, 2 * KEYS :] = 0
-    d_kvq[:, CONTEXT:, 2 * KEYS :] = np.matmul(d_s, k, out=_room("d_q", kind, n, NEW, KEYS))
-    d_kvq[:, :, :KEYS] = np.matmul(d_s.transpose(0, 2, 1), q, out=_room("d_k", kind, n, _LENGTH, KEYS))
-    d_kvq[:, :, KEYS : 2 * KEYS] = np.matmul(a.transpose(0, 2, 1), d_mixed.reshape(n, NEW, KEYS), out=_room("d_v", kind, n, _LENGTH, KEYS))
+    np.matmul(d_s, kv[:, :, :KEYS], out=d_kvq[:, CONTEXT:, 2 * KEYS :])
+    np.matmul(d_s.transpose(0, 2, 1), q, out=d_kvq[:, :, :KEYS])
+    np.matmul(a.transpose(0, 2, 1), d_mixed.reshape(n, NEW, KEYS), out=d_kvq[:, :, KEYS : 2 * KEYS])
     d_kvq = d_kvq.reshape(-1, 3 * KEYS)
     d["k"][:], d["v"][:], d["q"][:] = np.split(x.reshape(-1, DIM).T @ d_kvq, 3, axis=1)
     d_x = np.matmul(d_kvq, np.concatenate([p["k"], p["v"], p["q"]], axis=1).T, out=_room("d_x", kind, n * _LENGTH, DIM)).reshape(n, _LENGTH, DIM)
@@ -423,28 +443,29 @@ def scores(docs: DataFrame, held_out: F.Column, vocabulary: str | None = None, i
     often = F.col("n") * FREQUENT >= n
     top = {r["word"]: r["n"] for r in counts.where("word <> ''").where(often).collect()}  # FREQUENT at most, by their shares
     top_end = counts.where("word = ''").first()
-    top[""] = int(top_end["n"]) if top_end else 0
-    shared = spark.sparkContext.broadcast((top, train(learn, path, text_col=text_col) if parameters is None else parameters))
+    end = int(top_end["n"]) if top_end else 0
+    looked_up = pa.array(top, pa.string()), np.array([*top.values(), -1], np.int64)  # -1 for words that aren't among them
+    shared = spark.sparkContext.broadcast((*looked_up, train(learn, path, text_col=text_col) if parameters is None else parameters))
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, rare array<string>, rare_n array<int>"
 
     def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent, flat = shared.value
+        frequent, numbers, flat = shared.value
         encoder = _encoder(path)
         for batch in found:
             words = Words(batch.column("text"))
-            lot = words.distinct.to_pylist()
-            count = np.fromiter((frequent.get(w, -1) for w in lot), np.int64, len(lot))
+            lot = words.distinct
+            count = numbers[pc.fill_null(pc.index_in(lot, frequent), -1).to_numpy(zero_copy_only=False)]
             owner = np.repeat(np.arange(batch.num_rows), np.diff(words.starts))
             known = count[words.codes]
             hit = known >= 0
             log = np.log10(np.maximum(known, 0) + 0.5)
-            partial = np.bincount(owner, weights=np.where(hit, log, 0), minlength=batch.num_rows) + np.log10(frequent[""] + 0.5)
-            n_known = np.bincount(owner, weights=hit & (known > 0), minlength=batch.num_rows).astype(np.int64) + int(frequent[""] > 0)
+            partial = np.bincount(owner, weights=np.where(hit, log, 0), minlength=batch.num_rows) + np.log10(end + 0.5)
+            n_known = np.bincount(owner, weights=hit & (known > 0), minlength=batch.num_rows).astype(np.int64) + int(end > 0)
             # Other words, once for each text that holds them.
             pairs, times = np.unique(owner[~hit] * max(1, len(lot)) + words.codes[~hit], return_counts=True)
             of, word = pairs // max(1, len(lot)), pairs % max(1, len(lot))
             offsets = pa.array(np.concatenate(([0], np.cumsum(np.bincount(of, minlength=batch.num_rows)))).astype(np.int32))
-            rare = pa.ListArray.from_arrays(offsets, words.distinct.take(pa.array(word)))
+            rare = pa.ListArray.from_arrays(offsets, lot.take(pa.array(word)))
             rare_n = pa.ListArray.from_arrays(offsets, pa.array(times.astype(np.int32)))
             model = np.zeros(batch.num_rows)
             for low in range(0, batch.num_rows, 256):

@@ -22,6 +22,8 @@ REMEMBERED = 600_000
 #: Chunks, and pieces, in one string of the tokenizers library.
 JOINED = 64
 JOINED_PIECES = 256
+#: A chunk that is not cut off from its neighbours.
+RUNS_ON = r"^[^ ]|^ ?$|.[\s\p{Z}\x{85}\x1c-\x1f]"
 #: A space beside other white space, in any order.
 UNEVEN = r"[\s\p{Z}\x{85}\x1c-\x1f] | [\s\p{Z}\x{85}\x1c-\x1f]"
 
@@ -197,7 +199,7 @@ def joined_ids(chunks: list[str], whole: Callable[[list[str]], Sequence[Sequence
     holds no other white space is cut off from its neighbours by the vocabulary's pattern, and the lengths of the tokens tell where it
     ends. Other chunks are strings of their own."""
     out: list = [None] * len(chunks)
-    odd = pc.match_substring_regex(pa.array(chunks, pa.string()), r"^[^ ]|^ ?$|.[\s\p{Z}\x{85}\x1c-\x1f]")
+    odd = pc.match_substring_regex(pa.array(chunks, pa.string()), RUNS_ON)
     odd = odd.to_numpy(zero_copy_only=False)
     alone = np.flatnonzero(odd).tolist()
     for i, ids in zip(alone, whole([chunks[i] for i in alone])):
@@ -228,6 +230,33 @@ def rank_encoding(path: str, size: int | None = None):
     return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=rank_table(path, size), special_tokens={})
 
 
+class JoinedEncoder(ChunkEncoder):
+    """All chunks in one string of the library, the lengths of whose tokens tell where each ends; nothing is remembered: with distinct
+    chunks, encoding them again costs less than an object for every piece."""
+
+    def __init__(self, whole: Callable[[list[str]], Sequence[Sequence[int]]], lengths: np.ndarray):
+        super().__init__(lambda chunks: joined_ids(chunks, whole, lengths, max(1, len(chunks))))
+        self.whole, self.lengths = whole, lengths
+
+    def pooled(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        odd = pc.match_substring_regex(chunks, RUNS_ON).to_numpy(zero_copy_only=False).astype(bool)
+        if odd.any():
+            even, alone = np.flatnonzero(~odd), np.flatnonzero(odd)
+            ids, sizes = self.pooled(chunks.take(pa.array(even)))
+            own = [np.array(i, "<u2") for i in self.whole(chunks.take(pa.array(alone)).to_pylist())]
+            codes = np.empty(len(chunks), np.int64)
+            codes[np.concatenate([even, alone])] = np.arange(len(chunks))
+            sizes = np.concatenate([sizes, np.array([len(i) for i in own], np.int64)])
+            return gathered(np.concatenate([ids, *own]), sizes, codes)[0], sizes[codes]
+        if not len(chunks):
+            return np.zeros(0, "<u2"), np.zeros(0, np.int64)
+        offsets = np.frombuffer(chunks.buffers()[1], np.int32)[chunks.offset : chunks.offset + len(chunks) + 1]
+        text = chunks.buffers()[2][int(offsets[0]) : int(offsets[-1])].to_pybytes().decode()
+        ids = np.array(self.whole([text])[0], "<u2")
+        ends = np.searchsorted(np.cumsum(self.lengths[ids]), offsets[1:] - offsets[0]) + 1
+        return ids, np.diff(ends, prepend=0)
+
+
 def rank_encoder(path: str, size: int | None = None) -> ChunkEncoder:
     """By the tiktoken library, many chunks in one call."""
     encoding = rank_encoding(path, size)
@@ -235,4 +264,4 @@ def rank_encoder(path: str, size: int | None = None) -> ChunkEncoder:
     for token in encoding.token_byte_values():
         lengths[encoding.encode_single_token(token)] = len(token)
     whole = lambda texts: [encoding.encode_ordinary(t) for t in texts]
-    return ChunkEncoder(lambda chunks: joined_ids(chunks, whole, lengths, max(1, len(chunks))))
+    return JoinedEncoder(whole, lengths)

@@ -221,3 +221,35 @@ def test_arrays_are_taken_again_for_the_next_windows(windows):
     some = lm._gradient(flat, inputs[:7], targets[:7], real[:7])  # fewer windows in the same arrays, and none that are real
     assert np.allclose(some, lm._gradient(flat.astype(np.float64), inputs[:7], targets[:7], real[:7]), atol=1e-5)
     assert not lm._gradient(flat, inputs[:7], targets[:7], real[:7] & False).any()
+
+
+@pytest.mark.parametrize("rows", [0, 1, 63, 64, 200])
+def test_rows_are_added_and_logits_clipped(rows):
+    """Loops over long rows give the same bits as the plain ones; only logits above 60 are clipped, and what is no number stays."""
+    rng = np.random.default_rng(9)
+    x, row = rng.standard_normal((rows, 24)).astype(np.float32), rng.standard_normal(24).astype(np.float32)
+    expected = x + row
+    lm._add_row(x, row)
+    assert np.array_equal(x, expected)
+    for most in (50, 70, np.nan):
+        logits = expected.copy()
+        logits[rows // 2 : rows // 2 + 1, 3] = most
+        clipped = np.exp(np.minimum(logits, 60))
+        sums = lm._exp(logits)
+        assert np.array_equal(logits, clipped, equal_nan=True) and np.array_equal(sums, clipped @ np.ones(24, np.float32), equal_nan=True)
+    assert not lm._zeros(np.dtype(np.float32), rows).any()
+
+
+def test_chunks_are_encoded_in_one_string(monkeypatch):
+    """Chunks that no white space parts from their neighbours are strings of their own, all others one together; no chunk is remembered."""
+    encoding = subwords.rank_encoding(PATH, lm.VOCABULARY)
+    encoder = subwords.rank_encoder(PATH, lm.VOCABULARY)
+    chunks = [" the", "", " ", " a b", " x", " don't", " café", " 你好", " 12ab!?", " \x85", " q\x1cr", " the", " \U0001f600", "no space", " it's　", " zz" * 3]
+    strings = []
+    whole = encoder.whole
+    monkeypatch.setattr(encoder, "whole", lambda texts: strings.append(len(texts)) or whole(texts))
+    for lot in (chunks, chunks[::-1], [" one", " two"], ["", "x"], []):
+        ids, sizes = encoder.pooled(pa.array(["?", *lot], pa.string())[1:])
+        ends = np.cumsum(sizes)
+        assert [ids[b - n : b].tolist() for b, n in zip(ends, sizes)] == [encoding.encode_ordinary(c) for c in lot] and ids.dtype == np.uint16
+    assert strings.count(1) >= 3 and not encoder.known
